@@ -92,5 +92,5 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: list[str], weight: str,
     spread = F.pmod(F.xxhash64(*df.columns), F.col("__salts"))
     left = df.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(spread, F.lit(0)).cast("long"))
     copies = F.sequence(F.lit(0), F.when(F.col(weight) > hot_rows, F.ceil(F.col(weight) / hot_rows) - 1).otherwise(0))
-    right = stats.withColumn("__salt", F.explode(copies).cast("long"))
+    right = stats.withColumn("__salt", F.explode(copies)).withColumn("__salt", F.col("__salt").cast("long"))
     return left.drop("__salts").join(right, [*keys, "__salt"], "left").drop("__salt")

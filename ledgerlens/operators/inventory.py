@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.blocks import first_per_key
+from ledgerlens.functions.codes import needs_manual_row
+from ledgerlens.functions.money import local_day
+from ledgerlens.operators.blocks import Running, first_per_key, running, running_number
+
+# Fixed values of the inventory protocol.
+UNCLASSIFIED = "未分类"
+ORDER_GAP = 1024
+MANUAL_ID_BASE = -900_000_000_000_000_000
+SEARCH_CAP = 10000
 
 
 def lookup_corrections(asked: DataFrame, stored: DataFrame) -> DataFrame:
@@ -17,3 +25,209 @@ def lookup_corrections(asked: DataFrame, stored: DataFrame) -> DataFrame:
     newest = stored.groupBy("code_type", "wrong_code").agg(F.max_by("correct_code", "seq").alias("newest_code"))
     found = asked.join(own, ["chat_id", "code_type", "wrong_code"], "left").join(newest, ["code_type", "wrong_code"])
     return found.withColumn("correct_code", F.coalesce("own_code", "newest_code")).drop("own_code", "newest_code")
+
+
+def display_names(records: DataFrame, chats: DataFrame, users: DataFrame) -> DataFrame:
+    """Alias when one is set, else the original chat or user name."""
+    chat = chats.select("chat_id", F.nullif("display_name", F.lit("")).alias("__chat"))
+    user = users.select("user_id", F.nullif("display_name", F.lit("")).alias("__user"))
+    named = records.join(chat, "chat_id", "left").join(user, "user_id", "left")
+    return named.select(
+        *records.columns,
+        F.coalesce("__chat", "chat_title").alias("display_chat_name"),
+        F.coalesce("__user", "user_name").alias("display_user_name"),
+    )
+
+
+def classify_by_prefix(records: DataFrame, rules: DataFrame, code: str = "final_card", lengths: tuple[int, ...] | None = None) -> DataFrame:
+    """Label of the longest rule prefix of a long code.
+
+    One equi join per prefix length (a code has at most 22 characters), never a cross join; rows are
+    not multiplied and Spark decides from the rule table's size whether to broadcast it.
+    """
+    if lengths is None:
+        found = rules.select(F.length("prefix").alias("n")).distinct().orderBy(F.desc("n")).limit(22).collect()
+        lengths = tuple(row.n for row in found)
+    clean = F.upper(F.trim(F.col(code)))
+    out = records.withColumn("__code", clean)
+    labels = []
+    for n in sorted(lengths, reverse=True):
+        name = f"__label{n}"
+        sized = rules.where(F.length("prefix") == n).select(F.col("prefix").alias("__prefix"), F.col("denomination").alias(name))
+        out = out.join(sized, F.left(F.col("__code"), F.lit(n)) == F.col("__prefix"), "left").drop("__prefix")
+        labels.append(name)
+    label = F.when(F.col("__code").startswith("S07"), F.coalesce(*labels)) if labels else F.lit(None).cast("string")
+    return out.withColumn("rule_label", F.coalesce(label, F.lit(UNCLASSIFIED))).drop("__code", *labels)
+
+
+def apply_new_rule(records: DataFrame, prefix: str, label: str) -> DataFrame:
+    """A new prefix rule relabels only rows nobody classified yet."""
+    rule = prefix.strip().upper()
+    if not rule.startswith("S07"):
+        raise ValueError("prefix rules only cover long codes")
+    hit = (F.col("denomination") == UNCLASSIFIED) & F.upper("final_card").startswith(rule)
+    return records.withColumn("denomination", F.when(hit, label).otherwise(F.col("denomination")))
+
+
+def search(
+    records: DataFrame,
+    *,
+    chat_id: int | None = None,
+    denomination: str | None = None,
+    stocked: bool | None = None,
+    redeemed: bool | None = None,
+    duplicates_only: bool = False,
+    unread_only: bool = False,
+    text: str = "",
+    after_version: int = 0,
+    limit: int = 2000,
+) -> DataFrame:
+    """Inventory search over rows that already carry their display names."""
+    checks: list[Column] = [~F.col("is_deleted")]
+    if after_version > 0:
+        checks.append(F.col("change_version") > after_version)
+    for name, wanted in (("chat_id", chat_id), ("denomination", denomination), ("is_stocked", stocked), ("is_redeemed", redeemed)):
+        if wanted is not None:
+            checks.append(F.col(name) == F.lit(wanted))
+    if duplicates_only:
+        checks.append(F.col("is_duplicate"))
+    if unread_only:
+        checks.append(~F.col("is_viewed") & ~F.col("is_stocked"))
+    if text.strip():
+        fields = ("final_card", "ocr_original_card", "chat_title", "user_name", "display_chat_name", "display_user_name")
+        hit = F.lit(False)
+        for name in fields:
+            hit = hit | F.col(name).ilike(f"%{text.strip()}%")
+        checks.append(hit)
+    picked = records
+    for check in checks:
+        picked = picked.where(check)
+    order = ("message_date", "message_id", "image_index", "display_order", "id")
+    return picked.orderBy(*order).limit(max(1, min(limit, SEARCH_CAP)))
+
+
+def retain(records: DataFrame, at: Column, cutoff: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows to keep and rows to purge; a row without a readable time stays."""
+    old = F.coalesce(at < cutoff, F.lit(False))
+    return records.where(~old), records.where(old)
+
+
+def chat_counts(records: DataFrame, chats: DataFrame) -> DataFrame:
+    """Live rows per chat with the alias or the latest title."""
+    counts = records.where(~F.col("is_deleted")).groupBy("chat_id").agg(F.max("chat_title").alias("chat_title"), F.count("*").alias("card_count"))
+    alias = chats.select("chat_id", F.nullif("display_name", F.lit("")).alias("__alias"))
+    named = counts.join(alias, "chat_id", "left")
+    return named.select("chat_id", F.coalesce("__alias", "chat_title").alias("display_chat_name"), "card_count")
+
+
+def status_counts(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Status totals of live rows, exact at any size."""
+    label = F.col("denomination")
+    flag = lambda c: F.count_if(F.col(c))
+    total = F.count("*")
+    return records.where(~F.col("is_deleted")).groupBy(*keys).agg(
+        total.alias("total"),
+        F.count_if(label == "11200").alias("label_11200"),
+        F.count_if(label == "5500").alias("label_5500"),
+        F.count_if(label == UNCLASSIFIED).alias("unclassified"),
+        flag("is_redeemed").alias("redeemed"),
+        flag("is_invalid").alias("invalid"),
+        (total - flag("is_redeemed") - flag("is_invalid")).alias("valid"),
+        flag("is_stocked").alias("stocked"),
+        (total - flag("is_stocked")).alias("pending_stock"),
+    )
+
+
+def health(records: DataFrame, today: Column) -> DataFrame:
+    """Latest usable code and rows of the local day."""
+    usable = (F.trim("final_card") != "") & ~F.col("is_ocr_failed") & ~F.col("is_invalid")
+    return records.where(~F.col("is_deleted")).agg(
+        F.max(F.when(usable, F.col("message_date"))).alias("last_valid_at"),
+        F.count_if(local_day(F.col("message_date")) == today).alias("today_new"),
+    )
+
+
+def patch_verdicts(records: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches of known records with ``accepted``: stocking a redeemed code is refused as a whole.
+
+    Only redeemed flags of accepted patches count, and a patch that both redeems and stocks is
+    refused on its own, so the state before a patch is the latest other redeemed flag.
+    """
+    start = records.select(F.col("id").alias("record_id"), F.col("is_redeemed").alias("__start"))
+    known = patches.join(start, "record_id")
+    clash = F.coalesce(F.col("redeemed") & F.col("stocked"), F.lit(False))
+    held = running(known, ["record_id"], "version", [Running("__held", "last", F.when(~clash, F.col("redeemed")), inclusive=False)])
+    redeemed = F.coalesce("redeemed", "__held", "__start")
+    accepted = ~F.coalesce(F.col("stocked") & redeemed, F.lit(False))
+    return held.withColumn("accepted", accepted).drop("__held", "__start")
+
+
+def apply_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
+    """Final inventory state: every field takes its newest accepted value, with the implied changes.
+
+    Redeeming clears the stock flag, stocking marks the row viewed, an edited code is no longer failed.
+    """
+    good = patch_verdicts(records, patches).where("accepted")
+    new_code = F.upper(F.trim("final_card"))
+    assigned = good.select(
+        F.col("record_id").alias("id"), "version", new_code.alias("final_card"), "denomination", "redeemed", "invalid", "deleted",
+        F.coalesce("stocked", F.when(F.col("redeemed"), False)).alias("stocked"),
+        F.coalesce("viewed", F.when(F.col("stocked"), True)).alias("viewed"),
+        F.when(new_code != "", False).alias("failed"),
+    )
+    fields = ("final_card", "denomination", "redeemed", "invalid", "deleted", "stocked", "viewed", "failed")
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(f"__{c}") for c in fields]
+    folded = assigned.groupBy("id").agg(F.max("version").alias("__version"), *newest)
+    joined = records.join(folded, "id", "left")
+    target = {
+        "final_card": "final_card", "denomination": "denomination", "redeemed": "is_redeemed", "invalid": "is_invalid",
+        "deleted": "is_deleted", "stocked": "is_stocked", "viewed": "is_viewed", "failed": "is_ocr_failed",
+    }
+    updates = {column: F.coalesce(f"__{field}", column) for field, column in target.items()}
+    updates["change_version"] = F.coalesce("__version", "change_version")
+    return joined.withColumns(updates).select(*records.columns)
+
+
+def current_operators(events: DataFrame) -> DataFrame:
+    """Membership after adds and removals: a removal is a tombstone."""
+    changes = events.where(F.col("op").isin("add_operator", "remove_operator"))
+    newest = first_per_key(changes, ["chat_id", "user_id"], [F.desc("seq")])
+    return newest.where("op = 'add_operator'")
+
+
+def display_orders(records: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Gap-spaced positions, so a row can be inserted between two others."""
+    numbered = running_number(records, keys, order, "__n")
+    return numbered.withColumn("new_order", F.col("__n") * ORDER_GAP).drop("__n")
+
+
+def manual_ids(names: DataFrame, order: str = "seq") -> DataFrame:
+    """Synthetic ids counting down from the base in order of first appearance of a name."""
+    firsts = names.groupBy("name").agg(F.min(order).alias("first_seq"))
+    numbered = running_number(firsts, [], "first_seq", "__n")
+    return numbered.select("name", "first_seq", (F.lit(MANUAL_ID_BASE) - F.col("__n") + 1).alias("manual_id"))
+
+
+def number_codes(images: DataFrame) -> DataFrame:
+    """Codes of an image numbered long before short, beside the raw reading at the same position.
+
+    An image without codes leaves one empty row when its text looks like a damaged code.
+    """
+    pair = lambda kind, final, raw: F.transform(
+        F.col(final),
+        lambda code, at: F.struct(F.lit(kind).alias("card_type"), code.alias("final_card"), F.coalesce(F.get(F.col(raw), at), code).alias("ocr_original_card")),
+    )
+    empty = F.array(F.struct(F.lit("unknown").alias("card_type"), F.lit("").alias("final_card"), F.lit("").alias("ocr_original_card")))
+    listed = F.concat(pair("long", "final_long", "raw_long"), pair("short", "final_short", "raw_short"))
+    rows = F.when(F.size(listed) > 0, listed).when(needs_manual_row(F.col("raw_text")), empty)
+    keep = [c for c in images.columns if c not in ("final_long", "final_short", "raw_long", "raw_short")]
+    flat = images.select(*keep, F.posexplode(rows).alias("__at", "__r"))
+    return flat.select(*keep, (F.col("__at") + 1).cast("long").alias("card_index"), "__r.*")
+
+
+def changes_since(records: DataFrame, chats: DataFrame, users: DataFrame, version: int) -> DataFrame:
+    """Everything newer than a version cursor: inventory rows and both alias tables."""
+    newer = F.col("change_version") > version
+    part = lambda df, kind, key: df.where(newer).select(F.lit(kind).alias("entity"), F.col(key).alias("entity_id"), "change_version")
+    live = records.where(~F.col("is_deleted"))
+    return part(live, "record", "id").unionByName(part(chats, "chat_alias", "chat_id")).unionByName(part(users, "user_alias", "user_id"))

@@ -39,7 +39,7 @@ _K2 = "CAST(floor(event_id / 2) AS BIGINT)"
 _K5 = "CAST(floor(event_id / 5) AS BIGINT)"
 
 VIEWS: dict[str, str] = {
-    # One row per processed image. `fetched` codes repeat between neighbours, every 11th has one
+    # One row per processed image. Codes repeat between neighbours, every 11th has one
     # character changed, error events have none.
     "audit_base": f"""
         SELECT event_id, ts, user_id, event_type, value,
@@ -80,14 +80,16 @@ VIEWS: dict[str, str] = {
         SELECT chat_id, message_id, file_unique_id, ts + INTERVAL '5' SECOND AS phase_ts, status, dt, final_long
         FROM audit_record WHERE message_id % 10 < 9""",
     "code_sighting": """
-        SELECT message_id, chat_id, user_id, username, ts, dt, 'long' AS code_type,
-               CASE WHEN message_id % 11 = 0 THEN concat(substr(code_a, 1, 21), 'Z') ELSE code_a END AS code
-        FROM audit_record JOIN audit_base ON event_id = message_id
-        WHERE status = 'complete'
+        SELECT event_id AS message_id, -(1000 + user_id % 5) AS chat_id, concat('Group ', CAST(user_id % 5 AS STRING)) AS chat_title,
+               user_id, concat('User', CAST(user_id AS STRING)) AS username, ts,
+               CAST(ts + INTERVAL '8' HOUR AS DATE) AS dt, 'long' AS code_type,
+               CASE WHEN event_id % 11 = 0 THEN concat(substr(code_a, 1, 21), 'Z') ELSE code_a END AS code
+        FROM audit_base WHERE event_type <> 'error'
         UNION ALL
-        SELECT message_id, chat_id, audit_record.user_id, username, audit_record.ts, dt, 'short' AS code_type, code_s AS code
-        FROM audit_record JOIN audit_base ON event_id = message_id
-        WHERE status = 'complete' AND message_id % 4 = 0""",
+        SELECT event_id AS message_id, -(1000 + user_id % 5) AS chat_id, concat('Group ', CAST(user_id % 5 AS STRING)) AS chat_title,
+               user_id, concat('User', CAST(user_id AS STRING)) AS username, ts,
+               CAST(ts + INTERVAL '8' HOUR AS DATE) AS dt, 'short' AS code_type, code_s AS code
+        FROM audit_base WHERE event_type <> 'error' AND event_id % 4 = 0""",
     # Ledger postings: income from orders, payout from the lines of an order.
     "posting": """
         SELECT o_orderkey * 2 AS id, -(1 + o_custkey % 20) AS chat_id, 'income' AS kind,
