@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "stats", "inventory")
+MODULES = ("ledger", "stats", "inventory", "codes", "evidence")
 
 
 def load() -> None:

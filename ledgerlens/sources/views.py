@@ -275,6 +275,18 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 4 = 0 THEN concat(lower(code_a), ' ') ELSE code_a END AS raw_candidate,
                code_s AS short_card
         FROM audit_base WHERE event_type <> 'error'""",
+    # Readings of one image by several sources, as scalars the plans assemble into structs.
+    "evidence": """
+        SELECT event_id AS image_id, code_a, code_b, code_s, event_id % 6 >= 3 AS two,
+               CASE WHEN event_id % 5 = 0 THEN concat(substr(code_a, 1, 21), 'Z') ELSE code_a END AS variant_a,
+               CASE WHEN event_id % 4 = 0 THEN code_b ELSE code_a END AS cloud_a,
+               (980 + event_id % 3 * 5) / 1000.0E0 AS s1, (940 + event_id % 7 * 10) / 1000.0E0 AS s2,
+               (970 + event_id % 5 * 6) / 1000.0E0 AS s3, (860 + event_id % 9 * 10) / 1000.0E0 AS s4,
+               CASE WHEN event_id % 10 = 9 THEN 3 WHEN event_id % 10 = 8 THEN NULL WHEN event_id % 6 >= 3 THEN 2 ELSE 1 END AS expected,
+               CASE WHEN event_id % 12 = 11 THEN 1 ELSE 0 END AS uncertain, event_id % 14 = 13 AS conflict, event_id % 15 = 14 AS unresolved,
+               event_id % 4 = 1 AS strip_only, CAST(100 + event_id % 900 AS INT) AS width, CAST(40 + event_id % 600 AS INT) AS height,
+               CAST(60 + event_id % 50 AS INT) AS variance
+        FROM audit_base""",
     "order_book": """
         SELECT event_id AS seq, ts, CAST(user_id % 20 AS BIGINT) AS feed_id,
                CASE WHEN event_id % 9 = 0 THEN '{"data":{"sell":[]}}'
@@ -285,7 +297,7 @@ VIEWS: dict[str, str] = {
 }
 
 _VIEW_WORD = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
-_BASE_REF = re.compile(r"@(\w+)")
+_BASE_REF = re.compile(r"@(" + "|".join(BASE_TABLES) + r")\b")
 
 
 def _dependencies(sql: str, found: dict[str, None] | None = None) -> dict[str, None]:
