@@ -1 +1,271 @@
-"""placeholder"""
+"""Learning from confirmed codes: windows, diffs, character rules, templates, corrections, data sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import codes
+from ledgerlens.functions.extract import bind
+from ledgerlens.operators.blocks import first_per_key, running_number
+from ledgerlens.session import cut
+
+# Thresholds and pairs of the correction rules.
+TEMPLATE_SAMPLES = 100
+RULE_COUNT, STRICT_RULE_COUNT = 3, 10
+AMBIGUOUS = (("2", "Z"), ("Z", "2"))
+SAFE_SWAPS = (
+    "9S", "S9", "96", "69", "0O", "O0", "1I", "I1", "5S", "S5", "8B", "B8", "39", "93", "JU",
+)
+CONFIRMED = ("confirmed_match", "confirmed_error")
+
+
+def truth_sets(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Shared, missing and extra distinct codes per batch."""
+    side = lambda df, name: df.where("code IS NOT NULL").select("batch_id", "code", F.lit(name).alias("side"))
+    both = side(predicted, 1).unionByName(side(truth, 2)).groupBy("batch_id", "code").agg(F.bit_or("side").alias("seen"))
+    return both.groupBy("batch_id").agg(
+        F.count_if(F.col("seen") == 3).alias("both_count"), F.count_if(F.col("seen") == 2).alias("missing_count"), F.count_if(F.col("seen") == 1).alias("extra_count")
+    )
+
+
+def _apart(left: Column, right: Column) -> Column:
+    a, b = codes.compact(left), codes.compact(right)
+    return F.when(F.length(a) == F.length(b), codes.hamming(a, b))
+
+
+def learning_window(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Slice of each batch's ordered distinct predictions that starts at its first confirmed code.
+
+    The start is the equal prediction, else the nearest one within two characters (earliest on a
+    tie); the slice is as long as the confirmed list. ``predicted`` and ``truth`` have
+    (batch_id, seq, code).
+    """
+    once = first_per_key(predicted, ["batch_id", "code"], ["seq"])
+    numbered = running_number(once, ["batch_id"], "seq", "idx")
+    goals = truth.where("code IS NOT NULL").groupBy("batch_id", "code").agg(F.min("seq").alias("seq"))
+    goals = goals.groupBy("batch_id").agg(F.min_by("code", "seq").alias("first_truth"), F.count("*").alias("truths"))
+    near = numbered.join(goals, "batch_id").withColumn("apart", _apart(F.col("code"), F.col("first_truth")))
+    starts = near.where(F.col("apart") <= 2).groupBy("batch_id").agg(F.min(F.struct("apart", "idx")).alias("s"))
+    span = goals.join(starts, "batch_id").select("batch_id", F.col("s.idx").alias("start"), "truths")
+    return numbered.join(span, "batch_id").where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("start") + F.col("truths"))).drop("start", "truths")
+
+
+def _keys(code: Column) -> Column:
+    """Three cuts of a compact code; two substitutions leave at least one intact."""
+    flat = codes.compact(code)
+    third = F.ceil(F.length(flat) / 3).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat_ws(":", F.length(flat).cast("string"), i.cast("string"), F.substr(flat, i * third + 1, third))
+    )
+
+
+def diff_with_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Outcome per code: correct, confused (nearest free prediction within two characters), missing, false_positive.
+
+    Confirmed codes choose in order and a prediction is used once. That is a serial choice, so each
+    round lets every confirmed code choose that is the first candidate of all predictions it could
+    take; rounds touch only the close pairs.
+    """
+    shown = predicted.groupBy("batch_id", "code").agg(F.min("seq").alias("seq"))
+    goals = truth.where("code IS NOT NULL").groupBy("batch_id", "code").agg(F.min("seq").alias("seq"))
+    joined = goals.join(shown.select("batch_id", "code", F.lit(True).alias("hit")), ["batch_id", "code"], "left")
+    correct = joined.where("hit").select("batch_id", F.col("code").alias("truth"), F.col("code").alias("predicted"), F.lit("correct").alias("outcome"))
+    open_truth = cut(joined.where("hit IS NULL").drop("hit"))
+    free = cut(shown.join(goals.select("batch_id", "code"), ["batch_id", "code"], "left_anti"))
+    left = open_truth.select("batch_id", F.col("code").alias("truth"), F.col("seq").alias("t"), F.explode(_keys(F.col("code"))).alias("key"))
+    right = free.select("batch_id", F.col("code").alias("predicted"), F.col("seq").alias("p"), F.explode(_keys(F.col("code"))).alias("key"))
+    apart = _apart(F.col("truth"), F.col("predicted"))
+    pairs = left.join(right, ["batch_id", "key"]).withColumn("apart", apart).where(F.col("apart").between(1, 2))
+    pairs = cut(pairs.drop("key").distinct())
+    chosen = None
+    while not pairs.isEmpty():
+        first = pairs.groupBy("batch_id", "p").agg(F.min("t").alias("first_t"))
+        ready = pairs.join(first, ["batch_id", "p"]).groupBy("batch_id", "t").agg(
+            F.bool_and(F.col("first_t") == F.col("t")).alias("ready"), F.min(F.struct("apart", "p", "truth", "predicted")).alias("c")
+        ).where("ready")
+        picks = cut(ready.select("batch_id", "t", F.col("c.p").alias("p"), F.col("c.truth").alias("truth"), F.col("c.predicted").alias("predicted")))
+        chosen = picks if chosen is None else chosen.unionByName(picks)
+        pairs = cut(pairs.join(picks.select("batch_id", "t"), ["batch_id", "t"], "left_anti").join(picks.select("batch_id", "p"), ["batch_id", "p"], "left_anti"))
+    if chosen is None:
+        chosen = pairs.select("batch_id", "t", "p", "truth", "predicted")
+    label = lambda df, truth_col, predicted_col, name: df.select(
+        "batch_id", truth_col.alias("truth"), predicted_col.alias("predicted"), F.lit(name).alias("outcome")
+    )
+    none = F.lit(None).cast("string")
+    missing = open_truth.join(chosen.select("batch_id", F.col("truth").alias("code")), ["batch_id", "code"], "left_anti")
+    spare = free.join(chosen.select("batch_id", F.col("predicted").alias("code")), ["batch_id", "code"], "left_anti")
+    return (
+        correct.unionByName(label(chosen, F.col("truth"), F.col("predicted"), "confused"))
+        .unionByName(label(missing, F.col("code"), none, "missing"))
+        .unionByName(label(spare, none, F.col("code"), "false_positive"))
+    )
+
+
+def character_events(pairs: DataFrame) -> DataFrame:
+    """One row per differing position of equally long (predicted, truth) pairs."""
+    letters = F.zip_with(F.split("predicted", ""), F.split("truth", ""), lambda w, c: F.struct(w.alias("wrong"), c.alias("correct")))
+    same = pairs.where(F.length("predicted") == F.length("truth"))
+    flat = same.select("font_hash", "seq", "ts", F.posexplode(letters).alias("position", "p"))
+    return flat.where("p.wrong <> p.correct").select(
+        "font_hash", "seq", "ts", F.col("position").cast("long").alias("position"), F.col("p.wrong").alias("wrong"), F.col("p.correct").alias("correct")
+    )
+
+
+def learned_rules(events: DataFrame) -> DataFrame:
+    """Counted rules per font: character pairs, and pairs at a position. Long format, one row per rule."""
+    pair = F.concat("wrong", F.lit(">"), "correct")
+    rule = F.explode(
+        F.array(
+            F.struct(F.lit("pair").alias("kind"), pair.alias("key")),
+            F.struct(F.lit("position").alias("kind"), F.concat(F.col("position").cast("string"), F.lit(":"), pair).alias("key")),
+        )
+    )
+    return events.select("font_hash", "seq", rule.alias("r")).groupBy("font_hash", "r.kind", "r.key").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first_seq")
+    )
+
+
+def merge_profiles(updates: DataFrame) -> DataFrame:
+    """Profile headers after all updates: summed samples, best confidence, enabled only if never disabled, newest source."""
+    return updates.groupBy("font_hash").agg(
+        F.sum("sample_count").alias("sample_count"), F.max("confidence").alias("confidence"), F.bool_and("enabled").alias("enabled"),
+        F.max_by("card_type", F.when(F.col("card_type").isNotNull(), F.col("seq"))).alias("card_type"),
+        F.max_by("source_user_id", F.when(F.col("source_user_id").isNotNull(), F.col("seq"))).alias("source_user_id"), F.max("ts").alias("last_seen"),
+    )
+
+
+def missing_rules(outcomes: DataFrame) -> DataFrame:
+    """Missing codes are learned once each, under the unknown font."""
+    return outcomes.where("outcome = 'missing'").select(F.lit("unknown_font").alias("font_hash"), F.concat(F.lit("missing:"), "truth").alias("key")).distinct()
+
+
+def templates(profiles: DataFrame, rules: DataFrame, samples: int = TEMPLATE_SAMPLES) -> DataFrame:
+    """Template header of every font with enough samples."""
+    ripe = profiles.where(F.col("sample_count") >= samples)
+    suffix = F.upper(F.left(F.substring_index("font_hash", "_", -1), F.lit(6)))
+    return ripe.select(
+        F.concat(F.upper("card_type"), F.lit("_FONT_"), suffix).alias("name"), "font_hash", "card_type", F.col("sample_count").alias("samples"),
+        F.least(F.lit(99.9), F.lit(95.0) + F.least(F.col("sample_count"), F.lit(100)) / 20).alias("confidence"), "enabled",
+    )
+
+
+def best_rules(rules: DataFrame) -> DataFrame:
+    """Most frequent correction per wrong character, and per position and wrong character; the earlier rule wins a tie."""
+    wrong = F.split_part("key", F.lit(">"), F.lit(1))
+    top = rules.withColumn("wrong_key", wrong).groupBy("font_hash", "kind", "wrong_key").agg(
+        F.max(F.struct("n", (-F.col("first_seq")).alias("earlier"), "key")).alias("t"), F.min("first_seq").alias("first_seq")
+    )
+    return top.select("font_hash", "kind", "wrong_key", F.split_part(F.col("t.key"), F.lit(">"), F.lit(2)).alias("correct"), F.col("t.n").alias("n"), "first_seq")
+
+
+def rule_book(best: DataFrame) -> DataFrame:
+    """Rules of a font as one ordered array; its size is bounded by positions times characters."""
+    entry = F.struct(
+        "first_seq", "kind",
+        F.when(F.col("kind") == "position", F.split_part("wrong_key", F.lit(":"), F.lit(1)).cast("int")).alias("position"),
+        F.when(F.col("kind") == "position", F.split_part("wrong_key", F.lit(":"), F.lit(2))).otherwise(F.col("wrong_key")).alias("wrong"), "correct", "n",
+    )
+    return best.groupBy("font_hash").agg(F.array_sort(F.collect_list(entry)).alias("rules"))
+
+
+def _swap(code: Column, position: Column, wrong: Column, correct: Column, allowed: Column) -> Column:
+    hit = allowed & (F.substr(code, position + 1, F.lit(1)) == wrong)
+    return F.when(hit, F.concat(F.left(code, position), correct, F.substr(code, position + 2, F.length(code)))).otherwise(code)
+
+
+def _clear_pair(rule: Column) -> Column:
+    bad = F.lit(False)
+    for wrong, correct in AMBIGUOUS:
+        bad = bad | ((rule["wrong"] == wrong) & (rule["correct"] == correct))
+    return ~bad
+
+
+def corrected_by_template(code: Column, rules: Column) -> Column:
+    """Position rules in learned order; an invalid code also takes the character rules. Kept only if valid."""
+    by_place = F.filter(rules, lambda r: r["kind"] == "position")
+    by_letter = F.filter(rules, lambda r: (r["kind"] == "pair") & _clear_pair(r))
+    placed = F.aggregate(by_place, code, lambda acc, r: _swap(acc, r["position"], r["wrong"], r["correct"], _clear_pair(r)))
+    letter = lambda ch: F.coalesce(F.get(F.filter(by_letter, lambda r: r["wrong"] == ch), F.lit(0))["correct"], ch)
+    spelled = bind(placed, lambda text: F.array_join(F.transform(F.split(text, ""), letter), ""))
+    fixed = F.when(codes.is_long(F.upper(F.trim(code))), placed).otherwise(spelled)
+    return bind(fixed, lambda out: F.when(codes.is_long(F.upper(F.trim(out))), out).otherwise(code))
+
+
+def safe_correction(code: Column, rules: Column, similarity: Column, quality: Column, confidence: Column, conflicts: Column, has_font: Column) -> Column:
+    """Guarded correction: only clear images, matched templates and rules seen at least ten times."""
+    strict = F.filter(rules, lambda r: (r["kind"] == "position") & (r["n"] >= STRICT_RULE_COUNT) & _clear_pair(r))
+    changed = F.aggregate(strict, code, lambda acc, r: _swap(acc, r["position"], r["wrong"], r["correct"], F.lit(True)))
+    valid = lambda c: codes.is_long(F.upper(F.trim(c)))
+
+    def decide(new: Column) -> Column:
+        reason = (
+            F.when((quality < 70) | (conflicts >= 2), "low_quality_or_conflict")
+            .when(valid(code) & (confidence >= 90) & (conflicts == 0) & ~has_font, "protected")
+            .when(~has_font, "no_font")
+            .when(F.coalesce(similarity, F.lit(0)) < 95, "template_not_matched")
+            .when(new == code, "no_eligible_rule")
+            .when(~valid(new), "invalid_correction")
+            .otherwise("corrected")
+        )
+        return F.struct(F.when(reason == "corrected", new).otherwise(code).alias("code"), reason.alias("reason"), reason.isin("low_quality_or_conflict", "invalid_correction").alias("needs_review"))
+
+    return bind(changed, decide)
+
+
+def normalized_prefix(code: Column) -> Column:
+    """A damaged first letter or digit of the most common prefix."""
+    clean = F.upper(F.trim(code))
+    first = F.when(clean.rlike("^[95$]07304"), F.concat(F.lit("S"), F.substr(clean, F.lit(2), F.length(clean)))).otherwise(clean)
+    return F.when(first.rlike("^S[O0]7304"), F.concat(F.lit("S07"), F.substr(first, F.lit(4), F.length(first)))).otherwise(first)
+
+
+def corrected_by_font(code: Column, rules: Column) -> Column:
+    """Learned position rules seen three times and limited to known look-alikes; the shape must stay valid."""
+    base = normalized_prefix(code)
+    usable = F.filter(rules, lambda r: (r["kind"] == "position") & (r["n"] >= RULE_COUNT) & F.concat(r["wrong"], r["correct"]).isin(*SAFE_SWAPS))
+    done = lambda start: F.aggregate(usable, start, lambda acc, r: _swap(acc, r["position"], r["wrong"], r["correct"], F.lit(True)))
+    kept = lambda start: bind(done(start), lambda out: F.when(codes.is_long(out), out).otherwise(start))
+    return bind(base, lambda start: F.when(codes.is_long(start), F.coalesce(kept(start), start)).otherwise(code))
+
+
+# -- case tables ------------------------------------------------------------------------------
+
+
+def normalize_cases(cases: DataFrame) -> DataFrame:
+    """First case per id; unknown states become needs_review, error types sorted and distinct."""
+    named = cases.where(F.trim("case_id") != "").withColumn("case_id", F.trim("case_id"))
+    first = first_per_key(named, ["case_id"], ["seq"])
+    state = F.when(F.col("status").isin(*CONFIRMED, "needs_review"), F.col("status")).otherwise("needs_review")
+    profile = F.coalesce(F.nullif(F.trim("profile"), F.lit("")), F.lit("unspecified"))
+    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("error_types", F.trim), lambda e: e != "")))
+    return first.withColumns({"status": state, "profile": profile, "error_types": kinds})
+
+
+def gold_cases(cases: DataFrame) -> DataFrame:
+    """Confirmed cases, once per content; a declared hash that differs from the content fails the job."""
+    declared = F.lower(F.trim(F.coalesce("declared_hash", F.lit(""))))
+    wrong = (declared != "") & (declared != F.col("content_hash"))
+    checked = cases.where(F.col("status").isin(*CONFIRMED)).withColumn(
+        "content_hash", F.when(wrong, F.raise_error(F.concat(F.lit("content hash mismatch: "), "case_id")).cast("string")).otherwise(F.col("content_hash"))
+    )
+    first = first_per_key(checked, ["content_hash"], ["seq"])
+    return first.withColumn("case_id", F.coalesce(F.nullif(F.trim("case_id"), F.lit("")), F.left("content_hash", F.lit(16))))
+
+
+def training_split(cases: DataFrame) -> DataFrame:
+    """Unique contents: a single long code becomes a label, everything else waits for annotation."""
+    unique = first_per_key(cases, ["content_hash"], ["seq"])
+    single = (F.size("expected_long") == 1) & (F.size("expected_short") == 0)
+    return unique.withColumns({
+        "target": F.when(single, "label").otherwise("annotate"), "label": F.when(single, F.upper(F.get("expected_long", F.lit(0)))),
+        "reason": F.when(~single, "not_single_long"),
+    })
+
+
+def upsert_models(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Imported templates replace stored ones by name; a missing enabled flag keeps the stored one."""
+    kept = current.join(incoming.select("name"), "name", "left_anti")
+    old = current.select("name", F.col("enabled").alias("__old"))
+    merged = incoming.join(old, "name", "left").withColumn("enabled", F.coalesce("enabled", "__old", F.lit(True))).drop("__old")
+    return kept.unionByName(merged)
