@@ -146,11 +146,11 @@ def service_days(calls: DataFrame) -> DataFrame:
     good = F.col("ok")
     won = F.count_if(good)
     total = F.sum(F.when(good, F.col("latency_ms")))
-    share = lambda flag: F.when(won > 0, F.floor(F.count_if(good & F.col(flag)) * 100 / won)).otherwise(0)
+    share = lambda flag: F.bround((F.count_if(good & F.col(flag)) * 100).cast("decimal(20,0)") / F.count("*"), 1).cast("decimal(5,1)")
     return calls.groupBy(local_day(F.col("ts")).alias("day")).agg(
         F.count("*").alias("calls"), won.alias("success"), F.count_if(~good).alias("failed"), F.count_if("fallback").alias("fallbacks"),
-        F.when(won > 0, F.floor(total / won)).otherwise(0).cast("long").alias("avg_latency_ms"), share("cache_hit").cast("long").alias("cache_hit_percent"),
-        share("enhanced_used").cast("long").alias("enhanced_percent"),
+        F.when(won > 0, F.floor(total / won)).otherwise(0).cast("long").alias("avg_latency_ms"), share("cache_hit").alias("cache_hit_percent"),
+        share("enhanced_used").alias("enhanced_percent"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ledger", "stats", "inventory", "codes", "evidence", "learning", "evaluation")
+MODULES = ("ledger", "stats", "inventory", "codes", "evidence", "learning", "evaluation", "sessions")
 
 
 def load() -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ledgerlens.operators import evaluation, learning
 from ledgerlens.plans.codes import joined
 from ledgerlens.plans.learning import CASE_SQL, case_rows
 from ledgerlens.plans.registry import query
+from ledgerlens.session import shared_folder
 from ledgerlens.sources import files, payloads
 from ledgerlens.sources.views import Tables
 
@@ -90,8 +93,8 @@ def a12(t: Tables) -> DataFrame:
 @query(
     "A14_service_days",
     """SELECT CAST(ts + INTERVAL '8' HOUR AS DATE) AS day, count(*) AS calls, count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (fallback) AS fallbacks,
-    CAST(coalesce(sum(latency_ms) FILTER (ok) // nullif(count(*) FILTER (ok), 0), 0) AS BIGINT) AS avg_latency_ms, coalesce(count(*) FILTER (ok AND cache_hit) * 100 // nullif(count(*) FILTER (ok), 0), 0) AS cache_hit_percent,
-    coalesce(count(*) FILTER (ok AND enhanced_used) * 100 // nullif(count(*) FILTER (ok), 0), 0) AS enhanced_percent FROM service_call GROUP BY 1""",
+    CAST(coalesce(sum(latency_ms) FILTER (ok) // nullif(count(*) FILTER (ok), 0), 0) AS BIGINT) AS avg_latency_ms, CAST(round_even(count(*) FILTER (ok AND cache_hit) * 100 / count(*), 1) AS DECIMAL(5,1)) AS cache_hit_percent,
+    CAST(round_even(count(*) FILTER (ok AND enhanced_used) * 100 / count(*), 1) AS DECIMAL(5,1)) AS enhanced_percent FROM service_call GROUP BY 1""",
 )
 def a14(t: Tables) -> DataFrame:
     return evaluation.service_days(t.service_call)
@@ -159,14 +162,66 @@ def s8(t: Tables) -> DataFrame:
     "SELECT profile, case_id, status, expected_long FROM audit_case",
 )
 def s3(t: Tables) -> DataFrame:
-    from ledgerlens.session import shared_folder
-
-    folder = f"{shared_folder(t.spark)}/manifests"
+    folder = _folder(t, "manifests")
     cases = case_rows(t).select(
         "profile", F.struct("case_id", "status", "error_types", F.col("expected_long"), "expected_short", F.col("content_md5").alias("image_hash")).alias("case")
     )
-    # A manifest file holds the cases of one bucket of ids, so no profile ends up in one file.
-    buckets = cases.groupBy("profile", F.pmod(F.xxhash64("case.case_id"), F.lit(64)).alias("bucket")).agg(F.collect_list("case").alias("cases"))
-    files.write_json(buckets.select("profile", "cases"), folder)
+    files.write_json(cases.select("profile", F.array("case").alias("cases")), folder)
     found = files.read_manifests(t.spark, folder)
     return found.select("profile", "case_id", "status", joined(F.col("expected_long")).alias("expected_long"))
+
+
+def _folder(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "S1_audit_scan",
+    "SELECT message_id, chat_id, user_id, username, final_long FROM audit_record WHERE dt = DATE '2024-01-10'",
+)
+def s1(t: Tables) -> DataFrame:
+    folder = _folder(t, "audit")
+    rows = t.audit_record
+    source = F.struct("chat_id", "chat_title", "user_id", "username")
+    files.write_audit(
+        rows.select("dt", "message_id", "file_unique_id", source.alias("source"), codes.split_list(F.col("final_long")).alias("final_cards"), "status"), folder
+    )
+    found = files.read_audit(t.spark, folder, "2024-01-10")
+    return found.select("message_id", "chat_id", "user_id", "username", joined(F.col("final_long")).alias("final_long"))
+
+
+@query("S4_benchmark_manifest", "SELECT name, profile, expected_long FROM benchmark_result")
+def s4(t: Tables) -> DataFrame:
+    folder = _folder(t, "benchmark")
+    case = F.struct("name", codes.split_list(F.col("expected_long")).alias("expected_long"))
+    files.write_json(t.benchmark_result.select("profile", F.array(case).alias("cases")), folder)
+    cases = files.require_cases(files.read_manifests(t.spark, folder))
+    return cases.select("name", "profile", joined(F.col("expected_long")).alias("expected_long"))
+
+
+@query("S9_hashed_files")
+def s9(t: Tables) -> DataFrame:
+    """Content hashes of the table files themselves."""
+    hashed = files.hash_files(t.spark, t.folder, "*.parquet")
+    return hashed.select(F.substring_index("path", "/", -1).alias("file"), "length", "content_hash")
+
+
+@query(
+    "S10_report_sink",
+    "SELECT source AS profile, count(*) AS docs FROM @documents GROUP BY source",
+)
+def s10(t: Tables) -> DataFrame:
+    folder = _folder(t, "reports")
+    files.write_json(t.documents.groupBy(F.col("source").alias("profile")).agg(F.count("*").alias("docs")), folder)
+    return t.spark.read.schema("profile string, docs long").json(folder)
+
+
+@query(
+    "S11_training_sink",
+    """SELECT concat('images/', content_md5, '.png') AS file, upper(expected_long) AS label FROM (SELECT *, row_number() OVER (PARTITION BY content_md5 ORDER BY seq) AS r FROM audit_case) AS x
+    WHERE r = 1 AND expected_long <> '' AND NOT contains(expected_long, ',') AND expected_short = ''""",
+)
+def s11(t: Tables) -> DataFrame:
+    folder = _folder(t, "training")
+    files.write_training(learning.training_split(case_rows(t).withColumnRenamed("content_md5", "content_hash")), folder)
+    return t.spark.read.schema("file string, label string").option("sep", "\t").csv(f"{folder}/labels")

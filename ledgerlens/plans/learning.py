@@ -230,8 +230,8 @@ def q9(t: Tables) -> DataFrame:
 def q11(t: Tables) -> DataFrame:
     _, stored = font_tables(t)
     current = stored.select("name", F.lit(1).alias("samples"), "enabled")
-    changed = current.where(F.length("name") == 6).select("name", F.lit(5).alias("samples"), F.lit(None).cast("boolean").alias("enabled"))
-    off = current.where("name = 'T_src3'").select("name", F.lit(1).alias("samples"), F.lit(False).alias("enabled"))
+    changed = current.where("length(name) = 6 AND name <> 'T_src3'").select("name", F.lit(5).alias("samples"), F.lit(None).cast("boolean").alias("enabled"))
+    off = current.where("name = 'T_src3'").select("name", F.lit(5).alias("samples"), F.lit(False).alias("enabled"))
     new = current.where("name = 'T_src1'").select(F.lit("T_new").alias("name"), F.lit(7).alias("samples"), F.lit(None).cast("boolean").alias("enabled"))
     return learning.upsert_models(current, changed.unionByName(off).unionByName(new))
 

@@ -266,7 +266,8 @@ VIEWS: dict[str, str] = {
     # Predicted and confirmed codes of learning batches.
     "learning_pair": """
         SELECT CAST(floor(event_id / 40) AS BIGINT) AS batch_id, event_id AS seq, concat('font', CAST(user_id % 12 AS STRING)) AS font_hash,
-               CASE WHEN event_id % 11 = 0 THEN concat(substr(code_a, 1, 9), 'ZZ', substr(code_a, 12, 11))
+               CASE WHEN floor(event_id / 2) % 17 = 0 THEN concat(substr(code_a, 1, 7), 'QQQQ-QQQQ-QQQQQ')
+                    WHEN event_id % 11 = 0 THEN concat(substr(code_a, 1, 8), 'ZZ', substr(code_a, 11, 12))
                     WHEN event_id % 5 = 0 THEN concat(substr(code_a, 1, 21), 'Z') ELSE code_a END AS predicted,
                CASE WHEN event_id % 13 > 0 THEN code_a END AS truth, ts
         FROM audit_base""",
