@@ -175,7 +175,7 @@ def cloud_completes_slot(remote: Column, cloud: Column) -> Column:
     cards, other = F.transform(remote["cards"], F.upper), F.transform(cloud["cards"], F.upper)
     extra = F.filter(other, lambda c: ~F.array_contains(cards, c))
     card = _one(extra)
-    printed = F.filter(F.transform(F.split(F.upper(F.coalesce(cloud["raw_text"], F.lit(""))), "\n"), F.trim), codes.is_long_strict)
+    printed = F.filter(F.transform(F.split(F.upper(F.coalesce(cloud["raw_text"], F.lit(""))), "\n"), lambda x: F.trim(x)), codes.is_long_strict)
     bad = lambda c: codes.body(c).rlike("[01OI]")
     anchored = F.exists(
         F.concat(remote["original_rebuilt"], remote["enhanced_rebuilt"]),

@@ -47,7 +47,7 @@ def label(who: Column) -> Column:
 def handle_only(source_user: Column) -> Column:
     """``@handle`` of a user label, else its first ``|`` part."""
     found = F.regexp_extract(source_user, r"@[A-Za-z0-9_]+", 0)
-    parts = F.filter(F.transform(F.split(source_user, r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(source_user, r"\|"), lambda x: F.trim(x)), lambda p: p != "")
     return F.coalesce(F.nullif(found, F.lit("")), F.get(parts, F.lit(0)), F.lit("Unknown"))
 
 

@@ -238,7 +238,7 @@ def normalize_cases(cases: DataFrame) -> DataFrame:
     first = first_per_key(named, ["case_id"], ["seq"])
     state = F.when(F.col("status").isin(*CONFIRMED, "needs_review"), F.col("status")).otherwise("needs_review")
     profile = F.coalesce(F.nullif(F.trim("profile"), F.lit("")), F.lit("unspecified"))
-    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("error_types", F.trim), lambda e: e != "")))
+    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("error_types", lambda x: F.trim(x)), lambda e: e != "")))
     return first.withColumns({"status": state, "profile": profile, "error_types": kinds})
 
 
