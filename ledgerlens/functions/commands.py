@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Command words of the chat protocol.
@@ -33,37 +33,42 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, FULLWIDTH, ASCII), r"^\s+|\s+$", "")
 
 
+def _is(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("^(?:" + "|".join(words) + ")$")
+
+
 def _starts(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.startswith(word)
-    return found
+    return text.rlike("^(?:" + "|".join(words) + ")")
 
 
 def verb(text: Column) -> Column:
     """Command verb of a normalised message; null when it is not a command."""
     return (
-        F.when(text.isin(*ENABLE_WORDS), "enable")
-        .when(text.isin(*DISABLE_WORDS), "disable")
+        F.when(_is(text, ENABLE_WORDS), "enable")
+        .when(_is(text, DISABLE_WORDS), "disable")
         .when(_starts(text, CUTOFF_PREFIXES), "set_cutoff")
-        .when(text.isin(*BILL_TODAY_WORDS), "bill_today")
-        .when(text.isin(*BILL_YESTERDAY_WORDS), "bill_yesterday")
-        .when(text.isin(*BILL_FULL_WORDS), "bill_full")
+        .when(_is(text, BILL_TODAY_WORDS), "bill_today")
+        .when(_is(text, BILL_YESTERDAY_WORDS), "bill_yesterday")
+        .when(_is(text, BILL_FULL_WORDS), "bill_full")
         .when(_starts(text, ADD_OPERATOR_PREFIXES), "add_operator")
         .when(_starts(text, REMOVE_OPERATOR_PREFIXES), "remove_operator")
         .when(_starts(text, RATE_PREFIXES), "set_rate")
         .when(_starts(text, FEE_PREFIXES), "set_fee")
-        .when(text.isin(*UNDO_WORDS), "undo")
-        .when(text.isin(*CLEAR_WORDS), "clear")
-        .when(_starts(text, ("+", "-", *INCOME_PREFIXES, PAYOUT_PREFIX)), "entry")
+        .when(_is(text, UNDO_WORDS), "undo")
+        .when(_is(text, CLEAR_WORDS), "clear")
+        .when(entry_prefix(text) != "", "entry")
     )
 
 
 def entry_prefix(text: Column) -> Column:
-    found = F.when(text.startswith("+"), "+").when(text.startswith("-"), "-")
-    for word in (*INCOME_PREFIXES, PAYOUT_PREFIX):
-        found = found.when(text.startswith(word), word)
-    return found
+    """Leading sign or entry word; empty when there is none."""
+    return F.regexp_extract(text, r"^(\+|-|" + "|".join(INCOME_PREFIXES) + f"|{PAYOUT_PREFIX})", 1)
+
+
+def may_be_command(text: Column) -> Column:
+    """One cheap pattern that lets every command through; chatter stops here, at the scan."""
+    words = (*ENABLE_WORDS, *DISABLE_WORDS, *CUTOFF_PREFIXES, *ADD_OPERATOR_PREFIXES, *REMOVE_OPERATOR_PREFIXES, *RATE_PREFIXES, *FEE_PREFIXES, *UNDO_WORDS, *CLEAR_WORDS)
+    return text.rlike(r"^\s*(?:[+-]|" + "|".join((*words, *INCOME_PREFIXES, PAYOUT_PREFIX)) + ")")
 
 
 def number_after(text: Column) -> Column:
@@ -72,26 +77,31 @@ def number_after(text: Column) -> Column:
     return F.when(found != "", found.cast("decimal(28,10)"))
 
 
-def parse_message(text: Column) -> dict[str, Column]:
-    """Columns verb, setting_value, kind, amount and note for a message column."""
-    clean = normalized(text)
-    command = verb(clean)
-    prefix = entry_prefix(clean)
-    tail = F.trim(F.substr(clean, F.length(prefix) + 1, F.length(clean) + 1))
-    payout = prefix == PAYOUT_PREFIX
-    digits = F.when(payout, F.regexp_extract(tail, SIGNED, 2)).otherwise(F.regexp_extract(tail, UNSIGNED, 2))
-    rest = F.when(
-        payout, F.concat(F.regexp_extract(tail, SIGNED, 1), F.regexp_extract(tail, SIGNED, 3))
-    ).otherwise(F.concat(F.regexp_extract(tail, UNSIGNED, 1), F.regexp_extract(tail, UNSIGNED, 3)))
-    is_entry = (command == "entry") & (digits != "")
-    amount = digits.cast("decimal(28,10)")
-    return {
-        "verb": F.when(command == "entry", F.when(digits != "", F.when(amount == 0, "show_bill").otherwise("entry"))).otherwise(command),
-        "setting_value": F.when(command.isin("set_cutoff", "set_rate", "set_fee"), number_after(clean)),
-        "kind": F.when(is_entry, F.when(payout, "payout").otherwise("income")),
-        "amount": F.when(is_entry, F.when(prefix == "-", -amount).otherwise(amount)),
-        "note": F.when(is_entry, F.btrim(rest, F.lit(NOTE_TRIM))),
-    }
+def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
+    """Add verb, setting_value, kind, amount and note. Steps are staged so each pattern runs once."""
+    column = F.col
+    staged = messages.withColumn("__clean", normalized(column(text)))
+    staged = staged.withColumns({"__verb": verb(column("__clean")), "__prefix": entry_prefix(column("__clean"))})
+    tail = F.trim(F.substr("__clean", F.length("__prefix") + 1, F.length("__clean")))
+    staged = staged.withColumns({
+        "__tail": F.when(column("__verb") == "entry", tail), "__payout": column("__prefix") == PAYOUT_PREFIX,
+        "setting_value": F.when(column("__verb").isin("set_cutoff", "set_rate", "set_fee"), number_after(column("__clean"))),
+    })
+    # Text before, inside and after the number; a single part when there is no number.
+    mark = lambda pattern: F.regexp_replace("__tail", pattern, "$1\u0001$2\u0001$3")
+    staged = staged.withColumn("__parts", F.split(F.when(column("__payout"), mark(SIGNED)).otherwise(mark(UNSIGNED)), "\u0001"))
+    part = lambda i: F.get("__parts", F.lit(i))
+    staged = staged.withColumns({"__amount": part(1).cast("decimal(28,10)"), "__rest": F.concat(part(0), part(2))})
+    amount, entry = column("__amount"), column("__amount").isNotNull()
+    found = F.when(amount == 0, "show_bill").when(entry, "entry")
+    return staged.select(
+        *messages.columns,
+        F.when(column("__verb") == "entry", found).otherwise(column("__verb")).alias("verb"),
+        "setting_value",
+        F.when(entry, F.when(column("__payout"), "payout").otherwise("income")).alias("kind"),
+        F.when(column("__prefix") == "-", -amount).otherwise(amount).alias("amount"),
+        F.when(entry, F.btrim("__rest", F.lit(NOTE_TRIM))).alias("note"),
+    )
 
 
 def entry_number(reply_text: Column) -> Column:

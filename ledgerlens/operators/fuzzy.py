@@ -25,16 +25,21 @@ def near_duplicates(found: DataFrame, existing: DataFrame, threshold: float = 95
     Codes are made distinct first, so a masked key holds at most one row per character of the
     alphabet whatever the repetition in the data.
     """
-    def keyed(rows: DataFrame, name: str) -> DataFrame:
-        clean = rows.select("source", codes.clean(F.col("code")).alias(name)).distinct()
-        typed = clean.withColumn("code_type", codes.code_type(F.col(name))).where("code_type IS NOT NULL")
-        return typed.withColumn("mask", F.explode(_masked(F.col(name))))
-
-    pairs = keyed(found, "code").join(keyed(existing, "existing_code"), ["source", "code_type", "mask"])
+    side = lambda rows, bit: rows.select("source", codes.clean(F.col("code")).alias("code"), F.lit(bit).alias("bit"))
+    known = side(found, 1).unionByName(side(existing, 2)).groupBy("source", "code").agg(F.bit_or("bit").alias("sides"))
+    size = F.length("code")
+    typed = known.withColumn("code_type", codes.code_type(F.col("code"))).where("code_type IS NOT NULL")
+    # Codes too short to reach the threshold with one difference need no keys.
+    typed = typed.where(F.round((size - 1) * 100 / size, 2) >= threshold)
+    masked = typed.withColumn("mask", F.explode(_masked(F.col("code"))))
+    groups = masked.groupBy("source", "code_type", "mask").agg(F.collect_list(F.struct("code", "sides")).alias("near")).where(F.size("near") > 1)
+    pairs = F.flatten(F.transform(
+        F.filter("near", lambda a: a["sides"].bitwiseAND(1) > 0),
+        lambda a: F.transform(F.filter("near", lambda b: (b["sides"].bitwiseAND(2) > 0) & (b["code"] != a["code"])), lambda b: F.struct(a["code"].alias("code"), b["code"].alias("existing_code"))),
+    ))
+    listed = groups.select("source", "code_type", F.explode(pairs).alias("p")).select("source", "code_type", "p.*")
     similar = codes.similarity(F.col("code"), F.col("existing_code"))
-    return pairs.where((F.col("code") != F.col("existing_code")) & (similar >= threshold)).select(
-        "source", "code_type", "code", "existing_code", similar.alias("similarity")
-    )
+    return listed.withColumn("similarity", similar).where(F.col("similarity") >= threshold)
 
 
 def slot_conflicts(cards: Column) -> Column:

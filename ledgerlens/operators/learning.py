@@ -13,7 +13,7 @@ from ledgerlens.session import cut
 # Thresholds and pairs of the correction rules.
 TEMPLATE_SAMPLES = 100
 RULE_COUNT, STRICT_RULE_COUNT = 3, 10
-AMBIGUOUS = (("2", "Z"), ("Z", "2"))
+AMBIGUOUS = ("2Z", "Z2")
 SAFE_SWAPS = (
     "9S", "S9", "96", "69", "0O", "O0", "1I", "I1", "5S", "S5", "8B", "B8", "39", "93", "JU",
 )
@@ -160,42 +160,58 @@ def best_rules(rules: DataFrame) -> DataFrame:
 
 
 def rule_book(best: DataFrame) -> DataFrame:
-    """Rules of a font as one ordered array; its size is bounded by positions times characters."""
-    entry = F.struct(
-        "first_seq", "kind",
-        F.when(F.col("kind") == "position", F.split_part("wrong_key", F.lit(":"), F.lit(1)).cast("int")).alias("position"),
-        F.when(F.col("kind") == "position", F.split_part("wrong_key", F.lit(":"), F.lit(2))).otherwise(F.col("wrong_key")).alias("wrong"), "correct", "n",
+    """Rules of a font as two ordered arrays: by ``places`` and by ``letters``.
+
+    A rule that another rule of the same place can lead to is marked ``chained``. The arrays are
+    bounded by positions times characters.
+    """
+    at, by_place = F.split_part("wrong_key", F.lit(":"), F.lit(1)).cast("int"), F.col("kind") == "position"
+    place = F.struct("first_seq", at.alias("position"), F.split_part("wrong_key", F.lit(":"), F.lit(2)).alias("wrong"), "correct", "n")
+    letter = F.struct("first_seq", F.col("wrong_key").alias("wrong"), "correct", "n")
+    books = best.groupBy("font_hash").agg(
+        F.array_sort(F.collect_list(F.when(by_place, place))).alias("places"), F.array_sort(F.collect_list(F.when(~by_place, letter))).alias("letters")
     )
-    return best.groupBy("font_hash").agg(F.array_sort(F.collect_list(entry)).alias("rules"))
+    return books.withColumn("places", with_chains(F.col("places")))
+
 
+def with_chains(places: Column) -> Column:
+    return F.transform(
+        places,
+        lambda r: F.struct(
+            r["first_seq"].alias("first_seq"), r["position"].alias("position"), r["wrong"].alias("wrong"), r["correct"].alias("correct"), r["n"].alias("n"),
+            F.exists(places, lambda q: (q["position"] == r["position"]) & (q["correct"] == r["wrong"])).alias("chained"),
+        ),
+    )
 
-def _swap(code: Column, position: Column, wrong: Column, correct: Column, allowed: Column) -> Column:
-    hit = allowed & (F.substr(code, position + 1, F.lit(1)) == wrong)
-    return F.when(hit, F.concat(F.left(code, position), correct, F.substr(code, position + 2, F.length(code)))).otherwise(code)
+
+def _swap(code: Column, rule: Column) -> Column:
+    at = rule["position"]
+    fixed = F.concat(F.left(code, at), rule["correct"], F.substr(code, at + 2, F.length(code)))
+    return F.when(F.substr(code, at + 1, F.lit(1)) == rule["wrong"], fixed).otherwise(code)
+
+
+def _applied(code: Column, places: Column, usable) -> Column:
+    """Place rules in learned order; rules that cannot touch this code are skipped up front."""
+    touching = F.filter(places, lambda r: usable(r) & (r["chained"] | (F.substr(code, r["position"] + 1, F.lit(1)) == r["wrong"])))
+    return F.coalesce(F.aggregate(touching, code, _swap), code)
 
 
 def _clear_pair(rule: Column) -> Column:
-    bad = F.lit(False)
-    for wrong, correct in AMBIGUOUS:
-        bad = bad | ((rule["wrong"] == wrong) & (rule["correct"] == correct))
-    return ~bad
+    return ~F.concat(rule["wrong"], rule["correct"]).isin(*AMBIGUOUS)
 
 
-def corrected_by_template(code: Column, rules: Column) -> Column:
-    """Position rules in learned order; an invalid code also takes the character rules. Kept only if valid."""
-    by_place = F.filter(rules, lambda r: r["kind"] == "position")
-    by_letter = F.filter(rules, lambda r: (r["kind"] == "pair") & _clear_pair(r))
-    placed = F.aggregate(by_place, code, lambda acc, r: _swap(acc, r["position"], r["wrong"], r["correct"], _clear_pair(r)))
-    letter = lambda ch: F.coalesce(F.get(F.filter(by_letter, lambda r: r["wrong"] == ch), F.lit(0))["correct"], ch)
-    spelled = bind(placed, lambda text: F.array_join(F.transform(F.split(text, ""), letter), ""))
-    fixed = F.when(codes.is_long(F.upper(F.trim(code))), placed).otherwise(spelled)
-    return bind(fixed, lambda out: F.when(codes.is_long(F.upper(F.trim(out))), out).otherwise(code))
+def corrected_by_template(code: Column, places: Column, letters: Column) -> Column:
+    """Place rules in learned order; an invalid code also takes the letter rules. Kept only if valid."""
+    letter = lambda ch: F.coalesce(F.get(F.filter(letters, lambda r: (r["wrong"] == ch) & _clear_pair(r)), F.lit(0))["correct"], ch)
+    spelled = lambda text: F.array_join(F.transform(F.split(text, ""), letter), "")
+    valid = lambda c: codes.is_long(F.upper(F.trim(c)))
+    fixed = bind(_applied(code, places, _clear_pair), lambda text: F.when(valid(code), text).otherwise(spelled(text)))
+    return bind(fixed, lambda out: F.when(valid(out), out).otherwise(code))
 
 
-def safe_correction(code: Column, rules: Column, similarity: Column, quality: Column, confidence: Column, conflicts: Column, has_font: Column) -> Column:
+def safe_correction(code: Column, places: Column, similarity: Column, quality: Column, confidence: Column, conflicts: Column, has_font: Column) -> Column:
     """Guarded correction: only clear images, matched templates and rules seen at least ten times."""
-    strict = F.filter(rules, lambda r: (r["kind"] == "position") & (r["n"] >= STRICT_RULE_COUNT) & _clear_pair(r))
-    changed = F.aggregate(strict, code, lambda acc, r: _swap(acc, r["position"], r["wrong"], r["correct"], F.lit(True)))
+    changed = _applied(code, places, lambda r: (r["n"] >= STRICT_RULE_COUNT) & _clear_pair(r))
     valid = lambda c: codes.is_long(F.upper(F.trim(c)))
 
     def decide(new: Column) -> Column:
@@ -208,7 +224,10 @@ def safe_correction(code: Column, rules: Column, similarity: Column, quality: Co
             .when(~valid(new), "invalid_correction")
             .otherwise("corrected")
         )
-        return F.struct(F.when(reason == "corrected", new).otherwise(code).alias("code"), reason.alias("reason"), reason.isin("low_quality_or_conflict", "invalid_correction").alias("needs_review"))
+        return bind(reason, lambda why: F.struct(
+            F.when(why == "corrected", new).otherwise(code).alias("code"), why.alias("reason"),
+            why.isin("low_quality_or_conflict", "invalid_correction").alias("needs_review"),
+        ))
 
     return bind(changed, decide)
 
@@ -220,13 +239,11 @@ def normalized_prefix(code: Column) -> Column:
     return F.when(first.rlike("^S[O0]7304"), F.concat(F.lit("S07"), F.substr(first, F.lit(4), F.length(first)))).otherwise(first)
 
 
-def corrected_by_font(code: Column, rules: Column) -> Column:
-    """Learned position rules seen three times and limited to known look-alikes; the shape must stay valid."""
-    base = normalized_prefix(code)
-    usable = F.filter(rules, lambda r: (r["kind"] == "position") & (r["n"] >= RULE_COUNT) & F.concat(r["wrong"], r["correct"]).isin(*SAFE_SWAPS))
-    done = lambda start: F.aggregate(usable, start, lambda acc, r: _swap(acc, r["position"], r["wrong"], r["correct"], F.lit(True)))
-    kept = lambda start: bind(done(start), lambda out: F.when(codes.is_long(out), out).otherwise(start))
-    return bind(base, lambda start: F.when(codes.is_long(start), F.coalesce(kept(start), start)).otherwise(code))
+def corrected_by_font(code: Column, places: Column) -> Column:
+    """Learned place rules seen three times and limited to known look-alikes; the shape must stay valid."""
+    usable = lambda r: (r["n"] >= RULE_COUNT) & F.concat(r["wrong"], r["correct"]).isin(*SAFE_SWAPS)
+    kept = lambda start: bind(_applied(start, places, usable), lambda out: F.when(codes.is_long(out), out).otherwise(start))
+    return bind(normalized_prefix(code), lambda start: F.when(codes.is_long(start), kept(start)).otherwise(code))
 
 
 # -- case tables ------------------------------------------------------------------------------

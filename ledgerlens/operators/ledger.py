@@ -10,6 +10,8 @@ from ledgerlens.functions.money import MONEY, local_iso, local_time, money, rate
 from ledgerlens.operators.blocks import Running, first_per_key, running
 from ledgerlens.session import cut
 
+# Verbs that change the ledger.
+STATE_VERBS = ("enable", "disable", "set_cutoff", "set_rate", "set_fee", "add_operator", "remove_operator", "undo", "clear", "entry")
 DEFAULT_RATE, DEFAULT_FEE, DEFAULT_RESET_HOUR = "1.0000", "0.0000", 3
 
 
@@ -385,12 +387,18 @@ def replay(messages: DataFrame, owners: DataFrame) -> DataFrame:
     Order is ``message_id`` per chat. Repeated deliveries are dropped first; commands count only
     while the ledger is on and, where needed, from owners or operators.
     """
-    once = first_per_key(messages, ["chat_id", "message_id"], ["delivery"])
-    parsed = once.withColumns(commands.parse_message(F.col("text"))).withColumn("seq", F.col("message_id"))
-    owned = parsed.join(F.broadcast(owners), "chat_id", "left").withColumn(
-        "is_owner", F.coalesce(F.col("user_id") == F.col("owner_id"), F.lit(False))
+    parsed = commands.parse_messages(messages.where(commands.may_be_command(F.col("text"))))
+    reply = F.when(F.col("reply_user_id").isNotNull(), commands.actor_label(F.col("reply_username"), F.lit(""), F.col("reply_user_id")))
+    actor = commands.actor_name(F.col("username"), F.col("display_name"), F.col("user_id"))
+    narrow = parsed.select(
+        "chat_id", "message_id", "delivery", "ts", "user_id", "verb", "setting_value", "kind", "amount", "reply_user_id", "reply_message_id",
+        F.when(F.col("verb") == "entry", commands.entry_attribution(F.col("note"), actor, reply)).alias("note"),
+        commands.entry_number(F.col("reply_text")).alias("entry_no"),
     )
-    return _apply_commands(owned)
+    once = first_per_key(narrow, ["chat_id", "message_id"], ["delivery"]).withColumnRenamed("message_id", "seq").drop("delivery")
+    once = once.where(F.col("verb").isin(*STATE_VERBS))
+    owned = once.join(owners, "chat_id", "left").withColumn("is_owner", F.coalesce(F.col("user_id") == F.col("owner_id"), F.lit(False)))
+    return _apply_commands(cut(owned.drop("owner_id")))
 
 
 def _apply_commands(parsed: DataFrame) -> DataFrame:
@@ -426,17 +434,11 @@ def _apply_commands(parsed: DataFrame) -> DataFrame:
         "chat_id", "seq", "ts", "epoch", "rank", "kind", "amount",
         F.coalesce("rate", F.lit(DEFAULT_RATE).cast("decimal(12,4)")).alias("rate"),
         F.coalesce("fee_percent", F.lit(DEFAULT_FEE).cast("decimal(12,4)")).alias("fee_percent"),
-        commands.entry_attribution(
-            F.col("note"),
-            commands.actor_name(F.col("username"), F.col("display_name"), F.col("user_id")),
-            F.when(F.col("reply_user_id").isNotNull(), commands.actor_label(F.col("reply_username"), F.lit(""), F.col("reply_user_id"))),
-        ).alias("note"),
-        F.col("user_id").alias("operator_id"),
+        "note", F.col("user_id").alias("operator_id"),
     )
     entries = assign_periods(post_entries(rows), cutoff_states(changes)).withColumn("id", F.col("seq"))
     asked = log.where(F.col("enabled") & (F.col("verb") == "undo")).select(
-        "chat_id", "epoch", "seq", "ts", "reply_message_id", F.col("rank").alias("entries_before"),
-        commands.entry_number(F.col("reply_text")).alias("entry_no"),
+        "chat_id", "epoch", "seq", "ts", "reply_message_id", F.col("rank").alias("entries_before"), "entry_no",
     )
     by_message = rows.select("chat_id", "epoch", F.col("seq").alias("reply_message_id"), F.col("rank").alias("message_rank"))
     undos = asked.join(by_message, ["chat_id", "epoch", "reply_message_id"], "left")
@@ -444,7 +446,7 @@ def _apply_commands(parsed: DataFrame) -> DataFrame:
     last_epoch = log.groupBy("chat_id").agg(F.sum(cleared.cast("long")).alias("last_epoch"))
     return (
         entries.join(voids, ["chat_id", "epoch", "rank"], "left")
-        .join(F.broadcast(last_epoch), "chat_id")
+        .join(last_epoch, "chat_id")
         .where("epoch = last_epoch")
         .drop("epoch", "last_epoch", "rank")
     )

@@ -23,7 +23,7 @@ def joined(array: Column) -> Column:
     FROM noisy_text WHERE NOT regexp_matches(text, '[ßŉǰΐΰև]')""",
 )
 def f1(t: Tables) -> DataFrame:
-    rows = t.noisy_text.where(~F.col("text").rlike("[ßŉǰΐΰև]"))
+    rows = t.wide.noisy_text.where(~F.col("text").rlike("[ßŉǰΐΰև]"))
     return rows.select(
         "doc_id", F.md5(codes.squeeze_text(F.col("text"))).alias("squeezed"),
         F.md5(codes.fold_text(F.replace(F.col("text"), F.lit("5O7"), F.lit("９O7")))).alias("folded"),
@@ -33,50 +33,50 @@ def f1(t: Tables) -> DataFrame:
 @query("F2_confirmed_codes")
 def f2(t: Tables) -> DataFrame:
     found = F.posexplode(extract.confirmed_codes(F.col("text"))).alias("pos", "code")
-    return t.noisy_text.select("doc_id", found).withColumn("code_type", codes.code_type(F.col("code")))
+    return t.wide.noisy_text.select("doc_id", found).withColumn("code_type", codes.code_type(F.col("code")))
 
 
 @query("F2_codes_by_source")
 def f2b(t: Tables) -> DataFrame:
-    turns = t.conversations.select(F.col("role").alias("source"), "text")
-    pages = t.pages.select(F.lit("page").alias("source"), F.col("html").alias("text"))
-    texts = t.noisy_text.select("source", "text").unionByName(turns).unionByName(pages)
+    turns = t.wide.conversations.select(F.col("role").alias("source"), "text")
+    pages = t.wide.pages.select(F.lit("page").alias("source"), F.col("html").alias("text"))
+    texts = t.wide.noisy_text.select("source", "text").unionByName(turns).unionByName(pages)
     found = texts.select("source", F.explode_outer(extract.confirmed_codes(F.col("text"))).alias("code"))
     return found.groupBy("source").agg(F.count("code").alias("codes"), F.count("*").alias("rows"))
 
 
 @query("F3_noisy_long_codes")
 def f3(t: Tables) -> DataFrame:
-    folded = t.noisy_text.select("doc_id", codes.fold_text(F.col("text")).alias("text"))
+    folded = t.wide.noisy_text.select("doc_id", codes.fold_text(F.col("text")).alias("text"))
     return folded.select("doc_id", F.posexplode(extract.noisy_long(F.col("text"))).alias("pos", "code"))
 
 
 @query("F4_short_codes")
 def f4(t: Tables) -> DataFrame:
-    folded = t.noisy_text.select("doc_id", codes.fold_text(F.col("text")).alias("text"))
+    folded = t.wide.noisy_text.select("doc_id", codes.fold_text(F.col("text")).alias("text"))
     return folded.select("doc_id", F.posexplode(extract.short_codes(F.col("text"))).alias("pos", "code"))
 
 
 @query("F5_wrapped_lines")
 def f5(t: Tables) -> DataFrame:
-    facts = t.noisy_text.select("doc_id", extract.line_facts(extract.lines_of(F.col("text"))).alias("facts"))
+    facts = t.wide.noisy_text.select("doc_id", extract.line_facts(extract.lines_of(F.col("text"))).alias("facts"))
     rebuilt = facts.select("doc_id", extract.wrapped_lines(F.col("facts")).alias("w"))
     return rebuilt.select("doc_id", joined(F.col("w.codes")).alias("codes"), F.col("w.unresolved").alias("unresolved"))
 
 
 @query("F6_marker_slots")
 def f6(t: Tables) -> DataFrame:
-    return t.noisy_text.select("doc_id", extract.marker_count(F.col("text")).alias("slots"))
+    return t.wide.noisy_text.select("doc_id", extract.marker_count(F.col("text")).alias("slots"))
 
 
 @query("P9_needs_manual_row")
 def p9(t: Tables) -> DataFrame:
-    return t.noisy_text.select("doc_id", codes.needs_manual_row(F.col("text")).alias("needs_row"))
+    return t.wide.noisy_text.select("doc_id", codes.needs_manual_row(F.col("text")).alias("needs_row"))
 
 
 @query("P17_second_source_reason")
 def p17(t: Tables) -> DataFrame:
-    facts = t.noisy_text.select(
+    facts = t.wide.noisy_text.select(
         "doc_id", "text", extract.wrapped_lines(extract.line_facts(extract.lines_of(F.col("text")))).alias("w"), extract.marker_count(F.col("text")).alias("slots")
     )
     reason = (
@@ -89,7 +89,7 @@ def p17(t: Tables) -> DataFrame:
 
 @query("U2_loosely_written")
 def u2(t: Tables) -> DataFrame:
-    return t.noisy_text.select("doc_id", F.explode(extract.loosely_written(F.col("text"))).alias("code"))
+    return t.wide.noisy_text.select("doc_id", F.explode(extract.loosely_written(F.col("text"))).alias("code"))
 
 
 VARIED_SQL = """

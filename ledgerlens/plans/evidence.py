@@ -25,7 +25,7 @@ def _scored(two: Column, *pairs: tuple[str, str]) -> Column:
 
 def readings(t: Tables) -> DataFrame:
     """Primary and cloud readings of every image."""
-    two, rows = F.col("two"), t.evidence
+    two, rows = F.col("two"), t.wide.evidence
     none = F.array().cast(STRINGS)
     odd = F.col("image_id") % 7 == 0
     remote_text = F.when(odd, F.concat_ws("\n", "code_a", "code_b")).otherwise(F.concat_ws("\n", "code_a", "code_a"))
@@ -94,7 +94,7 @@ def e3b(t: Tables) -> DataFrame:
 @query("E4_ordered_subsets")
 def e4(t: Tables) -> DataFrame:
     whole = F.array("code_a", "code_b", "code_s", "cloud_a")
-    return t.evidence.select(
+    return t.wide.evidence.select(
         "image_id",
         evidence.ordered_within(F.array("code_b", "cloud_a"), whole).alias("exact"),
         evidence.ordered_within(F.array("variant_a", "code_b"), whole, evidence.close).alias("within_one"),
@@ -157,7 +157,7 @@ def e8(t: Tables) -> DataFrame:
         (F.col("image_id") % 8 > 0).alias("review_required"),
         F.array(F.struct(F.concat(F.lit("id "), F.col("variant_a")).alias("raw_text"), F.col("s4").alias("score")), F.struct(F.lower("code_b").alias("raw_text"), F.col("s2").alias("score"))).alias("lines"),
     )
-    rows = t.evidence.withColumn("cpu", cpu).withColumn("scores", evidence.cpu_scores(F.col("cpu")))
+    rows = t.wide.evidence.withColumn("cpu", cpu).withColumn("scores", evidence.cpu_scores(F.col("cpu")))
     confirmed = F.array_intersect(F.transform("scores", lambda s: s["code"]), F.array("variant_a", "cloud_a"))
     applied = rows.withColumn("done", evidence.apply_confirmed(F.array("code_a"), confirmed))
     return applied.select(
@@ -170,7 +170,7 @@ def e8(t: Tables) -> DataFrame:
 @query("E9_greedy_merge")
 def e9(t: Tables) -> DataFrame:
     lines = F.array(F.concat(F.left("code_b", F.lit(16)), F.lit("-"), F.substr("code_b", F.lit(18), F.lit(2))))
-    rows = t.evidence.select(
+    rows = t.wide.evidence.select(
         "image_id", evidence.merge_near(F.array("code_a"), F.array("variant_a", "code_b")).alias("m"),
         evidence.merge_with_worker(F.array("code_a"), F.array("variant_a", "code_b", "code_a"), lines).alias("w"),
         evidence.settle(F.array("code_a", "variant_a", F.regexp_replace("code_b", "..$", "0O"))).alias("s"),
@@ -190,7 +190,7 @@ def e9(t: Tables) -> DataFrame:
 def e11(t: Tables) -> DataFrame:
     variant = lambda code, avg, top: F.struct(F.array(code).alias("codes"), F.array(F.lit("x")).alias("texts"), F.col(avg).alias("avg_score"), F.col(top).alias("max_score"))
     best = evidence.best_variant(variant("code_a", "s1", "s2"), variant("variant_a", "s3", "s1"))
-    return t.evidence.select("image_id", best.alias("b")).select("image_id", "b.*")
+    return t.wide.evidence.select("image_id", best.alias("b")).select("image_id", "b.*")
 
 
 @query("E12_original_recovery")
@@ -200,7 +200,7 @@ def e12(t: Tables) -> DataFrame:
         line(F.left("code_a", F.lit(12)), "s1"), line(F.substr("code_a", F.lit(13), F.lit(10)), "s3"), line(F.concat(F.lit("no "), F.col("code_b")), "s1")
     )
     lost = F.array(line(F.col("code_a"), "s1"), line(F.left("code_b", F.lit(16)), "s1"))
-    rows = t.evidence.select("image_id", extract.rebuilt_scores(split).alias("a"), extract.rebuilt_scores(lost).alias("b"))
+    rows = t.wide.evidence.select("image_id", extract.rebuilt_scores(split).alias("a"), extract.rebuilt_scores(lost).alias("b"))
     recovered = evidence.original_recovery(F.col("a"), F.col("b"), F.lit(2), F.lit(1))
     return rows.select("image_id", F.size("a").alias("original_codes"), F.size("b").alias("enhanced_codes"), joined(recovered).alias("recovered"))
 
@@ -216,12 +216,12 @@ def e13(t: Tables) -> DataFrame:
     )
     different = F.col("variant_a") != F.col("code_a")
     confirmed = different & evidence.third_reading_confirms(F.col("code_a"), F.col("variant_a"), third, lines)
-    return t.evidence.select("image_id", confirmed.alias("confirmed"))
+    return t.wide.evidence.select("image_id", confirmed.alias("confirmed"))
 
 
 @query("E14_engine_assembly")
 def e14(t: Tables) -> DataFrame:
-    engines = t.evidence.select(
+    engines = t.wide.evidence.select(
         "image_id",
         F.array(
             F.concat(F.lit("text "), F.col("code_a"), F.lit(" tail")), F.concat(F.col("variant_a"), F.lit("\n"), F.col("code_b")),
@@ -262,16 +262,13 @@ def assemble(engines: DataFrame) -> DataFrame:
 @query("J12_image_sources")
 def j12(t: Tables) -> DataFrame:
     """Payload evidence joined with the cloud reading of the image; first applicable rule decides."""
-    found = payloads.worker_evidence(t.worker_payload)
-    scored = lambda source: F.collect_list(F.when(F.col("source") == source, F.struct("pos", "code", "score")))
-    per_image = found.groupBy("image_id").agg(*[F.array_sort(scored(s)).alias(s) for s in ("selected", "original", "enhanced")])
-    joined_rows = per_image.join(readings(t).select("image_id", "remote", "cloud"), "image_id")
-    remote = (
-        F.col("remote").withField("cards", F.transform("selected", lambda s: s["code"]))
-        .withField("original", F.transform("original", lambda s: F.struct(s["code"].alias("code"), s["score"].alias("score"))))
-        .withField("enhanced", F.transform("enhanced", lambda s: F.struct(s["code"].alias("code"), s["score"].alias("score"))))
+    parsed = t.wide.worker_payload.select("image_id", F.from_json("payload", payloads.WORKER).alias("p")).select(
+        "image_id", payloads.scored_codes(F.col("p.cards")).alias("selected"), payloads.scored_codes(F.col("p.ocr_original.cards")).alias("first"),
+        payloads.scored_codes(F.col("p.ocr_enhanced.cards")).alias("second"),
     )
-    rows = joined_rows.withColumn("remote", remote).withColumn("parts", _sections())
+    both = parsed.join(readings(t).select("image_id", "remote", "cloud"), "image_id")
+    remote = F.col("remote").withField("cards", F.transform("selected", lambda s: s["code"])).withField("original", F.col("first")).withField("enhanced", F.col("second"))
+    rows = both.select("image_id", remote.alias("remote"), "cloud").withColumn("parts", _sections())
     steps = (
         ("clear", F.array(evidence.confirmed_clear(_remote()))),
         ("dual_variant", evidence.complete_dual_variant(_remote())),
@@ -281,8 +278,12 @@ def j12(t: Tables) -> DataFrame:
         ("repeated", F.array(evidence.repeated_agreement(_remote(), F.col("parts"), F.array().cast(STRINGS)))),
         ("merged", evidence.merge_near(F.col("remote.cards"), F.col("cloud.cards"))["cards"]),
     )
-    attempts = F.array(*[F.struct(F.lit(name).alias("rule"), F.array_compact(cards).alias("codes")) for name, cards in steps])
-    first = F.get(F.filter(attempts, lambda a: F.coalesce(F.size(a["codes"]), F.lit(0)) > 0), F.lit(0))
+
+    def attempt(name: str, cards: Column) -> Column:
+        named = lambda found: F.when(F.size(found) > 0, F.struct(F.lit(name).alias("rule"), found.alias("codes")))
+        return extract.bind(F.array_compact(cards), named)
+
+    first = F.coalesce(*[attempt(name, cards) for name, cards in steps])
     return rows.select("image_id", first.alias("f")).select("image_id", F.col("f.rule").alias("rule"), joined(F.col("f.codes")).alias("codes"))
 
 
@@ -316,7 +317,7 @@ def p12(t: Tables) -> DataFrame:
     reasons = evidence.cpu_risk_reasons(
         reading("code_a", "s4"), reading("code_a", "s1"), reading("variant_a", "s1"), F.col("unresolved"), F.col("width"), F.col("height")
     )
-    return t.evidence.select("image_id", joined(reasons).alias("reasons"))
+    return t.wide.evidence.select("image_id", joined(reasons).alias("reasons"))
 
 
 @query(
@@ -332,7 +333,7 @@ def p13(t: Tables) -> DataFrame:
         .when(F.col("two"), F.array(item(F.col("code_a")), item(F.col("code_b")))).otherwise(F.array(item(F.col("code_a"))))
     )
     lines = F.when(kind == 2, F.array(item(F.lit("S07304-AB")))).when(kind == 3, F.array(item(F.col("code_a")), item(F.col("code_a")))).otherwise(F.array(item(F.col("code_a"))))
-    return t.evidence.select("image_id", evidence.enhance_reason(cards, lines, F.col("width"), F.col("height"), F.col("variance")).alias("reason"))
+    return t.wide.evidence.select("image_id", evidence.enhance_reason(cards, lines, F.col("width"), F.col("height"), F.col("variance")).alias("reason"))
 
 
 @query(
@@ -345,5 +346,5 @@ def p10(t: Tables) -> DataFrame:
         F.col("conflict"), F.col("variance"), (F.col("image_id") % 9 == 0).cast("int"), F.when(F.col("two"), 2).otherwise(1),
         F.when(F.col("expected") == 3, "").otherwise(F.col("code_a")),
     )
-    queue = t.evidence.select("image_id", joined(reasons).alias("reasons")).where("reasons <> ''")
+    queue = t.wide.evidence.select("image_id", joined(reasons).alias("reasons")).where("reasons <> ''")
     return queue.orderBy(F.desc("image_id")).limit(100)

@@ -19,7 +19,7 @@ def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("Q1_candidate_expansion")
 def q1(t: Tables) -> DataFrame:
-    found = t.noisy_text.select("doc_id", F.posexplode(candidates.audit_list(F.col("text"), "long")).alias("pos", "c"))
+    found = t.wide.noisy_text.select("doc_id", F.posexplode(candidates.audit_list(F.col("text"), "long")).alias("pos", "c"))
     return found.select("doc_id", "pos", F.col("c.code").alias("code"), joined(F.col("c.changes")).alias("changes"))
 
 
@@ -31,7 +31,7 @@ def q1(t: Tables) -> DataFrame:
 )
 def q2(t: Tables) -> DataFrame:
     text = F.concat(F.left("code_a", F.lit(7)), F.translate(F.substr("code_a", F.lit(8), F.lit(15)), "58", "SB"))
-    rows = t.audit_base.select("event_id", candidates.best(F.concat(F.lit(" "), text, F.lit(" ")), "long").alias("b"))
+    rows = t.wide.audit_base.select("event_id", candidates.best(F.concat(F.lit(" "), text, F.lit(" ")), "long").alias("b"))
     return rows.select("event_id", F.col("b.code").alias("code"), F.col("b.score").alias("score"))
 
 
@@ -50,7 +50,7 @@ def q2b(t: Tables) -> DataFrame:
         F.when(F.col("event_id") % 2 == 0, "fontA").otherwise("fontB").alias("font_hash"), (F.col("event_id") % 5 > 0).alias("enabled"), F.lit(-1).cast("long").alias("user_id"),
         F.array(F.lit("5>S")).alias("pairs"), F.array(F.lit("9:8>B")).alias("positions"),
     )
-    return t.audit_base.select(
+    return t.wide.audit_base.select(
         "event_id", candidates.score(candidate, "long", F.col("event_id") % 30).cast("long").alias("score"),
         candidates.profile_score(code, changes, "long", profile, F.lit("fontA"), F.col("user_id")).cast("long").alias("font_score"),
     )
@@ -60,7 +60,7 @@ def q2b(t: Tables) -> DataFrame:
 def q12(t: Tables) -> DataFrame:
     from ledgerlens.functions import extract
 
-    texts = t.noisy_text.withColumns({
+    texts = t.wide.noisy_text.withColumns({
         "legacy": extract.noisy_long(codes.fold_text(F.col("text"))), "chosen": candidates.selected(F.col("text")),
     })
     counted = texts.withColumn("c", candidates.correction_counts(F.col("chosen"), F.col("legacy")))
@@ -97,7 +97,7 @@ ru AS (SELECT font_hash, kind, key, count(*) AS n, min(seq) AS first_seq FROM (S
 
 
 def events(t: Tables) -> DataFrame:
-    return learning.character_events(t.learning_pair.where("truth IS NOT NULL"))
+    return learning.character_events(t.wide.learning_pair.where("truth IS NOT NULL"))
 
 
 @query("Q5_character_rules", f"WITH {EVENT_SQL} SELECT font_hash, kind, key, n, first_seq FROM ru")
@@ -152,20 +152,18 @@ def q6b(t: Tables) -> DataFrame:
 def ruled(t: Tables) -> DataFrame:
     """Predictions beside the rule book of their font; the books are one bounded row per font."""
     book = learning.rule_book(learning.best_rules(learning.learned_rules(events(t))))
-    return t.learning_pair.join(book, "font_hash", "left").withColumn(
-        "rules", F.coalesce("rules", F.array().cast(book.schema["rules"].dataType))
-    )
+    return t.wide.learning_pair.join(book, "font_hash", "left")
 
 
 @query("Q7_template_corrections")
 def q7(t: Tables) -> DataFrame:
     rows = ruled(t)
     safe = learning.safe_correction(
-        F.col("predicted"), F.col("rules"), F.lit(100.0), F.when(F.col("seq") % 10 == 0, 50).otherwise(90), F.lit(80), F.lit(0), F.col("font_hash") != "font3"
+        F.col("predicted"), F.col("places"), F.lit(100.0), F.when(F.col("seq") % 10 == 0, 50).otherwise(90), F.lit(80), F.lit(0), F.col("font_hash") != "font3"
     )
     fixed = rows.select(
-        "seq", "predicted", learning.corrected_by_template(F.col("predicted"), F.col("rules")).alias("by_template"),
-        learning.corrected_by_font(F.col("predicted"), F.col("rules")).alias("by_font"), safe.alias("s"),
+        "seq", "predicted", learning.corrected_by_template(F.col("predicted"), F.col("places"), F.col("letters")).alias("by_template"),
+        learning.corrected_by_font(F.col("predicted"), F.col("places")).alias("by_font"), safe.alias("s"),
     )
     return fixed.select("seq", "by_template", "by_font", F.col("s.code").alias("safe_code"), F.col("s.reason").alias("reason"))
 

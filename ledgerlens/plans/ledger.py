@@ -176,8 +176,8 @@ def f9(t: Tables) -> DataFrame:
     FROM n""",
 )
 def f7(t: Tables) -> DataFrame:
-    parsed = commands.parse_message(F.col("text"))
-    return t.ledger_message.select("message_id", "chat_id", *[c.alias(n) for n, c in parsed.items()])
+    parsed = commands.parse_messages(t.ledger_message.select("message_id", "chat_id", "text"))
+    return parsed.drop("text")
 
 
 @query(

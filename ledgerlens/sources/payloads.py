@@ -35,6 +35,13 @@ def first_price(body: Column) -> Column:
     return F.get(price_levels(body), 0)
 
 
+def scored_codes(cards: Column) -> Column:
+    """Distinct codes of one reading in order, each with its best score."""
+    given = F.filter(F.coalesce(cards, F.array().cast(f"array<{CODE}>")), lambda c: c["text"] != "")
+    best = lambda code: F.array_max(F.transform(F.filter(given, lambda c: c["text"] == code), lambda c: c["score"]))
+    return F.transform(F.array_distinct(F.transform(given, lambda c: c["text"])), lambda code: F.struct(code.alias("code"), best(code).alias("score")))
+
+
 def worker_evidence(payloads: DataFrame) -> DataFrame:
     """One row per image, source and code with its position and best score."""
     parsed = payloads.withColumn("p", F.from_json("payload", WORKER))

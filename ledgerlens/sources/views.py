@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.session import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -328,12 +330,19 @@ def duckdb_sql(sql: str) -> str:
 class Tables:
     """Attribute access to the driver tables and the derived views of one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, costly: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.costly = costly
+
+    @property
+    def wide(self) -> Tables:
+        """The same tables for row work that costs more than moving the rows."""
+        return Tables(self.spark, self.folder, costly=True)
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(rows) if self.costly else rows
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text)

@@ -88,7 +88,7 @@ def test_clear_restarts_the_ledger(spark):
 def test_command_notes(spark):
     cases = {"+50 - hello": ("income", Decimal("50"), "hello"), "/income 100": ("income", Decimal("100"), "come"), "下发-5 x": ("payout", Decimal("-5"), "x"), "上分 １２．5": ("income", Decimal("12"), "．5")}
     df = spark.createDataFrame([(t,) for t in cases], "text string")
-    got = {r["text"]: (r["kind"], r["amount"].normalize() + 0, r["note"]) for r in df.select("text", *[c.alias(n) for n, c in commands.parse_message(F.col("text")).items()]).collect()}
+    got = {r["text"]: (r["kind"], r["amount"].normalize() + 0, r["note"]) for r in commands.parse_messages(df).collect()}
     assert {k: (a, float(b), c) for k, (a, b, c) in got.items()} == {k: (a, float(b), c) for k, (a, b, c) in cases.items()}
 
 

@@ -88,13 +88,18 @@ def test_character_rules_name_the_position(spark):
 
 
 def test_template_rules_skip_ambiguous_pairs(spark):
-    rule = "array<struct<first_seq: long, kind: string, position: int, wrong: string, correct: string, n: long>>"
-    rules = [(1, "position", 19, "2", "Z", 12), (2, "position", 7, "9", "S", 12), (3, "position", 7, "S", "Q", 12), (4, "pair", None, "?", "K", 3)]
-    df = spark.createDataFrame([("S07304-9M8Q-Y7UW-7822U", rules), ("S07304-9M8?-Y7UW-7822U", rules)], f"code string, rules {rule}")
-    got = [r[0] for r in df.select(learning.corrected_by_template(F.col("code"), F.col("rules"))).collect()]
-    assert got == ["S07304-QM8Q-Y7UW-7822U", "S07304-QM8K-Y7UW-7822U"]
-    font = [r[0] for r in df.select(learning.corrected_by_font(F.col("code"), F.col("rules"))).collect()]
-    assert font == ["S07304-SM8Q-Y7UW-7822U", "S07304-9M8?-Y7UW-7822U"]
+    best = spark.createDataFrame(
+        [("f", "position", "19:2", "Z", 12, 1), ("f", "position", "7:9", "S", 12, 2), ("f", "position", "7:S", "Q", 12, 3), ("f", "pair", "?", "K", 3, 4)],
+        "font_hash string, kind string, wrong_key string, correct string, n long, first_seq long",
+    )
+    df = spark.createDataFrame([("f", "S07304-9M8Q-Y7UW-7822U"), ("f", "S07304-9M8?-Y7UW-7822U")], "font_hash string, code string").join(learning.rule_book(best), "font_hash")
+    got = {r[0]: (r[1], r[2]) for r in df.select(
+        "code", learning.corrected_by_template(F.col("code"), F.col("places"), F.col("letters")), learning.corrected_by_font(F.col("code"), F.col("places"))
+    ).collect()}
+    assert got == {
+        "S07304-9M8Q-Y7UW-7822U": ("S07304-QM8Q-Y7UW-7822U", "S07304-SM8Q-Y7UW-7822U"),
+        "S07304-9M8?-Y7UW-7822U": ("S07304-QM8K-Y7UW-7822U", "S07304-9M8?-Y7UW-7822U"),
+    }
 
 
 def test_nearest_template(spark):
