@@ -51,7 +51,10 @@ def learning_window(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return numbered.join(span, "batch_id").where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("start") + F.col("truths"))).drop("start", "truths")
 
 
-def _keys(code: Column) -> Column:
+BUCKET_PAIRS = 1_000_000
+
+
+def _thirds(code: Column) -> Column:
     """Three cuts of a compact code; two substitutions leave at least one intact."""
     flat = codes.compact(code)
     third = F.ceil(F.length(flat) / 3).cast("int")
@@ -60,7 +63,39 @@ def _keys(code: Column) -> Column:
     )
 
 
-def diff_with_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+def _wiped(code: Column) -> Column:
+    """The compact code with every pair of positions wiped: two substitutions share exactly such a key."""
+    flat = codes.compact(code)
+    size = F.length(flat)
+    wipe = lambda text, i: F.concat(F.left(text, i - 1), F.lit("*"), F.substr(text, i + 1, size))
+    firsts = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(F.sequence(i + 1, size), lambda j: F.xxhash64(wipe(wipe(flat, i), j))))
+    return F.flatten(firsts)
+
+
+def close_pairs(truth: DataFrame, predicted: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """Pairs of one batch that differ in one or two characters.
+
+    Codes meet through an intact third. A bucket that would compare too many pairs is left out of
+    that join and its codes meet through two wiped positions, where a key holds at most one code per
+    pair of characters.
+    """
+    left = truth.select("batch_id", F.col("code").alias("truth"), F.col("seq").alias("t"))
+    right = predicted.select("batch_id", F.col("code").alias("predicted"), F.col("seq").alias("p"))
+    by_third = cut(left.withColumn("key", F.explode(_thirds(F.col("truth")))))
+    other = cut(right.withColumn("key", F.explode(_thirds(F.col("predicted")))))
+    sizes = by_third.groupBy("batch_id", "key").agg(F.count("*").alias("a")).join(other.groupBy("batch_id", "key").agg(F.count("*").alias("b")), ["batch_id", "key"])
+    crowded = cut(sizes.where(F.col("a") * F.col("b") > bucket_pairs).select("batch_id", "key"))
+    apart = _apart(F.col("truth"), F.col("predicted"))
+    near = lambda pairs: pairs.withColumn("apart", apart).where(F.col("apart").between(1, 2)).select("batch_id", "truth", "t", "predicted", "p", "apart")
+    keep = lambda rows: rows.join(crowded, ["batch_id", "key"], "left_anti")
+    pick = lambda rows, *names: rows.join(crowded, ["batch_id", "key"], "left_semi").select("batch_id", *names).distinct()
+    plain = near(keep(by_third).join(keep(other), ["batch_id", "key"]))
+    a = pick(by_third, "truth", "t").withColumn("mask", F.explode(_wiped(F.col("truth"))))
+    b = pick(other, "predicted", "p").withColumn("mask", F.explode(_wiped(F.col("predicted"))))
+    return plain.unionByName(near(a.join(b, ["batch_id", "mask"]))).distinct()
+
+
+def diff_with_truth(predicted: DataFrame, truth: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """Outcome per code: correct, confused (nearest free prediction within two characters), missing, false_positive.
 
     Confirmed codes choose in order and a prediction is used once. That is a serial choice, so each
@@ -73,11 +108,7 @@ def diff_with_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     correct = joined.where("hit").select("batch_id", F.col("code").alias("truth"), F.col("code").alias("predicted"), F.lit("correct").alias("outcome"))
     open_truth = cut(joined.where("hit IS NULL").drop("hit"))
     free = cut(shown.join(goals.select("batch_id", "code"), ["batch_id", "code"], "left_anti"))
-    left = open_truth.select("batch_id", F.col("code").alias("truth"), F.col("seq").alias("t"), F.explode(_keys(F.col("code"))).alias("key"))
-    right = free.select("batch_id", F.col("code").alias("predicted"), F.col("seq").alias("p"), F.explode(_keys(F.col("code"))).alias("key"))
-    apart = _apart(F.col("truth"), F.col("predicted"))
-    pairs = left.join(right, ["batch_id", "key"]).withColumn("apart", apart).where(F.col("apart").between(1, 2))
-    pairs = cut(pairs.drop("key").distinct())
+    pairs = cut(close_pairs(open_truth, free, bucket_pairs))
     chosen = None
     while not pairs.isEmpty():
         first = pairs.groupBy("batch_id", "p").agg(F.min("t").alias("first_t"))

@@ -431,7 +431,7 @@ def l3(t: Tables) -> DataFrame:
 def l4(t: Tables) -> DataFrame:
     entries = posted(t)
     current = entries.groupBy("chat_id").agg(F.max("accounting_date").alias("accounting_date"))
-    rows = ledger.live(entries).join(F.broadcast(current), ["chat_id", "accounting_date"])
+    rows = ledger.live(entries).join(current, ["chat_id", "accounting_date"])
     numbered = running(rows, ["chat_id", "accounting_date"], "id", [Running("scope_no", "sum", F.lit(1).cast("long"))])
     return numbered.select("chat_id", "id", "kind", F.col("amount").cast("decimal(28,2)").alias("amount"), "scope_no")
 
@@ -445,7 +445,7 @@ def l4(t: Tables) -> DataFrame:
 def l4b(t: Tables) -> DataFrame:
     entries = posted(t)
     current = entries.groupBy("chat_id").agg(F.max("accounting_date").alias("accounting_date"))
-    return ledger.summarize(entries.join(F.broadcast(current), ["chat_id", "accounting_date"]), ["chat_id", "accounting_date"])
+    return ledger.summarize(entries.join(current, ["chat_id", "accounting_date"]), ["chat_id", "accounting_date"])
 
 
 @query(

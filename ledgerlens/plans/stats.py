@@ -82,9 +82,9 @@ def p5(t: Tables) -> DataFrame:
     "SELECT message_id FROM audit_record WHERE ts + INTERVAL '8' HOUR >= TIMESTAMP '2024-01-03 12:00:00' AND ts + INTERVAL '8' HOUR <= TIMESTAMP '2024-01-09 18:30:00'",
 )
 def p3(t: Tables) -> DataFrame:
-    local = F.col("ts") + F.expr("INTERVAL 8 HOURS")
-    start, end = F.expr("TIMESTAMP_NTZ '2024-01-03 12:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-09 18:30:00'")
-    return stats.in_window(t.audit_record, local, start, end).select("message_id")
+    # Local bounds shifted to UTC, so the range reaches the scan.
+    start, end = (F.expr(f"TIMESTAMP_NTZ '{at}' - INTERVAL 8 HOURS") for at in ("2024-01-03 12:00:00", "2024-01-09 18:30:00"))
+    return stats.in_window(t.audit_record, F.col("ts"), start, end).select("message_id")
 
 
 @query(

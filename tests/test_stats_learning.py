@@ -4,6 +4,7 @@ import datetime
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import candidates
@@ -58,7 +59,8 @@ def _brute_diff(predicted, truth):
     return out | {(None, p, "false_positive") for p in free if p not in used}
 
 
-def test_truth_diff_equals_serial_choice(spark):
+@pytest.mark.parametrize("bucket_pairs", [1_000_000, 4])
+def test_truth_diff_equals_serial_choice(spark, bucket_pairs):
     rng = random.Random(7)
     letters = "AB"
     make = lambda: "S07304-" + "".join(rng.choice(letters) for _ in range(3)) + "A-BBBB-CCC" + "".join(rng.choice(letters) for _ in range(2))
@@ -68,7 +70,7 @@ def test_truth_diff_equals_serial_choice(spark):
         rows += [(batch, i, p, "p") for i, p in enumerate(predicted)] + [(batch, i, t, "t") for i, t in enumerate(truth)]
         want[batch] = _brute_diff(predicted, truth)
     df = spark.createDataFrame(rows, "batch_id long, seq long, code string, side string")
-    got = learning.diff_with_truth(df.where("side = 'p'").drop("side"), df.where("side = 't'").drop("side")).collect()
+    got = learning.diff_with_truth(df.where("side = 'p'").drop("side"), df.where("side = 't'").drop("side"), bucket_pairs).collect()
     for batch in want:
         assert {(r["truth"], r["predicted"], r["outcome"]) for r in got if r["batch_id"] == batch} == want[batch]
 
