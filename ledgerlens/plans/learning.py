@@ -262,3 +262,33 @@ def a19(t: Tables) -> DataFrame:
 def a19b(t: Tables) -> DataFrame:
     heads = learning.merge_profiles(profile_updates(t))
     return evaluation.template_accuracy(learning.templates(heads, heads))
+
+
+@query(
+    "A11_set_quality",
+    """WITH p AS (SELECT DISTINCT batch_id, predicted FROM learning_pair), h AS (SELECT DISTINCT batch_id, truth FROM learning_pair WHERE truth IS NOT NULL),
+    c AS (SELECT coalesce(p.batch_id, h.batch_id) AS batch_id, count(*) FILTER (predicted IS NOT NULL AND truth IS NOT NULL) AS correct, count(predicted) AS predicted, count(truth) AS total FROM p FULL JOIN h ON h.batch_id = p.batch_id AND h.truth = p.predicted GROUP BY 1)
+    SELECT batch_id, correct, predicted, total, CAST(coalesce(round_even(correct / nullif(predicted, 0), 4), 0) AS DECIMAL(20,4)) AS "precision", CAST(coalesce(round_even(correct / nullif(total, 0), 4), 0) AS DECIMAL(20,4)) AS recall,
+    CAST(CASE WHEN correct = 0 THEN 0 ELSE round_even(2 * correct / (predicted + total), 4) END AS DECIMAL(20,4)) AS f1 FROM c""",
+)
+def a11b(t: Tables) -> DataFrame:
+    predicted, truth = sides(t)
+    seen = lambda rows, bit: rows.where("code IS NOT NULL").select("batch_id", "code", F.lit(bit).alias("bit"))
+    both = seen(predicted, 1).unionByName(seen(truth, 2)).groupBy("batch_id", "code").agg(F.bit_or("bit").alias("b"))
+    outcomes = both.select(
+        "batch_id", F.when(F.col("b") != 2, F.col("code")).alias("predicted"), F.when(F.col("b") != 1, F.col("code")).alias("truth"),
+        F.when(F.col("b") == 3, "correct").otherwise("other").alias("outcome"),
+    )
+    return evaluation.quality_report(outcomes, ["batch_id"])
+
+
+@query(
+    "Q7_normalised_prefix",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('S07304', substr(code_a, 7)) WHEN 1 THEN concat('S07304', substr(code_a, 7)) WHEN 2 THEN code_a ELSE concat('X07304', substr(code_a, 7)) END AS code FROM audit_base""",
+)
+def q7b(t: Tables) -> DataFrame:
+    kind, rest = F.col("event_id") % 4, F.substr("code_a", F.lit(7), F.lit(16))
+    damaged = (
+        F.when(kind == 0, F.concat(F.lit(" 907304"), rest)).when(kind == 1, F.concat(F.lit("so7304"), rest)).when(kind == 2, F.col("code_a")).otherwise(F.concat(F.lit("X07304"), rest))
+    )
+    return t.audit_base.select("event_id", learning.normalized_prefix(damaged).alias("code"))
