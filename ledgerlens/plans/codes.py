@@ -18,15 +18,15 @@ def joined(array: Column) -> Column:
 
 @query(
     "F1_normalise_text",
-    """SELECT doc_id, md5(regexp_replace(translate(upper(text), '‐‑‒–—―_', '-------'), '\\s+', '', 'g')) AS squeezed,
-    md5(regexp_replace(translate(upper(replace(text, '5O7', '９O7')), 'ＳＯＱＤＩＬＴＺＢＧ０１２３４５６７８９—–－ー＿：；', 'SOQDILTZBG0123456789----_:;'), '(^|[^A-Z0-9])9([0ODQU][7TIL/?][0-9ODQUILTZEA$SGB]{3})', '\\1S\\2', 'g')) AS folded
-    FROM noisy_text WHERE NOT regexp_matches(text, '[ßŉǰΐΰև]')""",
+    """SELECT doc_id, md5(regexp_replace(translate(upper(replace(text, 'ß', 'ss')), '‐‑‒–—―_', '-------'), '\\s+', '', 'g')) AS squeezed,
+    md5(regexp_replace(translate(upper(replace(replace(text, 'ß', 'ss'), '5O7', '９O7')), 'ＳＯＱＤＩＬＴＺＢＧ０１２３４５６７８９—–－ー＿：；', 'SOQDILTZBG0123456789----_:;'), '(^|[^A-Z0-9])9([0ODQU][7TIL/?][0-9ODQUILTZEA$SGB]{3})', '\\1S\\2', 'g')) AS folded
+    FROM noisy_text""",
 )
 def f1(t: Tables) -> DataFrame:
-    rows = t.wide.noisy_text.where(~F.col("text").rlike("[ßŉǰΐΰև]"))
-    return rows.select(
-        "doc_id", F.md5(codes.squeeze_text(F.col("text"))).alias("squeezed"),
-        F.md5(codes.fold_text(F.replace(F.col("text"), F.lit("5O7"), F.lit("９O7")))).alias("folded"),
+    # The two engines spell the capital of this letter differently, so both sides write it out.
+    text = F.replace(F.col("text"), F.lit("ß"), F.lit("ss"))
+    return t.wide.noisy_text.select(
+        "doc_id", F.md5(codes.squeeze_text(text)).alias("squeezed"), F.md5(codes.fold_text(F.replace(text, F.lit("5O7"), F.lit("９O7")))).alias("folded")
     )
 
 

@@ -239,13 +239,13 @@ def j6(t: Tables) -> DataFrame:
 @query(
     "J14_user_by_handle",
     """WITH known AS (SELECT chat_id, lower(ltrim(username, '@')) AS handle, user_id, display_name, updated_at, seq FROM chat_profile),
-    asked AS (SELECT DISTINCT chat_id, lower(ltrim(upper(username), '@')) AS handle FROM chat_profile WHERE user_id % 2 = 0)
+    asked AS (SELECT DISTINCT chat_id, lower(ltrim(upper(username), '@')) AS handle FROM chat_profile)
     SELECT a.chat_id, a.handle, k.user_id, k.display_name FROM asked AS a JOIN (
       SELECT *, row_number() OVER (PARTITION BY chat_id, handle ORDER BY updated_at DESC, seq DESC) AS r FROM known WHERE handle <> '') AS k
     ON k.chat_id = a.chat_id AND k.handle = a.handle AND k.r = 1""",
 )
 def j14(t: Tables) -> DataFrame:
-    asked = t.chat_profile.where(F.col("user_id") % 2 == 0).select("chat_id", F.upper("username").alias("handle"))
+    asked = t.chat_profile.select("chat_id", F.upper("username").alias("handle"))
     return ledger.find_by_handle(t.chat_profile, asked)
 
 
@@ -272,8 +272,8 @@ PRICE_SQL = """CAST(CASE WHEN seq % 9 = 0 THEN NULL WHEN seq % 5 = 0 THEN json_e
 
 @query(
     "J13_price_in_force",
-    f"""WITH log AS (SELECT seq, chat_id, true AS snap, {PRICE_SQL} AS price, NULL AS manual FROM (SELECT seq * 2 AS seq0, seq, -(1 + feed_id) AS chat_id, body FROM order_book) AS b WHERE seq % 3 = 0
-      UNION ALL SELECT seq, chat_id, false, NULL, CASE WHEN rate4 > 0 AND seq % 3 = 1 THEN rate4 END FROM setting_event WHERE seq % 3 = 1 OR seq % 3 = 2 AND seq % 4 = 1),
+    f"""WITH log AS (SELECT seq * 2 AS seq, chat_id, true AS snap, {PRICE_SQL} AS price, NULL AS manual FROM (SELECT seq, -(1 + feed_id) AS chat_id, body FROM order_book) AS b
+      UNION ALL SELECT seq * 2 + 1, chat_id, false, NULL, CASE WHEN rate4 > 0 THEN rate4 END FROM setting_event),
     s AS (SELECT *, last_value(CASE WHEN snap THEN seq END IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS snap_seq FROM log),
     j AS (SELECT s.seq, s.chat_id, s.manual, p.price FROM s LEFT JOIN log AS p ON p.snap AND p.seq = s.snap_seq WHERE NOT s.snap),
     a AS (SELECT *, CASE WHEN manual IS NOT NULL THEN CAST(manual AS BIGINT) ELSE CAST(price * 10000 AS BIGINT) END AS applied4 FROM j),
@@ -284,14 +284,13 @@ PRICE_SQL = """CAST(CASE WHEN seq % 9 = 0 THEN NULL WHEN seq % 5 = 0 THEN json_e
 def j13(t: Tables) -> DataFrame:
     from ledgerlens.sources.payloads import first_price
 
-    feed = t.order_book.where(F.col("seq") % 3 == 0).select(
-        "seq", (-(F.col("feed_id") + 1)).alias("chat_id"), F.lit(True).alias("is_snapshot"), first_price(F.col("body")).alias("price"),
+    feed = t.order_book.select(
+        (F.col("seq") * 2).alias("seq"), (-(F.col("feed_id") + 1)).alias("chat_id"), F.lit(True).alias("is_snapshot"), first_price(F.col("body")).alias("price"),
         F.lit(None).cast("decimal(12,4)").alias("manual_rate"),
     )
-    seq = F.col("seq")
-    orders = rated(t.setting_event).where((seq % 3 == 1) | ((seq % 3 == 2) & (seq % 4 == 1))).select(
-        "seq", "chat_id", F.lit(False).alias("is_snapshot"), F.lit(None).cast("decimal(12,4)").alias("price"),
-        F.when((F.col("rate") > 0) & (seq % 3 == 1), F.col("rate")).alias("manual_rate"),
+    orders = rated(t.setting_event).select(
+        (F.col("seq") * 2 + 1).alias("seq"), "chat_id", F.lit(False).alias("is_snapshot"), F.lit(None).cast("decimal(12,4)").alias("price"),
+        F.when(F.col("rate") > 0, F.col("rate")).alias("manual_rate"),
     )
     ruled = ledger.price_in_force(feed.unionByName(orders))
     return ruled.select("seq", "chat_id", (F.col("rate") * 10000).cast("long").alias("rate4"), "is_realtime", "kept_old")
@@ -328,11 +327,12 @@ def w1(t: Tables) -> DataFrame:
 @query(
     "W1_entry_for_number",
     """WITH n AS (SELECT id, chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY id) AS chat_no FROM ledger_input WHERE voided_at IS NULL)
-    SELECT chat_id, chat_no, id FROM n WHERE chat_no % 10 = 7""",
+    SELECT chat_id, chat_no, id FROM n""",
 )
 def w1b(t: Tables) -> DataFrame:
-    numbered = ledger.number_live(t.ledger_input, [])
-    return numbered.where(F.col("chat_no") % 10 == 7).select("chat_id", "chat_no", "id")
+    one = F.lit(1).cast("long")
+    numbered = running(ledger.live(t.ledger_input), ["chat_id"], "id", [Running("chat_no", "sum", one)])
+    return numbered.select("chat_id", "chat_no", "id")
 
 
 @query(

@@ -128,15 +128,15 @@ def r6b(t: Tables) -> DataFrame:
 
 
 def relays(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sent = events.where("event_id % 2 = 0").select(F.col("event_id").alias("relay_id"), F.col("ts").alias("created_at"), F.col("user_id").alias("target_user"))
-    asked = events.where("event_id % 3 = 0").select(F.col("event_id").alias("reply_id"), (F.col("event_id") - F.col("event_id") % 4 * 900).alias("relay_id"), F.col("ts").alias("reply_ts"))
+    sent = events.select(F.col("event_id").alias("relay_id"), F.col("ts").alias("created_at"), F.col("user_id").alias("target_user"))
+    asked = events.select(F.col("event_id").alias("reply_id"), (F.col("event_id") - F.col("event_id") % 4 * 900).alias("relay_id"), F.col("ts").alias("reply_ts"))
     return sent, asked
 
 
 @query(
     "R7_relay_targets",
-    """SELECT r.event_id AS reply_id, s.event_id AS relay_id, s.user_id AS target_user FROM @events AS r JOIN @events AS s ON s.event_id % 2 = 0 AND s.event_id = r.event_id - r.event_id % 4 * 900
-    WHERE r.event_id % 3 = 0 AND r.ts >= s.ts AND r.ts <= s.ts + INTERVAL '5' DAY""",
+    """SELECT r.event_id AS reply_id, s.event_id AS relay_id, s.user_id AS target_user FROM @events AS r JOIN @events AS s ON s.event_id = r.event_id - r.event_id % 4 * 900
+    WHERE r.ts >= s.ts AND r.ts <= s.ts + INTERVAL '5' DAY""",
 )
 def r7(t: Tables) -> DataFrame:
     sent, asked = relays(t.events)

@@ -209,7 +209,7 @@ VIEWS: dict[str, str] = {
         SELECT -(1000 + event_id % 3) AS chat_id, 'long' AS code_type,
                concat(substr(code_a, 1, 21), 'Z') AS wrong_code,
                CASE WHEN event_id % 2 = 0 THEN code_a ELSE code_b END AS correct_code, event_id AS seq
-        FROM audit_base WHERE event_id % 3 > 0""",
+        FROM audit_base""",
     # Documents with codes in several noisy spellings appended.
     "noisy_text": f"""
         SELECT doc_id, lang, source, n_chars,
