@@ -45,17 +45,21 @@ def local_session(cores: int = 8, name: str = "ledgerlens") -> SparkSession:
     return configure(spark)
 
 
+_TEST_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: the cluster's ``spark.checkpoint.dir``.
 
-    Where it is unset (tests), a fresh temporary folder is set once and reused.
+    Where it is unset (tests), one temporary folder per application is made and reused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _TEST_FOLDERS:
+        _TEST_FOLDERS[app] = tempfile.mkdtemp(prefix="ledgerlens-")
+    return _TEST_FOLDERS[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
