@@ -65,3 +65,11 @@ def with_columns(batch: pa.RecordBatch, drop: tuple[str, ...], **columns) -> pa.
     """The batch without ``drop``, with further columns at its end."""
     kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in drop]
     return pa.RecordBatch.from_arrays([c for _, c in kept] + list(columns.values()), names=[n for n, _ in kept] + list(columns))
+
+
+#: A-Z become a-z; digits, letters and bytes above 0x7F are word bytes, all else separates.
+FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def folded_words(data: bytes | None) -> list[bytes]:
+    return data.translate(FOLD).split() if data else []

@@ -13,19 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import raw, shield, with_columns
+from ledgerlens.llm.common import folded_words, raw, shield, with_columns
 
 WINDOW = 10
 #: Benchmark text in one pattern block; a larger benchmark is searched in several passes.
 BLOCK_BYTES = 16 << 20
 
-#: A-Z become a-z; digits, letters and bytes above 0x7F are word bytes, all else separates.
-FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def words(data: bytes | None) -> list[bytes]:
-    return data.translate(FOLD).split() if data else []
-
 
 class WuManber:
     """Patterns of one common length in words, each with the items that hold it."""
@@ -62,7 +55,7 @@ def matchers(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> lis
     """One matcher for each window length among the items."""
     by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
     for item, data in items:
-        text = words(data)
+        text = folded_words(data)
         size = min(window, len(text))
         if size:
             for i in range(len(text) - size + 1):
@@ -117,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id"
                 masks, items, counts, hits, spans = [], [], [], [], []
                 columns = (raw(batch.column(text_col)), batch.column("__mask").to_pylist(), batch.column("__items").to_pylist())
                 for data, mask, held in zip(*columns):
-                    text = words(data)
+                    text = folded_words(data)
                     marks, found = _mark(text, machines.value, mask, held)
                     items.append(sorted(found))
                     if last:

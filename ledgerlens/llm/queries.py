@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, mixing, simhash, substrings
-from ledgerlens.llm.common import pick, table
+from ledgerlens.llm import decontaminate, language, licenses, main_text, media, mixing, quality, simhash, substrings, warc
+from ledgerlens.llm.common import held_out, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_warc_derivatives")
+def op1(spark, folder):
+    pages = pick(table(spark, folder, "pages"), "page_id", "url", "html")
+    out = warc.derivatives(warc.responses(pages))
+    return out.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "source_block_digest", "source_payload_digest", "block_digest", "content_length",
+        F.length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"), "error",
+    )
+
+
+@query("op2_boosted_quality")
+def op2(spark, folder):
+    scored = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op3_wu_manber_decontamination", """
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -70,12 +86,36 @@ def op4(spark, folder):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op5_media_columns")
+def op5(spark, folder):
+    out = media.media_columns(pick(table(spark, folder, "documents"), "doc_id", "text"), keep_media=False)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "keyframes")
+
+
 @query("op6_systematic_mix", mixing.mix_sql())
 def op6(spark, folder):
     out = mixing.mix(pick(table(spark, folder, "documents"), "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_rank_order_language")
+def op7(spark, folder):
+    docs = pick(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    out = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_minhash_licenses")
+def op8(spark, folder):
+    return licenses.scan_licenses(pick(table(spark, folder, "documents"), "doc_id", "text"))
+
+
+@query("op9_main_text")
+def op9(spark, folder):
+    out = main_text.main_text(pick(table(spark, folder, "pages"), "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op10_pivot_simhash")
 def op10(spark, folder):
     return simhash.components_of_documents(pick(table(spark, folder, "documents"), "doc_id", "text"))
