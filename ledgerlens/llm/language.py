@@ -1,13 +1,15 @@
-"""Language identification by rank-order n-gram profiles and out-of-place distance."""
+"""Language identification by rank-order n-gram profiles and out-of-place distance.
+
+Grams are 1 to 3 characters of a word between two blanks, packed into one integer of 21 bits a character.
+"""
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+import sys
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,9 +17,6 @@ from pyspark.sql import types as T
 
 from ledgerlens.llm.common import may_learn, with_columns
 
-#: Runs of letters (digits and the underscore are no letters).
-LETTERS = re.compile(r"[^\W\d_]+")
-GRAM = 4
 #: Grams in a language's profile, and most frequent grams of a document compared with it.
 PROFILE = 400
 #: Bound of the training sample: expected documents for each language, taken by a hash of the id.
@@ -27,19 +26,43 @@ MAX_LANGUAGES = 2000
 UNDETERMINED = "und"
 
 
-def letter_words(text: str | None) -> Counter:
-    return Counter(LETTERS.findall(text.lower())) if text else Counter()
-
-
-def grams(word: str) -> list[str]:
-    """Grams of 1 to GRAM characters of the word between two blanks; none if it has no letter (such as one half)."""
-    if not any(map(str.isalpha, word)):
-        return []
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(1, GRAM + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, list[str]]:
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a text's words (runs of letters, lower case), ascending, and their counts."""
+    none = np.zeros(0, np.int64)
+    if not text:
+        return none, none
+    code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    letter = _letters()[code]
+    if not letter.any():
+        return none, none
+    code[~letter] = 32
+    letter[1:] |= letter[:-1]  # a word and one blank after it
+    code = np.concatenate(([32], code[letter], [32]))
+    blank = code == 32
+    if blank[-2]:
+        code, blank = code[:-1], blank[:-1]
+    pairs = (code[:-1] << 21) | code[1:]
+    triples = ((pairs[:-1] << 21) | code[2:])[~blank[1:-1]]
+    keys = np.sort(np.concatenate([code[~blank], pairs, triples]))
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def most_frequent(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The PROFILE most frequent grams, by count, then by gram."""
+    if len(keys) > PROFILE:
+        enough = counts >= np.partition(counts, -PROFILE)[-PROFILE]
+        keys, counts = keys[enough], counts[enough]
+    return keys[np.lexsort((keys, -counts))[:PROFILE]]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles: for each language its PROFILE most frequent grams, ties by gram.
 
     Learned from rows with text and language whose id may be learned from, about ``sample`` of each language. Grams are
@@ -55,79 +78,45 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
 
     def count(batches):
-        totals: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                total = totals[lang]
-                for word, n in letter_words(text).items():
-                    for gram in grams(word):
-                        total[gram] += n
-        for lang, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    counted = picked.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            for lang in sorted(set(langs)):
+                found = [grams(t) for t, x in zip(texts, langs) if x == lang]
+                keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+                total = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(total, pa.int64())], names=["lang", "gram", "n"])
+
+    counted = picked.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    profiles: dict[str, list[str]] = defaultdict(list)
+    profiles: dict[str, list[int]] = {}
     for r in counted.withColumn("rank", rank).where(F.col("rank") <= PROFILE).orderBy("lang", "rank").toLocalIterator():
-        profiles[r["lang"]].append(r["gram"])
-    return dict(profiles)
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return profiles
 
 
 class Ranker:
-    """Out-of-place distances of texts to the profiles. Grams and words are numbered as they are met."""
-
-    #: Words and grams remembered at most; beyond it they are numbered anew, which changes no result.
-    MEMORY = 200_000
+    """Out-of-place distances of texts to the profiles."""
 
-    def __init__(self, profiles: dict[str, list[str]]):
+    def __init__(self, profiles: dict[str, list[int]]):
         self.languages = sorted(profiles)
-        self.places = [{g: i for i, g in enumerate(profiles[x])} for x in self.languages]
-        self._forget()
-
-    def _forget(self):
-        self.number: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.tie = np.zeros(1024, np.int64)
-        self.rank = np.zeros((1024, len(self.languages)), np.int32)
-
-    def _grams(self, word: str) -> np.ndarray:
-        out = []
-        for gram in grams(word):
-            at = self.number.get(gram)
-            if at is None:
-                at = self.number[gram] = len(self.number)
-                if at == len(self.tie):
-                    self.tie = np.concatenate([self.tie, np.zeros_like(self.tie)])
-                    self.rank = np.concatenate([self.rank, np.zeros_like(self.rank)])
-                self.tie[at] = xxhash.xxh64_intdigest(gram.encode()) & ((1 << 32) - 1)
-                self.rank[at] = [p.get(gram, -1) for p in self.places]
-            out.append(at)
-        found = self.words[word] = np.array(out, np.int64)
-        return found
+        self.grams = np.unique(np.array([g for x in self.languages for g in profiles[x]], np.int64))
+        self.rank = np.full((len(self.grams), len(self.languages)), -1, np.int64)
+        for i, x in enumerate(self.languages):
+            self.rank[np.searchsorted(self.grams, np.array(profiles[x], np.int64)), i] = np.arange(len(profiles[x]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = letter_words(text)
-        if len(self.words) + len(counts) > self.MEMORY or len(self.number) > self.MEMORY:
-            self._forget()
-        known = self.words
-        parts = [known[w] if w in known else self._grams(w) for w in counts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        if not self.languages or not sizes.sum():
+        top = most_frequent(*grams(text))
+        if not len(self.grams) or not len(top):
             return UNDETERMINED, 0.0
-        ids = np.concatenate(parts)
-        weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), sizes)
-        ids, where = np.unique(ids, return_inverse=True)
-        n = np.bincount(where, weights=weights).astype(np.int64)
-        # By count, then by a hash of the gram.
-        key = (np.minimum(n, (1 << 30) - 1) << 32) | self.tie[ids]
-        top = ids[np.argsort(-key, kind="stable")[:PROFILE]]
-        rank = self.rank[top]
-        far = np.where(rank < 0, PROFILE, np.abs(rank - np.arange(len(top))[:, None])).sum(axis=0)
+        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        known = np.flatnonzero(self.grams[at] == top)
+        rank = self.rank[at[known]]
+        far = np.where(rank < 0, PROFILE, np.abs(rank - known[:, None])).sum(axis=0) + PROFILE * (len(top) - len(known))
         best = int(far.argmin())
         return self.languages[best], 1.0 - float(far[best]) / (PROFILE * len(top))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (1 less the distance's share of the greatest possible one) to each row.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or if nothing was learned. Of equal distances the

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,8 +15,10 @@ from ledgerlens.llm.common import folded_words, raw
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Least probability that a window around a license shares a band with its template.
-RETRIEVAL = 0.9999
+RETRIEVAL = 0.999
 ROWS = 1
+#: Shingles whose minimum is shared by all longer windows.
+BLOCK = 4
 
 #: Public license notices and texts.
 TEMPLATES = {
@@ -43,133 +45,125 @@ def bands_needed(jaccard: float, rows: int = ROWS, retrieval: float = RETRIEVAL)
     return 1 if hit >= 1 else math.ceil(math.log(1 - retrieval) / math.log(1 - hit))
 
 
-class _Hashes(dict):
-    MEMORY = 500_000
+def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` values in a row; of all values if there are fewer."""
+    width, span = min(width, len(values)), 1
+    while span * 2 <= width:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
-    def __missing__(self, word):
-        if len(self) > self.MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """A hash of each shingle; equal ones of different shingles are told apart when a match is verified."""
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for i in range(SHINGLE):
+        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _band(minima: list[np.ndarray]) -> np.ndarray:
+    out = minima[0]
+    for row in minima[1:]:
+        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return out
 
 
 class _Class:
-    """Templates of one number of shingles: how windows are cut, and the band table."""
+    """Templates of one number of shingles: how windows are cut, and their bands."""
 
-    def __init__(self, n: int, templates: dict[str, set[tuple]], hashed: dict[str, np.ndarray], rows: int):
+    def __init__(self, n: int, rows: int):
         need = max(1, math.ceil(CONTAINMENT * n - 1e-9))
         # Windows begin every ``step`` shingles and hold ``parts`` steps: some window holds any n shingles in a row.
-        self.n, self.step = n, max(4, n // 4) if need < n else 1
+        self.step = max(BLOCK, n // 4 // BLOCK * BLOCK) if need < n else 1
         self.parts = -(-(n + self.step - 1) // self.step)
-        width = self.parts * self.step
-        self.bands, self.rows = bands_needed(1.0 if need == n and width == n else need / (width + n - need), rows), rows
-        self.templates = templates
-        seeds = np.random.default_rng(n).integers(1, 1 << 63, (self.bands * rows, 2), dtype=np.uint64)
-        self.a, self.b = seeds[:, 0] | np.uint64(1), seeds[:, 1]
-        self.tables = []
-        names = sorted(templates)
-        minima = np.stack([[_mixed(hashed[x], a, b).min() for a, b in zip(self.a, self.b)] for x in names])
-        for band in range(self.bands):
-            keys = _band(minima[:, band * rows : (band + 1) * rows].T)
-            self.tables.append((np.unique(keys), {int(k): [x for x, y in zip(names, keys) if y == k] for k in np.unique(keys)}))
-
-    def candidates(self, shingles: np.ndarray):
-        """(first shingle of a window, template) of windows that share a band with it."""
-        blocks = -(-len(shingles) // self.step)
-        edges = np.arange(blocks) * self.step
-        windows = max(1, blocks - self.parts + 1)
-        for band, (keys, names) in enumerate(self.tables):
-            minima = []
-            for j in range(band * self.rows, (band + 1) * self.rows):
-                mixed = _mixed(shingles, self.a[j], self.b[j])
-                low = np.minimum.reduceat(mixed, edges) if self.step > 1 else mixed
-                whole = low[:windows].copy()
-                for i in range(1, min(self.parts, blocks)):
-                    np.minimum(whole, low[i : i + windows], out=whole)
-                minima.append(whole)
-            found = _band(np.stack(minima)) if self.rows > 1 else minima[0]
-            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            for w in np.flatnonzero(keys[at] == found).tolist():
-                for name in names[int(found[w])]:
-                    yield w * self.step, name
-
-
-def _mixed(values: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
-    out = values * a + b
-    return out ^ (out >> np.uint64(32))
-
-
-def _band(minima: np.ndarray) -> np.ndarray:
-    out = minima[0].copy()
-    for row in minima[1:]:
-        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
-    return out
+        self.width = self.parts * self.step
+        self.bands = bands_needed(1.0 if need == n == self.width else need / (self.width + n - need), rows)
+        self.names: list[str] = []
+        self.tables: list[tuple[np.ndarray, dict[int, list[str]]]] = []
 
 
 class Scanner:
+    """All templates, by number of shingles. The hash functions are shared, so a text is hashed once for each."""
+
     def __init__(self, templates: dict[str, str], rows: int = ROWS):
-        self.hashes = _Hashes()
-        by_size: dict[int, dict[str, set]] = defaultdict(dict)
-        self.shingles, hashed = {}, {}
-        for name, text in templates.items():
-            words = folded_words(text.encode())
-            size = min(SHINGLE, len(words))
-            if size < SHINGLE:
+        self.rows, self.shingles, self.classes, hashed = rows, {}, {}, {}
+        for name in sorted(templates):
+            words = folded_words(templates[name].encode())
+            if len(words) < SHINGLE:
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-            own = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
-            self.shingles[name] = own
-            hashed[name] = self._hash(words)
-            by_size[len(words) - SHINGLE + 1][name] = own
-        self.classes = [_Class(n, x, hashed, rows) for n, x in sorted(by_size.items())]
-
-    def _hash(self, words: list[bytes]) -> np.ndarray:
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-        for i in range(SHINGLE):
-            out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
+            self.shingles[name] = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+            hashed[name] = _hashes(words)
+            n = len(words) - SHINGLE + 1
+            self.classes.setdefault(n, _Class(n, rows)).names.append(name)
+        self.bands = max(x.bands for x in self.classes.values())
+        self.factors = np.random.default_rng(5).integers(1, 1 << 63, self.bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for kind in self.classes.values():
+            for band in range(kind.bands):
+                keys = [int(_band([(hashed[x] * f).min(keepdims=True) for f in self._factors(band)])[0]) for x in kind.names]
+                kind.tables.append((np.unique(np.array(keys, np.uint64)), {k: [x for x, y in zip(kind.names, keys) if y == k] for k in keys}))
+
+    def _factors(self, band: int) -> np.ndarray:
+        return self.factors[band * self.rows : (band + 1) * self.rows]
+
+    def _candidates(self, shingles: np.ndarray):
+        """(class, first shingle of a window, template) wherever a window and a template share a band."""
+        edges = np.arange(0, len(shingles), BLOCK)
+        for band in range(self.bands):
+            mixed = [shingles * f for f in self._factors(band)]
+            low = [np.minimum.reduceat(x, edges) for x in mixed]
+            for kind in self.classes.values():
+                if band >= kind.bands:
+                    continue
+                if kind.step == 1:
+                    minima, step = [_sliding_min(x, kind.width) for x in mixed], 1
+                else:
+                    every = kind.step // BLOCK
+                    minima, step = [_sliding_min(x, kind.width // BLOCK)[::every] for x in low], kind.step
+                found = _band(minima)
+                keys, names = kind.tables[band]
+                hit = found == keys[0] if len(keys) == 1 else np.isin(found, keys)
+                for w in np.flatnonzero(hit).tolist():
+                    for name in names[int(found[w])]:
+                        yield kind, w * step, name
 
     def __call__(self, data: bytes | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, last word, containment) of each occurrence, by place."""
         words = folded_words(data)
         if len(words) < SHINGLE:
             return []
-        shingles, out = self._hash(words), []
-        for kind in self.classes:
-            near: dict[str, set] = defaultdict(set)
-            for start, name in kind.candidates(shingles):
-                near[name].add(start)
-            width = kind.parts * kind.step
-            for name, starts in near.items():
-                out += self._verify(words, name, sorted(starts), width)
-        return sorted(out, key=lambda x: (x[1], x[0]))
+        near: dict[str, set] = defaultdict(set)
+        width = {}
+        for kind, start, name in self._candidates(_hashes(words)):
+            near[name].add(start)
+            width[name] = kind.width
+        return sorted((x for name, starts in near.items() for x in self._verify(words, name, sorted(starts), width[name])), key=lambda x: (x[1], x[0]))
 
     def _verify(self, words, name, starts, width):
         """Stretches of neighbouring windows are compared exactly; a stretch holds as many matches as fit apart."""
         own = self.shingles[name]
         stretches: list[list[int]] = []
         for s in starts:
-            if stretches and s <= stretches[-1][1]:
-                stretches[-1][1] = s + width
+            begin, end = max(0, s - width), s + 2 * width
+            if stretches and begin <= stretches[-1][1]:
+                stretches[-1][1] = end
             else:
-                stretches.append([s, s + width])
+                stretches.append([begin, end])
         for begin, end in stretches:
-            end = min(end + width, len(words) - SHINGLE + 1)
-            at = [i for i in range(max(0, begin - width), end) if tuple(words[i : i + SHINGLE]) in own]
+            at = [i for i in range(begin, min(end, len(words) - SHINGLE + 1)) if tuple(words[i : i + SHINGLE]) in own]
             i = 0
             while i < len(at):
-                # The least run from here that holds enough different shingles, no longer than a window and a half.
-                seen, j, last = set(), i, None
-                while j < len(at) and at[j] - at[i] < width + len(own):
+                # From here, up to a window and a template's length on, the different shingles met first.
+                seen, last, j = set(), i, i
+                while j < len(at) and at[j] - at[i] < width + len(own) and len(seen) < len(own):
                     gram = tuple(words[at[j] : at[j] + SHINGLE])
                     if gram not in seen:
                         seen.add(gram)
                         last = j
-                    if len(seen) == len(own):
-                        break
                     j += 1
-                if last is not None and len(seen) >= CONTAINMENT * len(own) - 1e-9:
+                if len(seen) >= CONTAINMENT * len(own) - 1e-9:
                     yield name, at[i], at[last] + SHINGLE - 1, len(seen) / len(own)
                     i = last + 1
                 else:
@@ -180,7 +174,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
     """One row for each license found: the other columns of ``docs``, ``license``, ``first_word``, ``last_word``, ``containment``.
 
     Words are folded as in the decontamination; a match holds at least 0.8 of the template's different five-word shingles within
-    a window and a half. Null, empty and short texts match nothing. Repeated rows and overlapping templates each
+    a window and the template's length. Null, empty and short texts match nothing. Repeated rows and overlapping templates each
     give rows. The templates are a fixed set of a few kilobytes, checked to have five words at least.
     """
     held = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)

@@ -28,7 +28,7 @@ _PUNCTUATION = b",.;:!?'\"()-"
 _SYMBOL = bytes(b for b in range(33, 127) if b not in _LOWER + _UPPER + _DIGIT + _PUNCTUATION)
 _CLASSES = (_LOWER, _UPPER, _DIGIT, _SPACE, _HIGH, _STOP, _LOUD, _TABLE, _PUNCTUATION, _SYMBOL)
 #: log sizes, class shares, word shape, repetition and lines, in the order of ``statistics``.
-N_FEATURES = 3 + len(_CLASSES) + 13
+N_FEATURES = 3 + len(_CLASSES) + 10
 
 
 def statistics(data: bytes | None) -> list[float]:
@@ -42,17 +42,14 @@ def statistics(data: bytes | None) -> list[float]:
     distinct = len(set(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     pairs = len(set(zip(words, words[1:]))) / max(len(words) - 1, 1)
-    fives = len(set(zip(words, words[1:], words[2:], words[3:], words[4:]))) / max(len(words) - 4, 1)
     lines = data.split(b"\n")
     filled = [x for x in lines if x.strip()]
     m = max(len(filled), 1)
     ended = sum(x.rstrip()[-1:] in (b".", b"!", b"?", b":", b'"') for x in filled)
-    alone = sum(not any(c > 127 or 65 <= c <= 90 or 97 <= c <= 122 for c in w[:3]) for w in words)
-    tails = sum(w[-1] not in b".,;:!?\"')" and not (w[-1] > 127 or 48 <= w[-1] <= 57 or 65 <= w[-1] <= 90 or 97 <= w[-1] <= 122) for w in words)
     return [
         float(np.log1p(size)), float(np.log1p(len(words))), float(np.log1p(len(filled))), *shares,
         float(lengths.mean()) if len(words) else 0.0, float(lengths.std()) if len(words) else 0.0, float(lengths.max(initial=0)),
-        distinct / n, pairs, fives, len(set(filled)) / m, ended / m, size / m, n / m, alone / n, tails / n,
+        distinct / n, pairs, len(set(filled)) / m, ended / m, size / m, n / m,
         shares[1] / max(shares[0] + shares[1], 1e-9),
     ]
 
