@@ -164,16 +164,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     rows = cut(fingerprints(rows))
-    roots = components(links(rows)).select(F.col("node").alias("fp"), "root")
+    roots = cut(components(links(rows)).select(F.col("node").alias("fp"), "root"))
     return rows.join(roots, "fp", "left").select("doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("group_fp"))
 
 
 def components_of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``fingerprint`` (hex) and ``component_id``, the least id of its class (null if all ids are null)."""
+    """Per row: id, ``fingerprint`` (hex) and ``component_id``, the least id of its class (null if all ids are null).
+
+    The least ids are found among distinct fingerprints and written, so that the one join of all rows has plain tables
+    on both sides and Spark can split a hot fingerprint.
+    """
     rows = near_duplicates(docs, id_col, text_col)
-    least = rows.groupBy("group_fp").agg(F.min("doc_id").alias("component_id"))
+    classes = cut(rows.groupBy("fp", "group_fp").agg(F.min("doc_id").alias("least")))
+    roots = cut(classes.groupBy("group_fp").agg(F.min("least").alias("component_id")))
+    named = cut(classes.join(roots, "group_fp").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(least, "group_fp").select("doc_id", hexed, "component_id")
+    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", hexed, "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
