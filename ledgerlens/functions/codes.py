@@ -59,7 +59,7 @@ def has_forbidden_body(code: Column) -> Column:
 
 
 def reject_reason(code: Column, kind: Column) -> Column:
-    """Why a code is not valid for its declared kind; null when valid."""
+    """Why a code is not valid for its declared kind; null when valid. The reasons are fixed values."""
     cleaned = clean(code)
     parts = F.split(cleaned, "-")
     sizes = F.transform(parts, F.length)
@@ -67,20 +67,20 @@ def reject_reason(code: Column, kind: Column) -> Column:
     same = lambda *n: sizes == F.array(*[F.lit(x) for x in n])
     long_reason = (
         F.when(is_long(cleaned), None)
-        .when(~cleaned.startswith("S07"), "long_prefix")
-        .when(F.size(parts) != 4, "long_group_count")
-        .when(~same(6, 4, 4, 5), "long_group_length")
-        .when(~wordy, "long_charset")
-        .otherwise("long_format")
+        .when(~cleaned.startswith("S07"), "pubg_prefix_not_s07")
+        .when(F.size(parts) != 4, "pubg_group_count_invalid")
+        .when(~same(6, 4, 4, 5), "pubg_group_length_invalid")
+        .when(~wordy, "pubg_charset_invalid")
+        .otherwise("pubg_format_invalid")
     )
     short_reason = (
         F.when(is_short(cleaned), None)
-        .when(F.size(parts) != 3, "short_group_count")
-        .when(~same(4, 4, 4), "short_group_length")
-        .when(~wordy, "short_charset")
-        .otherwise("short_format")
+        .when(F.size(parts) != 3, "psn_group_count_invalid")
+        .when(~same(4, 4, 4), "psn_group_length_invalid")
+        .when(~wordy, "psn_charset_invalid")
+        .otherwise("psn_format_invalid")
     )
-    unknown = F.when(code_type(code).isNull(), "unknown_type")
+    unknown = F.when(code_type(code).isNull(), "unknown_card_type")
     return F.when(kind == "long", long_reason).when(kind == "short", short_reason).otherwise(unknown)
 
 

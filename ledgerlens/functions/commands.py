@@ -72,13 +72,20 @@ def may_be_command(text: Column) -> Column:
 
 
 def number_after(text: Column) -> Column:
-    """First signed number of a setting command."""
+    """First signed number of a setting command; null if it is too long to be one."""
     found = F.regexp_extract(text, SIGNED, 2)
-    return F.when(found != "", found.cast("decimal(28,10)"))
+    return F.when(found != "", found.try_cast("decimal(28,10)"))
+
+
+#: Reject reason of commands with a number out of range.
+BAD_NUMBER = "bad_number"
 
 
 def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
-    """Add verb, setting_value, kind, amount and note. Steps are staged so each pattern runs once."""
+    """Add verb, setting_value, kind, amount and note. Steps are staged so each pattern runs once.
+
+    A command whose number is longer than any amount gets the verb ``BAD_NUMBER``, which no operator acts on.
+    """
     column = F.col
     staged = messages.withColumn("__clean", normalized(column(text)))
     staged = staged.withColumns({"__verb": verb(column("__clean")), "__prefix": entry_prefix(column("__clean"))})
@@ -91,12 +98,13 @@ def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
     mark = lambda pattern: F.regexp_replace("__tail", pattern, "$1\u0001$2\u0001$3")
     staged = staged.withColumn("__parts", F.split(F.when(column("__payout"), mark(SIGNED)).otherwise(mark(UNSIGNED)), "\u0001"))
     part = lambda i: F.get("__parts", F.lit(i))
-    staged = staged.withColumns({"__amount": part(1).cast("decimal(28,10)"), "__rest": F.concat(part(0), part(2))})
+    staged = staged.withColumns({"__amount": part(1).try_cast("decimal(28,10)"), "__number": part(1), "__rest": F.concat(part(0), part(2))})
     amount, entry = column("__amount"), column("__amount").isNotNull()
-    found = F.when(amount == 0, "show_bill").when(entry, "entry")
+    found = F.when(amount == 0, "show_bill").when(entry, "entry").when(column("__number").isNotNull(), BAD_NUMBER)
+    setting = column("__verb").isin("set_cutoff", "set_rate", "set_fee") & column("setting_value").isNull() & column("__clean").rlike(r"\d")
     return staged.select(
         *messages.columns,
-        F.when(column("__verb") == "entry", found).otherwise(column("__verb")).alias("verb"),
+        F.when(column("__verb") == "entry", found).when(setting, BAD_NUMBER).otherwise(column("__verb")).alias("verb"),
         "setting_value",
         F.when(entry, F.when(column("__payout"), "payout").otherwise("income")).alias("kind"),
         F.when(column("__prefix") == "-", -amount).otherwise(amount).alias("amount"),
@@ -107,7 +115,7 @@ def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
 def entry_number(reply_text: Column) -> Column:
     """Entry number quoted as ``#n`` in a replied bill."""
     found = F.regexp_extract(reply_text, r"#(\d+)", 1)
-    return F.when(found != "", found.cast("long"))
+    return F.when(found != "", found.try_cast("long"))
 
 
 def actor_label(username: Column, display_name: Column, user_id: Column) -> Column:

@@ -513,7 +513,10 @@ def cpu_risk_reasons(best: Column, original: Column, enhanced: Column, recovered
 
 
 def enhance_reason(cards: Column, lines: Column, width: Column, height: Column, variance: Column) -> Column:
-    """Why an image needs the enhanced pass. ``cards`` and ``lines`` are arrays of ``struct<text, score>``."""
+    """Why an image needs the enhanced pass. ``cards`` and ``lines`` are arrays of ``struct<text, score>``.
+
+    The reasons and the limits they name are fixed values.
+    """
     names = F.transform(cards, lambda c: F.trim(c["text"]))
     unique = F.filter(cards, lambda c, i: (F.trim(c["text"]) != "") & (F.array_position(names, F.trim(c["text"])) == i + 1))
     long_only = F.filter(unique, lambda c: F.trim(c["text"]).startswith("S07"))
@@ -529,25 +532,25 @@ def enhance_reason(cards: Column, lines: Column, width: Column, height: Column,
     rival = F.exists(shown, lambda x: F.exists(x["c"], lambda c: c != card))
     repeats = F.size(F.filter(shown, lambda x: F.array_contains(x["c"], card) & (x["score"] >= CLEAR)))
     return (
-        F.when(F.size(unique) == 0, "no_codes")
-        .when(F.size(long_only) != F.size(unique), "short_or_mixed")
-        .when(F.size(long_only) != 1, "several_codes")
-        .when(incomplete, "incomplete_line")
-        .when(score < CLEAR, "low_score")
+        F.when(F.size(unique) == 0, "original_cards=0")
+        .when(F.size(long_only) != F.size(unique), "non_pubg_or_mixed_cards")
+        .when(F.size(long_only) != 1, "multi_card_image")
+        .when(incomplete, "incomplete_pubg_line")
+        .when(score < CLEAR, "card_score<0.985")
         .when(~_sure(rival) & (repeats >= 2), "not_needed")
-        .when((F.coalesce(width, F.lit(0)) <= 0) | (F.coalesce(height, F.lit(0)) <= 0), "metrics_missing")
-        .when(width < 350, "narrow")
-        .when(height > 500, "tall")
-        .when(variance < 80, "flat")
+        .when((F.coalesce(width, F.lit(0)) <= 0) | (F.coalesce(height, F.lit(0)) <= 0), "image_metrics_unavailable")
+        .when(width < 350, "width<350")
+        .when(height > 500, "height>500")
+        .when(variance < 80, "image_variance<80")
         .otherwise("not_needed")
     )
 
 
 def queue_reasons(flagged: Column, quality: Column, rejects: Column, candidates: Column, best: Column) -> Column:
-    """Reasons of the review queue; an empty array means the record needs no review."""
+    """Reasons of the review queue (fixed values); an empty array means the record needs no review."""
     clash = (candidates > 1) & (F.coalesce(best, F.lit("")) == "")
     return F.array_compact(
         F.array(
-            F.when(flagged, "needs_review"), F.when(quality < 70, "low_quality"), F.when(rejects > 0, "rejected"), F.when(clash, "conflict")
+            F.when(flagged, "needs_review"), F.when(quality < 70, "low_quality_image"), F.when(rejects > 0, "validator_failed"), F.when(clash, "ocr_conflict")
         )
     )

@@ -106,15 +106,15 @@ def top_rules(rules: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def policy_candidates(cases: DataFrame, confirmed_floor: int = 20, error_floor: int = 3, review_share: float = 0.25) -> DataFrame:
-    """Per profile: confirmed, error and review counts and why it is not eligible."""
+    """Per profile: confirmed, error and review counts and why it is not eligible (fixed values)."""
     sure = F.count_if(F.col("status").isin(*CONFIRMED))
     errors = F.count_if(F.col("status") == "confirmed_error")
     review = F.count_if(F.col("status") == "needs_review")
     counts = cases.groupBy("profile").agg(sure.alias("confirmed"), errors.alias("errors"), review.alias("reviews"), F.count("*").alias("cases"))
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("confirmed") < confirmed_floor, "few_confirmed"), F.when(F.col("errors") < error_floor, "few_errors"),
-            F.when(F.col("reviews") > F.col("cases") * review_share, "many_ambiguous"),
+            F.when(F.col("confirmed") < confirmed_floor, "insufficient_confirmed_samples"), F.when(F.col("errors") < error_floor, "insufficient_confirmed_errors"),
+            F.when(F.col("reviews") > F.col("cases") * review_share, "too_many_ambiguous_samples"),
         )
     )
     return counts.select(
@@ -124,7 +124,7 @@ def policy_candidates(cases: DataFrame, confirmed_floor: int = 20, error_floor:
 
 
 def promotion(baseline: DataFrame, candidate: DataFrame, keys: list[str], slack: float = 1.5) -> DataFrame:
-    """Compare two summaries; an empty reason list approves the candidate."""
+    """Compare two summaries; an empty reason list approves the candidate. Reasons are fixed values."""
     columns = ["cases", "expected_codes", "false_codes", "missing_codes", "type_mix_cases", "order_mismatch_cases", "exact_matches", "p95_ms"]
     old = baseline.select(*keys, *[F.col(c).alias(f"old_{c}") for c in columns])
     both = candidate.join(old, keys)
@@ -133,9 +133,9 @@ def promotion(baseline: DataFrame, candidate: DataFrame, keys: list[str], slack:
     slow = F.col("p95_ms") > F.greatest(F.col("old_p95_ms") * slack, F.col("old_p95_ms") + 500)
     reasons = F.array_compact(
         F.array(
-            F.when(scope, "scope_changed"), F.when(worse("false_codes"), "more_false_codes"), F.when(worse("missing_codes"), "more_missing_codes"),
-            F.when(worse("type_mix_cases"), "more_type_mix"), F.when(worse("order_mismatch_cases"), "order_worse"),
-            F.when(F.col("exact_matches") <= F.col("old_exact_matches"), "no_exact_gain"), F.when(slow, "slower"),
+            F.when(scope, "benchmark_scope_changed"), F.when(worse("false_codes"), "false_positives_increased"), F.when(worse("missing_codes"), "missing_cards_increased"),
+            F.when(worse("type_mix_cases"), "type_mix_increased"), F.when(worse("order_mismatch_cases"), "order_regressed"),
+            F.when(F.col("exact_matches") <= F.col("old_exact_matches"), "no_exact_match_improvement"), F.when(slow, "p95_latency_regressed"),
         )
     )
     return both.select(*keys, (F.size(reasons) == 0).alias("approved"), reasons.alias("reasons"))

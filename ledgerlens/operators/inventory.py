@@ -14,6 +14,7 @@ UNCLASSIFIED = "未分类"
 ORDER_GAP = 1024
 MANUAL_ID_BASE = -900_000_000_000_000_000
 SEARCH_CAP = 10000
+CODE_LENGTH = 22
 
 
 def lookup_corrections(asked: DataFrame, stored: DataFrame) -> DataFrame:
@@ -42,11 +43,11 @@ def display_names(records: DataFrame, chats: DataFrame, users: DataFrame) -> Dat
 def classify_by_prefix(records: DataFrame, rules: DataFrame, code: str = "final_card", lengths: tuple[int, ...] | None = None) -> DataFrame:
     """Label of the longest rule prefix of a long code.
 
-    One equi join per prefix length (a code has at most 22 characters), never a cross join; rows are
-    not multiplied and Spark decides from the rule table's size whether to broadcast it.
+    One equi join per prefix length that a code can have, never a cross join; longer rules match no code. Rows
+    are not multiplied and Spark decides from the rule table's size whether to broadcast it.
     """
     if lengths is None:
-        found = rules.select(F.length("prefix").alias("n")).distinct().orderBy(F.desc("n")).limit(22).collect()
+        found = rules.select(F.length("prefix").alias("n")).where(F.col("n").between(1, CODE_LENGTH)).distinct().collect()
         lengths = tuple(row.n for row in found)
     clean = F.upper(F.trim(F.col(code)))
     out = records.withColumn("__code", clean)
@@ -165,19 +166,25 @@ def patch_verdicts(records: DataFrame, patches: DataFrame) -> DataFrame:
 def apply_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
     """Final inventory state: every field takes its newest accepted value, with the implied changes.
 
-    Redeeming clears the stock flag, stocking marks the row viewed, an edited code is no longer failed.
+    Redeeming clears the stock flag, stocking marks the row viewed, an edited code is no longer failed. A patch
+    that sets nothing, or only puts the deleted flag where it stands already, does not move the change version.
     """
     good = patch_verdicts(records, patches).where("accepted")
+    standing = records.select(F.col("id").alias("record_id"), F.col("is_deleted").alias("__deleted"))
+    good = running(good, ["record_id"], "version", [Running("__before", "last", F.col("deleted"), inclusive=False)]).join(standing, "record_id")
+    flips = F.coalesce(F.col("deleted") != F.coalesce("__before", "__deleted"), F.lit(False))
+    given = ("final_card", "denomination", "redeemed", "invalid", "stocked", "viewed")
+    good = good.withColumn("__moves", flips | F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in given], F.lit(False)))
     new_code = F.upper(F.trim("final_card"))
     assigned = good.select(
-        F.col("record_id").alias("id"), "version", new_code.alias("final_card"), "denomination", "redeemed", "invalid", "deleted",
+        F.col("record_id").alias("id"), "version", "__moves", new_code.alias("final_card"), "denomination", "redeemed", "invalid", "deleted",
         F.coalesce("stocked", F.when(F.col("redeemed"), False)).alias("stocked"),
         F.coalesce("viewed", F.when(F.col("stocked"), True)).alias("viewed"),
         F.when(new_code != "", False).alias("failed"),
     )
     fields = ("final_card", "denomination", "redeemed", "invalid", "deleted", "stocked", "viewed", "failed")
     newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(f"__{c}") for c in fields]
-    folded = assigned.groupBy("id").agg(F.max("version").alias("__version"), *newest)
+    folded = assigned.groupBy("id").agg(F.max(F.when(F.col("__moves"), F.col("version"))).alias("__version"), *newest)
     joined = records.join(folded, "id", "left")
     target = {
         "final_card": "final_card", "denomination": "denomination", "redeemed": "is_redeemed", "invalid": "is_invalid",

@@ -241,23 +241,23 @@ def corrected_by_template(code: Column, places: Column, letters: Column) -> Colu
 
 
 def safe_correction(code: Column, places: Column, similarity: Column, quality: Column, confidence: Column, conflicts: Column, has_font: Column) -> Column:
-    """Guarded correction: only clear images, matched templates and rules seen at least ten times."""
+    """Guarded correction: only clear images, matched templates and rules seen at least ten times. Reasons are fixed values."""
     changed = _applied(code, places, lambda r: (r["n"] >= STRICT_RULE_COUNT) & _clear_pair(r))
     valid = lambda c: codes.is_long(F.upper(F.trim(c)))
 
     def decide(new: Column) -> Column:
         reason = (
-            F.when((quality < 70) | (conflicts >= 2), "low_quality_or_conflict")
-            .when(valid(code) & (confidence >= 90) & (conflicts == 0) & ~has_font, "protected")
-            .when(~has_font, "no_font")
+            F.when((quality < 70) | (conflicts >= 2), "needs_review_low_quality_or_conflict")
+            .when(valid(code) & (confidence >= 90) & (conflicts == 0) & ~has_font, "normal_font_protected")
+            .when(~has_font, "no_font_template")
             .when(F.coalesce(similarity, F.lit(0)) < 95, "template_not_matched")
             .when(new == code, "no_eligible_rule")
-            .when(~valid(new), "invalid_correction")
-            .otherwise("corrected")
+            .when(~valid(new), "validator_rejected_correction")
+            .otherwise("template_correction_applied")
         )
         return bind(reason, lambda why: F.struct(
-            F.when(why == "corrected", new).otherwise(code).alias("code"), why.alias("reason"),
-            why.isin("low_quality_or_conflict", "invalid_correction").alias("needs_review"),
+            F.when(why == "template_correction_applied", new).otherwise(code).alias("code"), why.alias("reason"),
+            why.isin("needs_review_low_quality_or_conflict", "validator_rejected_correction").alias("needs_review"),
         ))
 
     return bind(changed, decide)

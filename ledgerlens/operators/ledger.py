@@ -104,8 +104,8 @@ def backfill_legacy(entries: DataFrame) -> DataFrame:
     income = F.col("kind") == "income"
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     zero = lambda c: blank(c) | (F.col(c) == "0.00")
-    converted = money(F.col("amount").cast(MONEY) / F.col("rate").cast("decimal(12,4)")).cast("string")
-    no_net = F.coalesce(F.col("net_amount").cast(MONEY), F.lit(0)) == 0
+    converted = money(F.col("amount").try_cast(MONEY) / F.nullif(F.col("rate").try_cast("decimal(12,4)"), F.lit(0))).cast("string")
+    no_net = F.coalesce(F.col("net_amount").try_cast(MONEY), F.lit(0)) == 0
     return entries.select(
         *[c for c in entries.columns if c not in ("fee_percent", "fee_amount", "payable_amount", "payable_usdt", "net_amount")],
         F.when(blank("fee_percent"), "0.0000").otherwise(F.col("fee_percent")).alias("fee_percent"),
@@ -403,11 +403,11 @@ def replay(messages: DataFrame, owners: DataFrame) -> DataFrame:
 
 def _apply_commands(parsed: DataFrame) -> DataFrame:
     allowed = _with_permissions(parsed)
-    switch = F.when(F.col("allowed") & F.col("verb").isin("enable", "disable"), F.col("verb") == "enable")
+    switch = F.when(F.col("effective") & F.col("verb").isin("enable", "disable"), F.col("verb") == "enable")
     gated = running(allowed, ["chat_id"], "seq", [Running("enabled", "last", switch, inclusive=False)])
     gated = gated.withColumn("enabled", F.coalesce("enabled", F.lit(True)))
     usable = F.col("enabled") & F.col("allowed") & (F.col("chat_id") < 0)
-    value = F.col("setting_value").cast("decimal(12,4)")
+    value = F.col("setting_value").try_cast("decimal(12,4)")
     new_rate = F.when(usable & (F.col("verb") == "set_rate") & (value > 0), value)
     new_fee = F.when(usable & (F.col("verb") == "set_fee") & (value >= 0) & (value < 100), value)
     posted = F.col("enabled") & (F.col("verb") == "entry") & (money(F.col("amount")) != 0)
@@ -419,7 +419,6 @@ def _apply_commands(parsed: DataFrame) -> DataFrame:
         [
             Running("rate", "last", new_rate, inclusive=False),
             Running("fee_percent", "last", new_fee, inclusive=False),
-            Running("has_entries", "max", F.when(posted, 1), inclusive=False),
             Running("epoch", "sum", cleared.cast("long"), inclusive=False),
         ],
     )
@@ -427,8 +426,8 @@ def _apply_commands(parsed: DataFrame) -> DataFrame:
     log = cut(log)
     whole = F.col("setting_value") == F.floor(F.col("setting_value"))
     changes = log.where((F.col("verb") == "set_cutoff") & F.col("allowed") & whole).select(
-        "chat_id", "seq", "ts", F.col("setting_value").cast("int").alias("reset_hour"),
-        (F.coalesce("has_entries", F.lit(0)) == 1).alias("has_entries"),
+        "chat_id", "seq", "ts", F.col("setting_value").try_cast("int").alias("reset_hour"),
+        (F.col("rank") > 0).alias("has_entries"),
     )
     rows = log.where("posted").select(
         "chat_id", "seq", "ts", "epoch", "rank", "kind", "amount",
@@ -453,8 +452,13 @@ def _apply_commands(parsed: DataFrame) -> DataFrame:
 
 
 def _with_permissions(parsed: DataFrame) -> DataFrame:
-    """Operators are added or removed by owners through replies; ``allowed`` holds as of the message."""
-    grants = parsed.where(F.col("is_owner") & F.col("verb").isin("add_operator", "remove_operator") & F.col("reply_user_id").isNotNull())
+    """``allowed`` holds as of the message; ``effective`` marks switches and grants that took effect.
+
+    Operators are added or removed by owners through replies, while the ledger is on.
+    """
+    acted = resolve_grants(parsed)
+    parsed = parsed.join(acted, ["chat_id", "seq"], "left").withColumn("effective", F.coalesce("effective", F.lit(False)))
+    grants = parsed.where(F.col("effective") & F.col("verb").isin("add_operator", "remove_operator"))
     marks = grants.select("chat_id", F.col("reply_user_id").alias("user_id"), "seq", (F.col("verb") == "add_operator").alias("grant"))
     log = parsed.withColumn("is_message", F.lit(True)).unionByName(marks, allowMissingColumns=True)
     held = running(log, ["chat_id", "user_id"], "seq", [Running("granted", "last", F.col("grant"), inclusive=False)])
@@ -463,6 +467,40 @@ def _with_permissions(parsed: DataFrame) -> DataFrame:
     )
 
 
+def resolve_grants(parsed: DataFrame) -> DataFrame:
+    """(chat_id, seq, effective) of the switches and grants that took effect.
+
+    A grant needs the ledger on, and an operator's switch needs an earlier grant, so the two kinds depend on each
+    other. Only these commands, a small part of all messages, stream through their chat's task in order; the
+    state is the switch and the set of operators.
+    """
+    import pandas as pd
+
+    verbs = ("enable", "disable", "add_operator", "remove_operator")
+
+    def walk(batches):
+        chat, on, operators = None, True, set()
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.chat_id != chat:
+                    chat, on, operators = row.chat_id, True, set()
+                if row.verb in ("enable", "disable"):
+                    acts = row.is_owner or row.user_id in operators
+                    on = row.verb == "enable" if acts else on
+                else:
+                    acts = on and row.is_owner and not pd.isna(row.reply_user_id)
+                    if acts:
+                        (operators.add if row.verb == "add_operator" else operators.discard)(int(row.reply_user_id))
+                if acts:
+                    out.append((row.chat_id, row.seq, True))
+            yield pd.DataFrame(out, columns=["chat_id", "seq", "effective"])
+
+    log = parsed.where(F.col("verb").isin(*verbs)).select("chat_id", "seq", "verb", "user_id", "is_owner", "reply_user_id")
+    ordered = log.repartition("chat_id").sortWithinPartitions("chat_id", "seq")
+    return ordered.mapInPandas(walk, "chat_id long, seq long, effective boolean")
+
+
 def resolve_undos(undos: DataFrame) -> DataFrame:
     """Rank of the entry each undo voids, per chat and clear epoch.
 

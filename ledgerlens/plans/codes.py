@@ -105,10 +105,10 @@ def varied(t: Tables) -> DataFrame:
 @query(
     "P6_reject_reasons",
     f"""WITH {VARIED_SQL}, c AS (SELECT *, upper(trim(code)) AS x, split(upper(trim(code)), '-') AS g FROM varied)
-    SELECT event_id, CASE WHEN kind = 'long' THEN CASE WHEN regexp_matches(x, '{LONG_RE}') THEN NULL WHEN NOT starts_with(x, 'S07') THEN 'long_prefix' WHEN len(g) <> 4 THEN 'long_group_count'
-      WHEN length(g[1]) <> 6 OR length(g[2]) <> 4 OR length(g[3]) <> 4 OR length(g[4]) <> 5 THEN 'long_group_length' WHEN regexp_matches(replace(x, '-', ''), '[^A-Z0-9]') THEN 'long_charset' ELSE 'long_format' END
-    ELSE CASE WHEN regexp_matches(x, '{SHORT_RE}') THEN NULL WHEN len(g) <> 3 THEN 'short_group_count' WHEN length(g[1]) <> 4 OR length(g[2]) <> 4 OR length(g[3]) <> 4 THEN 'short_group_length'
-      WHEN regexp_matches(replace(x, '-', ''), '[^A-Z0-9]') THEN 'short_charset' ELSE 'short_format' END END AS reject_reason FROM c""",
+    SELECT event_id, CASE WHEN kind = 'long' THEN CASE WHEN regexp_matches(x, '{LONG_RE}') THEN NULL WHEN NOT starts_with(x, 'S07') THEN 'pubg_prefix_not_s07' WHEN len(g) <> 4 THEN 'pubg_group_count_invalid'
+      WHEN length(g[1]) <> 6 OR length(g[2]) <> 4 OR length(g[3]) <> 4 OR length(g[4]) <> 5 THEN 'pubg_group_length_invalid' WHEN regexp_matches(replace(x, '-', ''), '[^A-Z0-9]') THEN 'pubg_charset_invalid' ELSE 'pubg_format_invalid' END
+    ELSE CASE WHEN regexp_matches(x, '{SHORT_RE}') THEN NULL WHEN len(g) <> 3 THEN 'psn_group_count_invalid' WHEN length(g[1]) <> 4 OR length(g[2]) <> 4 OR length(g[3]) <> 4 THEN 'psn_group_length_invalid'
+      WHEN regexp_matches(replace(x, '-', ''), '[^A-Z0-9]') THEN 'psn_charset_invalid' ELSE 'psn_format_invalid' END END AS reject_reason FROM c""",
 )
 def p6(t: Tables) -> DataFrame:
     return varied(t).select("event_id", codes.reject_reason(F.col("code"), F.col("kind")).alias("reject_reason"))

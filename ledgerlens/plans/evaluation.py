@@ -49,7 +49,7 @@ def a9b(t: Tables) -> DataFrame:
 @query(
     "A13_promotion_gate",
     f"""WITH {_summary_sql('profile,', 'GROUP BY profile')}
-    SELECT profile, false AS approved, 'no_exact_gain' AS reasons FROM sm""",
+    SELECT profile, false AS approved, 'no_exact_match_improvement' AS reasons FROM sm""",
 )
 def a13(t: Tables) -> DataFrame:
     summary = evaluation.benchmark_summary(results(t), ["profile"])
@@ -83,7 +83,7 @@ def a10(t: Tables) -> DataFrame:
     "A12_policy_candidates",
     f"""WITH {CASE_SQL}, g AS (SELECT profile, count(*) FILTER (status <> 'needs_review') AS confirmed, count(*) FILTER (status = 'confirmed_error') AS errors, count(*) FILTER (status = 'needs_review') AS reviews, count(*) AS n FROM nc GROUP BY profile)
     SELECT profile, confirmed, errors, reviews, CAST(coalesce(round_even(errors / nullif(confirmed, 0), 6), 0) AS DECIMAL(20,6)) AS error_rate, confirmed >= 5 AND errors >= 3 AND reviews * 10 <= n * 6 AS eligible,
-    concat_ws(',', CASE WHEN confirmed < 5 THEN 'few_confirmed' END, CASE WHEN errors < 3 THEN 'few_errors' END, CASE WHEN reviews * 10 > n * 6 THEN 'many_ambiguous' END) AS reasons FROM g""",
+    concat_ws(',', CASE WHEN confirmed < 5 THEN 'insufficient_confirmed_samples' END, CASE WHEN errors < 3 THEN 'insufficient_confirmed_errors' END, CASE WHEN reviews * 10 > n * 6 THEN 'too_many_ambiguous_samples' END) AS reasons FROM g""",
 )
 def a12(t: Tables) -> DataFrame:
     rows = evaluation.policy_candidates(learning.normalize_cases(case_rows(t)), 5, 3, 0.6)

@@ -322,8 +322,8 @@ def p12(t: Tables) -> DataFrame:
 
 @query(
     "P13_enhance_reason",
-    """SELECT image_id, CASE WHEN image_id % 11 = 0 THEN 'no_codes' WHEN image_id % 11 = 1 THEN 'short_or_mixed' WHEN two THEN 'several_codes' WHEN image_id % 11 = 2 THEN 'incomplete_line' WHEN s1 < 0.985 THEN 'low_score'
-    WHEN image_id % 11 = 3 THEN 'not_needed' WHEN width < 350 THEN 'narrow' WHEN height > 500 THEN 'tall' WHEN variance < 80 THEN 'flat' ELSE 'not_needed' END AS reason FROM evidence""",
+    """SELECT image_id, CASE WHEN image_id % 11 = 0 THEN 'original_cards=0' WHEN image_id % 11 = 1 THEN 'non_pubg_or_mixed_cards' WHEN two THEN 'multi_card_image' WHEN image_id % 11 = 2 THEN 'incomplete_pubg_line' WHEN s1 < 0.985 THEN 'card_score<0.985'
+    WHEN image_id % 11 = 3 THEN 'not_needed' WHEN width < 350 THEN 'width<350' WHEN height > 500 THEN 'height>500' WHEN variance < 80 THEN 'image_variance<80' ELSE 'not_needed' END AS reason FROM evidence""",
 )
 def p13(t: Tables) -> DataFrame:
     kind = F.col("image_id") % 11
@@ -338,8 +338,8 @@ def p13(t: Tables) -> DataFrame:
 
 @query(
     "P10_review_queue",
-    """SELECT image_id, reasons FROM (SELECT image_id, concat_ws(',', CASE WHEN conflict THEN 'needs_review' END, CASE WHEN variance < 70 THEN 'low_quality' END, CASE WHEN image_id % 9 = 0 THEN 'rejected' END,
-    CASE WHEN two AND expected = 3 THEN 'conflict' END) AS reasons FROM evidence) AS s WHERE reasons <> '' ORDER BY image_id DESC LIMIT 100""",
+    """SELECT image_id, reasons FROM (SELECT image_id, concat_ws(',', CASE WHEN conflict THEN 'needs_review' END, CASE WHEN variance < 70 THEN 'low_quality_image' END, CASE WHEN image_id % 9 = 0 THEN 'validator_failed' END,
+    CASE WHEN two AND expected = 3 THEN 'ocr_conflict' END) AS reasons FROM evidence) AS s WHERE reasons <> '' ORDER BY image_id DESC LIMIT 100""",
 )
 def p10(t: Tables) -> DataFrame:
     reasons = evidence.queue_reasons(

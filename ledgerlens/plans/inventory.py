@@ -119,11 +119,14 @@ PATCH_SQL = """
 p AS (SELECT e.*, r.is_redeemed AS st, last_value(CASE WHEN NOT coalesce(redeemed AND stocked, false) THEN redeemed END IGNORE NULLS)
   OVER (PARTITION BY record_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM patch_event AS e JOIN card_record AS r ON r.id = e.record_id),
 v AS (SELECT *, NOT coalesce(stocked AND coalesce(redeemed, held, st), false) AS accepted FROM p),
+d AS (SELECT v.*, coalesce(deleted <> coalesce(last_value(deleted IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r.is_deleted), false) AS flips
+  FROM v JOIN card_record AS r ON r.id = v.record_id WHERE accepted),
 a AS (SELECT record_id, version, upper(trim(final_card)) AS fc, denomination AS dn, redeemed AS rd, invalid AS iv, deleted AS dl, coalesce(stocked, CASE WHEN redeemed THEN false END) AS sk,
-  coalesce(viewed, CASE WHEN stocked THEN true END) AS vw FROM v WHERE accepted),
+  coalesce(viewed, CASE WHEN stocked THEN true END) AS vw,
+  flips OR final_card IS NOT NULL OR denomination IS NOT NULL OR redeemed IS NOT NULL OR invalid IS NOT NULL OR stocked IS NOT NULL OR viewed IS NOT NULL AS moves FROM d),
 f AS (SELECT record_id, max_by(fc, version) FILTER (fc IS NOT NULL) AS fc, max_by(dn, version) FILTER (dn IS NOT NULL) AS dn, max_by(rd, version) FILTER (rd IS NOT NULL) AS rd,
   max_by(iv, version) FILTER (iv IS NOT NULL) AS iv, max_by(dl, version) FILTER (dl IS NOT NULL) AS dl, max_by(sk, version) FILTER (sk IS NOT NULL) AS sk, max_by(vw, version) FILTER (vw IS NOT NULL) AS vw,
-  max_by(false, version) FILTER (fc <> '') AS ok, max(version) AS ver FROM a GROUP BY record_id)"""
+  max_by(false, version) FILTER (fc <> '') AS ok, max(version) FILTER (moves) AS ver FROM a GROUP BY record_id)"""
 
 
 @query("W10_patch_verdicts", f"WITH {PATCH_SQL} SELECT record_id, version, accepted FROM v")

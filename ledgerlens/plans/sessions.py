@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.codes import split_list
 from ledgerlens.operators import ledger, sessions
 from ledgerlens.plans.registry import query
+from ledgerlens.plans.stats import ALL_IMAGES_SQL
 from ledgerlens.session import shared_folder
 from ledgerlens.sources.views import Tables
 from ledgerlens.streaming import jobs
@@ -84,7 +85,11 @@ def r4(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{out}/rows")
 
 
-@query("R4_daily_report_job")
+@query(
+    "R4_daily_report_job",
+    f"""WITH {ALL_IMAGES_SQL.replace('audit_delivery', 'audit_record')} SELECT dt, chat_id, user_id, chat_title, username, images, long_codes, short_codes
+    FROM daily WHERE dt < (SELECT max(dt) FROM audit_record)""",
+)
 def r4b(t: Tables) -> DataFrame:
     out = _out(t, "report")
     rows = t.audit_record.withColumn("final_long", split_list(F.col("final_long"))).withColumn("final_short", split_list(F.col("final_short")))
@@ -92,7 +97,7 @@ def r4b(t: Tables) -> DataFrame:
         f"{out}/input"
     )
     jobs.run(jobs.read_rows(t.spark, f"{out}/input"), out, each=jobs.daily_report_job(out))
-    return t.spark.read.option("basePath", f"{out}/reports").parquet(f"{out}/reports/day=*").drop("day")
+    return t.spark.read.option("basePath", f"{out}/reports").parquet(f"{out}/reports").drop("day")
 
 
 @query(

@@ -20,6 +20,8 @@ c AS (SELECT dt, chat_id, user_id, count(*) FILTER (code_type = 'long') AS l, co
 g AS (SELECT dt, chat_id, user_id, min_by(chat_title, record_path) AS chat_title, min_by(username, record_path) AS username, count(*) AS images FROM img GROUP BY dt, chat_id, user_id),
 daily AS (SELECT g.*, coalesce(l, 0) AS long_codes, coalesce(s, 0) AS short_codes FROM g LEFT JOIN c ON c.dt = g.dt AND c.chat_id = g.chat_id AND c.user_id = g.user_id)"""
 
+ALL_IMAGES_SQL = IMAGES_SQL.replace(" WHERE user_id % 13 <> 5", "")
+
 
 def audit_rows(t: Tables, name: str = "audit_delivery") -> DataFrame:
     rows = getattr(t, name)
@@ -37,18 +39,18 @@ def a2(t: Tables) -> DataFrame:
     return daily(t)
 
 
-@query("T2_report_order", f"WITH {IMAGES_SQL} SELECT dt, chat_title, username, images FROM daily ORDER BY dt, lower(chat_title), lower(username), chat_id, user_id")
+@query("T2_report_order", f"WITH {ALL_IMAGES_SQL} SELECT dt, chat_title, username, images FROM daily ORDER BY dt, lower(chat_title), lower(username), chat_id, user_id")
 def t2(t: Tables) -> DataFrame:
-    return stats.report_order(daily(t)).select("dt", "chat_title", "username", "images")
+    return stats.report_order(stats.daily_counts(audit_rows(t))).select("dt", "chat_title", "username", "images")
 
 
 @query(
     "A2_rollup",
-    f"""WITH {IMAGES_SQL} SELECT dt, chat_id, CAST(sum(images) AS BIGINT) AS images, CAST(sum(long_codes) AS BIGINT) AS long_codes, CAST(sum(short_codes) AS BIGINT) AS short_codes
+    f"""WITH {ALL_IMAGES_SQL} SELECT dt, chat_id, CAST(sum(images) AS BIGINT) AS images, CAST(sum(long_codes) AS BIGINT) AS long_codes, CAST(sum(short_codes) AS BIGINT) AS short_codes
     FROM daily GROUP BY GROUPING SETS ((dt, chat_id), (dt))""",
 )
 def a2b(t: Tables) -> DataFrame:
-    return stats.rolled_up(daily(t))
+    return stats.rolled_up(stats.daily_counts(audit_rows(t)))
 
 
 @query("A3_chat_view", f"WITH {IMAGES_SQL} SELECT dt, user_id, username, images, long_codes, short_codes FROM daily WHERE chat_id = -1002 AND images > 0")
@@ -59,15 +61,14 @@ def a3(t: Tables) -> DataFrame:
     return shown.select("dt", "user_id", "username", "images", "long_codes", "short_codes")
 
 
-@query("W2_unique_images", f"WITH {IMAGES_SQL} SELECT record_path, dt, chat_id, user_id FROM img")
+@query("W2_unique_images", f"WITH {ALL_IMAGES_SQL} SELECT record_path, dt, chat_id, user_id FROM img")
 def w2(t: Tables) -> DataFrame:
-    rows = t.audit_delivery.where(F.col("user_id") % 13 != 5)
-    return stats.unique_images(rows).select("record_path", "dt", "chat_id", "user_id")
+    return stats.unique_images(t.audit_delivery).select("record_path", "dt", "chat_id", "user_id")
 
 
-@query("W3_first_credit", f"WITH {IMAGES_SQL} SELECT dt, code_type, upper(trim(code)) AS code, record_path, user_id FROM credit")
+@query("W3_first_credit", f"WITH {ALL_IMAGES_SQL} SELECT dt, code_type, upper(trim(code)) AS code, record_path, user_id FROM credit")
 def w3(t: Tables) -> DataFrame:
-    images = stats.unique_images(audit_rows(t).where(F.col("user_id") % 13 != 5))
+    images = stats.unique_images(audit_rows(t))
     return stats.first_credit(stats.code_rows(images)).select("dt", "code_type", "code", "record_path", "user_id")
 
 

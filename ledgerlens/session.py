@@ -51,11 +51,14 @@ _TEST_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: the cluster's ``spark.checkpoint.dir``.
 
-    Where it is unset (tests), one temporary folder per application is made and reused.
+    Where it is unset and driver and executors are one process (tests), one temporary folder per application
+    is made and reused. A cluster must set it: its machines share no temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _TEST_FOLDERS:
         _TEST_FOLDERS[app] = tempfile.mkdtemp(prefix="ledgerlens-")

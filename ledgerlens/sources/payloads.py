@@ -21,11 +21,11 @@ WORKER = (
 
 
 def price_levels(body: Column, limit: int = 5) -> Column:
-    """First ``limit`` priced levels in book order; the fallback payload gives one level."""
+    """First ``limit`` levels with a readable price, in book order; the fallback payload gives one level."""
     book = F.from_json(body, BOOK)
-    priced = F.filter(book["data"]["sell"], lambda level: level["price"].isNotNull())
-    levels = F.transform(F.slice(priced, 1, limit), lambda level: level["price"].cast(PRICE))
-    fallback = F.from_json(body, RATE_PAYLOAD)["data"][0]["usdCny"].cast(PRICE)
+    priced = F.filter(book["data"]["sell"], lambda level: level["price"].try_cast(PRICE).isNotNull())
+    levels = F.transform(F.slice(priced, 1, limit), lambda level: level["price"].try_cast(PRICE))
+    fallback = F.from_json(body, RATE_PAYLOAD)["data"][0]["usdCny"].try_cast(PRICE)
     return F.when(F.size(levels) > 0, levels).when(fallback.isNotNull(), F.array(fallback)).otherwise(
         F.array().cast(f"array<{PRICE}>")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,21 @@ def run(stream: DataFrame, path: str, mode: str = "append", each: Callable[[Data
     query.awaitTermination()
 
 
+def _ordered(rows: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """The columns of all of a key's rows of this micro-batch, by time and then by number.
+
+    Rows come in Arrow batches of any order, so they are put in order together, as plain integers.
+    """
+    parts = [[batch[c].to_numpy("int64") for c in columns] for batch in rows]
+    whole = [np.concatenate(x) for x in zip(*parts)]
+    order = np.lexsort((whole[1], whole[0]))
+    return [x[order] for x in whole]
+
+
+#: Rows of one output batch.
+SLICE = 10_000
+
+
 # -- state stores -----------------------------------------------------------------------------
 
 
@@ -92,20 +109,26 @@ class PhotoLimiter(StatefulProcessor):
         self.accepted = handle.getListState("accepted", "at long, user_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        recent = list(self.accepted.get()) if self.accepted.exists() else []
-        for batch in rows:
-            verdicts = []
-            for row in batch.sort_values(["at", "seq"]).itertuples(index=False):
-                recent = [item for item in recent if item[0] >= row.at - WINDOW * 1_000_000]
-                if len(recent) >= CHAT_LIMIT:
-                    verdict = "chat_limit"
-                elif sum(1 for item in recent if item[1] == row.user_id) >= USER_LIMIT:
-                    verdict = "user_limit"
-                else:
-                    verdict = "accepted"
-                    recent.append((row.at, row.user_id))
-                verdicts.append((key[0], row.seq, verdict))
-            yield pd.DataFrame(verdicts, columns=["chat_id", "seq", "verdict"])
+        recent = deque(sorted((at, user) for at, user in self.accepted.get())) if self.accepted.exists() else deque()
+        of_user = Counter(user for _, user in recent)
+        verdicts = []
+        ats, seqs, users = _ordered(rows, "at", "seq", "user_id")
+        for at, seq, user in zip(ats.tolist(), seqs.tolist(), users.tolist()):
+            while recent and recent[0][0] < at - WINDOW * 1_000_000:
+                of_user[recent.popleft()[1]] -= 1
+            if len(recent) >= CHAT_LIMIT:
+                verdict = "chat_limit"
+            elif of_user[user] >= USER_LIMIT:
+                verdict = "user_limit"
+            else:
+                verdict = "accepted"
+                recent.append((at, user))
+                of_user[user] += 1
+            verdicts.append((key[0], seq, verdict))
+            if len(verdicts) == SLICE:
+                yield pd.DataFrame(verdicts, columns=["chat_id", "seq", "verdict"])
+                verdicts = []
+        yield pd.DataFrame(verdicts, columns=["chat_id", "seq", "verdict"])
         self.accepted.put([(int(at), int(user)) for at, user in recent])
 
     def close(self) -> None:
@@ -120,13 +143,14 @@ class CooldownGate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        for batch in rows:
-            out = []
-            for row in batch.sort_values(["at", "seq"]).itertuples(index=False):
-                if last is None or row.at - last >= COOLDOWN * 1_000_000:
-                    last = row.at
-                    out.append((key[0], row.seq))
-            yield pd.DataFrame(out, columns=["chat_id", "seq"])
+        ats, seqs = _ordered(rows, "at", "seq")
+        out = []
+        for at, seq in zip(ats.tolist(), seqs.tolist()):
+            if last is None or at - last >= COOLDOWN * 1_000_000:
+                last = at
+                out.append((key[0], seq))
+        for i in range(0, len(out), SLICE):
+            yield pd.DataFrame(out[i : i + SLICE], columns=["chat_id", "seq"])
         if last is not None:
             self.last.update((int(last),))
 
@@ -205,24 +229,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def daily_report_job(path: str) -> Callable[[DataFrame, int], None]:
-    """Append records by day and publish the previous day's statistics once its successor has begun.
+    """Append records by day and publish each day's statistics once a later day has begun.
 
-    Only the day before the newest record is published, so an outage catches up one day. Both writes
-    are keyed by batch or day: a repeated micro-batch overwrites its own files.
+    A micro-batch may close several days; all that it touches or closes are published, a late record's day anew. Both
+    writes are keyed by batch or day: a repeated micro-batch overwrites its own files.
     """
 
     def publish(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/records/batch={epoch}")
-        newest = batch.agg(F.max("dt").alias("d")).first()["d"]
+        stored = spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/batch=*")
+        newest = stored.agg(F.max("dt").alias("d")).first()["d"]
         if newest is None:
             return
-        day = newest - pd.Timedelta(days=1).to_pytimedelta()
-        target = f"{path}/reports/day={day.isoformat()}"
-        if _exists(spark, f"{target}/_SUCCESS"):
-            return
-        stored = spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/batch=*")
-        stats.daily_counts(stored.where(F.col("dt") == F.lit(day))).write.mode("overwrite").parquet(target)
+        last = stored.where(F.col("batch") < epoch).select("dt").agg(F.max("dt").alias("dt"))  # open until now
+        touched = batch.select("dt").unionByName(last).where("dt IS NOT NULL").distinct()
+        closed = touched.where(F.col("dt") < F.lit(newest))
+        counts = stats.daily_counts(stored.join(closed, "dt", "left_semi"))
+        counts.withColumn("day", F.col("dt")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/reports")
 
     return publish
 

@@ -121,7 +121,7 @@ def test_policy_thresholds(spark):
     rows = [(i, f"c{i}", "p", "confirmed_error" if i < 3 else "confirmed_match") for i in range(20)] + [(20, "c20", "q", "needs_review")]
     df = spark.createDataFrame(rows, "seq long, case_id string, profile string, status string")
     got = {r["profile"]: (r["eligible"], r["reasons"]) for r in evaluation.policy_candidates(df).collect()}
-    assert got == {"p": (True, []), "q": (False, ["few_confirmed", "few_errors", "many_ambiguous"])}
+    assert got == {"p": (True, []), "q": (False, ["insufficient_confirmed_samples", "insufficient_confirmed_errors", "too_many_ambiguous_samples"])}
 
 
 def test_percentiles_match_their_definitions(spark):

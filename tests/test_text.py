@@ -82,8 +82,8 @@ def test_typed_codes_with_loose_separators(spark):
 
 def test_validity_and_types(spark):
     cases = {
-        "s07304-f2v7-sgh8-nl72x": ("long", None), "T07304-F2V7-SGH8-NL72X": (None, "long_prefix"), "S07304-F2V7-SGH8": (None, "long_group_count"),
-        "S07304-F2V-SGH8-NL72X": (None, "long_group_length"), "S07304-F2V?-SGH8-NL72X": (None, "long_charset"), "AAAA-BBBB-CCCC": ("short", "long_prefix"),
+        "s07304-f2v7-sgh8-nl72x": ("long", None), "T07304-F2V7-SGH8-NL72X": (None, "pubg_prefix_not_s07"), "S07304-F2V7-SGH8": (None, "pubg_group_count_invalid"),
+        "S07304-F2V-SGH8-NL72X": (None, "pubg_group_length_invalid"), "S07304-F2V?-SGH8-NL72X": (None, "pubg_charset_invalid"), "AAAA-BBBB-CCCC": ("short", "pubg_prefix_not_s07"),
     }
     got = _apply(spark, cases, lambda t: F.struct(codes.code_type(t).alias("k"), codes.reject_reason(t, F.lit("long")).alias("r")))
     assert {k: (v["k"], v["r"]) for k, v in got.items()} == cases
