@@ -110,19 +110,27 @@ def _spaced_fold(batches: Iterator[pd.DataFrame], gap: int, strict: bool) -> Ite
     for batch in batches:
         keep = []
         for row in batch.itertuples(index=False):
-            if row.key != key:
-                key, last = row.key, None
+            if (row.key, row.stretch) != key:
+                key, last = (row.key, row.stretch), None
             free = last is None or (row.at - last > gap if strict else row.at - last >= gap)
             if free:
                 last = row.at
             keep.append(free)
-        yield batch[keep]
+        yield batch.loc[keep, ["key", "at"]]
 
 
 def _spaced(events: DataFrame, key: str, gap_micros: int, strict: bool) -> DataFrame:
-    """Distinct (key, time) pairs at least a gap after the previously kept pair of the key."""
+    """Distinct (key, time) pairs at least a gap after the previously kept pair of the key.
+
+    A time that far after any other of its key is kept whatever came before, so it starts a stretch of its own; only
+    stretches, not keys, are folded in order.
+    """
     rows = events.select(F.col(key).cast("string").alias("key"), F.col("at")).distinct()
-    ordered = rows.repartition("key").sortWithinPartitions("key", "at")
+    before = running(rows, ["key"], "at", [Running("__before", "last", F.col("at"), inclusive=False)])
+    idle = F.col("at") - F.col("__before")
+    starts = F.col("__before").isNull() | (idle > gap_micros if strict else idle >= gap_micros)
+    marked = running(cut(before.withColumn("__starts", starts.cast("long"))), ["key"], "at", [Running("stretch", "sum", F.col("__starts"))])
+    ordered = marked.select("key", "stretch", "at").repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at")
     return ordered.mapInPandas(lambda it: _spaced_fold(it, gap_micros, strict), "key string, at long")
 
 

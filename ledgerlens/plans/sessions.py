@@ -55,7 +55,22 @@ def r2(t: Tables) -> DataFrame:
     return sessions.rate_limit(bursts(t))
 
 
-@query("R3_rolling_distinct")
+def kept_sql(rows: str, gap: int) -> str:
+    """Kept times of each key of ``e(key, t0)``: from one kept time to the first at least ``gap`` microseconds later."""
+    return f"""e AS ({rows}), s AS (SELECT DISTINCT key, t0 FROM e),
+    n AS (SELECT key, t0, min(t0) OVER (PARTITION BY key ORDER BY t0 RANGE BETWEEN {gap} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s),
+    k AS (SELECT key, min(t0) AS t0 FROM s GROUP BY key UNION ALL SELECT n.key, n.nxt FROM k JOIN n ON n.key = k.key AND n.t0 = k.t0 WHERE n.nxt IS NOT NULL)"""
+
+
+JOINED_SQL = """SELECT -(user_id % 30) AS key, epoch_us(ts) AS t0, event_id AS seq, concat('T', event_id) AS title, user_id FROM @events
+    WHERE event_id % 5 <> 0 AND event_id % 4 = 0"""
+
+
+@query(
+    "R3_rolling_distinct",
+    f"""WITH RECURSIVE {kept_sql("SELECT card AS key, epoch_us(date_trunc('second', ts)) AS t0 FROM (SELECT ts, short_card AS card FROM rolling_event UNION ALL SELECT ts, concat('hot', user_id % 3) FROM @events) AS x", 86_401_000_000)}
+    SELECT key AS card, make_timestamp(t0) AS entered_at FROM k""",
+)
 def r3(t: Tables) -> DataFrame:
     repeats = t.rolling_event.select("ts", F.col("short_card").alias("card")).unionByName(
         t.events.select("ts", F.concat(F.lit("hot"), (F.col("user_id") % 3).cast("string")).alias("card"))
@@ -117,13 +132,16 @@ def r5(t: Tables) -> DataFrame:
     return first.unionByName(again)
 
 
-@query("R6_cooldown_gate")
+COOLED_SQL = kept_sql("SELECT user_id % 7 AS key, event_id AS seq, ts, epoch_us(ts) AS t0 FROM @events", sessions.COOLDOWN * 1_000_000)
+
+
+@query("R6_cooldown_gate", f"WITH RECURSIVE {COOLED_SQL} SELECT key AS chat_id, min(seq) AS seq, min(ts) AS ts FROM e JOIN k USING (key, t0) GROUP BY key, t0")
 def r6(t: Tables) -> DataFrame:
     events = t.events.select((F.col("user_id") % 7).alias("chat_id"), F.col("event_id").alias("seq"), "ts")
     return sessions.cooldown(events, "chat_id")
 
 
-@query("R6_cooldown_stream")
+@query("R6_cooldown_stream", f"WITH RECURSIVE {COOLED_SQL} SELECT key AS chat_id, min(seq) AS seq FROM e JOIN k USING (key, t0) GROUP BY key, t0")
 def r6b(t: Tables) -> DataFrame:
     out = _out(t, "cooldown")
     events = jobs.read_table(t.spark, t.folder, "events")
@@ -169,7 +187,12 @@ def r10(t: Tables) -> DataFrame:
     return t.spark.read.option("basePath", f"{out}/feed").parquet(f"{out}/feed/batch=*").select("id", "change_version")
 
 
-@query("R11_joined_chats")
+@query(
+    "R11_joined_chats",
+    f"""WITH RECURSIVE {kept_sql(JOINED_SQL, sessions.COOLDOWN * 1_000_000)},
+    j AS (SELECT e.key, min(seq) AS seq, arg_min(title, seq) AS title, arg_min(user_id, seq) AS user_id FROM e JOIN k USING (key, t0) GROUP BY e.key, t0)
+    SELECT key AS chat_id, arg_max(title, seq) AS title, arg_min(user_id, seq) FILTER (user_id <> 0) AS owner_id, count(*) AS joins FROM j GROUP BY key""",
+)
 def r11(t: Tables) -> DataFrame:
     kind = F.col("event_id") % 4
     changes = t.events.select(

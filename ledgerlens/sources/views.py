@@ -318,8 +318,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
-    if re.match(r"(?i)with\s", body):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
+    if opening := re.match(r"(?i)with\s+(recursive\s)?", body):
+        return opening[0] + ",\n".join(parts) + ",\n" + body[opening.end() :]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
