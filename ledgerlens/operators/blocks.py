@@ -3,7 +3,8 @@
 A plain window over a chat puts the whole chat into one task. Here the order column (a unique
 integer) is cut into blocks: rows are windowed inside (key, block), block totals are windowed per
 key, and the carried total is joined back. A task sees at most ``block`` rows of one key plus one
-row per block.
+row per block. Without keys the block totals are cut into blocks once more, so that the one task at
+the top sees a row for each 65,536 blocks.
 """
 
 from __future__ import annotations
@@ -56,10 +57,7 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running], bl
         else:
             totals.append(getattr(F, spec.how)(value).alias(f"__t{i}"))
     per_block = tagged.groupBy(*keys, _B).agg(*totals)
-    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(_START, -1)
-    carried = per_block.select(
-        *keys, _B, *[_local(spec, F.col(f"__t{i}"), before).alias(f"__c{i}") for i, spec in enumerate(specs)]
-    )
+    carried = _carried(per_block, keys, specs)
     inside = Window.partitionBy(*keys, _B).orderBy(order)
     local = {
         f"__l{i}": _local(spec, F.col(f"__v{i}"), inside.rowsBetween(_START, 0 if spec.inclusive else -1))
@@ -70,6 +68,24 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running], bl
     return joined.select(*[F.col(c) for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
 
 
+def _carried(per_block: DataFrame, keys: list[str], specs: list[Running]) -> DataFrame:
+    """What each block gets from the blocks before it."""
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(_START, -1)
+        return per_block.select(*keys, _B, *[_local(spec, F.col(f"__t{i}"), before).alias(f"__c{i}") for i, spec in enumerate(specs)])
+    tagged = per_block.withColumn("__top", F.floor(F.col(_B) / BLOCK))
+    totals = []
+    for i, spec in enumerate(specs):
+        value = F.col(f"__t{i}")
+        totals.append((F.max_by(value, F.when(value.isNotNull(), F.col(_B))) if spec.how == "last" else getattr(F, spec.how)(value)).alias(f"__u{i}"))
+    before = Window.orderBy("__top").rowsBetween(_START, -1)
+    tops = tagged.groupBy("__top").agg(*totals)
+    tops = tops.select("__top", *[_local(spec, F.col(f"__u{i}"), before).alias(f"__d{i}") for i, spec in enumerate(specs)])
+    inside = Window.partitionBy("__top").orderBy(_B).rowsBetween(_START, -1)
+    own = tagged.select(_B, "__top", *[_local(spec, F.col(f"__t{i}"), inside).alias(f"__e{i}") for i, spec in enumerate(specs)])
+    return own.join(tops, "__top").select(_B, *[_combine(spec, F.col(f"__e{i}"), F.col(f"__d{i}")).alias(f"__c{i}") for i, spec in enumerate(specs)])
+
+
 def running_number(df: DataFrame, keys: list[str], order: str, out: str, block: int = BLOCK) -> DataFrame:
     """1-based position of each row inside its key."""
     return running(df, keys, order, [Running(out, "sum", F.lit(1).cast("long"))], block)
@@ -84,13 +100,14 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
 def attach_stats(df: DataFrame, stats: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join per-key ``stats`` back to ``df``; keys with more than ``hot_rows`` rows are salted.
 
-    Only the hot keys are broadcast: at most rows / hot_rows of them exist.
+    At most rows / hot_rows hot keys exist; Spark broadcasts them if their size allows. Where a key is cut does not
+    change the result.
     """
     hot = stats.where(F.col(weight) > hot_rows).select(
         *keys, F.ceil(F.col(weight) / hot_rows).cast("long").alias("__salts")
     )
     spread = F.pmod(F.xxhash64(*df.columns), F.col("__salts"))
-    left = df.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(spread, F.lit(0)).cast("long"))
+    left = df.join(hot, keys, "left").withColumn("__salt", F.coalesce(spread, F.lit(0)).cast("long"))
     copies = F.sequence(F.lit(0), F.when(F.col(weight) > hot_rows, F.ceil(F.col(weight) / hot_rows) - 1).otherwise(0))
     right = stats.withColumn("__salt", F.explode(copies)).withColumn("__salt", F.col("__salt").cast("long"))
     return left.drop("__salts").join(right, [*keys, "__salt"], "left").drop("__salt")

@@ -176,6 +176,11 @@ def simple_batch_stream(photos: DataFrame, delay: str = "10 seconds") -> DataFra
 
 
 def limit_stream(photos: DataFrame) -> DataFrame:
+    """Verdicts as in the batch twin; photos of owners are accepted and not counted."""
+    if "owner" in photos.columns:
+        owned = F.coalesce("owner", F.lit(False))
+        exempt = photos.where(owned).select("chat_id", "seq", F.lit("accepted").alias("verdict"))
+        return exempt.unionByName(limit_stream(photos.where(~owned).drop("owner")))
     return _stateful(photos, PhotoLimiter(), "chat_id long, seq long, verdict string", "None")
 
 

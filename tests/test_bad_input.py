@@ -120,3 +120,21 @@ def test_shared_folder_must_be_set_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_folder(Session)
+
+
+def test_owner_photos_are_not_counted(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(1, i, start + timedelta(milliseconds=i), 5 if i % 2 else 6, i % 2 == 0) for i in range(40)]
+    frame = spark.createDataFrame(rows, "chat_id long, seq long, ts timestamp_ntz, user_id long, owner boolean")
+    got = {r["seq"]: r["verdict"] for r in sessions.rate_limit(frame, 60, 10, 8).collect()}
+    assert got == {i: "accepted" if i % 2 == 0 or i < 16 else "user_limit" for i in range(40)}
+
+
+def test_running_without_keys_over_many_blocks(spark, monkeypatch):
+    from ledgerlens.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 3)
+    specs = [blocks.Running("s", "sum", F.col("id")), blocks.Running("l", "last", F.when(F.col("id") % 7 == 0, F.col("id")), inclusive=False), blocks.Running("m", "max", -F.col("id"))]
+    rows = blocks.running(spark.range(100), [], "id", specs, block=4).orderBy("id").collect()
+    for i, r in enumerate(rows):
+        assert (r["s"], r["m"], r["l"]) == (i * (i + 1) // 2, 0, None if i == 0 else (i - 1) // 7 * 7)
