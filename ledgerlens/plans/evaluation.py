@@ -22,15 +22,15 @@ def results(t: Tables, name: str = "benchmark_result") -> DataFrame:
     return getattr(t, name).withColumns({c: codes.split_list(F.col(c)) for c in columns})
 
 
-def _summary_sql(keys: str, group: str) -> str:
+def _summary_sql(keys: str, group: str, rows: str = "benchmark_result", mark: str = "") -> str:
     return f"""
-lists AS (SELECT *, list_filter(split(expected_long, ',') || split(expected_short, ','), lambda x: x <> '') AS e, list_filter(split(actual_long, ',') || split(actual_short, ','), lambda x: x <> '') AS a FROM benchmark_result),
-o AS (SELECT *, len(list_filter(e, lambda x: NOT list_contains(a, x))) AS miss, len(list_filter(a, lambda x: NOT list_contains(e, x))) AS fp, actual_long <> '' AND actual_short <> '' AS mix FROM lists),
-su AS (SELECT {keys} count(*) AS cases, CAST(sum(len(e)) AS BIGINT) AS expected_codes, CAST(sum(miss) AS BIGINT) AS missing_codes, CAST(sum(fp) AS BIGINT) AS false_codes, count(*) FILTER (mix) AS type_mix_cases,
+lists{mark} AS (SELECT *, list_filter(split(expected_long, ',') || split(expected_short, ','), lambda x: x <> '') AS e, list_filter(split(actual_long, ',') || split(actual_short, ','), lambda x: x <> '') AS a FROM {rows}),
+o{mark} AS (SELECT *, len(list_filter(e, lambda x: NOT list_contains(a, x))) AS miss, len(list_filter(a, lambda x: NOT list_contains(e, x))) AS fp, actual_long <> '' AND actual_short <> '' AS mix FROM lists{mark}),
+su{mark} AS (SELECT {keys} count(*) AS cases, CAST(sum(len(e)) AS BIGINT) AS expected_codes, CAST(sum(miss) AS BIGINT) AS missing_codes, CAST(sum(fp) AS BIGINT) AS false_codes, count(*) FILTER (mix) AS type_mix_cases,
   count(*) FILTER (a <> e) AS order_mismatch_cases, count(*) FILTER (miss = 0 AND fp = 0 AND a = e) AS exact_matches, CAST(sum(len(e)) - sum(miss) AS BIGINT) AS correct_codes,
-  list_sort(list(elapsed_ms)) AS ms FROM o {group}),
-sm AS (SELECT *, CAST((ms[(cases - 1) // 2 + 1] + ms[cases // 2 + 1]) * 0.5 AS DECIMAL(20,1)) AS p50_ms, ms[least(cases - 1, cases * 95 // 100) + 1] AS p95_ms,
-  CAST(round(correct_codes / (correct_codes + false_codes), 6) AS DECIMAL(20,6)) AS "precision", CAST(round(correct_codes / expected_codes, 6) AS DECIMAL(20,6)) AS recall FROM su)"""
+  list_sort(list(elapsed_ms)) AS ms FROM o{mark} {group}),
+sm{mark} AS (SELECT *, CAST((ms[(cases - 1) // 2 + 1] + ms[cases // 2 + 1]) * 0.5 AS DECIMAL(20,1)) AS p50_ms, ms[least(cases - 1, cases * 95 // 100) + 1] AS p95_ms,
+  CAST(round(correct_codes / (correct_codes + false_codes), 6) AS DECIMAL(20,6)) AS "precision", CAST(round(correct_codes / expected_codes, 6) AS DECIMAL(20,6)) AS recall FROM su{mark})"""
 
 
 SUMMARY_COLUMNS = "cases, expected_codes, missing_codes, false_codes, type_mix_cases, order_mismatch_cases, exact_matches, correct_codes, p50_ms, p95_ms, \"precision\", recall"
@@ -46,23 +46,45 @@ def a9b(t: Tables) -> DataFrame:
     return evaluation.benchmark_summary(results(t), ["profile"])
 
 
+def _gate_sql(changed: str) -> str:
+    """The gate between the stored results and those with some columns replaced."""
+    worse = "".join(
+        f", CASE WHEN c.{column} > b.{column} THEN '{reason}' END"
+        for column, reason in (
+            ("false_codes", "false_positives_increased"), ("missing_codes", "missing_cards_increased"), ("type_mix_cases", "type_mix_increased"),
+            ("order_mismatch_cases", "order_regressed"),
+        )
+    )
+    by_profile = ("profile,", "GROUP BY profile")
+    return f"""WITH changed AS (SELECT * REPLACE ({changed}) FROM benchmark_result), {_summary_sql(*by_profile)}, {_summary_sql(*by_profile, "changed", "2")},
+    r AS (SELECT c.profile, concat_ws(',', CASE WHEN c.cases <> b.cases OR c.expected_codes <> b.expected_codes THEN 'benchmark_scope_changed' END{worse},
+      CASE WHEN c.exact_matches <= b.exact_matches THEN 'no_exact_match_improvement' END,
+      CASE WHEN c.p95_ms > greatest(b.p95_ms * 1.5, b.p95_ms + 500) THEN 'p95_latency_regressed' END) AS reasons FROM sm2 AS c JOIN sm AS b USING (profile))
+    SELECT profile, reasons = '' AS approved, reasons FROM r"""
+
+
+def _gate(t: Tables, changed: dict) -> DataFrame:
+    base = evaluation.benchmark_summary(results(t), ["profile"])
+    gate = evaluation.promotion(base, evaluation.benchmark_summary(results(t).withColumns(changed), ["profile"]), ["profile"])
+    return gate.select("profile", "approved", joined(F.col("reasons")).alias("reasons"))
+
+
 @query(
     "A13_promotion_gate",
-    f"""WITH {_summary_sql('profile,', 'GROUP BY profile')}
-    SELECT profile, false AS approved, 'no_exact_match_improvement' AS reasons FROM sm""",
+    _gate_sql("CASE WHEN seq % 3 = 1 THEN expected_short ELSE actual_long END AS actual_long, CASE WHEN length(profile) % 2 = 0 OR seq % 4 = 0 THEN elapsed_ms * 3 + 600 ELSE elapsed_ms END AS elapsed_ms"),
 )
 def a13(t: Tables) -> DataFrame:
-    summary = evaluation.benchmark_summary(results(t), ["profile"])
-    gate = evaluation.promotion(summary, summary, ["profile"])
-    return gate.select("profile", "approved", joined(F.col("reasons")).alias("reasons"))
+    """A candidate that puts short codes among the long ones and is slower on some profiles."""
+    slower = (F.length("profile") % 2 == 0) | (F.col("seq") % 4 == 0)
+    return _gate(t, {
+        "actual_long": F.when(F.col("seq") % 3 == 1, F.col("expected_short")).otherwise(F.col("actual_long")),
+        "elapsed_ms": F.when(slower, F.col("elapsed_ms") * 3 + 600).otherwise(F.col("elapsed_ms")),
+    })
 
 
-@query("A13_promotion_gate_improved")
+@query("A13_promotion_gate_improved", _gate_sql("CASE WHEN seq % 6 = 0 THEN expected_long ELSE actual_long END AS actual_long"))
 def a13b(t: Tables) -> DataFrame:
-    base = evaluation.benchmark_summary(results(t), ["profile"])
-    better = results(t).withColumns({"actual_long": F.when(F.col("seq") % 6 == 0, F.col("expected_long")).otherwise(F.col("actual_long"))})
-    gate = evaluation.promotion(base, evaluation.benchmark_summary(better, ["profile"]), ["profile"])
-    return gate.select("profile", "approved", joined(F.col("reasons")).alias("reasons"))
+    return _gate(t, {"actual_long": F.when(F.col("seq") % 6 == 0, F.col("expected_long")).otherwise(F.col("actual_long"))})
 
 
 @query(

@@ -368,7 +368,16 @@ def w9b(t: Tables) -> DataFrame:
     return ledger.live(t.ledger_input).groupBy("chat_id").agg(F.max("id").alias("id"))
 
 
-@query("W9_void_last_commands")
+@query(
+    "W9_void_last_commands",
+    """WITH RECURSIVE l AS (SELECT -(user_id % 20 + 1) AS chat_id, event_id AS seq, CASE WHEN event_type <> 'error' THEN event_id END AS entry_id FROM @events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY seq) AS i FROM l),
+    w AS (SELECT chat_id, 0::BIGINT AS i, 0::BIGINT AS seq, true AS pushed, NULL::BIGINT AS voided_id, []::BIGINT[] AS stack FROM n GROUP BY chat_id
+      UNION ALL SELECT n.chat_id, n.i, n.seq, n.entry_id IS NOT NULL, CASE WHEN n.entry_id IS NULL THEN w.stack[len(w.stack)] END,
+        CASE WHEN n.entry_id IS NOT NULL THEN list_append(w.stack, n.entry_id) ELSE w.stack[1:greatest(len(w.stack) - 1, 0)] END
+      FROM w JOIN n ON n.chat_id = w.chat_id AND n.i = w.i + 1)
+    SELECT chat_id, seq, voided_id FROM w WHERE NOT pushed""",
+)
 def w9c(t: Tables) -> DataFrame:
     log = t.events.select(
         (-(F.col("user_id") % 20 + 1)).alias("chat_id"), F.col("event_id").alias("seq"),

@@ -212,7 +212,12 @@ def t5(t: Tables) -> DataFrame:
     return stats.pages(t.customer.select(F.col("c_custkey").alias("user_id")), "user_id")
 
 
-@query("T4_limit_short_codes")
+@query(
+    "T4_limit_short_codes",
+    """WITH c AS (SELECT event_id, [code_s, code_s || '?', reverse(code_s), substr(code_a, 8, 14)] AS cs, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS k FROM audit_base),
+    x AS (SELECT *, list_filter(cs, lambda c: NOT ends_with(c, '?')) AS exact FROM c)
+    SELECT event_id, array_to_string(CASE WHEN k IS NULL OR len(cs) <= k THEN cs WHEN len(exact) >= k THEN exact[1:k] ELSE cs[1:k] END, ',') AS codes FROM x""",
+)
 def t4(t: Tables) -> DataFrame:
     marked = t.audit_base.select(
         "event_id", F.array("code_s", F.concat("code_s", F.lit("?")), F.reverse("code_s"), F.substr("code_a", F.lit(8), F.lit(14))).alias("codes"),
