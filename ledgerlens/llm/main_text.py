@@ -30,13 +30,16 @@ MARKS = re.compile(
 LABELS = frozenset(("article", "main"))
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
 #: Weights of places and tags never seen in labelled pages, and bounds of the learned ones.
-WORD, FURNITURE_WORD, TAG, MOST, LEAST_TAG = 0.5, -1.0, 0.2, 3.0, 0.05
+WORD, LINK_WORD, FURNITURE_WORD, TAG, MOST, LEAST_TAG = 0.5, -0.5, -1.0, 0.2, 3.0, 0.05
+#: Class words that begin so speak of the page around an element, not of the element.
+ABOUT = ("has-", "with-", "without-", "no-")
 
 
 def parse(page: str | None):
     """(items, number of content elements): an item is ('tag', name, inside) or ('block', place, inside, text, furniture).
 
-    ``inside`` tells whether it stands within an element that labels content.
+    ``inside`` tells whether it stands within an element that labels content. Names of tags within furniture end in "!",
+    so that the lists of menus say nothing about lists in articles.
     """
     stack: list[tuple[str, bool, bool]] = []  # name, furniture from here on, content label from here on
     items, now, place, labels = [], [], "", 0
@@ -64,7 +67,7 @@ def parse(page: str | None):
         if not inline:
             end_block()
         inside = bool(stack) and stack[-1][2]
-        items.append(("tag", name if name in BLOCKS or inline else "other", inside))
+        items.append(("tag", (name if name in BLOCKS or inline else "other") + ("!" if stack and stack[-1][1] else ""), inside))
         if kind == "close":
             if any(x[0] == name for x in stack):
                 while stack.pop()[0] != name:
@@ -86,6 +89,7 @@ def parse(page: str | None):
         marks = attributes(rest)
         label = name in LABELS or marks.get("itemprop") == "articlebody" or marks.get("role") == "main"
         words = " ".join((marks.get("class", ""), marks.get("id", ""), marks.get("role", "")))
+        words = " ".join(w for w in words.split() if not w.startswith(ABOUT))
         hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
         furniture = furniture or name in FURNITURE or (name == "header" and not content) or hidden or (not label and name != "body" and bool(MARKS.search(words)))
         if label and not furniture and not content:
@@ -131,7 +135,12 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     items, _ = parse(page)
     best, best_range, total, start = 0.0, None, 0.0, 0
     for i, (feature, _, n) in enumerate(_features(items)):
-        default = -TAG if feature[0] == "<" else FURNITURE_WORD if feature[-1] == "!" else WORD
+        if feature[0] == "<":
+            default = -TAG
+        elif feature[-1] == "!":
+            default = FURNITURE_WORD
+        else:
+            default = LINK_WORD if feature.endswith("/a") and feature != "p/a" else WORD
         if total <= 0:
             total, start = 0.0, i
         total += n * weights.get(feature, default)

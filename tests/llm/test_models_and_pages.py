@@ -160,6 +160,16 @@ def test_main_text(spark):
     assert main_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_lists_stay_and_link_lists_go(spark):
+    tuned(spark)
+    page = PAGE.replace("<div class=\"ad\">", "<ul><li>item one here</li><li>item two</li></ul><div class=\"ad\">").replace("<p>Third&nbsp;one.</p>", "<ul><li>last item of all</li></ul>")
+    wrapped = "<body><div class='content has-sidebar'><p>Words of the text that stay.</p></div><ul><li><a href=x>more links</a></li><li><a href=y>and others</a></li></ul></body>"
+    rows = [(i, PAGE) for i in range(5)] + [(8, page), (9, wrapped)]
+    got = {r["page_id"]: r["text"] for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got[8] == TEXT.replace(" Third one.", " item one here item two last item of all")
+    assert got[9] == "Words of the text that stay."
+
+
 def test_best_region_equals_brute_force():
     weights = {"p": 1.0, "li": -1.0, "<p>": -0.45, "<li>": -2.0, "<ul>": -1.0}
     items = [("p", 3), ("li", 2), ("li", 4), ("p", 5), ("p", 1), ("li", 9), ("p", 2)]
