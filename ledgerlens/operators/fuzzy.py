@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import codes
 from ledgerlens.functions.extract import inside_any
 
-SEGMENT = 10
-
 
 def _masked(code: Column) -> Column:
     """The code with one position wiped, for every position."""
@@ -62,11 +60,20 @@ def drop_contained(short: Column, long_codes: Column) -> Column:
 
 
 def _segments(text: Column) -> Column:
-    count = F.ceil(F.length(text) / SEGMENT).cast("int")
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.concat(i.cast("string"), F.lit(":"), F.substr(text, (i - 1) * SEGMENT + 1, F.lit(SEGMENT))),
+    """Equal cuts of a hash, one more than the positions that may differ, for its own length and longer partners' lengths.
+
+    Of two hashes the longer one has n characters; above 95 percent at most ceil(n / 20) - 1 positions differ, missing
+    ones included, so one of the cuts made for n is the same in both.
+    """
+    size = F.length(text)
+    spare = lambda n: F.greatest(F.ceil(n / 20).cast("int") - 1, F.lit(0))
+    lengths = F.filter(F.sequence(size, size + F.floor(size / 19).cast("int") + 1), lambda n: n - size <= spare(n))
+    cut_at = lambda n, i: F.floor(n * i / (spare(n) + 1)).cast("int")
+    cuts = lambda n: F.transform(
+        F.sequence(F.lit(0), spare(n)),
+        lambda i: F.concat_ws(":", n.cast("string"), i.cast("string"), F.substr(text, cut_at(n, i) + 1, cut_at(n, i + 1) - cut_at(n, i))),
     )
+    return F.flatten(F.transform(lengths, cuts))
 
 
 def hash_core(font_hash: Column) -> Column:
@@ -83,8 +90,8 @@ def core_similarity(left: Column, right: Column) -> Column:
 def nearest_template(fonts: DataFrame, templates: DataFrame, threshold: float = 95.0) -> DataFrame:
     """Best enabled template per distinct font hash, strictly above the threshold; ties by name.
 
-    Above 95 percent fewer than one position in twenty differs, so at least one ten-character
-    segment is identical: an equi join on segments finds every match.
+    Above 95 percent fewer than one position in twenty differs, so at least one of the cuts in ``_segments`` is
+    identical: an equi join on them finds every match.
     """
     if threshold < 95:
         raise ValueError("segment blocking needs a threshold of at least 95")
@@ -99,7 +106,7 @@ def nearest_template(fonts: DataFrame, templates: DataFrame, threshold: float =
     )
     scored = pairs.withColumn("similarity", score).where(F.col("similarity") > threshold)
     best = scored.groupBy("font_hash").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "name", "template_hash")).alias("b"))
-    return best.select("font_hash", F.col("b.name").alias("template"), (-F.col("b.order")).cast("decimal(5,2)").alias("similarity"))
+    return best.select("font_hash", F.col("b.name").alias("template"), F.col("b.template_hash").alias("template_hash"), (-F.col("b.order")).cast("decimal(5,2)").alias("similarity"))
 
 
 def recover_prefix(lines: Column, existing: Column) -> Column:

@@ -95,7 +95,7 @@ def search(
     if unread_only:
         checks.append(~F.col("is_viewed") & ~F.col("is_stocked"))
     if text.strip():
-        fields = ("final_card", "ocr_original_card", "chat_title", "user_name", "display_chat_name", "display_user_name")
+        fields = ("final_card", "ocr_original_card", "chat_title", "user_name", "user_handle", "display_chat_name", "display_user_name")
         hit = F.lit(False)
         for name in fields:
             hit = hit | F.col(name).ilike(f"%{text.strip()}%")
@@ -163,36 +163,74 @@ def patch_verdicts(records: DataFrame, patches: DataFrame) -> DataFrame:
     return held.withColumn("accepted", accepted).drop("__held", "__start")
 
 
-def apply_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
+def _clears_ahead(good: DataFrame, clears: DataFrame) -> DataFrame:
+    """Add ``__clear``, the version of the next clear of the record's chat after each patch."""
+    marks = clears.select("chat_id", "version", F.col("version").alias("__at"))
+    both = good.unionByName(marks, allowMissingColumns=True).withColumn("__back", -F.col("version"))
+    ahead = running(both, ["chat_id"], "__back", [Running("__clear", "last", F.col("__at"), inclusive=False)])
+    return ahead.where("__at IS NULL").drop("__at", "__back")
+
+
+def apply_patches(records: DataFrame, patches: DataFrame, clears: DataFrame | None = None) -> DataFrame:
     """Final inventory state: every field takes its newest accepted value, with the implied changes.
 
     Redeeming clears the stock flag, stocking marks the row viewed, an edited code is no longer failed. A patch
     that sets nothing, or only puts the deleted flag where it stands already, does not move the change version.
+    ``clears(chat_id, version)`` delete all live rows of a chat at once; patches and clears share one sequence of
+    versions. A clear is never paired with all rows of its chat: a row only needs the first clear after each of its
+    deleted flags.
     """
     good = patch_verdicts(records, patches).where("accepted")
-    standing = records.select(F.col("id").alias("record_id"), F.col("is_deleted").alias("__deleted"))
-    good = running(good, ["record_id"], "version", [Running("__before", "last", F.col("deleted"), inclusive=False)]).join(standing, "record_id")
-    flips = F.coalesce(F.col("deleted") != F.coalesce("__before", "__deleted"), F.lit(False))
+    standing = records.select(F.col("id").alias("record_id"), "chat_id", F.col("is_deleted").alias("__deleted"))
+    good = good.join(standing, "record_id")
+    none = F.lit(None).cast("long")
+    if clears is None:
+        good, records = good.withColumn("__clear", none), records.withColumn("__first_clear", none)
+    else:
+        first = clears.groupBy("chat_id").agg(F.min("version").alias("__first_clear"))
+        good = _clears_ahead(good, clears).join(first, "chat_id", "left")
+        records = records.join(first, "chat_id", "left")
+    first_clear = F.col("__first_clear") if clears is not None else none
+    flag = F.col("deleted").isNotNull()
+    before = Running("__before", "last", F.when(flag, F.struct("deleted", "__clear")), inclusive=False)
+    good = running(good, ["record_id"], "version", [before])
+    if clears is None:
+        good = good.withColumn("__next", none)
+    else:
+        good = running(good.withColumn("__back", -F.col("version")), ["record_id"], "__back", [Running("__next", "last", F.when(flag, F.col("version")), inclusive=False)])
+    cleared = lambda deleted, clear: deleted | F.coalesce(clear < F.col("version"), F.lit(False))
+    was = F.when(F.col("__before").isNull(), cleared(F.col("__deleted"), first_clear)).otherwise(cleared(F.col("__before.deleted"), F.col("__before.__clear")))
+    flips = F.coalesce(F.col("deleted") != was, F.lit(False))
     given = ("final_card", "denomination", "redeemed", "invalid", "stocked", "viewed")
     good = good.withColumn("__moves", flips | F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in given], F.lit(False)))
     new_code = F.upper(F.trim("final_card"))
+    hit = ~F.col("deleted") & (F.col("__next").isNull() | (F.col("__clear") < F.col("__next")))
     assigned = good.select(
-        F.col("record_id").alias("id"), "version", "__moves", new_code.alias("final_card"), "denomination", "redeemed", "invalid", "deleted",
+        F.col("record_id").alias("id"), "version", "__moves", F.when(flag, F.struct("deleted", "__clear")).alias("flag"), F.when(hit, F.col("__clear")).alias("__hit"),
+        new_code.alias("final_card"), "denomination", "redeemed", "invalid", "deleted",
         F.coalesce("stocked", F.when(F.col("redeemed"), False)).alias("stocked"),
         F.coalesce("viewed", F.when(F.col("stocked"), True)).alias("viewed"),
         F.when(new_code != "", False).alias("failed"),
     )
-    fields = ("final_card", "denomination", "redeemed", "invalid", "deleted", "stocked", "viewed", "failed")
+    fields = ("final_card", "denomination", "redeemed", "invalid", "deleted", "stocked", "viewed", "failed", "flag")
     newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(f"__{c}") for c in fields]
-    folded = assigned.groupBy("id").agg(F.max(F.when(F.col("__moves"), F.col("version"))).alias("__version"), *newest)
+    folded = assigned.groupBy("id").agg(
+        F.max(F.when(F.col("__moves"), F.col("version"))).alias("__version"), F.max("__hit").alias("__hit"),
+        F.min(F.when(F.col("flag").isNotNull(), F.col("version"))).alias("__first_flag"), *newest,
+    )
     joined = records.join(folded, "id", "left")
     target = {
         "final_card": "final_card", "denomination": "denomination", "redeemed": "is_redeemed", "invalid": "is_invalid",
         "deleted": "is_deleted", "stocked": "is_stocked", "viewed": "is_viewed", "failed": "is_ocr_failed",
     }
     updates = {column: F.coalesce(f"__{field}", column) for field, column in target.items()}
-    updates["change_version"] = F.coalesce("__version", "change_version")
-    return joined.withColumns(updates).select(*records.columns)
+    last_clear = F.when(F.col("__flag").isNull(), F.col("__first_clear")).otherwise(F.col("__flag.__clear"))
+    updates["is_deleted"] = updates["is_deleted"] | last_clear.isNotNull()
+    # The first clear of all moves a row that was live from the start.
+    at_first = ~F.col("is_deleted") & (F.col("__first_flag").isNull() | (F.col("__first_clear") < F.col("__first_flag")))
+    moved = F.greatest("__version", "__hit", F.when(at_first, F.col("__first_clear")))
+    updates["change_version"] = F.coalesce(moved, "change_version")
+    return joined.withColumns(updates).select(*[c for c in records.columns if c != "__first_clear"])
 
 
 def current_operators(events: DataFrame) -> DataFrame:

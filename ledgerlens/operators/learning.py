@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import codes
 from ledgerlens.functions.extract import bind
 from ledgerlens.operators.blocks import first_per_key, running_number
+from ledgerlens.operators.fuzzy import nearest_template
 from ledgerlens.session import cut
 
 # Thresholds and pairs of the correction rules.
@@ -18,6 +19,7 @@ SAFE_SWAPS = (
     "9S", "S9", "96", "69", "0O", "O0", "1I", "I1", "5S", "S5", "8B", "B8", "39", "93", "JU",
 )
 CONFIRMED = ("confirmed_match", "confirmed_error")
+UNKNOWN_FONT = "unknown_font"
 
 
 def truth_sets(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def merge_profiles(updates: DataFrame) -> DataFrame:
 
 def missing_rules(outcomes: DataFrame) -> DataFrame:
     """Missing codes are learned once each, under the unknown font."""
-    return outcomes.where("outcome = 'missing'").select(F.lit("unknown_font").alias("font_hash"), F.concat(F.lit("missing:"), "truth").alias("key")).distinct()
+    return outcomes.where("outcome = 'missing'").select(F.lit(UNKNOWN_FONT).alias("font_hash"), F.concat(F.lit("missing:"), "truth").alias("key")).distinct()
 
 
 def templates(profiles: DataFrame, rules: DataFrame, samples: int = TEMPLATE_SAMPLES) -> DataFrame:
@@ -205,6 +207,24 @@ def rule_book(best: DataFrame) -> DataFrame:
     return books.withColumn("places", with_chains(F.col("places")))
 
 
+def gated_rules(rows: DataFrame, profiles: DataFrame, templates: DataFrame, books: DataFrame) -> DataFrame:
+    """Rows with ``font_places`` of their own font, ``template_places`` / ``template_letters`` of the nearest template, and ``similarity``.
+
+    A profile lends its rules if it is enabled and meant for long codes or any code, a template if it is enabled and
+    more than 95 percent similar. Without rules the arrays are empty: such a code stays as it is.
+    """
+    own = profiles.where(F.col("enabled") & F.coalesce(F.col("card_type") == "long", F.lit(True)) & (F.col("font_hash") != UNKNOWN_FONT)).select("font_hash")
+    own = own.join(books, "font_hash").select("font_hash", F.col("places").alias("font_places"))
+    near = nearest_template(profiles.select("font_hash"), templates)
+    by_template = books.select(F.col("font_hash").alias("template_hash"), F.col("places").alias("template_places"), F.col("letters").alias("template_letters"))
+    near = near.join(by_template, "template_hash", "left").select("font_hash", "similarity", "template_places", "template_letters")
+    held = profiles.select("font_hash").join(own, "font_hash", "left").join(near, "font_hash", "left")
+    joined = rows.join(held, "font_hash", "left")
+    place, letter = books.schema["places"].dataType, books.schema["letters"].dataType
+    empty = {"font_places": place, "template_places": place, "template_letters": letter}
+    return joined.withColumns({name: F.coalesce(name, F.array().cast(kind)) for name, kind in empty.items()})
+
+
 def with_chains(places: Column) -> Column:
     return F.transform(
         places,

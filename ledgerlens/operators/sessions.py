@@ -163,6 +163,14 @@ def relay_targets(relays: DataFrame, replies: DataFrame, days: int = 30) -> Data
     return replies.join(relays, "relay_id").where(alive)
 
 
+def sent_notices(notices: DataFrame, hours: int = 24) -> DataFrame:
+    """Notices to send: the first of an image, then the first after its entry in the sent set has expired.
+
+    All images are remembered for the whole time; there is no cap on their number.
+    """
+    return cooldown(notices, "image_id", hours * 3600)
+
+
 def high_water(messages: DataFrame) -> DataFrame:
     return messages.groupBy("chat_id").agg(F.max("message_id").alias("message_id"))
 
@@ -175,9 +183,17 @@ def joins(changes: DataFrame) -> DataFrame:
     return cooldown(entered, "chat_id")
 
 
-def joined_chats(changes: DataFrame) -> DataFrame:
-    """Active chats with their newest title and the first inviter as owner."""
+def joined_chats(changes: DataFrame, additions: DataFrame | None = None) -> DataFrame:
+    """Active chats with their newest title and the first inviter as owner.
+
+    ``additions(chat_id, seq, user_id)`` are new-member messages about the bot: they name an inviter outside the
+    cooldown and count as no join, so a chat known only from them has no title and 0 joins.
+    """
+    rows = joins(changes).select("chat_id", "seq", "title", "user_id", F.lit(1).alias("joined"))
+    if additions is not None:
+        rows = rows.unionByName(additions.where("user_id <> 0").select("chat_id", "seq", F.lit(None).cast("string").alias("title"), "user_id", F.lit(0).alias("joined")))
     inviter = F.when(F.col("user_id") != 0, F.col("user_id"))
-    return joins(changes).groupBy("chat_id").agg(
-        F.max_by("title", "seq").alias("title"), F.min_by(inviter, F.when(inviter.isNotNull(), F.col("seq"))).alias("owner_id"), F.count("*").alias("joins")
+    return rows.groupBy("chat_id").agg(
+        F.max_by("title", F.when(F.col("joined") == 1, F.col("seq"))).alias("title"),
+        F.min_by(inviter, F.when(inviter.isNotNull(), F.col("seq"))).alias("owner_id"), F.sum("joined").alias("joins"),
     )

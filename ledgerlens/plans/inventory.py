@@ -45,7 +45,7 @@ def j3(t: Tables) -> DataFrame:
 @query(
     "P2_inventory_search",
     f"""WITH {NAMED_SQL} SELECT id, final_card, display_chat_name FROM named WHERE NOT is_deleted AND NOT is_redeemed AND NOT is_viewed AND NOT is_stocked AND is_duplicate AND change_version > 500
-    AND (final_card ILIKE '%a2%' OR ocr_original_card ILIKE '%a2%' OR chat_title ILIKE '%a2%' OR user_name ILIKE '%a2%' OR display_chat_name ILIKE '%a2%' OR display_user_name ILIKE '%a2%')
+    AND (final_card ILIKE '%a2%' OR ocr_original_card ILIKE '%a2%' OR chat_title ILIKE '%a2%' OR user_name ILIKE '%a2%' OR user_handle ILIKE '%a2%' OR display_chat_name ILIKE '%a2%' OR display_user_name ILIKE '%a2%')
     ORDER BY message_date, message_id, image_index, display_order, id LIMIT 2000""",
 )
 def p2(t: Tables) -> DataFrame:
@@ -147,6 +147,22 @@ def w10b(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "W10_cleared_chats",
+    f"""WITH {PATCH_SQL}, c AS (SELECT r.id AS record_id, e.event_id * 2 + 1 AS version FROM card_record AS r JOIN @events AS e ON e.event_id % 97 = 5 AND r.chat_id = -(1000 + e.user_id % 5)),
+    g AS (SELECT record_id, version * 2 AS version, deleted, final_card IS NOT NULL OR denomination IS NOT NULL OR redeemed IS NOT NULL OR invalid IS NOT NULL OR stocked IS NOT NULL OR viewed IS NOT NULL AS sets FROM v WHERE accepted
+      UNION ALL SELECT record_id, version, true, false FROM c),
+    x AS (SELECT g.*, sets OR coalesce(g.deleted <> coalesce(last_value(g.deleted IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r.is_deleted), false) AS moves
+      FROM g JOIN card_record AS r ON r.id = g.record_id)
+    SELECT r.id, coalesce(max_by(x.deleted, x.version) FILTER (x.deleted IS NOT NULL), any_value(r.is_deleted)) AS is_deleted, coalesce(max(x.version) FILTER (moves), any_value(r.change_version)) AS change_version
+    FROM card_record AS r LEFT JOIN x ON x.record_id = r.id GROUP BY r.id""",
+)
+def w10c(t: Tables) -> DataFrame:
+    clears = t.events.where("event_id % 97 = 5").select((-(F.col("user_id") % 5) - 1000).alias("chat_id"), (F.col("event_id") * 2 + 1).alias("version"))
+    patches = t.patch_event.withColumn("version", F.col("version") * 2)
+    return inventory.apply_patches(t.card_record, patches, clears).select("id", "is_deleted", "change_version")
+
+
 @query(
     "W11_display_orders",
     "SELECT id, row_number() OVER (PARTITION BY chat_id ORDER BY id) * 1024 AS new_order FROM card_record",

@@ -84,7 +84,21 @@ def diffed(t: Tables) -> DataFrame:
     return learning.diff_with_truth(predicted, truth)
 
 
-@query("Q4_truth_diff")
+#: Confirmed codes choose one after the other; the state of a batch is the list of predictions already used.
+DIFF_SQL = """
+sh AS (SELECT batch_id, predicted AS code, min(seq) AS p FROM learning_pair GROUP BY ALL), go AS (SELECT batch_id, truth AS code, min(seq) AS t FROM learning_pair WHERE truth IS NOT NULL GROUP BY ALL),
+op AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY t) AS k FROM go ANTI JOIN sh USING (batch_id, code)), fr AS (SELECT * FROM sh ANTI JOIN go USING (batch_id, code)),
+ca AS (SELECT op.batch_id, k, op.code AS truth, list(fr.code ORDER BY hamming(op.code, fr.code), p) FILTER (fr.code IS NOT NULL) AS c
+  FROM op LEFT JOIN fr ON fr.batch_id = op.batch_id AND hamming(op.code, fr.code) <= 2 GROUP BY ALL),
+st AS (SELECT DISTINCT batch_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS truth, CAST(NULL AS VARCHAR) AS predicted FROM op UNION ALL
+  SELECT batch_id, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, truth, pick FROM (
+    SELECT ca.batch_id, ca.k, st.used, ca.truth, list_filter(ca.c, lambda x: NOT list_contains(st.used, x))[1] AS pick FROM st JOIN ca ON ca.batch_id = st.batch_id AND ca.k = st.k + 1) AS x),
+df AS (SELECT batch_id, code AS truth, code AS predicted, 'correct' AS outcome FROM go JOIN sh USING (batch_id, code)
+  UNION ALL SELECT batch_id, truth, predicted, CASE WHEN predicted IS NULL THEN 'missing' ELSE 'confused' END FROM st WHERE k > 0
+  UNION ALL SELECT batch_id, NULL, fr.code, 'false_positive' FROM fr ANTI JOIN (SELECT batch_id, predicted AS code FROM st WHERE predicted IS NOT NULL) AS u USING (batch_id, code))"""
+
+
+@query("Q4_truth_diff", f"WITH RECURSIVE {DIFF_SQL} SELECT batch_id, truth, predicted, outcome FROM df")
 def q4(t: Tables) -> DataFrame:
     return diffed(t)
 
@@ -125,7 +139,7 @@ def q5b(t: Tables) -> DataFrame:
     return learning.merge_profiles(profile_updates(t))
 
 
-@query("Q5_missing_rules")
+@query("Q5_missing_rules", f"WITH RECURSIVE {DIFF_SQL} SELECT DISTINCT 'unknown_font' AS font_hash, 'missing:' || truth AS key FROM df WHERE outcome = 'missing'")
 def q5c(t: Tables) -> DataFrame:
     return learning.missing_rules(diffed(t))
 
@@ -150,20 +164,22 @@ def q6b(t: Tables) -> DataFrame:
 
 
 def ruled(t: Tables) -> DataFrame:
-    """Predictions beside the rule book of their font; the books are one bounded row per font."""
-    book = learning.rule_book(learning.best_rules(learning.learned_rules(events(t))))
-    return t.wide.learning_pair.join(book, "font_hash", "left")
+    """Predictions beside the rules of their font's profile and of the nearest template; one bounded row per font."""
+    rules = learning.learned_rules(events(t))
+    book, heads = learning.rule_book(learning.best_rules(rules)), learning.merge_profiles(profile_updates(t))
+    pairs = t.wide.learning_pair
+    return learning.gated_rules(pairs, heads, learning.templates(heads, rules), book)
 
 
 @query("Q7_template_corrections")
 def q7(t: Tables) -> DataFrame:
     rows = ruled(t)
     safe = learning.safe_correction(
-        F.col("predicted"), F.col("places"), F.lit(100.0), F.when(F.col("seq") % 10 == 0, 50).otherwise(90), F.lit(80), F.lit(0), F.col("font_hash") != "font3"
+        F.col("predicted"), F.col("template_places"), F.col("similarity"), F.when(F.col("seq") % 10 == 0, 50).otherwise(90), F.lit(80), F.lit(0), F.col("font_hash") != "font3"
     )
     fixed = rows.select(
-        "seq", "predicted", learning.corrected_by_template(F.col("predicted"), F.col("places"), F.col("letters")).alias("by_template"),
-        learning.corrected_by_font(F.col("predicted"), F.col("places")).alias("by_font"), safe.alias("s"),
+        "seq", "predicted", learning.corrected_by_template(F.col("predicted"), F.col("template_places"), F.col("template_letters")).alias("by_template"),
+        learning.corrected_by_font(F.col("predicted"), F.col("font_places")).alias("by_font"), safe.alias("s"),
     )
     return fixed.select("seq", "by_template", "by_font", F.col("s.code").alias("safe_code"), F.col("s.reason").alias("reason"))
 
@@ -184,7 +200,7 @@ def font_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     SELECT font_hash, name AS template, CAST(sim AS DECIMAL(5,2)) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY font_hash ORDER BY sim DESC, name) AS r FROM p WHERE sim > 95) AS x WHERE r = 1""",
 )
 def j11(t: Tables) -> DataFrame:
-    return fuzzy.nearest_template(*font_tables(t))
+    return fuzzy.nearest_template(*font_tables(t)).drop("template_hash")
 
 
 CASE_SQL = """
@@ -234,7 +250,12 @@ def q11(t: Tables) -> DataFrame:
     return learning.upsert_models(current, changed.unionByName(off).unionByName(new))
 
 
-@query("A11_quality_report")
+@query(
+    "A11_quality_report",
+    f"""WITH RECURSIVE {DIFF_SQL}, c AS (SELECT batch_id, count(*) FILTER (outcome = 'correct') AS correct, count(predicted) AS predicted, count(truth) AS total FROM df GROUP BY batch_id)
+    SELECT batch_id, correct, predicted, total, CAST(coalesce(round_even(correct / nullif(predicted, 0), 4), 0) AS DECIMAL(20,4)) AS "precision", CAST(coalesce(round_even(correct / nullif(total, 0), 4), 0) AS DECIMAL(20,4)) AS recall,
+    CAST(CASE WHEN correct = 0 THEN 0 ELSE round_even(2 * correct / (predicted + total), 4) END AS DECIMAL(20,4)) AS f1 FROM c""",
+)
 def a11(t: Tables) -> DataFrame:
     return evaluation.quality_report(diffed(t), ["batch_id"])
 
@@ -246,12 +267,14 @@ def t3(t: Tables) -> DataFrame:
 
 @query(
     "A19_rule_totals",
-    f"""WITH {BEST_SQL}, {PROFILE_SQL}, h AS (SELECT font_hash, count(*) AS c, bool_and(enabled) AS en, max(ts) AS ls FROM pr GROUP BY font_hash)
+    f"""WITH RECURSIVE {BEST_SQL}, {PROFILE_SQL}, {DIFF_SQL}, mi AS (SELECT count(DISTINCT truth) AS n FROM df WHERE outcome = 'missing'), h AS (SELECT font_hash, count(*) AS c, bool_and(enabled) AS en, max(ts) AS ls FROM pr GROUP BY font_hash)
     SELECT (SELECT count(*) FROM h) AS profiles, (SELECT count(*) FROM h WHERE en) AS enabled_profiles, (SELECT CAST(sum(c) AS BIGINT) FROM h) AS samples, (SELECT max(ls) FROM h) AS last_seen,
-    (SELECT count(*) FROM ru) AS rules, (SELECT CAST(sum(n) AS BIGINT) FROM ru WHERE kind = 'pair') AS characters, CAST(0 AS BIGINT) AS missing""",
+    (SELECT count(*) FROM ru) + (SELECT n FROM mi) AS rules, (SELECT CAST(sum(n) AS BIGINT) FROM ru WHERE kind = 'pair') AS characters, (SELECT n FROM mi) AS missing""",
 )
 def a19(t: Tables) -> DataFrame:
-    return evaluation.rule_totals(learning.merge_profiles(profile_updates(t)), learning.learned_rules(events(t)))
+    missing = learning.missing_rules(diffed(t)).select("font_hash", F.lit("missing").alias("kind"), "key", F.lit(1).cast("long").alias("n"))
+    rules = learning.learned_rules(events(t)).unionByName(missing, allowMissingColumns=True)
+    return evaluation.rule_totals(learning.merge_profiles(profile_updates(t)), rules)
 
 
 @query(

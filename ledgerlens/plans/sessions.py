@@ -50,7 +50,19 @@ def bursts(t: Tables) -> DataFrame:
     return t.events.select((-(F.col("user_id") % 2)).alias("chat_id"), (F.col("user_id") % 3).alias("user_id"), F.col("event_id").alias("seq"), at.alias("ts"))
 
 
-@query("R2_rate_limit")
+BURST_SQL = """
+b AS (SELECT -(user_id % 2) AS chat_id, user_id % 3 AS user_id, event_id AS seq, event_id // 700 * 420000000 + event_id % 700 * 200000 AS micros, row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) AS k FROM @events)"""
+
+
+@query(
+    "R2_rate_limit",
+    f"""WITH RECURSIVE {BURST_SQL},
+    st AS (SELECT DISTINCT chat_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(m BIGINT, u BIGINT)[]) AS recent, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict FROM b UNION ALL
+      SELECT chat_id, k, CASE WHEN verdict = 'accepted' THEN list_append(live, {{'m': micros, 'u': user_id}}) ELSE live END, seq, verdict FROM (
+        SELECT *, CASE WHEN len(live) >= {sessions.CHAT_LIMIT} THEN 'chat_limit' WHEN len(list_filter(live, lambda r: r.u = user_id)) >= {sessions.USER_LIMIT} THEN 'user_limit' ELSE 'accepted' END AS verdict
+        FROM (SELECT b.*, list_filter(st.recent, lambda r: r.m >= b.micros - {sessions.WINDOW} * 1000000) AS live FROM st JOIN b ON b.chat_id = st.chat_id AND b.k = st.k + 1) AS x) AS y)
+    SELECT chat_id, seq, verdict FROM st WHERE k > 0""",
+)
 def r2(t: Tables) -> DataFrame:
     return sessions.rate_limit(bursts(t))
 
@@ -166,6 +178,16 @@ def r7(t: Tables) -> DataFrame:
     return sessions.relay_targets(sent, asked, 5).select("reply_id", "relay_id", "target_user")
 
 
+NOTICE_SQL = kept_sql("SELECT concat('img', user_id % 40) AS key, event_id AS seq, epoch_us(ts) AS t0 FROM @events WHERE event_type <> 'view'", 24 * 3_600_000_000)
+
+
+@query("R7_sent_notices", f"WITH RECURSIVE {NOTICE_SQL} SELECT key AS image_id, min(seq) AS seq FROM e JOIN k USING (key, t0) GROUP BY key, t0")
+def r7b(t: Tables) -> DataFrame:
+    image = F.concat(F.lit("img"), (F.col("user_id") % 40).cast("string"))
+    notices = t.events.where("event_type <> 'view'").select(image.alias("image_id"), F.col("event_id").alias("seq"), "ts")
+    return sessions.sent_notices(notices).select("image_id", "seq")
+
+
 @query("R8_high_water", "SELECT -(1000 + user_id % 5) AS chat_id, max(event_id) AS message_id FROM @events GROUP BY 1")
 def r8(t: Tables) -> DataFrame:
     return sessions.high_water(t.events.select((-(F.col("user_id") % 5 + 1000)).alias("chat_id"), F.col("event_id").alias("message_id")))
@@ -182,16 +204,18 @@ def r9(t: Tables) -> DataFrame:
 @query("R10_change_feed", "SELECT id, change_version FROM card_record")
 def r10(t: Tables) -> DataFrame:
     out = _out(t, "feed")
-    t.card_record.select("id", "change_version").write.parquet(f"{out}/input")
-    jobs.run(jobs.read_rows(t.spark, f"{out}/input"), out, each=jobs.change_feed_job(out))
+    # Several files, one a micro-batch, whose versions overlap.
+    t.card_record.select("id", "change_version").repartition(4, "id").write.parquet(f"{out}/input")
+    jobs.run(jobs.read_rows(t.spark, f"{out}/input", 1), out, each=jobs.change_feed_job(out))
     return t.spark.read.option("basePath", f"{out}/feed").parquet(f"{out}/feed/batch=*").select("id", "change_version")
 
 
 @query(
     "R11_joined_chats",
     f"""WITH RECURSIVE {kept_sql(JOINED_SQL, sessions.COOLDOWN * 1_000_000)},
-    j AS (SELECT e.key, min(seq) AS seq, arg_min(title, seq) AS title, arg_min(user_id, seq) AS user_id FROM e JOIN k USING (key, t0) GROUP BY e.key, t0)
-    SELECT key AS chat_id, arg_max(title, seq) AS title, arg_min(user_id, seq) FILTER (user_id <> 0) AS owner_id, count(*) AS joins FROM j GROUP BY key""",
+    j AS (SELECT e.key, min(seq) AS seq, arg_min(title, seq) AS title, arg_min(user_id, seq) AS user_id FROM e JOIN k USING (key, t0) GROUP BY e.key, t0),
+    a AS (SELECT key, seq, title, user_id, 1 AS joined FROM j UNION ALL SELECT -(user_id % 35), event_id, NULL, user_id, 0 FROM @events WHERE event_id % 9 = 2)
+    SELECT key AS chat_id, arg_max(title, seq) FILTER (joined = 1) AS title, arg_min(user_id, seq) FILTER (user_id <> 0) AS owner_id, CAST(sum(joined) AS BIGINT) AS joins FROM a GROUP BY key""",
 )
 def r11(t: Tables) -> DataFrame:
     kind = F.col("event_id") % 4
@@ -200,4 +224,5 @@ def r11(t: Tables) -> DataFrame:
         F.when(kind < 2, "left").otherwise("member").alias("old_status"), F.when(kind % 2 == 0, "member").otherwise("kicked").alias("new_status"),
         F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("title"), "user_id",
     )
-    return sessions.joined_chats(changes)
+    additions = t.events.where("event_id % 9 = 2").select((-(F.col("user_id") % 35)).alias("chat_id"), F.col("event_id").alias("seq"), "user_id")
+    return sessions.joined_chats(changes, additions)

@@ -174,6 +174,7 @@ VIEWS: dict[str, str] = {
         SELECT *, 2 AS delivery FROM ledger_message WHERE message_id % 13 = 0""",
     "card_record": """
         SELECT message_id * 4 + pos AS id, chat_id, chat_title, user_id, username AS user_name,
+               concat('a', CAST(user_id % 30 AS STRING)) AS user_handle,
                message_id, ts AS message_date, CAST(1 + message_id % 4 AS INT) AS image_index,
                CAST(pos AS INT) AS card_index, CAST(pos * 1024 AS BIGINT) AS display_order, code_type AS card_type,
                code AS ocr_original_card, CASE WHEN message_id % 23 = 0 THEN lower(code) ELSE code END AS final_card,

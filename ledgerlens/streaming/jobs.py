@@ -23,9 +23,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of parquet files as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def read_rows(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A folder of parquet files as a stream, at most ``files`` of them a micro-batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def event_time(rows: DataFrame, column: str, delay: str) -> DataFrame:
@@ -268,14 +269,23 @@ def alert_job(entries: DataFrame, closed: DataFrame, path: str, run_id: str) ->
 
 
 def change_feed_job(path: str) -> Callable[[DataFrame, int], None]:
-    """Push rows above the stored version cursor, then move the cursor."""
+    """Push rows above the stored version cursor, then move the cursor.
+
+    Files need not come in version order: a row at or below the cursor is late, not old, and is pushed unless an
+    earlier batch has pushed the same id and version. Only the part of the feed in the late rows' range is read for that.
+    """
 
     def push(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         cursor = 0
         if _exists(spark, f"{path}/cursor"):
             cursor = spark.read.parquet(f"{path}/cursor").where(F.col("batch") < epoch).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        fresh = batch.where(F.col("change_version") > cursor)
+        fresh, late = batch.where(F.col("change_version") > cursor), batch.where(F.col("change_version") <= cursor)
+        span = late.agg(F.min("change_version").alias("a"), F.max("change_version").alias("z")).first()
+        if span["a"] is not None:
+            feed = spark.read.option("basePath", f"{path}/feed").parquet(f"{path}/feed/batch=*")
+            pushed = feed.where((F.col("batch") < epoch) & F.col("change_version").between(span["a"], span["z"])).select("id", "change_version")
+            fresh = fresh.unionByName(late.join(pushed, ["id", "change_version"], "left_anti"))
         fresh.write.mode("overwrite").parquet(f"{path}/feed/batch={epoch}")
         top = fresh.agg(F.coalesce(F.max("change_version"), F.lit(cursor)).alias("version"))
         top.write.mode("overwrite").parquet(f"{path}/cursor/batch={epoch}")
