@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import candidates, codes, evidence, extract
+from ledgerlens.operators import images
 from ledgerlens.plans.codes import joined
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import payloads
@@ -261,30 +262,15 @@ def assemble(engines: DataFrame) -> DataFrame:
 
 @query("J12_image_sources")
 def j12(t: Tables) -> DataFrame:
-    """Payload evidence joined with the cloud reading of the image; first applicable rule decides."""
+    """Payload evidence joined with the cloud reading of the image, then the route of ``operators.images``."""
     parsed = t.wide.worker_payload.select("image_id", F.from_json("payload", payloads.WORKER).alias("p")).select(
         "image_id", payloads.scored_codes(F.col("p.cards")).alias("selected"), payloads.scored_codes(F.col("p.ocr_original.cards")).alias("first"),
         payloads.scored_codes(F.col("p.ocr_enhanced.cards")).alias("second"),
     )
-    both = parsed.join(readings(t).select("image_id", "remote", "cloud"), "image_id")
+    both = parsed.join(readings(t).select("image_id", "remote", "cloud", "strip_only"), "image_id")
     remote = F.col("remote").withField("cards", F.transform("selected", lambda s: s["code"])).withField("original", F.col("first")).withField("enhanced", F.col("second"))
-    rows = both.select("image_id", remote.alias("remote"), "cloud").withColumn("parts", _sections())
-    steps = (
-        ("clear", F.array(evidence.confirmed_clear(_remote()))),
-        ("dual_variant", evidence.complete_dual_variant(_remote())),
-        ("exact", F.array(evidence.exact_agreement(_remote(), _cloud()))),
-        ("cloud_slot", evidence.cloud_completes_slot(_remote(), _cloud())),
-        ("dual_variant_cloud", evidence.dual_variant(_remote(), _cloud())),
-        ("repeated", F.array(evidence.repeated_agreement(_remote(), F.col("parts"), F.array().cast(STRINGS)))),
-        ("merged", evidence.merge_near(F.col("remote.cards"), F.col("cloud.cards"))["cards"]),
-    )
-
-    def attempt(name: str, cards: Column) -> Column:
-        named = lambda found: F.when(F.size(found) > 0, F.struct(F.lit(name).alias("rule"), found.alias("codes")))
-        return extract.bind(F.array_compact(cards), named)
-
-    first = F.coalesce(*[attempt(name, cards) for name, cards in steps])
-    return rows.select("image_id", first.alias("f")).select("image_id", F.col("f.rule").alias("rule"), joined(F.col("f.codes")).alias("codes"))
+    routed = images.route_images(both.select("image_id", remote.alias("remote"), "cloud", F.col("strip_only").alias("strip")))
+    return routed.select("image_id", "rule", joined(F.col("codes")).alias("codes"), "uncertain", "review")
 
 
 @query(
