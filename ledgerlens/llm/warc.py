@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +70,35 @@ def response(url: str | None, page: bytes, key: str) -> bytes:
     }, block)
 
 
+def _unchunked(data: bytes) -> bytes:
+    """The parts of a chunked body joined; as it stands if it is not chunked after all, as some crawlers store it."""
+    parts, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = data[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return b"".join(parts) if parts and at >= len(data) else data
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(parts)
+        parts.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def entity(http: dict[str, str], payload: bytes) -> bytes:
+    """The payload without transfer and content coding; a coding that is unknown or does not fit leaves it as it is."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    for coding in reversed(http.get("content-encoding", "").lower().replace(" ", "").split(",")):
+        for window in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                payload = zlib.decompressobj(window).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
 def _decoded(http: dict[str, str], payload: bytes) -> str:
     found = CHARSET.search(http.get("content-type", "").encode()) or CHARSET.search(payload[:1024])
     try:
@@ -81,7 +111,8 @@ def derive(record: bytes | None) -> list[dict]:
     """The metadata and the conversion record of one response; nothing for other records.
 
     A malformed record gives one 'error' row with the reason and no bytes. Responses whose payload is no text have a
-    metadata record only.
+    metadata record only. Digests and lengths are those of the stored bytes; chunked, gzip and deflate bodies are opened
+    for the text.
     """
     try:
         headers, block = parse(record or b"")
@@ -101,7 +132,7 @@ def derive(record: bytes | None) -> list[dict]:
     out = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode())]
     kind = http.get("content-type", "text/html").lower()
     if kind.startswith("text/") or "html" in kind or "xml" in kind:
-        text = _decoded(http, payload)
+        text = _decoded(http, entity(http, payload))
         lines = plain_text(text) if "html" in kind or "xml" in kind else [x for x in (" ".join(y.split()) for y in text.splitlines()) if x]
         out.append(("conversion", "text/plain; charset=utf-8", "".join(f"{x}\n" for x in lines).encode()))
     rows = []
