@@ -87,11 +87,13 @@ def parse(page: str | None):
             links = sum(x[0] == "a" for x in stack)
         furniture, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         marks = attributes(rest)
-        label = name in LABELS or marks.get("itemprop") == "articlebody" or marks.get("role") == "main"
+        # An article within an article is a reader's comment or a teaser, as HTML itself says.
+        nested = name == "article" and any(x[0] == "article" for x in stack)
+        label = (name in LABELS and not nested) or marks.get("itemprop") == "articlebody" or marks.get("role") == "main"
         words = " ".join((marks.get("class", ""), marks.get("id", ""), marks.get("role", "")))
         words = " ".join(w for w in words.split() if not w.startswith(ABOUT))
         hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
-        furniture = furniture or name in FURNITURE or (name == "header" and not content) or hidden or (not label and name != "body" and bool(MARKS.search(words)))
+        furniture = furniture or nested or name in FURNITURE or (name == "header" and not content) or hidden or (not label and name != "body" and bool(MARKS.search(words)))
         if label and not furniture and not content:
             labels += 1
         stack.append((name, furniture, content or (label and not furniture)))

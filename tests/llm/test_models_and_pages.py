@@ -1,5 +1,6 @@
 """Models on held-out rows, media round trips, WARC links, page text, and the pipeline."""
 
+import gzip
 import hashlib
 import zlib
 
@@ -170,6 +171,32 @@ def test_lists_stay_and_link_lists_go(spark):
     assert got[9] == "Words of the text that stay."
 
 
+def test_articles_in_articles_are_comments(spark):
+    tuned(spark)
+    comment = "<section><h2>Replies</h2><article><p>A reader says a great many words that are not the text.</p></article></section></article>"
+    page = PAGE.replace("</article>", comment.replace("<h2>Replies</h2>", ""))
+    rows = [(i, PAGE) for i in range(5)] + [(8, page)]
+    got = {r["page_id"]: r["text"] for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got[8] == got[0] == TEXT
+
+
+def test_coded_bodies():
+    body = "<p>one two</p>".encode() * 40
+    raw_deflate = zlib.compressobj(wbits=-15)
+    chunked = b"".join(b"%x;q=1\r\n" % len(x) + x + b"\r\n" for x in (body[:100], body[100:])) + b"0\r\n\r\n"
+    cases = [
+        ({}, body), ({"transfer-encoding": "chunked"}, chunked), ({"transfer-encoding": "chunked"}, body), ({"content-encoding": "gzip"}, gzip.compress(body)),
+        ({"content-encoding": "gzip"}, body), ({"content-encoding": "deflate"}, zlib.compress(body)), ({"content-encoding": "deflate"}, raw_deflate.compress(body) + raw_deflate.flush()),
+        ({"content-encoding": "identity"}, body),
+    ]
+    for http, stored in cases:
+        assert warc.entity(http, stored) == body
+        fields = "".join(f"{k}: {v}\r\n" for k, v in http.items()).encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + fields + b"\r\n" + stored
+        meta, text = warc.derive(warc.build({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>"}, block))
+        assert warc.parse(text["record"])[1] == b"one two\n" * 40 and meta["source_payload_digest"] == warc.digest(stored)
+
+
 def test_best_region_equals_brute_force():
     weights = {"p": 1.0, "li": -1.0, "<p>": -0.45, "<li>": -2.0, "<ul>": -1.0}
     items = [("p", 3), ("li", 2), ("li", 4), ("p", 5), ("p", 1), ("li", 9), ("p", 2)]
