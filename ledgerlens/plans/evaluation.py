@@ -168,7 +168,10 @@ def s7(t: Tables) -> DataFrame:
     return files.first_filled([empty, short, long])
 
 
-@query("S8_nested_codes")
+@query(
+    "S8_nested_codes",
+    """SELECT event_id AS record_id, unnest([code_a, code_b, code_s]) AS code, 'unknown_font' AS font_hash, CAST(unnest([0, 1, 2]) AS INT) AS pos FROM audit_base""",
+)
 def s8(t: Tables) -> DataFrame:
     record = F.to_json(
         F.struct(

@@ -87,12 +87,22 @@ def e3(t: Tables) -> DataFrame:
     return readings(t).select("image_id", joined(evidence.complete_dual_variant(_remote())).alias("codes"))
 
 
-@query("E3_dual_variant_with_cloud")
+@query(
+    "E3_dual_variant_with_cloud",
+    """SELECT image_id, CASE WHEN two AND uncertain = 0 AND coalesce(expected, 2) = 2 AND variant_a = code_a AND cloud_a = code_a AND least(s1, s2, s3) >= 0.97 THEN concat(code_a, ',', code_b) END AS codes FROM evidence""",
+)
 def e3b(t: Tables) -> DataFrame:
     return readings(t).select("image_id", joined(evidence.dual_variant(_remote(), _cloud())).alias("codes"))
 
 
-@query("E4_ordered_subsets")
+@query(
+    "E4_ordered_subsets",
+    """WITH e AS (SELECT *, [code_a, code_b, code_s, cloud_a] AS w FROM evidence),
+    n AS (SELECT *, list_position(list_transform(w, lambda x: CASE WHEN length(x) = length(variant_a) THEN hamming(x, variant_a) <= 1 ELSE false END), true) AS nth FROM e)
+    SELECT image_id, coalesce(list_position(w[list_position(w, code_b) + 1:], cloud_a), 0) > 0 AS exact,
+    coalesce(list_position(list_transform(w[nth + 1:], lambda x: CASE WHEN length(x) = length(code_b) THEN hamming(x, code_b) <= 1 ELSE false END), true), 0) > 0 AS within_one,
+    coalesce(list_position(w[list_position(w, code_b) + 1:], code_a), 0) > 0 AS reversed FROM n""",
+)
 def e4(t: Tables) -> DataFrame:
     whole = F.array("code_a", "code_b", "code_s", "cloud_a")
     return t.wide.evidence.select(
@@ -103,7 +113,7 @@ def e4(t: Tables) -> DataFrame:
     )
 
 
-@query("E5_cloud_completes_slot")
+@query("E5_cloud_completes_slot", "SELECT image_id, CASE WHEN image_id % 2 = 0 THEN concat(code_a, ',', code_b, ',', substr(code_a, 1, 17), '22222') END AS codes FROM evidence")
 def e5(t: Tables) -> DataFrame:
     rows = readings(t)
     third = F.concat(F.left("code_a", F.lit(17)), F.lit("22222"))
@@ -151,7 +161,12 @@ def e7(t: Tables) -> DataFrame:
     )
 
 
-@query("E8_second_engine")
+@query(
+    "E8_second_engine",
+    """WITH a AS (SELECT *, image_id % 9 > 0 AND image_id % 8 > 0 AS act, cloud_a = code_b AS more FROM evidence)
+    SELECT image_id, CASE WHEN act THEN concat(variant_a, ',', code_b) ELSE '' END AS cpu_codes, act AS review, CASE WHEN NOT act THEN code_a WHEN more THEN concat(variant_a, ',', code_b) ELSE variant_a END AS codes,
+    CASE WHEN act THEN CAST(variant_a <> code_a AS INT) + CAST(more AS INT) ELSE 0 END AS resolved, coalesce(expected = 2 AND NOT unresolved AND uncertain = 0, false) AS structure_ok FROM a""",
+)
 def e8(t: Tables) -> DataFrame:
     cpu = F.struct(
         F.lit(True).alias("enabled"), (F.col("image_id") % 9 == 0).alias("shadow_only"), F.lit(True).alias("can_affect_result"), F.lit("strict").alias("confirmation_mode"),
@@ -168,7 +183,12 @@ def e8(t: Tables) -> DataFrame:
     )
 
 
-@query("E9_greedy_merge")
+@query(
+    "E9_greedy_merge",
+    """WITH v AS (SELECT *, variant_a <> code_a AS apart FROM evidence)
+    SELECT image_id, concat(code_a, ',', code_b) AS merged, CAST(apart AS INT) AS suppressed, code_a AS worker_codes, concat_ws(',', CASE WHEN apart THEN 'line_wrap_conflict' END, 'incomplete_text_line') AS dropped,
+    code_a AS settled, 1 + CAST(apart AS INT) AS uncertain FROM v""",
+)
 def e9(t: Tables) -> DataFrame:
     lines = F.array(F.concat(F.left("code_b", F.lit(16)), F.lit("-"), F.substr("code_b", F.lit(18), F.lit(2))))
     rows = t.wide.evidence.select(
@@ -194,7 +214,7 @@ def e11(t: Tables) -> DataFrame:
     return t.wide.evidence.select("image_id", best.alias("b")).select("image_id", "b.*")
 
 
-@query("E12_original_recovery")
+@query("E12_original_recovery", "SELECT image_id, 2 AS original_codes, 1 AS enhanced_codes, CASE WHEN least(s1, s3) >= 0.97 THEN concat(code_a, ',', code_b) ELSE '' END AS recovered FROM evidence")
 def e12(t: Tables) -> DataFrame:
     line = lambda text, score: F.struct(text.alias("text"), F.col(score).alias("score"))
     split = F.array(
