@@ -181,7 +181,8 @@ def apply_patches(records: DataFrame, patches: DataFrame, clears: DataFrame | No
     deleted flags.
     """
     good = patch_verdicts(records, patches).where("accepted")
-    standing = records.select(F.col("id").alias("record_id"), "chat_id", F.col("is_deleted").alias("__deleted"))
+    chat = [] if clears is None else ["chat_id"]
+    standing = records.select(F.col("id").alias("record_id"), *chat, F.col("is_deleted").alias("__deleted"))
     good = good.join(standing, "record_id")
     none = F.lit(None).cast("long")
     if clears is None:
