@@ -29,11 +29,12 @@ def _several(rule: str, found: Column) -> Column:
 
 def complement_reason(remote: Column) -> Column:
     """Why the cloud is asked to complete the primary reading, or null."""
-    seen = F.greatest(F.coalesce(extract.marker_count(remote["raw_text"]), F.lit(0)), F.coalesce(remote["expected"], F.lit(0)))
+    listed = F.size(remote["cards"])
     return (
         F.when(remote["unresolved"], "unresolved_fragment")
         .when(extract.needs_cloud_reading(remote["raw_text"]), "recovered_prefix")
-        .when(seen > F.size(remote["cards"]), "marker_count_above_codes")
+        .when(remote["expected"] > listed, "marker_count_above_codes")  # before the costly count
+        .when(extract.marker_count(remote["raw_text"]) > listed, "marker_count_above_codes")
     )
 
 
