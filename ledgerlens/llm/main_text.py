@@ -2,7 +2,7 @@
 
 Words score by the log odds of their place (enclosing block, link, furniture) and tags cost, both learned from pages
 that label their own content (one article, main or articleBody element). One linear scan finds the region of greatest sum; blocks
-of page furniture inside it are left out.
+of page furniture inside it are left out, and those amid the text cost nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ MARKS = re.compile(
 )
 LABELS = frozenset(("article", "main"))
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
+#: Elements that text is made of, unlike the ones that lay out a page.
+FLOW = frozenset("address blockquote caption center dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre summary details table tbody td tfoot th thead tr ul".split())
 #: Weights of places and tags never seen in labelled pages, and bounds of the learned ones.
 WORD, LINK_WORD, FURNITURE_WORD, TAG, MOST, LEAST_TAG = 0.5, -0.5, -1.0, 0.2, 3.0, 0.05
 #: Class words that begin so speak of the page around an element, not of the element.
@@ -36,20 +38,35 @@ ABOUT = ("has-", "with-", "without-", "no-")
 
 
 def parse(page: str | None):
-    """(items, number of content elements): an item is ('tag', name, inside) or ('block', place, inside, text, furniture).
+    """(items, number of content elements): an item is ('tag', name, inside, free) or ('block', place, inside, text, furniture, free).
 
     ``inside`` tells whether it stands within an element that labels content. Names of tags within furniture end in "!",
-    so that the lists of menus say nothing about lists in articles.
+    so that the lists of menus say nothing about lists in articles. ``free`` furniture stands amid the text: in an element
+    that labels content, or between two blocks of text of the parent of the furniture.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture from here on, content label from here on
-    items, now, place, labels = [], [], "", 0
+    stack: list[tuple] = []  # name, outermost furniture element it is in or 0, content label from here on, number of the element
+    items, owners, now, place, labels, opened = [], [], [], "", 0, 0
+    amid: dict[int, bool] = {}  # furniture elements: do they stand amid the text
+    waiting: list[tuple[int, int]] = []  # furniture elements after a block of text of their parent, and the parent
+    homes: set[int] = set()  # the elements that the last block of text is a part of
 
     def end_block():
-        nonlocal now
+        nonlocal now, homes, waiting
         text = tidy(now)
         if text:
-            furniture = bool(stack) and stack[-1][1]
-            items.append(("block", place, bool(stack) and stack[-1][2], text, furniture))
+            owner = stack[-1][1] if stack else 0
+            items.append(("block", place, bool(stack) and stack[-1][2], text, owner > 0))
+            owners.append(owner)
+            if not owner:
+                homes = set()
+                for x in reversed(stack):
+                    homes.add(x[3])
+                    if x[0] not in FLOW and x[0] not in INLINE:
+                        break
+                else:
+                    homes.add(0)
+                amid.update((f, True) for f, parent in waiting if parent in homes)
+                waiting = []
         now = []
 
     links = 0
@@ -66,12 +83,14 @@ def parse(page: str | None):
         inline = name in INLINE
         if not inline:
             end_block()
-        inside = bool(stack) and stack[-1][2]
-        items.append(("tag", (name if name in BLOCKS or inline else "other") + ("!" if stack and stack[-1][1] else ""), inside))
+        inside, owner = (stack[-1][2], stack[-1][1]) if stack else (False, 0)
+        items.append(("tag", (name if name in BLOCKS or inline else "other") + ("!" if owner else ""), inside))
+        owners.append(owner)
         if kind == "close":
             if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+                while (last := stack.pop())[0] != name:
                     pass
+                owners[-1] = last[1]
                 links = sum(x[0] == "a" for x in stack)
             continue
         if name in VOID or rest.rstrip().endswith("/"):
@@ -85,7 +104,7 @@ def parse(page: str | None):
                 while stack and stack[-1][0] in INLINE:
                     stack.pop()
             links = sum(x[0] == "a" for x in stack)
-        furniture, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        owner, content, parent = stack[-1][1:] if stack else (0, False, 0)
         marks = attributes(rest)
         # An article within an article is a reader's comment or a teaser, as HTML itself says.
         nested = name == "article" and any(x[0] == "article" for x in stack)
@@ -93,13 +112,18 @@ def parse(page: str | None):
         words = " ".join((marks.get("class", ""), marks.get("id", ""), marks.get("role", "")))
         words = " ".join(w for w in words.split() if not w.startswith(ABOUT))
         hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
-        furniture = furniture or nested or name in FURNITURE or (name == "header" and not content) or hidden or (not label and name != "body" and bool(MARKS.search(words)))
-        if label and not furniture and not content:
+        opened += 1
+        if not owner and (nested or name in FURNITURE or (name == "header" and not content) or hidden or (not label and name != "body" and bool(MARKS.search(words)))):
+            owner = owners[-1] = opened
+            amid[owner] = content
+            if parent in homes:
+                waiting.append((owner, parent))
+        if label and not owner and not content:
             labels += 1
-        stack.append((name, furniture, content or (label and not furniture)))
+        stack.append((name, owner, content or (label and not owner), opened))
         links += name == "a"
     end_block()
-    return items, labels
+    return [(*item, owner > 0 and amid[owner]) for item, owner in zip(items, owners)], labels
 
 
 def _features(items):
@@ -127,7 +151,8 @@ def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     counted = pick(pages, html_col).mapInArrow(count, "feature string, n_in long, n_out long").groupBy("feature").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
     weights = {}
     for r in counted.collect():
-        odds = max(-MOST, min(MOST, math.log((r["n_in"] + 1) / (r["n_out"] + 1))))
+        # Furniture is never put out, so it gains nothing.
+        odds = max(-MOST, min(0.0 if r["feature"].endswith("!") else MOST, math.log((r["n_in"] + 1) / (r["n_out"] + 1))))
         tag = r["feature"].startswith("<")
         weights[r["feature"]] = min(-LEAST_TAG, odds) if tag else odds
     return weights
@@ -143,6 +168,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             default = FURNITURE_WORD
         else:
             default = LINK_WORD if feature.endswith("/a") and feature != "p/a" else WORD
+        if items[i][-1]:  # furniture amid the text
+            continue
         if total <= 0:
             total, start = 0.0, i
         total += n * weights.get(feature, default)
