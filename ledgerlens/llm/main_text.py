@@ -42,22 +42,55 @@ def parse(page: str | None):
 
     ``inside`` tells whether it stands within an element that labels content. Names of tags within furniture end in "!",
     so that the lists of menus say nothing about lists in articles. ``free`` furniture stands amid the text: in an element
-    that labels content, or between two blocks of text of the parent of the furniture.
+    that labels content, or between two blocks of text of the parent of the furniture. A class, id or role word does
+    not make furniture of an element that holds the page's own content.
     """
-    stack: list[tuple] = []  # name, outermost furniture element it is in or 0, content label from here on, number of the element
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        items, labels, found = _parse(page, wrappers)
+        if not found:
+            return items, labels
+        wrappers |= found
+
+
+def _wrappers(candidates: list[list], rest: int) -> set[int]:
+    """The marked elements around the page's own content; ``rest`` words stand outside all furniture.
+
+    Those around main and articleBody are. Articles can be comments and teasers too: if all of them have marked elements
+    around them, it is the one with the fewest, then the longest, unless the rest of the page has more words.
+    """
+    found = {x for strong, _, marked, _ in candidates if strong for x in marked}
+    articles = [(len(marked), -n, marked) for _, article, marked, n in candidates if article]
+    if not found and articles:
+        around, n, marked = min(articles)
+        if around and -n >= rest:
+            return set(marked)
+    return found
+
+
+def _parse(page: str | None, wrappers: frozenset[int]):
+    """Items and number of content elements, and the elements to be taken for wrappers in another pass."""
+    # Name, outermost furniture element it is in or 0, content label from here on, number of the element, marked elements
+    # around its inside (None: it is furniture for another reason), the article it is in as an index of candidates.
+    stack: list[tuple] = []
+    candidates: list[list] = []  # labels: is it content for certain, is it an article or its body, marked elements around, words of an article
+    rest = 0
     items, owners, now, place, labels, opened = [], [], [], "", 0, 0
     amid: dict[int, bool] = {}  # furniture elements: do they stand amid the text
     waiting: list[tuple[int, int]] = []  # furniture elements after a block of text of their parent, and the parent
     homes: set[int] = set()  # the elements that the last block of text is a part of
 
     def end_block():
-        nonlocal now, homes, waiting
+        nonlocal now, homes, waiting, rest
         text = tidy(now)
         if text:
             owner = stack[-1][1] if stack else 0
             items.append(("block", place, bool(stack) and stack[-1][2], text, owner > 0))
             owners.append(owner)
+            if stack and stack[-1][5] is not None:
+                candidates[stack[-1][5]][3] += text.count(" ") + 1
             if not owner:
+                rest += text.count(" ") + 1
                 homes = set()
                 for x in reversed(stack):
                     homes.add(x[3])
@@ -70,7 +103,7 @@ def parse(page: str | None):
         now = []
 
     links = 0
-    for kind, name, rest in tokens(page or ""):
+    for kind, name, inner in tokens(page or ""):
         if kind == "text":
             if not now:
                 block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "body")
@@ -93,7 +126,7 @@ def parse(page: str | None):
                 owners[-1] = last[1]
                 links = sum(x[0] == "a" for x in stack)
             continue
-        if name in VOID or rest.rstrip().endswith("/"):
+        if name in VOID or inner.rstrip().endswith("/"):
             continue
         if not inline:
             # An open paragraph ends where a block begins, with the inline elements left open in it.
@@ -104,8 +137,8 @@ def parse(page: str | None):
                 while stack and stack[-1][0] in INLINE:
                     stack.pop()
             links = sum(x[0] == "a" for x in stack)
-        owner, content, parent = stack[-1][1:] if stack else (0, False, 0)
-        marks = attributes(rest)
+        owner, content, parent, marked, article = stack[-1][1:] if stack else (0, False, 0, (), None)
+        marks = attributes(inner)
         # An article within an article is a reader's comment or a teaser, as HTML itself says.
         nested = name == "article" and any(x[0] == "article" for x in stack)
         label = (name in LABELS and not nested) or marks.get("itemprop") == "articlebody" or marks.get("role") == "main"
@@ -113,17 +146,29 @@ def parse(page: str | None):
         words = " ".join(w for w in words.split() if not w.startswith(ABOUT))
         hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
         opened += 1
-        if not owner and (nested or name in FURNITURE or (name == "header" and not content) or hidden or (not label and name != "body" and bool(MARKS.search(words)))):
+        fixed = nested or name in FURNITURE or (name == "header" and not content) or hidden
+        mark = not label and name not in ("html", "body") and opened not in wrappers and bool(MARKS.search(words))
+        if fixed:
+            marked = None
+        elif marked is not None and mark:
+            marked = (*marked, opened)
+        elif marked is not None and label:
+            body = marks.get("itemprop") == "articlebody"
+            strong = name != "article" or body or marks.get("role") == "main"
+            if not strong:
+                article = len(candidates)
+            candidates.append([strong, body or not strong, marked, 0])
+        if not owner and (fixed or mark):
             owner = owners[-1] = opened
             amid[owner] = content
             if parent in homes:
                 waiting.append((owner, parent))
         if label and not owner and not content:
             labels += 1
-        stack.append((name, owner, content or (label and not owner), opened))
+        stack.append((name, owner, content or (label and not owner), opened, marked, article))
         links += name == "a"
     end_block()
-    return [(*item, owner > 0 and amid[owner]) for item, owner in zip(items, owners)], labels
+    return [(*item, owner > 0 and amid[owner]) for item, owner in zip(items, owners)], labels, _wrappers(candidates, rest)
 
 
 def _features(items):

@@ -44,3 +44,28 @@ def test_furniture_beside_the_text_still_cuts():
     weights = {"div": 0.5, "p": 1.0, "div!": -3.0}
     page = f"<body><div>{some(9, 'site')}</div>{AD}<div><p>{BODY}</p></div></body>"
     assert main_text.extract(page, weights) == BODY
+
+
+NAMES = ["layout-sidebar-right", "content-with-sidebar", "right-sidebar", "nav-open", "js-modal-open", "comment-enabled", "page-search"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_of_wrappers_cut_nothing(name):
+    weights = {"p": 1.0, "p!": -3.0, "h1": 1.0, "div": -1.0, "<div>": -3.0}
+    side = f"<div class='sidebar'><p>{some(50, 'side')}</p></div>"
+    for content in ("<main>%s</main>", "<article>%s</article>", "<div itemprop='articleBody'>%s</div>", "<div role='main'>%s</div>", "<main><article>%s</article></main>"):
+        inner = content % f"<h1>{HEAD}</h1><p>{BODY}</p>{AD}<p>{END}</p>"
+        within = f"<main><div class='{name}'>{inner}</div></main>" if "main" not in content else inner
+        for page in (f"<body><div class='{name}'>{inner}{side}</div></body>", f"<body><div id='x' class='wide {name}'><div id='{name}'>{side}<div>{inner}</div></div></div></body>", f"<html class='{name}'><body>{within}{side}</body></html>"):
+            assert main_text.parse(page)[1] == 1
+            assert main_text.extract(page, weights) == f"{HEAD} {BODY} {END}"
+
+
+def test_articles_in_marked_elements_stay_comments_and_teasers():
+    weights = {"p": 1.0, "p!": -3.0, "h1": 1.0, "div": -1.0}
+    said = "".join(f"<article><p>{some(30, f'says{i}x')}</p></article>" for i in range(3))
+    text = f"<h1>{HEAD}</h1><p>{BODY}</p>"
+    for box in ("id='comments'", "class='related-posts'", "class='sidebar'"):
+        others = f"<div {box}>{said}</div>"
+        for page in (f"<article>{text}</article>{others}", f"<main>{text}{others}</main>", f"<div>{text}</div>{others}", f"<div class='right-sidebar'><article>{text}</article>{others}</div>"):
+            assert main_text.extract(f"<body>{page}</body>", weights) == f"{HEAD} {BODY}"
