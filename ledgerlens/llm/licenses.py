@@ -72,15 +72,18 @@ def _band(minima: list[np.ndarray]) -> np.ndarray:
 
 
 class _Class:
-    """Templates of one number of shingles: how windows are cut, and their bands."""
+    """Templates of one number of shingles, all and different ones: how windows are cut, and their bands."""
 
-    def __init__(self, n: int, rows: int):
-        need = max(1, math.ceil(CONTAINMENT * n - 1e-9))
-        # Windows begin every ``step`` shingles and hold ``parts`` steps: some window holds any n shingles in a row.
+    def __init__(self, n: int, different: int, rows: int):
+        need = max(1, math.ceil(CONTAINMENT * different - 1e-9))
         self.step = max(BLOCK, n // 4 // BLOCK * BLOCK) if need < n else 1
-        self.parts = -(-(n + self.step - 1) // self.step)
+        #: A match may be spread over so many shingles.
+        self.spread = -(-(n + self.step - 1) // self.step) * self.step + different
+        # Windows begin every ``step`` shingles and hold ``parts`` steps, and one ends with the text: some window holds any
+        # ``spread`` shingles in a row.
+        self.parts = -(-(self.spread + self.step - 1) // self.step)
         self.width = self.parts * self.step
-        self.bands = bands_needed(1.0 if need == n == self.width else need / (self.width + n - need), rows)
+        self.bands = bands_needed(need / (self.width + different - need), rows)
         self.names: list[str] = []
         self.tables: list[tuple[np.ndarray, dict[int, list[str]]]] = []
 
@@ -97,8 +100,13 @@ class Scanner:
             self.shingles[name] = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
             hashed[name] = _hashes(words)
             n = len(words) - SHINGLE + 1
-            self.classes.setdefault(n, _Class(n, rows)).names.append(name)
-        self.bands = max(x.bands for x in self.classes.values())
+            different = len(self.shingles[name])
+            self.classes.setdefault((n, different), _Class(n, different, rows)).names.append(name)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed.values()]))
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.known >> np.uint64(48)] = True
+        self.reach = max((x.width for x in self.classes.values()), default=0)
+        self.bands = max((x.bands for x in self.classes.values()), default=0)
         self.factors = np.random.default_rng(5).integers(1, 1 << 63, self.bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for kind in self.classes.values():
             for band in range(kind.bands):
@@ -108,6 +116,19 @@ class Scanner:
     def _factors(self, band: int) -> np.ndarray:
         return self.factors[band * self.rows : (band + 1) * self.rows]
 
+    def _parts(self, shingles: np.ndarray):
+        """(begin, end) of the parts of a text that can share a band: those within reach of a shingle of some template.
+
+        Windows without such a shingle have another minimum than any template, so no match is lost.
+        """
+        at = np.flatnonzero(self.maybe[shingles >> np.uint64(48)])
+        at = at[np.isin(shingles[at], self.known)] if len(at) else at
+        if not len(at):
+            return
+        breaks = np.flatnonzero(np.diff(at) > 2 * self.reach)
+        for first, last in zip(at[np.append(0, breaks + 1)].tolist(), at[np.append(breaks, len(at) - 1)].tolist()):
+            yield max(0, first - self.reach), min(len(shingles), last + self.reach + 1)
+
     def _candidates(self, shingles: np.ndarray):
         """(class, first shingle of a window, template) wherever a window and a template share a band."""
         edges = np.arange(0, len(shingles), BLOCK)
@@ -118,16 +139,21 @@ class Scanner:
                 if band >= kind.bands:
                     continue
                 if kind.step == 1:
-                    minima, step = [_sliding_min(x, kind.width) for x in mixed], 1
+                    minima = [_sliding_min(x, kind.width) for x in mixed]
+                    starts = np.arange(len(minima[0]))
                 else:
-                    every = kind.step // BLOCK
-                    minima, step = [_sliding_min(x, kind.width // BLOCK)[::every] for x in low], kind.step
+                    minima = [_sliding_min(x, kind.width // BLOCK) for x in low]
+                    starts = np.arange(0, len(minima[0]), kind.step // BLOCK)
+                    if starts[-1] != len(minima[0]) - 1:
+                        starts = np.append(starts, len(minima[0]) - 1)  # the window that ends with the text
+                    minima = [x[starts] for x in minima]
+                    starts = starts * BLOCK
                 found = _band(minima)
                 keys, names = kind.tables[band]
                 hit = found == keys[0] if len(keys) == 1 else np.isin(found, keys)
                 for w in np.flatnonzero(hit).tolist():
                     for name in names[int(found[w])]:
-                        yield kind, w * step, name
+                        yield kind, int(starts[w]), name
 
     def __call__(self, data: bytes | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, last word, containment) of each occurrence, by place."""
@@ -135,15 +161,17 @@ class Scanner:
         if len(words) < SHINGLE:
             return []
         near: dict[str, set] = defaultdict(set)
-        width = {}
-        for kind, start, name in self._candidates(_hashes(words)):
-            near[name].add(start)
-            width[name] = kind.width
-        return sorted((x for name, starts in near.items() for x in self._verify(words, name, sorted(starts), width[name])), key=lambda x: (x[1], x[0]))
-
-    def _verify(self, words, name, starts, width):
+        kinds = {}
+        shingles = _hashes(words)
+        for begin, end in self._parts(shingles):
+            for kind, start, name in self._candidates(shingles[begin:end]):
+                near[name].add(begin + start)
+                kinds[name] = kind
+        return sorted((x for name, starts in near.items() for x in self._verify(words, name, sorted(starts), kinds[name])), key=lambda x: (x[1], x[0]))
+
+    def _verify(self, words, name, starts, kind):
         """Stretches of neighbouring windows are compared exactly; a stretch holds as many matches as fit apart."""
-        own = self.shingles[name]
+        own, width = self.shingles[name], kind.width
         stretches: list[list[int]] = []
         for s in starts:
             begin, end = max(0, s - width), s + 2 * width
@@ -157,7 +185,7 @@ class Scanner:
             while i < len(at):
                 # From here, up to a window and a template's length on, the different shingles met first.
                 seen, last, j = set(), i, i
-                while j < len(at) and at[j] - at[i] < width + len(own) and len(seen) < len(own):
+                while j < len(at) and at[j] - at[i] < kind.spread and len(seen) < len(own):
                     gram = tuple(words[at[j] : at[j] + SHINGLE])
                     if gram not in seen:
                         seen.add(gram)
