@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerlens.llm.common import folded_words, raw
+from ledgerlens.llm.license_texts import LINES, TEXTS
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Least probability that a window around a license shares a band with its template.
@@ -39,6 +40,17 @@ TEMPLATES = {
 }
 
 
+def common() -> dict[str, str]:
+    """TEMPLATES, and all further texts and lines of at least SHINGLE words whose words no other one has."""
+    out, seen = dict(TEMPLATES), {tuple(folded_words(x.encode())) for x in TEMPLATES.values()}
+    for name, text in {**TEXTS, **LINES}.items():
+        words = tuple(folded_words(text.encode()))
+        if len(words) >= SHINGLE and words not in seen:
+            seen.add(words)
+            out[name] = text
+    return out
+
+
 def bands_needed(jaccard: float, rows: int = ROWS, retrieval: float = RETRIEVAL) -> int:
     """Bands of ``rows`` minima so that a window of at least this similarity is retrieved with that probability."""
     hit = jaccard**rows
@@ -103,15 +115,19 @@ class Scanner:
             different = len(self.shingles[name])
             self.classes.setdefault((n, different), _Class(n, different, rows)).names.append(name)
         self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed.values()]))
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[self.known >> np.uint64(48)] = True
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.known >> np.uint64(44)] = True
         self.reach = max((x.width for x in self.classes.values()), default=0)
         self.bands = max((x.bands for x in self.classes.values()), default=0)
         self.factors = np.random.default_rng(5).integers(1, 1 << 63, self.bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for kind in self.classes.values():
+            every, begins = np.concatenate([hashed[x] for x in kind.names]), np.cumsum([0, *[len(hashed[x]) for x in kind.names[:-1]]])
             for band in range(kind.bands):
-                keys = [int(_band([(hashed[x] * f).min(keepdims=True) for f in self._factors(band)])[0]) for x in kind.names]
-                kind.tables.append((np.unique(np.array(keys, np.uint64)), {k: [x for x, y in zip(kind.names, keys) if y == k] for k in keys}))
+                keys = _band([np.minimum.reduceat(every * f, begins) for f in self._factors(band)])
+                names: dict[int, list[str]] = {}
+                for key, name in zip(keys.tolist(), kind.names):
+                    names.setdefault(key, []).append(name)
+                kind.tables.append((np.unique(keys), names))
 
     def _factors(self, band: int) -> np.ndarray:
         return self.factors[band * self.rows : (band + 1) * self.rows]
@@ -121,8 +137,9 @@ class Scanner:
 
         Windows without such a shingle have another minimum than any template, so no match is lost.
         """
-        at = np.flatnonzero(self.maybe[shingles >> np.uint64(48)])
-        at = at[np.isin(shingles[at], self.known)] if len(at) else at
+        at = np.flatnonzero(self.maybe[shingles >> np.uint64(44)])
+        if len(at):
+            at = at[self.known[np.minimum(np.searchsorted(self.known, shingles[at]), len(self.known) - 1)] == shingles[at]]
         if not len(at):
             return
         breaks = np.flatnonzero(np.diff(at) > 2 * self.reach)
@@ -150,7 +167,7 @@ class Scanner:
                     starts = starts * BLOCK
                 found = _band(minima)
                 keys, names = kind.tables[band]
-                hit = found == keys[0] if len(keys) == 1 else np.isin(found, keys)
+                hit = keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found
                 for w in np.flatnonzero(hit).tolist():
                     for name in names[int(found[w])]:
                         yield kind, int(starts[w]), name
@@ -167,7 +184,23 @@ class Scanner:
             for kind, start, name in self._candidates(shingles[begin:end]):
                 near[name].add(begin + start)
                 kinds[name] = kind
-        return sorted((x for name, starts in near.items() for x in self._verify(words, name, sorted(starts), kinds[name])), key=lambda x: (x[1], x[0]))
+        found = [x for name, starts in near.items() for x in self._verify(words, name, sorted(starts), kinds[name])]
+        found = [(name.partition("#")[0], *place) for name, *place in self._best(found)]
+        return sorted(dict.fromkeys(found), key=lambda x: (x[1], x[0]))
+
+    def _best(self, found):
+        """Of matches on the same words (half of the shorter one or more) the one with most shingles, so that a license is not
+        taken for its relatives; templates outside of the further texts and lines do not displace each other."""
+        kept = []
+        for x in sorted(found, key=lambda x: (-round(x[3] * len(self.shingles[x[0]])), -x[3], x[0], x[1])):
+            more = x[0] in TEXTS or x[0] in LINES
+            for y in kept:
+                shared = min(x[2], y[2]) - max(x[1], y[1]) + 1
+                if (more or y[0] in TEXTS or y[0] in LINES) and 2 * shared >= min(x[2] - x[1], y[2] - y[1]) + 1:
+                    break
+            else:
+                kept.append(x)
+        return kept
 
     def _verify(self, words, name, starts, kind):
         """Stretches of neighbouring windows are compared exactly; a stretch holds as many matches as fit apart."""
@@ -203,14 +236,16 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
 
     Words are folded as in the decontamination; a match holds at least 0.8 of the template's different five-word shingles within
     a window and the template's length. Null, empty and short texts match nothing. Repeated rows and overlapping templates each
-    give rows. The templates are a fixed set of a few kilobytes, checked to have five words at least.
+    give rows; of ``common()``, which holds without ``templates``, the further texts and lines give a row only where no other
+    match has more shingles of the same words, and then take the place of what has fewer. The templates are a fixed set of
+    some hundred kilobytes at most, checked to have five words at least.
     """
-    held = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
+    held = docs.sparkSession.sparkContext.broadcast(Scanner(templates or common(), rows))
     kept = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*kept, T.StructField("license", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("containment", T.DoubleType())])
 
     def scan(batches):
-        scanner = Scanner(held.value, rows)
+        scanner = held.value
         for batch in batches:
             found = [scanner(x) for x in raw(batch.column(text_col))]
             at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())

@@ -56,3 +56,37 @@ def test_windows_hold_every_run():
             starts.append(max(0, blocks - kind.width // licenses.BLOCK))
             for first in range(size - kind.spread + 1):
                 assert any(s * licenses.BLOCK <= first and first + kind.spread <= s * licenses.BLOCK + kind.width for s in starts)
+
+
+BSD_3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GNU = """This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version.
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {1} for more details."""
+KNOWN = [
+    ("Licensed under the MIT License.", "mit-notice"), ("This project is distributed under the MIT licence", "mit-notice"), ("licensed under CC BY 4.0", "cc-by-4.0-notice"), ("License: CC BY-SA 4.0", "cc-by-sa-4.0-notice"),
+    ("Text is available under the Creative Commons Attribution-ShareAlike License 3.0;", "cc-by-sa-3.0-notice"), ("see http://creativecommons.org/licenses/by-nc-nd/3.0/", "cc-by-nc-nd-3.0-notice"),
+    ("released under the GPL-2.0", "gpl-2.0-notice"), ("Released under the GNU General Public License version 2", "gpl-2.0-notice"), ("licensed under the LGPL v2.1", "lgpl-2.1-notice"), ("Licensed under the GNU Affero General Public License v3.0", "agpl-3.0-notice"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0-notice"), ("licensed under the Eclipse Public License 2.0", "epl-2.0-notice"), ("Released under CC0 1.0", "cc0-1.0-notice"), ("Licensed under Apache 2.0", "apache-2.0-notice"),
+    ("licensed under the BSD 3-Clause License", "bsd-3-clause-notice"), (BSD_3, "bsd-3-clause"), (BSD_3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "bsd-3-clause"), (BSD_3[: BSD_3.index("3. ")], "bsd-2-clause"),
+    (GNU.format("program", "General Public License", 2), "gpl-2.0"), (GNU.format("program", "General Public License", 3), "gpl-3.0"), (GNU.format("library", "Lesser General Public License", "2.1"), "lgpl-2.1"),
+    (GNU.format("library", "Lesser General Public License", 3), "lgpl-3.0"), (GNU.format("program", "Affero General Public License", 3), "agpl-3.0"),
+    ("To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work.", "cc0-1.0"), ("She was licensed under the law of that time and the old school", None),
+]
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return licenses.Scanner(licenses.common())
+
+
+@pytest.mark.parametrize("line,name", KNOWN)
+def test_common_wordings(scanner, line, name):
+    text = "Some words before it stand here. " + line + " And some words after it."
+    assert [x[0] for x in scanner(text.encode())] == ([name] if name else [])
+
+
+def test_first_templates_are_all_reported(scanner):
+    for name, text in licenses.TEMPLATES.items():
+        assert name in {x[0] for x in scanner(text.encode())}
