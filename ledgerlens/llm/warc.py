@@ -85,18 +85,41 @@ def _unchunked(data: bytes) -> bytes:
         at = end + 2 + n + 2
 
 
+def _inflated(data: bytes, window: int) -> tuple[bytes, bool]:
+    """All members of a stream joined, and whether the last one is whole; what follows that is no member is left out."""
+    parts = []
+    while True:
+        stream = zlib.decompressobj(window)
+        try:
+            parts.append(stream.decompress(data))
+        except zlib.error:
+            if not parts:
+                raise
+            return b"".join(parts), False
+        data = stream.unused_data
+        if not stream.eof or window != 31 or not data.startswith(b"\x1f\x8b"):
+            return b"".join(parts), stream.eof
+
+
 def entity(http: dict[str, str], payload: bytes) -> bytes:
     """The payload without transfer and content coding; a coding that is unknown or does not fit leaves it as it is."""
+    return _opened(http, payload)[0]
+
+
+def _opened(http: dict[str, str], payload: bytes) -> tuple[bytes, bool]:
+    """The entity, and whether its compressed streams are whole."""
+    whole = True
     if "chunked" in http.get("transfer-encoding", "").lower():
         payload = _unchunked(payload)
     for coding in reversed(http.get("content-encoding", "").lower().replace(" ", "").split(",")):
         for window in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
             try:
-                payload = zlib.decompressobj(window).decompress(payload)
+                payload, ended = _inflated(payload, window)
+                whole = whole and ended
                 break
             except zlib.error:
                 continue
-    return payload
+    return payload, whole
 
 
 def _decoded(http: dict[str, str], payload: bytes) -> str:
@@ -112,7 +135,7 @@ def derive(record: bytes | None) -> list[dict]:
 
     A malformed record gives one 'error' row with the reason and no bytes. Responses whose payload is no text have a
     metadata record only. Digests and lengths are those of the stored bytes; chunked, gzip and deflate bodies are opened
-    for the text.
+    for the text, and the metadata record says if such a stream ends early.
     """
     try:
         headers, block = parse(record or b"")
@@ -129,10 +152,13 @@ def derive(record: bytes | None) -> list[dict]:
         ("http-status-line", status.decode("latin-1")), *[(f"http-header-{k}", v) for k, v in http.items()], ("payload-length", str(len(payload))),
         ("payload-digest-valid", str(digest(payload) == payload_digest or not payload_digest.startswith("sha1:")).lower()),
     ]
+    body, ended = _opened(http, payload)
+    if not ended:
+        fields.append(("payload-coding-truncated", "true"))
     out = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode())]
     kind = http.get("content-type", "text/html").lower()
     if kind.startswith("text/") or "html" in kind or "xml" in kind:
-        text = _decoded(http, entity(http, payload))
+        text = _decoded(http, body)
         lines = plain_text(text) if "html" in kind or "xml" in kind else [x for x in (" ".join(y.split()) for y in text.splitlines()) if x]
         out.append(("conversion", "text/plain; charset=utf-8", "".join(f"{x}\n" for x in lines).encode()))
     rows = []
