@@ -37,19 +37,29 @@ def build(headers: dict[str, str], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def split_headers(data: bytes) -> tuple[bytes, dict[str, str], bytes]:
+class Headers(dict):
+    """The last value of each name, codings joined; ``pairs`` has all names and values in order."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        super().__init__()
+        self.pairs = pairs
+        for name, value in pairs:
+            self[name] = f"{self[name]}, {value}" if name in self and name.endswith("-encoding") else value
+
+
+def split_headers(data: bytes) -> tuple[bytes, Headers, bytes]:
     """First line, headers (names in lower case, folded lines joined) and the rest."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
-    headers = {}
+    pairs = []
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
         if colon:
-            headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return lines[0], headers, rest
+            pairs.append((name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace")))
+    return lines[0], Headers(pairs), rest
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+def parse(record: bytes) -> tuple[Headers, bytes]:
     """Headers and block of one record; ValueError if it is malformed or shorter than it says."""
     first, headers, rest = split_headers(record)
     if not first.startswith(b"WARC/"):
@@ -134,7 +144,7 @@ def derive(record: bytes | None) -> list[dict]:
     """The metadata and the conversion record of one response; nothing for other records.
 
     A malformed record gives one 'error' row with the reason and no bytes. Responses whose payload is no text have a
-    metadata record only. Digests and lengths are those of the stored bytes; chunked, gzip and deflate bodies are opened
+    metadata record only. That record has all headers of the source, repeated ones too. Digests and lengths are those of the stored bytes; chunked, gzip and deflate bodies are opened
     for the text, and the metadata record says if such a stream ends early.
     """
     try:
@@ -149,7 +159,7 @@ def derive(record: bytes | None) -> list[dict]:
     shared = {k: headers.get(k.lower()) for k in CARRIED}
     fields = [
         ("source-record-id", source), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-content-length", str(len(block))),
-        ("http-status-line", status.decode("latin-1")), *[(f"http-header-{k}", v) for k, v in http.items()], ("payload-length", str(len(payload))),
+        ("http-status-line", status.decode("latin-1")), *[(f"http-header-{k}", v) for k, v in http.pairs], *[(f"source-header-{k}", v) for k, v in headers.pairs], ("payload-length", str(len(payload))),
         ("payload-digest-valid", str(digest(payload) == payload_digest or not payload_digest.startswith("sha1:")).lower()),
     ]
     body, ended = _opened(http, payload)

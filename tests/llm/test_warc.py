@@ -19,3 +19,14 @@ def test_all_members_of_a_body():
         assert text == want and "truncated" not in meta
     meta, text = records(b"".join(parts)[:-12], coded)
     assert text.startswith("word 0\nword 1\n") and "payload-coding-truncated: true" in meta
+
+
+def test_all_headers_of_the_source():
+    more = {"WARC-Truncated": "length", "WARC-Warcinfo-ID": "<urn:info>", "WARC-Concurrent-To": "<urn:a>\r\nWARC-Concurrent-To: <urn:b>"}
+    meta, text = records(b"<p>one</p>", b"Set-Cookie: a=1\r\nSet-Cookie: b=2\r\nVia: x\r\nVia: y\r\n", **more)
+    lines = meta.split("\r\n")
+    for line in ("http-header-set-cookie: a=1", "http-header-set-cookie: b=2", "http-header-via: x", "http-header-via: y"):
+        assert lines.count(line) == 1
+    for line in ("warc-truncated: length", "warc-warcinfo-id: <urn:info>", "warc-concurrent-to: <urn:a>", "warc-concurrent-to: <urn:b>", "warc-type: response"):
+        assert lines.count(f"source-header-{line}") == 1
+    assert text == "one\n"
