@@ -94,10 +94,21 @@ def boxes(data: bytes, begin: int = 0, end: int | None = None, path: tuple = ())
 
 
 def probe(data: bytes) -> dict:
-    """Codec, duration, sample offsets and sizes, and keyframes of the first track; ValueError if it is malformed."""
-    found: dict[bytes, tuple[int, int]] = {}
+    """Codec, duration, sample offsets and sizes, and keyframes of the first track, and ``tracks``, the same of each track;
+    ValueError if one is malformed."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, begin, end in boxes(data):
-        found.setdefault(path[-1], (begin, end))
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif b"trak" in path:
+            tracks[-1].setdefault(path[-1], (begin, end))
+    if not tracks:
+        raise ValueError("no track")
+    made = [_track(data, found) for found in tracks]
+    return {**made[0], "tracks": made}
+
+
+def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
     try:
         begin, end = found[b"stsd"]
         codec = data[begin + 12 : begin + 16].decode("latin-1")
@@ -130,14 +141,17 @@ def probe(data: bytes) -> dict:
 
 
 def read(data: bytes) -> tuple[dict, bytes]:
-    """The probe and the samples' bytes in order."""
+    """The probe and the samples' bytes in order, track after track."""
     info = probe(data)
-    offsets, sizes = info["offsets"], info["sizes"]
+    return info, b"".join(_samples(data, x["offsets"], x["sizes"]) for x in info["tracks"])
+
+
+def _samples(data: bytes, offsets: np.ndarray, sizes: np.ndarray) -> bytes:
     if not len(sizes):
-        return info, b""
+        return b""
     breaks = np.flatnonzero(offsets[1:] != offsets[:-1] + sizes[:-1]) + 1
     starts, stops = np.append(0, breaks), np.append(breaks, len(sizes)) - 1
-    return info, b"".join(data[offsets[a] : offsets[b] + sizes[b]] for a, b in zip(starts, stops))
+    return b"".join(data[offsets[a] : offsets[b] + sizes[b]] for a, b in zip(starts, stops))
 
 
 COLUMNS = {
