@@ -17,6 +17,9 @@ from ledgerlens.session import shared_folder
 
 #: A document in some learned language comes nearer to its profile than this; less is no language.
 MIN_LANGUAGE_SCORE = 0.05
+#: A benchmark item of fewer words, such as an answer of one word, does not tell that a document holds it.
+MIN_ITEM_WORDS = 5
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _kept(docs: DataFrame, shielded: DataFrame, *names: str) -> DataFrame:
@@ -52,8 +55,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    rows = decontaminate.decontaminate(shield(docs, "text"), table(spark, sf_dir, "benchmark"))
+    """Documents that hold a window of a benchmark item of at least MIN_ITEM_WORDS words go."""
+    benchmark = table(spark, sf_dir, "benchmark").where(F.regexp_count("text", F.lit(ITEM_WORD)) >= MIN_ITEM_WORDS)
+    rows = decontaminate.decontaminate(shield(docs, "text"), benchmark)
     return _kept(docs, rows.where("n_hit = 0"), "text")
 
 
