@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language, licenses, main_text, media, mixing, quality, simhash, substrings, warc
+from ledgerlens.llm import decontaminate, language, licenses, main_text, media, mixing, quality, rules, simhash, substrings, warc
 from ledgerlens.llm.common import held_out, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ def op9(spark, folder):
 @query("op10_pivot_simhash")
 def op10(spark, folder):
     return simhash.components_of_documents(pick(table(spark, folder, "documents"), "doc_id", "text"))
+
+
+@query("op11_decision_list_rules")
+def op11(spark, folder):
+    out = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
