@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language, licenses, main_text, media, mixing, quality, rules, simhash, substrings, warc
+from ledgerlens.llm import collocations, decontaminate, language, licenses, main_text, media, mixing, quality, ranked, rules, simhash, substrings, warc
 from ledgerlens.llm.common import held_out, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,56 @@ def op10(spark, folder):
 def op11(spark, folder):
     out = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op12_dual_tree_search", """
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, row_number() OVER () AS q, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+sizes AS (SELECT doc_id, d, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+tfs AS (SELECT d, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(w) AS t FROM docs) GROUP BY d, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT t, CAST(count(*) AS BIGINT) AS df FROM tfs GROUP BY t), total),
+wanted AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(w) AS t FROM items) GROUP BY q, t),
+scores AS (
+  SELECT q, d, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (t) JOIN tfs USING (t) JOIN sizes USING (d), total GROUP BY q, d),
+ranks AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scores JOIN items USING (q) JOIN sizes USING (d) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranks WHERE rank <= 10""")
+def op12(spark, folder):
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_setm_collocations", """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS BIGINT) AS f
+  FROM words, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.w, at, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS at FROM candidates) AS c
+  JOIN grams AS x ON x.lang = c.lang AND x.k = at AND x.phrase = array_to_string(c.w[1:at], ' ')
+  JOIN grams AS y ON y.lang = c.lang AND y.k = c.k - at AND y.phrase = array_to_string(c.w[at + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, at) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS most
+  FROM candidates, unnest([1, 2]) AS t(s) WHERE k = 3 GROUP BY ALL),
+best AS (
+  SELECT weakest.* FROM weakest LEFT JOIN longer ON weakest.k = 2 AND weakest.lang = longer.lang AND weakest.phrase = longer.phrase
+  WHERE coalesce(most, 0) * 100 < a * 50),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranks JOIN totals USING (lang) WHERE rank <= 2000""")
+def op13(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
