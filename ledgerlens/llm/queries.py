@@ -163,11 +163,11 @@ grams AS (
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
 cuts AS (
-  SELECT c.lang, c.k, c.phrase, c.a, c.w, at, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS at FROM candidates) AS c
-  JOIN grams AS x ON x.lang = c.lang AND x.k = at AND x.phrase = array_to_string(c.w[1:at], ' ')
-  JOIN grams AS y ON y.lang = c.lang AND y.k = c.k - at AND y.phrase = array_to_string(c.w[at + 1:], ' ')),
-weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, at) = 1),
+  SELECT c.lang, c.k, c.phrase, c.a, c.w, c.place, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS place FROM candidates) AS c
+  JOIN grams AS x ON x.lang = c.lang AND x.k = c.place AND x.phrase = array_to_string(c.w[1:c.place], ' ')
+  JOIN grams AS y ON y.lang = c.lang AND y.k = c.k - c.place AND y.phrase = array_to_string(c.w[c.place + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, place) = 1),
 longer AS (
   SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS most
   FROM candidates, unnest([1, 2]) AS t(s) WHERE k = 3 GROUP BY ALL),
