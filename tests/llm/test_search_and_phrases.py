@@ -145,14 +145,26 @@ def test_collocations_equal_brute_force(spark, docs, monkeypatch):
     assert collocations.collocations(frame.where("text IS NULL OR text = ''")).count() == 0
 
 
-def test_shared_hashes_take_another_salt(spark, monkeypatch):
-    words = spark.createDataFrame([("en", f"w{i}", 1) for i in range(50)], "lang string, word string, n long")
-    hashed, salt, seed = collocations._identified(words)
-    assert salt == 0 and hashed.select("w0").distinct().count() == 50
-    import xxhash
-
-    expected = {np.uint64(xxhash.xxh64_intdigest(f"w{i}".encode(), seed)).astype(np.int64) for i in range(50)}
-    assert {r["w0"] for r in hashed.collect()} == expected
+def test_shared_hashes_take_another_salt(spark, docs, monkeypatch):
+    """Hashes of Spark and of the tasks are the same; where two words share one, all is read again with another salt."""
+    frame = docs(["a b c a", "b ä 漢字 a", None])
+    _, words = collocations._persisted(frame, "text", "lang", 100)
+    assert {(r["lang"], r["word"]): r["n"] for r in words.collect()}["en", "a"] == 2
+    ids = {}
+    salts = []
+
+    def occurrences(docs, seed, *rest, run=collocations.occurrences):
+        salts.append(seed)
+        blocks = run(docs, seed, *rest)
+        for r in blocks.collect():
+            ids[seed] = ids.get(seed, set()) | set(np.frombuffer(r["ids"], np.int64).tolist())
+        return blocks
+
+    monkeypatch.setattr(collocations, "occurrences", occurrences)
+    real = collocations.F.xxhash64
+    monkeypatch.setattr(collocations.F, "xxhash64", lambda *c: real(*c).bitwiseAND(1) if len(c) == 3 and len(salts) < 2 else real(*c))
+    _, words = collocations._persisted(frame, "text", "lang", 100)
+    assert len(salts) == 2 and {r["w0"] for r in words.collect()} == ids[salts[1]]
 
 
 def test_groups_and_bitmap(spark):
