@@ -20,7 +20,7 @@ from ledgerlens.llm.common import pick, with_columns
 from ledgerlens.llm.markup import INLINE, VOID, attributes, tidy, tokens
 
 #: Elements that hold no main text wherever they stand; a header inside the content element does.
-FURNITURE = frozenset("nav footer aside form button dialog menu head datalist fieldset legend".split())
+FURNITURE = frozenset("nav footer aside button dialog menu head datalist fieldset legend".split())
 #: Class, id and role words of page furniture, notices, adverts and reader comments.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|adbox|sponsor\w*|promo\w*|banner|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar"
@@ -35,6 +35,8 @@ FLOW = frozenset("address blockquote caption center dd dl dt figcaption figure h
 WORD, LINK_WORD, FURNITURE_WORD, TAG, MOST, LEAST_TAG = 0.5, -0.5, -1.0, 0.2, 3.0, 0.05
 #: Class words that begin so speak of the page around an element, not of the element.
 ABOUT = ("has-", "with-", "without-", "no-")
+#: A form of more words than the rest of the page, and of so many at least, is a page within a form.
+PAGE_FORM_WORDS = 50
 
 
 def parse(page: str | None):
@@ -43,7 +45,8 @@ def parse(page: str | None):
     ``inside`` tells whether it stands within an element that labels content. Names of tags within furniture end in "!",
     so that the lists of menus say nothing about lists in articles. ``free`` furniture stands amid the text: in an element
     that labels content, or between two blocks of text of the parent of the furniture. A class, id or role word does
-    not make furniture of an element that holds the page's own content.
+    not make furniture of an element that holds the page's own content, nor is a form furniture that holds it, or most
+    words of the page. Time follows the length of the page, however deep its elements are nested.
     """
     wrappers: frozenset[int] = frozenset()
     while True:
@@ -53,61 +56,99 @@ def parse(page: str | None):
         wrappers |= found
 
 
-def _wrappers(candidates: list[list], rest: int) -> set[int]:
+class _Open:
+    """An open element. ``marked`` is the chain (length, element, rest) of marked elements around its inside, None if
+    it is furniture for another reason; ``article`` is the one it is in, as an index of candidates; ``block`` names the
+    nearest element that is not inline, ``at`` is its place on the stack; ``anchor`` is the nearest one that lays out.
+    """
+
+    __slots__ = ("name", "owner", "content", "number", "marked", "article", "block", "at", "anchor")
+
+    def __init__(self, name, owner, content, number, marked, article, block, at, anchor):
+        self.name, self.owner, self.content, self.number, self.marked = name, owner, content, number, marked
+        self.article, self.block, self.at, self.anchor = article, block, at, anchor
+
+
+_NONE_MARKED = (0, 0, None)
+#: The page around all elements.
+_ROOT = _Open("", 0, False, 0, _NONE_MARKED, None, "body", -1, 0)
+
+
+def _chain(marked, found: set[int]) -> set[int]:
+    """Add the elements of a chain; one that was added has brought those around it."""
+    while marked[0] and marked[1] not in found:
+        found.add(marked[1])
+        marked = marked[2]
+    return found
+
+
+def _wrappers(candidates: list[list], rest: int, forms: dict[int, int]) -> set[int]:
     """The marked elements around the page's own content; ``rest`` words stand outside all furniture.
 
     Those around main and articleBody are. Articles can be comments and teasers too: if all of them have marked elements
-    around them, it is the one with the fewest, then the longest, unless the rest of the page has more words.
+    around them, it is the one with the fewest, then the longest, unless the rest of the page has more words. Without
+    such a label it is a form of more words (``forms``) than all outside of furniture.
     """
-    found = {x for strong, _, marked, _ in candidates if strong for x in marked}
-    articles = [(len(marked), -n, marked) for _, article, marked, n in candidates if article]
+    found: set[int] = set()
+    for strong, _, marked, _ in candidates:
+        if strong:
+            _chain(marked, found)
+    articles = [(marked[0], -n, marked) for _, article, marked, n in candidates if article]
     if not found and articles:
-        around, n, marked = min(articles)
+        around, n, marked = min(articles, key=lambda x: x[:2])
         if around and -n >= rest:
-            return set(marked)
+            return _chain(marked, found)
+    if not candidates:
+        return {form for form, n in forms.items() if n > max(rest, PAGE_FORM_WORDS - 1)}
     return found
 
 
 def _parse(page: str | None, wrappers: frozenset[int]):
     """Items and number of content elements, and the elements to be taken for wrappers in another pass."""
-    # Name, outermost furniture element it is in or 0, content label from here on, number of the element, marked elements
-    # around its inside (None: it is furniture for another reason), the article it is in as an index of candidates.
-    stack: list[tuple] = []
+    stack: list[_Open] = [_ROOT]
+    names: Counter = Counter()  # open elements by name
+    numbers: set[int] = {0}  # and by number
     candidates: list[list] = []  # labels: is it content for certain, is it an article or its body, marked elements around, words of an article
+    forms: dict[int, int] = {}  # words of the forms that are furniture
     rest = 0
     items, owners, now, place, labels, opened = [], [], [], "", 0, 0
     amid: dict[int, bool] = {}  # furniture elements: do they stand amid the text
-    waiting: list[tuple[int, int]] = []  # furniture elements after a block of text of their parent, and the parent
-    homes: set[int] = set()  # the elements that the last block of text is a part of
+    waiting: list[tuple[int, int, int]] = []  # furniture elements after a block of text of their parent; the parent, its anchor
+    home = (-1, -1)  # element and anchor of the last block of text: it is part of the elements between them
+
+    def part_of(parent: int, anchor: int) -> bool:
+        # What was opened after an element that is still open is inside of it.
+        return home[1] == anchor and home[0] >= parent and parent in numbers
 
     def end_block():
-        nonlocal now, homes, waiting, rest
+        nonlocal now, home, waiting, rest
         text = tidy(now)
         if text:
-            owner = stack[-1][1] if stack else 0
-            items.append(("block", place, bool(stack) and stack[-1][2], text, owner > 0))
-            owners.append(owner)
-            if stack and stack[-1][5] is not None:
-                candidates[stack[-1][5]][3] += text.count(" ") + 1
-            if not owner:
-                rest += text.count(" ") + 1
-                homes = set()
-                for x in reversed(stack):
-                    homes.add(x[3])
-                    if x[0] not in FLOW and x[0] not in INLINE:
-                        break
-                else:
-                    homes.add(0)
-                amid.update((f, True) for f, parent in waiting if parent in homes)
+            last, n = stack[-1], text.count(" ") + 1
+            items.append(("block", place, last.content, text, last.owner > 0))
+            owners.append(last.owner)
+            if last.article is not None:
+                candidates[last.article][3] += n
+            if last.owner in forms:
+                forms[last.owner] += n
+            if not last.owner:
+                rest += n
+                home = (last.number, last.anchor)
+                amid.update((f, True) for f, parent, anchor in waiting if part_of(parent, anchor))
                 waiting = []
         now = []
 
-    links = 0
+    def pop() -> _Open:
+        last = stack.pop()
+        names[last.name] -= 1
+        numbers.discard(last.number)
+        return last
+
     for kind, name, inner in tokens(page or ""):
         if kind == "text":
             if not now:
-                block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "body")
-                place = (block if block in BLOCKS else "other") + ("/a" if links else "")
+                block = stack[-1].block
+                place = (block if block in BLOCKS else "other") + ("/a" if names["a"] else "")
             now.append(name)
             continue
         if kind == "dead" or name == "br":
@@ -116,42 +157,43 @@ def _parse(page: str | None, wrappers: frozenset[int]):
         inline = name in INLINE
         if not inline:
             end_block()
-        inside, owner = (stack[-1][2], stack[-1][1]) if stack else (False, 0)
-        items.append(("tag", (name if name in BLOCKS or inline else "other") + ("!" if owner else ""), inside))
-        owners.append(owner)
+        last = stack[-1]
+        items.append(("tag", (name if name in BLOCKS or inline else "other") + ("!" if last.owner else ""), last.content))
+        owners.append(last.owner)
         if kind == "close":
-            if any(x[0] == name for x in stack):
-                while (last := stack.pop())[0] != name:
+            if names[name]:
+                while (gone := pop()).name != name:
                     pass
-                owners[-1] = last[1]
-                links = sum(x[0] == "a" for x in stack)
+                owners[-1] = gone.owner
             continue
         if name in VOID or inner.rstrip().endswith("/"):
             continue
         if not inline:
             # An open paragraph ends where a block begins, with the inline elements left open in it.
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-            if at >= 0 and (stack[at][0] == "p" or stack[at][0] == name == "li"):
-                del stack[at:]
-            elif stack and stack[-1][0] in INLINE and stack[-1][0] != "a":
-                while stack and stack[-1][0] in INLINE:
-                    stack.pop()
-            links = sum(x[0] == "a" for x in stack)
-        owner, content, parent, marked, article = stack[-1][1:] if stack else (0, False, 0, (), None)
+            at = last.at
+            if at >= 0 and (stack[at].name == "p" or stack[at].name == name == "li"):
+                while len(stack) > at:
+                    pop()
+            elif last.name in INLINE and last.name != "a":
+                while stack[-1].name in INLINE:
+                    pop()
+            last = stack[-1]
+        owner, content, marked, article = last.owner, last.content, last.marked, last.article
         marks = attributes(inner)
-        # An article within an article is a reader's comment or a teaser, as HTML itself says.
-        nested = name == "article" and any(x[0] == "article" for x in stack)
+        # An article within an article is a reader's comment or a teaser, as HTML itself says; a form within a form is none.
+        nested = name == "article" and names["article"] > 0
+        form = name == "form" and not names["form"]
         label = (name in LABELS and not nested) or marks.get("itemprop") == "articlebody" or marks.get("role") == "main"
         words = " ".join((marks.get("class", ""), marks.get("id", ""), marks.get("role", "")))
         words = " ".join(w for w in words.split() if not w.startswith(ABOUT))
         hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
         opened += 1
         fixed = nested or name in FURNITURE or (name == "header" and not content) or hidden
-        mark = not label and name not in ("html", "body") and opened not in wrappers and bool(MARKS.search(words))
+        mark = not label and name not in ("html", "body") and opened not in wrappers and (form or bool(MARKS.search(words)))
         if fixed:
             marked = None
         elif marked is not None and mark:
-            marked = (*marked, opened)
+            marked = (marked[0] + 1, opened, marked)
         elif marked is not None and label:
             body = marks.get("itemprop") == "articlebody"
             strong = name != "article" or body or marks.get("role") == "main"
@@ -159,16 +201,24 @@ def _parse(page: str | None, wrappers: frozenset[int]):
                 article = len(candidates)
             candidates.append([strong, body or not strong, marked, 0])
         if not owner and (fixed or mark):
-            owner = owners[-1] = opened
+            owner = opened
+            owners[-1] = opened
             amid[owner] = content
-            if parent in homes:
-                waiting.append((owner, parent))
+            if form and not fixed:
+                forms[owner] = 0
+            if part_of(last.number, last.anchor):
+                waiting.append((owner, last.number, last.anchor))
         if label and not owner and not content:
             labels += 1
-        stack.append((name, owner, content or (label and not owner), opened, marked, article))
-        links += name == "a"
+        lays_out = name not in FLOW and not inline
+        stack.append(_Open(
+            name, owner, content or (label and not owner), opened, marked, article, last.block if inline else name,
+            last.at if inline else len(stack), opened if lays_out else last.anchor,
+        ))
+        names[name] += 1
+        numbers.add(opened)
     end_block()
-    return [(*item, owner > 0 and amid[owner]) for item, owner in zip(items, owners)], labels, _wrappers(candidates, rest)
+    return [(*item, owner > 0 and amid[owner]) for item, owner in zip(items, owners)], labels, _wrappers(candidates, rest, forms)
 
 
 def _features(items):
@@ -229,10 +279,12 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace the html of each page by ``text``, its main text ('' if it has none).
 
-    Null and empty pages give ''. Repeated rows get a row each. Without labelled pages the fixed weights hold. Pages
-    are read twice, once to learn; the weights are one number for each tag and place name.
+    Null and empty pages give ''. Repeated rows get a row each. Without labelled pages the fixed weights hold. Other
+    columns stay, but for one that is named ``text`` itself. Pages are read twice, once to learn; the weights are one
+    number for each tag and place name.
     """
     held = pages.sparkSession.sparkContext.broadcast(learn(pages, html_col))
+    pages = pages.select(*[c for c in pages.columns if c == html_col or c.lower() != "text"])
     kept = [f for f in pages.schema.fields if f.name != html_col]
 
     def scan(batches):

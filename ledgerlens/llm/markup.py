@@ -5,11 +5,13 @@ from __future__ import annotations
 import html
 import re
 
+#: The inside of a tag. A quote opens a value only right after an equals sign.
+_REST = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
 #: Comments, elements whose content is no text, other tags, text. An unclosed comment, script or tag runs to the end.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<dead>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=dead)\s*>|\Z)|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<dead>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title|select)\b(?P<inner>" + _REST + r")(?:>(?:(?<=/>)|.*?(?:</(?P=dead)\s*>|\Z))|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>" + _REST + r")(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )

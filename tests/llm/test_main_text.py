@@ -69,3 +69,42 @@ def test_articles_in_marked_elements_stay_comments_and_teasers():
         others = f"<div {box}>{said}</div>"
         for page in (f"<article>{text}</article>{others}", f"<main>{text}{others}</main>", f"<div>{text}</div>{others}", f"<div class='right-sidebar'><article>{text}</article>{others}</div>"):
             assert main_text.extract(f"<body>{page}</body>", weights) == f"{HEAD} {BODY}"
+
+
+def test_quotes_open_values_only():
+    from ledgerlens.llm.markup import plain_text
+
+    assert plain_text("<p title=don't>Hello it's me</p><p>next</p>") == ["Hello it's me", "next"]
+    assert plain_text("<p title = \"a > b\">one</p><p a='x>y' b=\"'\">two</p><p \"odd\" 'x>three</p>") == ["one", "two", "three"]
+    assert plain_text("<script a=\"b>c\">no</script><script src=x/><p>yes</p><p a=\"never closed>tail</p>") == ["yes", "tail"]
+
+
+def test_a_page_within_a_form_keeps_its_text():
+    weights = {"p": 1.0, "h1": 1.0, "p!": -3.0, "<form>": -0.5}
+    nav = "<nav><a href=x>Home</a> <a href=y>News</a></nav>"
+    text = f"<h1>{HEAD}</h1><p>{BODY}</p>"
+    for inner in (f"<main>{text}</main>", f"<article>{text}</article>", f"<div>{text}</div>"):
+        page = f"<body><form id=aspnetForm>{nav}{inner}<aside>{some(20, 'side')}</aside></form></body>"
+        assert main_text.extract(page, weights) == f"{HEAD} {BODY}"
+    # A form of a page is still none of its text.
+    page = f"<body><div>{text}</div><form><p>{some(40, 'ask')}</p><label>{some(9, 'name')}</label></form></body>"
+    assert main_text.extract(page, weights) == f"{HEAD} {BODY}"
+
+
+def test_time_follows_the_length_however_deep(spark):
+    import time
+
+    weights = {"p": 1.0}
+    shapes = ["<div>", "<div class='menu x'>", "<blockquote><p>a b</p>", "<span>", "<a href=x>", "<article>", "<form>", "<ul><li>word", "<div><aside>x</aside>y"]
+    for shape in shapes:
+        page = shape * (200_000 // (shape.count("<") + 1)) + "<p>the end</p>"
+        start = time.time()
+        main_text.extract(page, weights)
+        assert time.time() - start < 20, shape
+
+
+def test_a_column_named_text_gives_way(spark):
+    tuned(spark)
+    pages = spark.createDataFrame([(1, USUAL, "old", 5)], "page_id long, html string, Text string, n long")
+    out = main_text.main_text(pages)
+    assert out.columns == ["page_id", "n", "text"] and out.first()["text"] == f"{HEAD} {BODY}"
