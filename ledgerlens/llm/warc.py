@@ -32,30 +32,50 @@ def record_id(*parts: bytes) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(b'|'.join(parts)).digest()[:16], version=5)}>"
 
 
+def _text(data: bytes) -> str:
+    """Header bytes as text that ``_wire`` turns into the same bytes, whatever their encoding."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _wire(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
+
+
+def _clean(text: str | None) -> str | None:
+    """For a string column: bytes that are no UTF-8 become replacement characters."""
+    return None if text is None else _wire(text).decode("utf-8", "replace")
+
+
 def build(headers: dict[str, str], block: bytes) -> bytes:
-    lines = [VERSION, *[f"{k}: {v}".encode() for k, v in headers.items() if v is not None], f"Content-Length: {len(block)}".encode()]
+    lines = [VERSION, *[_wire(f"{k}: {v}") for k, v in headers.items() if v is not None], f"Content-Length: {len(block)}".encode()]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 class Headers(dict):
-    """The last value of each name, codings joined; ``pairs`` has all names and values in order."""
+    """The last value of each name in lower case, codings joined; ``pairs`` has all names and values in order, as spelled."""
 
     def __init__(self, pairs: list[tuple[str, str]]):
         super().__init__()
         self.pairs = pairs
         for name, value in pairs:
+            name = name.lower()
             self[name] = f"{self[name]}, {value}" if name in self and name.endswith("-encoding") else value
 
 
+#: Headers end at the first empty line, be it ended by CRLF or by a bare LF.
+EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
+
+
 def split_headers(data: bytes) -> tuple[bytes, Headers, bytes]:
-    """First line, headers (names in lower case, folded lines joined) and the rest."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
+    """First line, headers (folded lines joined) and the rest. Lines end with CRLF or a bare LF."""
+    end = EMPTY_LINE.search(data)
+    head, rest = (data[: end.start()], data[end.end() :]) if end else (data, b"")
+    lines = re.split(rb"\r?\n", re.sub(rb"\r?\n[ \t]+", b" ", head))
     pairs = []
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
         if colon:
-            pairs.append((name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace")))
+            pairs.append((_text(name.strip()), _text(value.strip())))
     return lines[0], Headers(pairs), rest
 
 
@@ -132,8 +152,15 @@ def _opened(http: dict[str, str], payload: bytes) -> tuple[bytes, bool]:
     return payload, whole
 
 
+#: Byte order marks, which tell more than any header.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
 def _decoded(http: dict[str, str], payload: bytes) -> str:
-    found = CHARSET.search(http.get("content-type", "").encode()) or CHARSET.search(payload[:1024])
+    for mark, name in MARKS:
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(name, "replace")
+    found = CHARSET.search(_wire(http.get("content-type", ""))) or CHARSET.search(payload[:1024])
     try:
         return payload.decode(found[1].decode("latin-1") if found else "utf-8", "replace")
     except LookupError:
@@ -144,8 +171,9 @@ def derive(record: bytes | None) -> list[dict]:
     """The metadata and the conversion record of one response; nothing for other records.
 
     A malformed record gives one 'error' row with the reason and no bytes. Responses whose payload is no text have a
-    metadata record only. That record has all headers of the source, repeated ones too. Digests and lengths are those of the stored bytes; chunked, gzip and deflate bodies are opened
-    for the text, and the metadata record says if such a stream ends early.
+    metadata record only. That record has all headers of the source, repeated ones too, byte for byte, and a list of
+    their names as spelled. Digests and lengths are those of the stored bytes; chunked, gzip and deflate bodies are opened
+    for the text, and the metadata record says if such a stream ends early. Byte order marks are no text.
     """
     try:
         headers, block = parse(record or b"")
@@ -159,13 +187,14 @@ def derive(record: bytes | None) -> list[dict]:
     shared = {k: headers.get(k.lower()) for k in CARRIED}
     fields = [
         ("source-record-id", source), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-content-length", str(len(block))),
-        ("http-status-line", status.decode("latin-1")), *[(f"http-header-{k}", v) for k, v in http.pairs], *[(f"source-header-{k}", v) for k, v in headers.pairs], ("payload-length", str(len(payload))),
+        ("http-status-line", _text(status)), *[(f"http-header-{k.lower()}", v) for k, v in http.pairs], *[(f"source-header-{k.lower()}", v) for k, v in headers.pairs],
+        ("http-header-names", ", ".join(k for k, _ in http.pairs)), ("source-header-names", ", ".join(k for k, _ in headers.pairs)), ("payload-length", str(len(payload))),
         ("payload-digest-valid", str(digest(payload) == payload_digest or not payload_digest.startswith("sha1:")).lower()),
     ]
     body, ended = _opened(http, payload)
     if not ended:
         fields.append(("payload-coding-truncated", "true"))
-    out = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode())]
+    out = [("metadata", "application/warc-fields", _wire("".join(f"{k}: {v}\r\n" for k, v in fields)))]
     kind = http.get("content-type", "text/html").lower()
     if kind.startswith("text/") or "html" in kind or "xml" in kind:
         text = _decoded(http, body)
@@ -173,15 +202,15 @@ def derive(record: bytes | None) -> list[dict]:
         out.append(("conversion", "text/plain; charset=utf-8", "".join(f"{x}\n" for x in lines).encode()))
     rows = []
     for warc_type, content_type, body in out:
-        name = record_id(warc_type.encode(), source.encode(), body)
+        name = record_id(warc_type.encode(), _wire(source), body)
         made = digest(body)
         whole = build({
             "WARC-Type": warc_type, "WARC-Record-ID": name, "WARC-Refers-To": source, **shared, "WARC-Block-Digest": made,
             "X-Source-Block-Digest": block_digest, "X-Source-Payload-Digest": payload_digest, "Content-Type": content_type,
         }, body)
         rows.append({
-            "warc_type": warc_type, "record_id": name, "refers_to": source, "target_uri": shared["WARC-Target-URI"], "source_block_digest": block_digest,
-            "source_payload_digest": payload_digest, "block_digest": made, "content_length": len(body), "record": whole, "error": None,
+            "warc_type": warc_type, "record_id": name, "refers_to": _clean(source), "target_uri": _clean(shared["WARC-Target-URI"]), "source_block_digest": _clean(block_digest),
+            "source_payload_digest": _clean(payload_digest), "block_digest": made, "content_length": len(body), "record": whole, "error": None,
         })
     return rows
 
@@ -194,7 +223,11 @@ _ARROW = {"LongType": pa.int64(), "BinaryType": pa.binary(), "StringType": pa.st
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Replace url and html of each page by ``record``, a response record; null html is an empty payload, null url ''."""
+    """Replace url and html of each page by ``record``, a response record; null html is an empty payload, null url ''.
+
+    Other columns stay, but for one that is named ``record`` itself.
+    """
+    pages = pages.select(*[c for c in pages.columns if c.lower() != "record"])
     kept = [f for f in pages.schema.fields if f.name not in (url_col, html_col)]
 
     def scan(batches):
@@ -206,11 +239,13 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """One row of FIELDS for each record derived from a row of ``records``; its other columns are repeated.
+    """One row of FIELDS for each record derived from a row of ``records``; its other columns are repeated, but for those
+    that bear a name of FIELDS.
 
     Needs no shuffle: the link from a derivative to its source is the source's own identifier. Repeated rows give
     repeated derivatives with equal identifiers.
     """
+    records = records.select(record_col, *[c for c in records.columns if c != record_col and c.lower() not in FIELDS])
     kept = [f for f in records.schema.fields if f.name != record_col]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in FIELDS.items()])
 
