@@ -1,7 +1,7 @@
 """Media columns in ISO base media containers: boxes are walked and sample tables decoded, payloads are not.
 
 A payload is stored as mono 8-bit unsigned samples in fixed frames. ``probe`` reads any such file from its boxes
-alone: codec, duration, samples and the byte range of every keyframe.
+alone, those of fragments included: codec, duration, samples and the byte range of every keyframe.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ RATE = 8000
 FRAMES_PER_CHUNK = 64
 KEY_EVERY = 16
 #: Boxes that hold boxes.
-NESTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+NESTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Optional fields of a track fragment's header and of a run, by flag; the samples' own fields; what they say.
+FRAGMENT_FIELDS = ((0x1, "base", ">Q"), (0x2, "entry", ">I"), (0x8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I"))
+RUN_FIELDS, SAMPLE_FIELDS = ((0x1, "offset", ">i"), (0x4, "first", ">I")), ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift"))
+BASE_IS_FRAGMENT, NO_KEYFRAME = 0x20000, 0x10000
 
 
 def padded(data: bytes, unit: int = FRAME) -> bytes:
@@ -93,23 +97,92 @@ def boxes(data: bytes, begin: int = 0, end: int | None = None, path: tuple = ())
         begin = stop
 
 
+def _optional(data: bytes, at: int, flags: int, fields) -> tuple[dict, int]:
+    """The fields that the flags announce, and where they end."""
+    out = {}
+    for flag, name, kind in fields:
+        if flags & flag:
+            out[name] = struct.unpack_from(kind, data, at)[0]
+            at += struct.calcsize(kind)
+    return out, at
+
+
+class _Fragments:
+    """Samples of the fragments by track number: arrays of offsets, sizes and keyframes, and the time they last to."""
+
+    def __init__(self):
+        self.defaults: dict[int, dict] = {}
+        self.runs: dict[int, list] = {}
+        self.ends: dict[int, int] = {}
+        self.start = self.next = self.track = 0
+        self.now: dict = {}
+
+    def see(self, data: bytes, kind: bytes, begin: int, start: int) -> None:
+        """One box of a movie's fragments, in the order of the file; ``start`` is that of the last fragment's box."""
+        if kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, begin + 4)
+            self.defaults[track] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"moof":
+            self.start = self.next = start
+        elif kind == b"tfhd":
+            flags, self.track = struct.unpack_from(">II", data, begin)
+            own, _ = _optional(data, begin + 8, flags, FRAGMENT_FIELDS)
+            # Without a base of its own a track goes on where the one before it in the fragment ends.
+            base = own.pop("base", self.start if flags & BASE_IS_FRAGMENT else self.next)
+            self.now = {"duration": 0, "size": 0, "flags": 0, **self.defaults.get(self.track, {}), **own, "base": base}
+            self.next = base
+        elif kind == b"tfdt":
+            self.ends[self.track] = struct.unpack_from(">Q" if data[begin] else ">I", data, begin + 4)[0]
+        elif kind == b"trun":
+            self._run(data, begin)
+
+    def _run(self, data: bytes, begin: int) -> None:
+        flags, n = struct.unpack_from(">II", data, begin)
+        own, at = _optional(data, begin + 8, flags, RUN_FIELDS)
+        names = [name for flag, name in SAMPLE_FIELDS if flags & flag]
+        if at + 4 * n * len(names) > len(data):
+            raise ValueError("run overruns the file")
+        table = np.frombuffer(data, ">u4", n * len(names), at).astype(np.int64).reshape(n, len(names))
+        column = lambda name: table[:, names.index(name)] if name in names else np.full(n, self.now[name], np.int64)
+        sizes, says = column("size"), column("flags")
+        if n and "first" in own:
+            says = np.append(own["first"], says[1:])
+        start = self.now["base"] + own["offset"] if "offset" in own else self.next
+        offsets = start + np.cumsum(sizes) - sizes
+        self.next = int(start + sizes.sum())
+        self.ends[self.track] = self.ends.get(self.track, 0) + int(column("duration").sum())
+        self.runs.setdefault(self.track, []).append((offsets, sizes, says & NO_KEYFRAME == 0))
+
+
 def probe(data: bytes) -> dict:
-    """Codec, duration, sample offsets and sizes, and keyframes of the first track, and ``tracks``, the same of each track;
-    ValueError if one is malformed."""
+    """Codec, duration, sample offsets and sizes, and keyframes of the first track, and ``tracks``, the same of each track.
+
+    Samples of fragments follow those of the track's own tables. ValueError if a track is malformed.
+    """
     tracks: list[dict[bytes, tuple[int, int]]] = []
-    for path, begin, end in boxes(data):
-        if path[-1] == b"trak":
-            tracks.append({})
-        elif b"trak" in path:
-            tracks[-1].setdefault(path[-1], (begin, end))
+    fragments, end_before = _Fragments(), 0
+    try:
+        for path, begin, end in boxes(data):
+            if path[-1] == b"trak":
+                tracks.append({})
+            elif b"trak" in path:
+                tracks[-1].setdefault(path[-1], (begin, end))
+            else:
+                fragments.see(data, path[-1], begin, end_before)
+            if len(path) == 1:
+                end_before = end
+    except struct.error as problem:
+        raise ValueError(f"short fragment: {problem}") from None
     if not tracks:
         raise ValueError("no track")
-    made = [_track(data, found) for found in tracks]
+    made = [_track(data, found, fragments) for found in tracks]
     return {**made[0], "tracks": made}
 
 
-def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
+def _track(data: bytes, found: dict[bytes, tuple[int, int]], fragments: _Fragments) -> dict:
     try:
+        begin, _ = found.get(b"tkhd", (None, None))
+        number = 0 if begin is None else struct.unpack_from(">I", data, begin + (20 if data[begin] else 12))[0]
         begin, end = found[b"stsd"]
         codec = data[begin + 12 : begin + 16].decode("latin-1")
         begin, _ = found[b"mdhd"]
@@ -135,7 +208,11 @@ def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
     before = np.cumsum(sizes) - sizes
     first = np.searchsorted(chunk, np.arange(len(chunks)))
     offsets = chunks[chunk] + before - before[first][chunk] if n else before
-    if n and (offsets + sizes).max() > len(data):
+    for own_offsets, own_sizes, own_keys in fragments.runs.get(number, []):
+        keys = np.append(keys, len(sizes) + np.flatnonzero(own_keys))
+        offsets, sizes = np.append(offsets, own_offsets), np.append(sizes, own_sizes)
+    n, length = len(sizes), max(length, fragments.ends.get(number, 0))
+    if n and ((offsets + sizes).max() > len(data) or offsets.min() < 0):
         raise ValueError("samples lie outside the file")
     return {"codec": codec, "duration": length / scale if scale else 0.0, "offsets": offsets, "sizes": sizes, "keys": keys}
 
@@ -179,8 +256,10 @@ def describe(data: bytes | None, keep: bool = True) -> tuple:
 def media_columns(docs: DataFrame, text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """Replace the text by the COLUMNS of its stored form; with ``keep_media`` also the file and its keyframe ranges.
 
-    Null and empty texts are one frame of zero bytes. Equal texts give equal values; repeated rows get a row each.
+    Null and empty texts are one frame of zero bytes. Equal texts give equal values; repeated rows get a row each. Other
+    columns stay, but for those that bear a name of COLUMNS.
     """
+    docs = docs.select(text_col, *[c for c in docs.columns if c != text_col and c.lower() not in COLUMNS])
     kept = [f for f in docs.schema.fields if f.name != text_col]
 
     def scan(batches):
