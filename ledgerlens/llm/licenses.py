@@ -18,6 +18,8 @@ SHINGLE, CONTAINMENT = 5, 0.8
 #: Least probability that a window around a license shares a band with its template.
 RETRIEVAL = 0.999
 ROWS = 1
+#: Words of a stretch in which matches are compared with each other.
+PLACE = 64
 #: Shingles whose minimum is shared by all longer windows.
 BLOCK = 4
 
@@ -190,16 +192,19 @@ class Scanner:
 
     def _best(self, found):
         """Of matches on the same words (half of the shorter one or more) the one with most shingles, so that a license is not
-        taken for its relatives; templates outside of the further texts and lines do not displace each other."""
-        kept = []
+        taken for its relatives; templates outside of the further texts and lines do not displace each other. Only matches
+        that share a stretch of PLACE words are compared."""
+        kept, placed = [], defaultdict(list)
         for x in sorted(found, key=lambda x: (-round(x[3] * len(self.shingles[x[0]])), -x[3], x[0], x[1])):
             more = x[0] in TEXTS or x[0] in LINES
-            for y in kept:
-                shared = min(x[2], y[2]) - max(x[1], y[1]) + 1
-                if (more or y[0] in TEXTS or y[0] in LINES) and 2 * shared >= min(x[2] - x[1], y[2] - y[1]) + 1:
-                    break
-            else:
+            places = range(x[1] // PLACE, x[2] // PLACE + 1)
+            if not any(
+                (more or y[0] in TEXTS or y[0] in LINES) and 2 * (min(x[2], y[2]) - max(x[1], y[1]) + 1) >= min(x[2] - x[1], y[2] - y[1]) + 1
+                for place in places for y in placed[place]
+            ):
                 kept.append(x)
+                for place in places:
+                    placed[place].append(x)
         return kept
 
     def _verify(self, words, name, starts, kind):
@@ -234,6 +239,8 @@ class Scanner:
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, rows: int = ROWS) -> DataFrame:
     """One row for each license found: the other columns of ``docs``, ``license``, ``first_word``, ``last_word``, ``containment``.
 
+    Columns of ``docs`` that bear one of these four names give way.
+
     Words are folded as in the decontamination; a match holds at least 0.8 of the template's different five-word shingles within
     a window and the template's length. Null, empty and short texts match nothing. Repeated rows and overlapping templates each
     give rows; of ``common()``, which holds without ``templates``, the further texts and lines give a row only where no other
@@ -241,6 +248,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
     some hundred kilobytes at most, checked to have five words at least.
     """
     held = docs.sparkSession.sparkContext.broadcast(Scanner(templates or common(), rows))
+    docs = docs.select(text_col, *[c for c in docs.columns if c != text_col and c.lower() not in ("license", "first_word", "last_word", "containment")])
     kept = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*kept, T.StructField("license", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("containment", T.DoubleType())])
 

@@ -90,3 +90,40 @@ def test_common_wordings(scanner, line, name):
 def test_first_templates_are_all_reported(scanner):
     for name, text in licenses.TEMPLATES.items():
         assert name in {x[0] for x in scanner(text.encode())}
+
+
+def test_many_licenses_in_one_text():
+    import time
+
+    from ledgerlens.llm.license_texts import LINES
+
+    scanner = licenses.Scanner(licenses.common())
+    line = licenses.TEMPLATES["mit-notice"]
+    start = time.time()
+    found = scanner(" and then some other words. ".join([line] * 20_000).encode())
+    assert time.time() - start < 60
+    assert len(found) == 20_000 and {x[0] for x in found} == {"mit-notice"}
+    # Equal to comparing each match with all kept ones.
+    texts = [*list(LINES.values())[:60], *licenses.TEMPLATES.values()] * 2
+    words = licenses.folded_words(" ".join(texts).encode())
+    shingles, near, kinds = licenses._hashes(words), {}, {}
+    for kind, at, name in scanner._candidates(shingles):
+        near.setdefault(name, set()).add(at)
+        kinds[name] = kind
+    every = [x for name, starts in near.items() for x in scanner._verify(words, name, sorted(starts), kinds[name])]
+    extra = lambda x: x[0] in licenses.TEXTS or x[0] in licenses.LINES
+    kept = []
+    for x in sorted(every, key=lambda x: (-round(x[3] * len(scanner.shingles[x[0]])), -x[3], x[0], x[1])):
+        if not any((extra(x) or extra(y)) and 2 * (min(x[2], y[2]) - max(x[1], y[1]) + 1) >= min(x[2] - x[1], y[2] - y[1]) + 1 for y in kept):
+            kept.append(x)
+    assert scanner._best(every) == kept and len(kept) < len(every)
+
+
+def test_clashing_columns_give_way(spark):
+    from ledgerlens.llm.common import tuned
+
+    tuned(spark)
+    docs = spark.createDataFrame([(1, licenses.TEMPLATES["mit-notice"], "x", 2)], "doc_id long, text string, license string, Containment int")
+    out = licenses.scan_licenses(docs)
+    assert out.columns == ["doc_id", "license", "first_word", "last_word", "containment"]
+    assert [r["license"] for r in out.collect()] == ["mit-notice"]
