@@ -243,3 +243,28 @@ def test_band_settings():
 
 def test_digest_of_no_words():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_patterns_take_little_memory_and_steps_are_safe():
+    """Every step of the search is at most the one to the next occurrence; tables take some bytes a word."""
+    rng = random.Random(8)
+    items = [(str(i), t.encode()) for i, t in enumerate(random_texts(rng, 60, 40, 1, 60))]
+    items += [("twice", items[0][1]), ("0", items[0][1]), ("same", b"a a a a a a a a a a a a"), ("none", b" . ")]
+    patterns = decontaminate.Matchers(items)
+    assert [m.length for m in patterns.machines] == sorted({min(10, len(decontaminate.folded_words(t))) for _, t in items} - {0})
+    for text in [t for _, t in items[::5]] + [b"x " * 9 + items[1][1] + b" y " + items[2][1], b"a " * 40]:
+        words = decontaminate.folded_words(text)
+        for machine in patterns.machines:
+            m, want = machine.length, set()
+            for name, body in items:
+                own = decontaminate.folded_words(body)
+                if own and min(10, len(own)) == m:
+                    windows = {tuple(own[i : i + m]) for i in range(len(own) - m + 1)}
+                    want |= {(i + m, name) for i in range(len(words) - m + 1) if tuple(words[i : i + m]) in windows}
+            assert set(machine.search(patterns.ids(words))) == want
+    import pickle
+
+    large = [(str(i), t.encode()) for i, t in enumerate(random_texts(rng, 2000, 5000, 90, 110))]
+    n_words = sum(len(t.split()) for _, t in large)
+    patterns = decontaminate.Matchers(large)
+    assert len(pickle.dumps(patterns)) < 40 * n_words
