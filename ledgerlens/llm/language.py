@@ -21,7 +21,7 @@ from ledgerlens.llm.common import may_learn, with_columns
 PROFILE = 400
 #: Bound of the training sample: expected documents for each language, taken by a hash of the id.
 SAMPLE = 2000
-#: Most distinct values of the label column; it is a label, not free text.
+#: Most languages that are learned, the ones with most rows: a bound of the labelled rows. Stray labels are no languages.
 MAX_LANGUAGES = 2000
 UNDETERMINED = "und"
 
@@ -65,13 +65,12 @@ def most_frequent(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles: for each language its PROFILE most frequent grams, ties by gram.
 
-    Learned from rows with text and language whose id may be learned from, about ``sample`` of each language. Grams are
+    Learned from rows with text and language whose id may be learned from, about ``sample`` of each of the MAX_LANGUAGES
+    most frequent languages. Grams are
     counted in the tasks and summed by Spark; the driver gets PROFILE rows a language.
     """
     known = docs.where(may_learn(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} different languages")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return {}
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
