@@ -44,15 +44,21 @@ def _targets(sources: DataFrame, max_repeat: int) -> DataFrame:
     return rows.select("key", "source_size", F.least(F.col("final") * F.col("weight"), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """Per document: id, ``size`` in words, ``source_size``, ``target`` of its source, ``copies`` and ``taken`` words.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, max_repeat: int = MAX_REPEAT, whole: bool = False) -> DataFrame:
+    """Per document: id, source, ``size`` in words, ``source_size``, ``target`` of its source, ``copies`` and ``taken`` words.
+
+    With ``whole`` all columns of ``docs`` instead of id and source, but for those that bear one of the five names.
 
     Null and empty texts have size 0 and may be copied at no cost in words; a null source is a source of its own, last
     in order; a source without words has target 0 and no copies. Repeated rows count each. Empty tables give no rows.
     The sources' table has one row per source. Prefix sums run over size classes of a source, then over 256 hash
     blocks of a class, then inside a block, so a hot source or size is never one task.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    made = ("size", "source_size", "target", "copies", "taken")
+    others = [i for i, c in enumerate(docs.columns) if c.lower() not in made] if whole else []
+    numbered = docs.toDF(*[f"__d{i}" for i in range(len(docs.columns))])
+    own = lambda name: F.col(f"__d{docs.columns.index(name)}")
+    sized = numbered.select(own(id_col).alias("doc_id"), own(source_col).alias("source"), n_words(own(text_col)).alias("size"), *[f"__d{i}" for i in others])
     sized = sized.withColumns({
         # Sorts by code point, null last.
         "key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")),
@@ -76,7 +82,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     place = (F.col("class_before") + F.col("block_before") + F.col("rank")).cast("double")
     upto, before = F.floor(F.col("rate") * place + F.col("offset")), F.floor(F.col("rate") * (place - 1.0) + F.col("offset"))
     copies = (upto - before).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    kept = [F.col(f"__d{i}").alias(docs.columns[i]) for i in others] if whole else ["doc_id", "source"]
+    return out.select(*kept, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix_sql() -> str:

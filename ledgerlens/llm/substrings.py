@@ -13,6 +13,7 @@ around it in one bucket. Neither choice changes the result.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -296,9 +297,25 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return packed.repartition(n, "home").sortWithinPartitions("home").mapInArrow(cover, "id long, key long, ranges array<long>")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Words as ``bytes.split`` finds them.
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut_out(data: bytes, spans: list[int]) -> bytes:
+    """The text without the words of the spans: each goes with the white space behind it, all else stays as it is."""
+    places = [m.start() for m in WORDS.finditer(data)] + [len(data)]
+    parts, at = [], 0
+    for begin, end in zip(spans[::2], spans[1::2]):
+        parts.append(data[at : places[begin]])
+        at = places[end]
+    return b"".join([*parts, data[at:]])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_written: bool = False) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space) to each row.
 
+    With ``as_written`` the kept text is the text itself without the words that go, line breaks and all.
+
     A word goes if a window of K words covers it whose words also start in a row with a smaller id. Null ids count as
     larger than all others and equal ids never remove from each other. Null and empty texts have no words; rows of
     fewer than K words lose nothing; an empty table gives an empty one. Other columns pass through; they must not bear
@@ -316,6 +333,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for data, spans in zip(raw(batch.column(text_col)), batch.column("__ranges").to_pylist()):
                 words = data.split() if data else []
                 counts.append(len(words))
+                if as_written:
+                    removed.append(sum(spans[1::2]) - sum(spans[::2]) if spans else 0)
+                    texts.append(_cut_out(data, spans) if spans else data or b"")
+                    continue
                 for begin, end in reversed(list(zip(spans[::2], spans[1::2])) if spans else []):
                     del words[begin:end]
                 removed.append(counts[-1] - len(words))
