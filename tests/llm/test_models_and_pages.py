@@ -39,7 +39,7 @@ def test_same_rows_as_sql(spark, name):
 def test_all_registered():
     names = set(entry_module.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 14))
 
 
 def test_language_on_held_out_rows(spark):
