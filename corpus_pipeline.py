@@ -17,8 +17,9 @@ from ledgerlens.session import shared_folder
 
 #: A document in some learned language comes nearer to its profile than this; less is no language.
 MIN_LANGUAGE_SCORE = 0.05
-#: A benchmark item of fewer words, such as an answer of one word, does not tell that a document holds it.
-MIN_ITEM_WORDS = 5
+#: A benchmark item of fewer words, such as an answer of one word, stands in many texts. It tells on a document by its
+#: share of the words: at most this part of them is not from such items.
+SHORT_ITEM_WORDS, MOST_BESIDE = 5, 0.2
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -42,9 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go. A text that loses words becomes its kept words, joined by one space; emptied ones go."""
+    """Repeated passages go, and with them the white space behind; all else stays as written. Emptied texts go."""
     tuned(spark)
-    rows = substrings.remove_repeats(shield(docs, "doc_id", "text"))
+    rows = substrings.remove_repeats(shield(docs, "doc_id", "text"), as_written=True)
     rows = rows.where("n_removed = 0 OR n_removed < n_words")
     rows = rows.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
@@ -55,16 +56,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item of at least MIN_ITEM_WORDS words go."""
-    benchmark = table(spark, sf_dir, "benchmark").where(F.regexp_count("text", F.lit(ITEM_WORD)) >= MIN_ITEM_WORDS)
-    rows = decontaminate.decontaminate(shield(docs, "text"), benchmark)
-    return _kept(docs, rows.where("n_hit = 0"), "text")
+    """Documents go that hold a window of a benchmark item, or that short items make up all but MOST_BESIDE of."""
+    items = table(spark, sf_dir, "benchmark").withColumn("__words", F.regexp_count("text", F.lit(ITEM_WORD)))
+    long, short = items.where(F.col("__words") >= SHORT_ITEM_WORDS), items.where(F.col("__words").between(1, SHORT_ITEM_WORDS - 1))
+    rows = decontaminate.decontaminate(shield(docs, "text"), long.drop("__words")).where("n_hit = 0")
+    if not short.isEmpty():
+        rows = decontaminate.decontaminate(rows.drop("n_words", "n_hit", "item_ids", "spans"), short.drop("__words"))
+        rows = rows.where((F.col("n_hit") == 0) | (F.col("n_words") - F.col("n_hit") > F.col("n_words") * MOST_BESIDE))
+    return _kept(docs, rows, "text")
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its source's size and target, and how many copies and words the mix takes."""
+    """The documents with their sources' sizes and targets, and how many copies and words of each the mix takes."""
     tuned(spark)
-    return mixing.mix(shield(docs, "doc_id", "text", "source"))
+    return mixing.mix(docs, whole=True)
 
 
 STAGES = [
