@@ -27,7 +27,7 @@ MIN_COUNT, MAX_WORDS, LIMIT = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has so many percent of its occurrences.
 ABSORBED = 50
 #: Words of a block, words held over all languages of a task, words grouped at once, bytes of a long text split at once.
-BLOCK_WORDS, HELD_WORDS, GROUP_WORDS, CHUNK = 1 << 17, 1 << 20, 1 << 21, 1 << 20
+BLOCK_WORDS, HELD_WORDS, GROUP_WORDS, CHUNK = 1 << 17, 1 << 20, 1 << 20, 1 << 20
 #: Words whose phrases share a bucket, and the most buckets.
 BUCKET_WORDS, MOST_BUCKETS = 1 << 20, 1 << 20
 #: Bits of the bitmap of frequent groups: 16 a group, at most 128 MB in all.
@@ -215,10 +215,10 @@ def _candidates(row: dict, k: int, words: Bitmap) -> tuple[np.ndarray, np.ndarra
 
 
 def _rows(batches):
+    """Rows of the relation; their bytes stay in the batch."""
     for batch in batches:
-        columns = [batch.column(name).to_pylist() for name in _RELATION.names]
-        for values in zip(*columns):
-            yield dict(zip(_RELATION.names, values))
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_buffer() for name in _RELATION.names}
 
 
 def _counted(relation: DataFrame, k: int, words: Bitmap, buckets: int, min_count: int) -> DataFrame:
@@ -278,7 +278,8 @@ def _counted(relation: DataFrame, k: int, words: Bitmap, buckets: int, min_count
     def merge(batches):
         last, rows = None, []
         for batch in batches:
-            for bucket, words, counts in zip(*(batch.column(name).to_pylist() for name in _PACKED.names)):
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                words, counts = (batch.column(name)[i].as_buffer() for name in ("words", "counts"))
                 if bucket != last and rows:
                     yield summed(rows)
                     rows = []
