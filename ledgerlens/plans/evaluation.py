@@ -179,7 +179,8 @@ def s8(t: Tables) -> DataFrame:
             F.array(F.struct(F.col("code_s").alias("value"), F.array("code_a").alias("ocr_cards"))).alias("candidate_list"),
         )
     )
-    return files.nested_codes(t.audit_base.select(F.col("event_id").alias("record_id"), record.alias("body")))
+    found = files.nested_codes(t.audit_base.select(F.col("event_id").alias("record_id"), record.alias("body")))
+    return found.drop("font_template")
 
 
 @query(
@@ -250,3 +251,55 @@ def s11(t: Tables) -> DataFrame:
     folder = _folder(t, "training")
     files.write_training(learning.training_split(case_rows(t).withColumnRenamed("content_md5", "content_hash")), folder)
     return t.spark.read.schema("file string, label string").option("sep", "\t").csv(f"{folder}/labels")
+
+
+@query(
+    "S9_content_hashes",
+    """SELECT source, CAST(octet_length(encode(string_agg(doc_id, chr(10) ORDER BY doc_id))) + 1 AS BIGINT) AS length, sha256(string_agg(doc_id, chr(10) ORDER BY doc_id) || chr(10)) AS content_hash
+    FROM (SELECT source, CAST(doc_id AS VARCHAR) AS doc_id FROM @documents) AS d GROUP BY source""",
+)
+def s9b(t: Tables) -> DataFrame:
+    """One file a source with the ids of its documents, hashed as bytes."""
+    folder = _folder(t, "hashed")
+    ids = t.documents.groupBy("source").agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.col("doc_id").cast("string")))).alias("value"))
+    ids.write.partitionBy("source").text(folder)
+    hashed = files.hash_files(t.spark, folder, "*.txt")
+    return hashed.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "length", "content_hash")
+
+
+@query(
+    "S8_nested_anywhere",
+    """SELECT event_id AS record_id, unnest([code_b, code_s, code_a]) AS code, unnest(['f1', 'unknown_font', 'unknown_font']) AS font_hash, unnest(['t1', NULL, NULL]) AS font_template, CAST(unnest([0, 1, 2]) AS INT) AS pos
+    FROM audit_base WHERE code_a <> code_b""",
+)
+def s8b(t: Tables) -> DataFrame:
+    """A list in a list as the root, results of results, a font of its own, repeats and keys that do not count."""
+    own = F.struct(F.col("code_b").alias("best_candidate"), F.lit("f1").alias("font_hash"), F.lit("t1").alias("font_template"), F.col("code_a").alias("other"))
+    deep = F.struct(F.array(F.struct(F.array(own).alias("results"))).alias("results"))
+    plain = F.struct(F.array(F.array(F.col("code_s"), F.lit("noise")), F.array("code_a", "code_b")).alias("cards"))
+    body = F.concat(F.lit("[[ "), F.to_json(deep), F.lit("],\n ["), F.to_json(plain), F.lit("] ]"))
+    return files.nested_codes(t.audit_base.where("code_a <> code_b").select(F.col("event_id").alias("record_id"), body.alias("body")))
+
+
+@query("S1_indented_audit", "SELECT message_id, chat_id, user_id, username, final_long FROM audit_record WHERE dt = DATE '2024-01-10'")
+def s1b(t: Tables) -> DataFrame:
+    """Records as the writer of the audit indents them, one file each, short codes under their other name."""
+    folder = _folder(t, "indented")
+    rows = t.audit_record.where("dt = DATE '2024-01-10'")
+    record = F.struct("message_id", F.struct("chat_id", "chat_title", "user_id", "username").alias("source"), codes.split_list(F.col("final_long")).alias("final_cards"))
+    body = F.to_json(record, {"pretty": "true"})
+    rows.select(F.lit("2024-01-10").alias("dt"), "message_id", body.alias("value")).repartition("message_id").write.partitionBy("dt", "message_id").text(folder)
+    found = files.read_audit(t.spark, folder, "2024-01-10")
+    return found.select("message_id", "chat_id", "user_id", "username", joined(F.col("final_long")).alias("final_long"))
+
+
+@query("S3_indented_manifests", "SELECT profile, case_id, status, expected_long FROM audit_case")
+def s3b(t: Tables) -> DataFrame:
+    """One indented manifest a profile, hashes and codes under their other names."""
+    folder = _folder(t, "manifest")
+    cases = case_rows(t).select("profile", F.struct("case_id", "status", F.col("expected_long").alias("expected_pubg"), F.col("content_md5").alias("image_sha256")).alias("case"))
+    manifests = cases.groupBy("profile").agg(F.collect_list("case").alias("cases"))
+    body = F.to_json(F.struct(F.lit(1).alias("schema_version"), "profile", "cases"), {"pretty": "true"})
+    manifests.select(F.md5("profile").alias("name"), body.alias("value")).write.partitionBy("name").text(folder)
+    found = files.read_manifests(t.spark, folder)
+    return found.select("profile", "case_id", "status", joined(F.col("expected_long")).alias("expected_long"))

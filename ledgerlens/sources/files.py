@@ -2,37 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.extract import confirmed_codes
+from ledgerlens.operators.blocks import first_per_key
+from ledgerlens.session import cut
 
+# Field names of the audit records and manifests.
 AUDIT = (
-    "created_at string, message_created_at string, message_id long, file_unique_id string, media_group_id string, "
+    "created_at string, message_created_at string, message_id long, file_unique_id string, media_group_id string, image_file string, "
     "source struct<chat_id: long, chat_title: string, user_id: long, username: string>, raw_text string, "
-    "raw_cards array<string>, raw_short_cards array<string>, final_cards array<string>, final_short_cards array<string>, "
-    "uncertain_count int, batch_id string, sequence_index int, status string, _broken string"
+    "raw_cards array<string>, raw_short_cards array<string>, raw_psn_cards array<string>, final_cards array<string>, final_short_cards array<string>, "
+    "final_psn_cards array<string>, uncertain_count int, batch_id string, sequence_index int, status string, error string"
 )
 CASE = (
-    "struct<case_id: string, name: string, profile: string, status: string, error_types: array<string>, image: string, image_hash: string, "
-    "expected_long: array<string>, expected_short: array<string>>"
+    "struct<case_id: string, name: string, profile: string, status: string, error_types: array<string>, image: string, image_hash: string, image_sha256: string, "
+    "expected_long: array<string>, expected_short: array<string>, expected_pubg: array<string>, expected_psn: array<string>>"
 )
+MANIFEST = f"profile string, cases array<{CASE}>"
+#: A file up to this size may be one document over many lines; larger ones hold a record a line.
+DOCUMENT_BYTES = 64 << 20
+_BROKEN = "_broken"
 
 
-def read_audit(spark: SparkSession, root: str, day: str | None = None) -> DataFrame:
-    """Audit records under ``root/dt=<day>``; unreadable ones are skipped, only the asked day is listed."""
+def json_documents(spark: SparkSession, path: str, schema: str, recursive: bool = False, document_bytes: int = DOCUMENT_BYTES) -> DataFrame:
+    """JSON objects of many files: ``record_path``, ``pos`` in the file, ``record`` by the schema, and ``problem``.
+
+    A file holds one document, on one line or indented over many, or a record on each line. Whatever cannot be read is
+    a row without a record that names the problem and carries the text in ``rejected``: a whole file none of whose lines
+    is an object, single lines among good ones, and objects with a field of another type than the schema's. Blank files
+    have no rows. Partition columns pass through.
+    """
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    kind = f"{schema}, {_BROKEN} string"
+
+    def is_object(text):
+        # The typed reader takes a text that ends early for a whole one; the variant reader does not.
+        return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+    def parsed(text):
+        return F.from_json(text, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
+
+    record_type = spark.range(0).select(parsed(F.lit("{}")).alias("r")).schema["r"].dataType
+    none = F.lit(None).cast(record_type)
+
+    def entry(record, problem, text):
+        return F.struct(record.alias("record"), problem.cast("string").alias("problem"), text.cast("string").alias("rejected"))
+
+    def typed(text):
+        found = F.transform(F.array(parsed(text)), lambda r: F.when(r[_BROKEN].isNull(), entry(r, F.lit(None), F.lit(None))))
+        return F.coalesce(F.get(found, F.lit(0)), entry(none, F.lit("field of another type"), text))
+
+    def of_line(line):
+        return F.when(is_object(line), typed(line)).otherwise(entry(none, F.lit("unreadable line"), line))
+
+    size = F.col("_metadata.file_size")
+    whole = reader.text(path, wholetext=True).where(size <= document_bytes).withColumn("record_path", F.col("_metadata.file_path"))
+    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"), lambda x: F.trim(x) != "")
+    whole = whole.withColumn("__lines", lines).where(F.size("__lines") > 0).withColumn("__text", F.array_join("__lines", "\n"))
+    each = F.transform("__lines", of_line)
+    # A first line that is an object by itself opens a file of lines; a parser would stop after it.
     rows = (
-        spark.read.schema(AUDIT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(root)
-        .withColumn("record_path", F.col("_metadata.file_path"))
+        F.when(is_object(F.get("__lines", F.lit(0))), each).when(is_object(F.col("__text")), F.array(typed(F.col("__text"))))
+        .when(F.exists("__lines", is_object), each).otherwise(F.array(entry(none, F.lit("unreadable document"), F.col("__text"))))
     )
-    rows = rows.where("_broken IS NULL").drop("_broken")
+    parts = [c for c in whole.columns if c not in ("value", "record_path", "__lines", "__text")]
+    found = whole.select(*parts, "record_path", F.posexplode(rows).alias("pos", "__x"))
+    large = reader.text(path).where(size > document_bytes).where(F.trim("value") != "")
+    large = large.select(*parts, F.col("_metadata.file_path").alias("record_path"), F.monotonically_increasing_id().alias("pos"), of_line(F.col("value")).alias("__x"))
+    found = found.withColumn("pos", F.col("pos").cast("long")).unionByName(large)
+    return found.select(*parts, "record_path", "pos", F.col("__x.record").dropFields(_BROKEN).alias("record"), "__x.problem", "__x.rejected")
+
+
+def rejected(documents: DataFrame) -> DataFrame:
+    """The side output of ``json_documents``: where, what, and the text."""
+    return documents.where("problem IS NOT NULL").select("record_path", "pos", "problem", "rejected")
+
+
+def reject_counts(documents: DataFrame) -> DataFrame:
+    return rejected(documents).groupBy("problem").agg(F.count(F.lit(1)).alias("rejects"))
+
+
+def audit_documents(spark: SparkSession, root: str) -> DataFrame:
+    """All audit files below ``root``, in directories ``dt=<day>`` or ``<day>/<record>``, with ``dt``."""
+    if "dt" in spark.read.text(root).columns:
+        return json_documents(spark, root, AUDIT)
+    day = F.regexp_extract("record_path", r"/(\d{4}-\d{2}-\d{2})/", 1)
+    return json_documents(spark, root, AUDIT, recursive=True).withColumn("dt", F.try_to_date(F.nullif(day, F.lit(""))))
+
+
+def read_audit(spark: SparkSession, root: str, day: str | None = None) -> DataFrame:
+    """Audit records, one document a file or one record a line; unreadable ones are skipped (see ``rejected``).
+
+    Only the partition of the asked day is read. Short codes are found under both of their names.
+    """
+    rows = audit_documents(spark, root)
     if day is not None:
         rows = rows.where(F.col("dt") == F.lit(day).cast("date"))
-    return rows.select(
-        "*", F.coalesce("source.chat_id", F.lit(0)).alias("chat_id"), F.coalesce("source.chat_title", F.lit("")).alias("chat_title"),
-        F.coalesce("source.user_id", F.lit(0)).alias("user_id"), F.coalesce("source.username", F.lit("")).alias("username"),
-        F.coalesce("final_cards", F.array().cast("array<string>")).alias("final_long"), F.coalesce("final_short_cards", F.array().cast("array<string>")).alias("final_short"),
-    )
+    rows = rows.where("problem IS NULL").select("record.*", "dt", "record_path")
+    none = F.array().cast("array<string>")
+    return rows.withColumns({
+        "chat_id": F.coalesce("source.chat_id", F.lit(0)), "chat_title": F.coalesce("source.chat_title", F.lit("")),
+        "user_id": F.coalesce("source.user_id", F.lit(0)), "username": F.coalesce("source.username", F.lit("")),
+        "final_long": F.coalesce("final_cards", none), "final_short": F.coalesce("final_short_cards", "final_psn_cards", none),
+    })
 
 
 def write_audit(records: DataFrame, root: str, mode: str = "append") -> None:
@@ -40,11 +116,23 @@ def write_audit(records: DataFrame, root: str, mode: str = "append") -> None:
     records.write.mode(mode).partitionBy("dt").json(root)
 
 
+def manifest_documents(spark: SparkSession, path: str) -> DataFrame:
+    return json_documents(spark, path, MANIFEST)
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of many manifest files, one row per case with its file position."""
-    rows = spark.read.schema(f"profile string, cases array<{CASE}>").option("multiLine", False).json(path)
-    flat = rows.select(F.col("profile").alias("file_profile"), F.explode("cases").alias("c"))
-    return flat.select(F.coalesce("c.profile", "file_profile").alias("profile"), *[f"c.{n}" for n in ("case_id", "name", "status", "error_types", "image", "image_hash", "expected_long", "expected_short")])
+    """Cases of many manifest files, indented or not, one row per case with its file and its place there.
+
+    Unreadable files are skipped (see ``rejected`` of ``manifest_documents``); hashes and expected codes are found under
+    both of their names.
+    """
+    rows = manifest_documents(spark, path).where("problem IS NULL")
+    flat = rows.select("record_path", "pos", F.col("record.profile").alias("file_profile"), F.posexplode("record.cases").alias("place", "c"))
+    both = {"image_hash": ("c.image_hash", "c.image_sha256"), "expected_long": ("c.expected_long", "c.expected_pubg"), "expected_short": ("c.expected_short", "c.expected_psn")}
+    return flat.select(
+        F.coalesce("c.profile", "file_profile").alias("profile"), *[f"c.{n}" for n in ("case_id", "name", "status", "error_types", "image")],
+        *[F.coalesce(*names).alias(n) for n, names in both.items()], "record_path", "pos", "place",
+    )
 
 
 def require_cases(cases: DataFrame) -> DataFrame:
@@ -64,30 +152,90 @@ def first_filled(sources: list[DataFrame]) -> DataFrame:
     return ranked.join(F.broadcast(best), "__rank").drop("__rank")
 
 
-def nested_codes(records: DataFrame) -> DataFrame:
-    """Codes anywhere under the known keys of nested JSON: ``records(record_id, body)`` to one row per code."""
-    leaf = "card string, best_candidate string, ocr_result string, value string, cards array<string>, ocr_cards array<string>"
-    shape = f"{leaf}, candidate_list array<struct<{leaf.replace(' string', ': string').replace(' array', ': array')}>>, font_hash string"
-    parsed = records.select("record_id", F.from_json("body", shape).alias("r"))
-    singles = ("card", "best_candidate", "ocr_result", "value")
-    many = ("cards", "ocr_cards")
-    none = F.array().cast("array<string>")
-    own = F.concat(F.array(*[F.col(f"r.{k}") for k in singles]), *[F.coalesce(F.col(f"r.{k}"), none) for k in many])
-    inner = F.flatten(
-        F.transform(
-            F.coalesce("r.candidate_list", F.array().cast(parsed.schema["r"].dataType["candidate_list"].dataType)),
-            lambda c: F.concat(F.array(*[c[k] for k in singles]), *[F.coalesce(c[k], none) for k in many]),
-        )
-    )
-    texts = F.filter(F.concat(own, inner), lambda t: t.isNotNull())
-    listed = F.array_distinct(F.flatten(F.transform(texts, confirmed_codes)))
-    return parsed.select("record_id", F.coalesce("r.font_hash", F.lit("unknown_font")).alias("font_hash"), F.posexplode(listed).alias("pos", "code"))
+# The keys whose strings are read, the keys that are gone into, and the font of strings without one.
+LEAF_KEYS = ("card", "best_candidate", "ocr_result", "value")
+NESTED_KEYS = ("cards", "ocr_cards", "candidate_list", "results")
+UNKNOWN_FONT = "unknown_font"
 
 
-def hash_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Content hash of every file below a path; the bytes never leave the reading task."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return rows.select("path", "length", F.sha2("content", 256).alias("content_hash"))
+def nested_codes(records: DataFrame) -> DataFrame:
+    """Codes anywhere in nested JSON: ``records(record_id, body)`` to one row per code, first sighting first.
+
+    Only the known keys count, at any depth, in objects, lists and lists of lists, from any kind of root. Strings under
+    a leaf key bear the font of their own object, other strings none. The walk goes down one level of all records at a
+    time, so the number of steps is the depth of the deepest record; a path of places keeps the order of the text.
+    Bodies that are no JSON give no rows.
+    """
+    spark = records.sparkSession
+    rows = records.select("record_id", F.array().cast("array<int>").alias("path"), F.try_parse_json("body").alias("v")).where("v IS NOT NULL")
+    text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+    leaves = [rows.select("record_id", "path", text.alias("text"), F.lit(UNKNOWN_FONT).alias("font_hash"), F.lit(None).cast("string").alias("font_template"))]
+    level = rows.where(text.isNull())
+    # Places of the keys of an object; numbers of a list come as they are.
+    order = F.when(F.col("key").isNull(), F.col("pos"))
+    for place, key in enumerate(LEAF_KEYS + NESTED_KEYS):
+        order = order.when(F.col("key") == key, place)
+    is_leaf = F.coalesce(F.col("key").isin(*LEAF_KEYS), F.lit(False))
+    is_text = F.schema_of_variant("value") == "STRING"
+    while True:
+        kids = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(order.isNotNull())
+        font = F.when(is_leaf, _truthy("v", "$.font_hash"))
+        template = F.when(is_leaf & (F.schema_of_variant(F.try_variant_get("v", "$.font_template", "variant")) == "STRING"), F.try_variant_get("v", "$.font_template", "string"))
+        kids = kids.select(
+            "record_id", F.concat("path", F.array(order.cast("int"))).alias("path"), F.when(is_text, F.try_variant_get("value", "$", "string")).alias("text"),
+            F.coalesce(font, F.lit(UNKNOWN_FONT)).alias("font_hash"), template.alias("font_template"),
+            F.when(~is_leaf & F.schema_of_variant("value").rlike("^(ARRAY|OBJECT)<"), F.col("value")).alias("v"),
+        )
+        kids = cut(kids.where("text IS NOT NULL OR v IS NOT NULL"))
+        leaves.append(kids.where("text IS NOT NULL").drop("v"))
+        level = kids.where("v IS NOT NULL").select("record_id", "path", "v")
+        if level.isEmpty():
+            break
+    texts = reduce(DataFrame.unionByName, leaves).where("text IS NOT NULL")
+    codes = texts.select("record_id", "path", "font_hash", "font_template", F.posexplode(confirmed_codes(F.col("text"))).alias("nth", "code"))
+    firsts = first_per_key(codes, ["record_id", "code"], ["path", "nth"])
+    pos = F.row_number().over(Window.partitionBy("record_id").orderBy("path", "nth")) - 1
+    return firsts.select("record_id", "font_hash", "font_template", pos.alias("pos"), "code")
+
+
+def _truthy(column: str, path: str):
+    """A scalar as text; null where it is missing, empty, zero or false."""
+    value = F.try_variant_get(column, path, "string")
+    return F.when(~value.isin("", "0", "false"), value)
+
+
+#: Bytes hashed at a time.
+PIECE = 1 << 20
+
+
+def hash_files(spark: SparkSession, path: str, pattern: str = "*", piece: int = PIECE) -> DataFrame:
+    """Content hash of every file below a path; the bytes never leave the reading task.
+
+    Files of mounted folders stream through the hash in pieces, however large they are. Files of other stores come
+    through Spark's reader, which takes up to 2 GB a file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    mounted = F.col("path").startswith("file:")
+    there = files.where(~mounted).select("path", "length", F.sha2("content", 256).alias("content_hash"))
+
+    def stream(batches):
+        import hashlib
+        from urllib.parse import unquote, urlparse
+
+        import pyarrow as pa
+
+        for batch in batches:
+            hashes = []
+            for name in batch.column(0).to_pylist():
+                state = hashlib.sha256()
+                with open(unquote(urlparse(name).path), "rb") as handle:
+                    while part := handle.read(piece):
+                        state.update(part)
+                hashes.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], names=["path", "length", "content_hash"])
+
+    here = files.where(mounted).select("path", "length").mapInArrow(stream, "path string, length long, content_hash string")
+    return here.unionByName(there)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -45,3 +45,115 @@ def test_gold_cases_reject_a_wrong_hash(spark):
         learning.gold_cases(cases).collect()
     good = learning.gold_cases(cases.withColumn("declared_hash", F.lit(" AA "))).collect()
     assert [r["case_id"] for r in good] == ["c"]
+
+
+def test_indented_records_give_the_rows_of_lines(spark, tmp_path):
+    records = [{"message_id": i, "source": {"chat_id": -i, "user_id": i}, "final_cards": [f"c{i}"], "final_psn_cards": [f"s{i}", "x\ny"]} for i in range(4)]
+    lines, tree, hive = tmp_path / "lines" / "dt=2026-07-13", tmp_path / "tree", tmp_path / "hive" / "dt=2026-07-13"
+    lines.mkdir(parents=True)
+    hive.mkdir(parents=True)
+    (lines / "part-0.json").write_text("\n".join(json.dumps(r) for r in records) + "\n\n")
+    for i, r in enumerate(records):
+        folder = tree / "2026-07-13" / f"120000_{i}_photo"
+        folder.mkdir(parents=True)
+        (folder / "record.json").write_text(json.dumps(r, ensure_ascii=False, indent=2))
+        (hive / f"{i}.json").write_text("﻿" + json.dumps(r, indent=2) if i == 2 else json.dumps(r, indent=4))
+    (tree / "2026-07-14" / "x").mkdir(parents=True)
+    (tree / "2026-07-14" / "x" / "record.json").write_text(json.dumps({"message_id": 9}, indent=2))
+    want = [(i, -i, [f"c{i}"], [f"s{i}", "x\ny"]) for i in range(4)]
+    for root in (tmp_path / "lines", tree, tmp_path / "hive"):
+        found = files.read_audit(spark, str(root), "2026-07-13")
+        assert sorted((r["message_id"], r["chat_id"], r["final_long"], r["final_short"]) for r in found.collect()) == want
+        assert found.count() == 4
+    assert files.read_audit(spark, str(tree)).count() == 5
+
+
+def test_unreadable_documents_go_aside_with_a_reason(spark, tmp_path):
+    bodies = {
+        "good.json": json.dumps({"message_id": 1}, indent=2), "cut.json": '{\n  "message_id": 2,\n  "source"', "list.json": "[\n1,\n2\n]", "blank.json": " \n\n",
+        "lines.json": '{"message_id": 3}\n{"message_id": \n{"message_id": 4}\nnoise', "late.json": 'noise\n{"message_id": 5}', "empty.json": "", "kind.json": '{"message_id": "six"}\n{"message_id": 7, "final_cards": null}',
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    for limit in (files.DOCUMENT_BYTES, 0):  # whole files; lines only, as for files that are too large
+        documents = files.json_documents(spark, str(tmp_path), files.AUDIT, document_bytes=limit)
+        good = {r["record"]["message_id"] for r in documents.where("problem IS NULL").collect()}
+        refused = {(r["record_path"].rsplit("/", 1)[1], r["problem"], r["rejected"]) for r in files.rejected(documents).collect()}
+        if limit:
+            assert good == {1, 3, 4, 5, 7}
+            assert refused == {
+                ("cut.json", "unreadable document", bodies["cut.json"]), ("list.json", "unreadable document", bodies["list.json"]),
+                ("lines.json", "unreadable line", '{"message_id": '), ("lines.json", "unreadable line", "noise"), ("late.json", "unreadable line", "noise"),
+                ("kind.json", "field of another type", '{"message_id": "six"}'),
+            }
+            assert {r["problem"]: r["rejects"] for r in files.reject_counts(documents).collect()} == {"unreadable document": 2, "unreadable line": 3, "field of another type": 1}
+        else:
+            assert good == {3, 4, 5, 7} and ("good.json", "unreadable line", "{") in refused
+
+
+def test_manifests_under_both_names(spark, tmp_path):
+    case = {"case_id": "a", "status": "confirmed_match", "image_sha256": "ab", "expected_pubg": ["L"], "expected_psn": ["S"]}
+    (tmp_path / "one.json").write_text(json.dumps({"schema_version": 1, "profile": "p", "cases": [case, {**case, "case_id": "b", "profile": "q"}]}, indent=2))
+    (tmp_path / "two.json").write_text(json.dumps({"cases": [{"case_id": "c", "image_hash": "cd", "expected_long": ["M"], "expected_short": []}]}))
+    (tmp_path / "none.json").write_text(json.dumps({"cases": []}, indent=2))
+    rows = files.read_manifests(spark, str(tmp_path)).orderBy("case_id").collect()
+    assert [(r["profile"], r["case_id"], r["image_hash"], r["expected_long"], r["expected_short"], r["place"]) for r in rows] == [
+        ("p", "a", "ab", ["L"], ["S"], 0), ("q", "b", "ab", ["L"], ["S"], 1), (None, "c", "cd", ["M"], [], 0),
+    ]
+    (tmp_path / "one.json").write_text("{")
+    (tmp_path / "two.json").write_text("{")
+    with pytest.raises(ValueError):
+        files.require_cases(files.read_manifests(spark, str(tmp_path)))
+
+
+CODES = [f"{a}{a}K{b}-7QRW-T{b}ZP" for a in "CDFH" for b in "MNVX"]
+
+
+def _harvest(value, out):
+    """A recursive walk: the order and the fonts to meet."""
+    if isinstance(value, str):
+        out += [(c, "unknown_font", None) for c in CODES if c in value]
+    elif isinstance(value, list):
+        for x in value:
+            _harvest(x, out)
+    elif isinstance(value, dict):
+        font = str(value.get("font_hash") or "unknown_font")
+        template = value.get("font_template") if isinstance(value.get("font_template"), str) else None
+        for key in files.LEAF_KEYS:
+            if isinstance(value.get(key), str):
+                out += [(c, font, template) for c in CODES if c in value[key]]
+        for key in files.NESTED_KEYS:
+            _harvest(value.get(key), out)
+
+
+def _random_json(rng, depth):
+    kind = rng.random()
+    if depth == 0 or kind < 0.25:
+        return rng.choice([*CODES, "noise", "see " + rng.choice(CODES), 5, None, True])
+    if kind < 0.5:
+        return [_random_json(rng, depth - 1) for _ in range(rng.randint(0, 3))]
+    keys = [*files.LEAF_KEYS, *files.NESTED_KEYS, "other", "font_hash", "font_template"]
+    body = {}
+    for key in rng.sample(keys, rng.randint(1, 6)):
+        body[key] = rng.choice(["f1", "", 7, None]) if key.startswith("font") else _random_json(rng, depth - 1)
+    return body
+
+
+def test_nested_codes_equal_a_recursive_walk(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [_random_json(rng, 6) for _ in range(150)]
+    values += [{"results": [[[{"card": CODES[0], "font_hash": "f", "font_template": "t"}]]]}, [[CODES[1]], [CODES[2], [CODES[1]]]], CODES[3], {"other": {"cards": [CODES[4]]}}, {"cards": {"unknown": CODES[5], "value": CODES[6]}}, None, []]
+    bodies = [(i, json.dumps(v, indent=i % 3 or None)) for i, v in enumerate(values)] + [(900, "{broken"), (901, None), (902, "")]
+    rows = files.nested_codes(spark.createDataFrame(bodies, "record_id long, body string")).orderBy("record_id", "pos").collect()
+    want = []
+    for i, v in enumerate(values):
+        found, seen = [], set()
+        _harvest(v, found)
+        for code, font, template in found:
+            if code not in seen:
+                want.append((i, len(seen), code, font, template))
+                seen.add(code)
+    assert [(r["record_id"], r["pos"], r["code"], r["font_hash"], r["font_template"]) for r in rows] == want
+    assert len(want) > 100
