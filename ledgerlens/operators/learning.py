@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ledgerlens.functions import codes
 from ledgerlens.functions.extract import bind
 from ledgerlens.operators.blocks import first_per_key, running_number
 from ledgerlens.operators.fuzzy import nearest_template
+from ledgerlens.operators.graph import components
 from ledgerlens.session import cut
 
 # Thresholds and pairs of the correction rules.
@@ -97,12 +100,45 @@ def close_pairs(truth: DataFrame, predicted: DataFrame, bucket_pairs: int = BUCK
     return plain.unionByName(near(a.join(b, ["batch_id", "mask"]))).distinct()
 
 
+#: Rounds in which all free first candidates choose at once, before chains are walked.
+ROUNDS = 4
+
+
+def _chosen_in_order(pairs: DataFrame) -> DataFrame:
+    """The serial choice, one component of the confirmed codes that share predictions at a time."""
+    shared = pairs.groupBy("batch_id", "p").agg(F.min("t").alias("b"))
+    links = pairs.join(shared, ["batch_id", "p"]).select("batch_id", F.col("t").alias("a"), "b")
+    alone = links.where("a = b").select("batch_id", F.col("a").alias("node"))
+    named = components(links.where("a <> b"), ["batch_id"])
+    named = named.unionByName(alone.distinct().join(named.select("batch_id", "node"), ["batch_id", "node"], "left_anti").withColumn("component", F.col("node")))
+    rows = pairs.join(named.withColumnRenamed("node", "t"), ["batch_id", "t"])
+
+    def walk(batches):
+        key, used, done = None, set(), None
+        for batch in batches:
+            keep = []
+            for row in batch[["batch_id", "component", "t", "p"]].itertuples(index=False):
+                if row[:2] != key:
+                    key, used, done = row[:2], set(), None
+                fits = row.t != done and row.p not in used
+                if fits:
+                    used.add(row.p)
+                    done = row.t
+                keep.append(fits)
+            yield batch.loc[keep, ["batch_id", "t", "p", "truth", "predicted"]]
+
+    names = ["batch_id", "component"]
+    ordered = rows.repartition(*names).sortWithinPartitions(*names, "t", "apart", "p")
+    kinds = pairs.select("batch_id", "t", "p", "truth", "predicted").schema
+    return ordered.mapInPandas(walk, kinds)
+
+
 def diff_with_truth(predicted: DataFrame, truth: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """Outcome per code: correct, confused (nearest free prediction within two characters), missing, false_positive.
 
-    Confirmed codes choose in order and a prediction is used once. That is a serial choice, so each
-    round lets every confirmed code choose that is the first candidate of all predictions it could
-    take; rounds touch only the close pairs.
+    Confirmed codes choose in order and a prediction is used once. In a few rounds every confirmed code chooses that
+    is the first candidate of all predictions it could take; what longer chains leave is told apart into connected
+    components, each of which chooses in order in one pass. Only close pairs are touched.
     """
     shown = predicted.groupBy("batch_id", "code").agg(F.min("seq").alias("seq"))
     goals = truth.where("code IS NOT NULL").groupBy("batch_id", "code").agg(F.min("seq").alias("seq"))
@@ -111,17 +147,21 @@ def diff_with_truth(predicted: DataFrame, truth: DataFrame, bucket_pairs: int =
     open_truth = cut(joined.where("hit IS NULL").drop("hit"))
     free = cut(shown.join(goals.select("batch_id", "code"), ["batch_id", "code"], "left_anti"))
     pairs = cut(close_pairs(open_truth, free, bucket_pairs))
-    chosen = None
-    while not pairs.isEmpty():
+    choices, left = [], True
+    for _ in range(ROUNDS):
+        left = not pairs.isEmpty()
+        if not left:
+            break
         first = pairs.groupBy("batch_id", "p").agg(F.min("t").alias("first_t"))
         ready = pairs.join(first, ["batch_id", "p"]).groupBy("batch_id", "t").agg(
             F.bool_and(F.col("first_t") == F.col("t")).alias("ready"), F.min(F.struct("apart", "p", "truth", "predicted")).alias("c")
         ).where("ready")
         picks = cut(ready.select("batch_id", "t", F.col("c.p").alias("p"), F.col("c.truth").alias("truth"), F.col("c.predicted").alias("predicted")))
-        chosen = picks if chosen is None else chosen.unionByName(picks)
+        choices.append(picks)
         pairs = cut(pairs.join(picks.select("batch_id", "t"), ["batch_id", "t"], "left_anti").join(picks.select("batch_id", "p"), ["batch_id", "p"], "left_anti"))
-    if chosen is None:
-        chosen = pairs.select("batch_id", "t", "p", "truth", "predicted")
+    if left:
+        choices.append(_chosen_in_order(pairs))
+    chosen = reduce(DataFrame.unionByName, choices) if choices else pairs.select("batch_id", "t", "p", "truth", "predicted")
     label = lambda df, truth_col, predicted_col, name: df.select(
         "batch_id", truth_col.alias("truth"), predicted_col.alias("predicted"), F.lit(name).alias("outcome")
     )

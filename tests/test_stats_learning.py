@@ -35,10 +35,10 @@ def test_filters_run_before_deduplication(spark):
 
 
 def test_near_duplicates_warn_for_one_character(spark):
-    found = spark.createDataFrame([("s", "S07304-F2V7-SGH8-NL72Y"), ("s", "AAAA-BBBB-CCCC")], "source string, code string")
-    old = spark.createDataFrame([("s", "s07304-f2v7-sgh8-nl72x"), ("t", "S07304-F2V7-SGH8-NL72Z"), ("s", "AAAA-BBBB-CCCD")], "source string, code string")
+    found = spark.createDataFrame([("s", "S07541-G3W8-THJ9-PM83Y"), ("s", "AAAA-BBBB-CCCC")], "source string, code string")
+    old = spark.createDataFrame([("s", "s07541-g3w8-thj9-pm83x"), ("t", "S07541-G3W8-THJ9-PM83Z"), ("s", "AAAA-BBBB-CCCD")], "source string, code string")
     rows = fuzzy.near_duplicates(found, old).collect()
-    assert [(r["code"], r["existing_code"], r["similarity"]) for r in rows] == [("S07304-F2V7-SGH8-NL72Y", "S07304-F2V7-SGH8-NL72X", Decimal("95.45"))]
+    assert [(r["code"], r["existing_code"], r["similarity"]) for r in rows] == [("S07541-G3W8-THJ9-PM83Y", "S07541-G3W8-THJ9-PM83X", Decimal("95.45"))]
 
 
 def _brute_diff(predicted, truth):
@@ -133,3 +133,48 @@ def test_percentiles_match_their_definitions(spark):
     line = lambda p: round(ordered[int((n - 1) * p)] * (1 - ((n - 1) * p) % 1) + ordered[min(int((n - 1) * p) + 1, n - 1)] * (((n - 1) * p) % 1))
     assert (row["median"], row["p95_nearest"]) == (Decimal(ordered[n // 2]), ordered[int(n * 0.95)])
     assert (row["p50_linear"], row["p95_linear"]) == (line(0.5), line(0.95))
+
+
+def test_components_of_any_shape(spark):
+    import random
+
+    from ledgerlens.operators.graph import components
+
+    rng = random.Random(8)
+    path = [(1, i, i + 1) for i in range(200)]
+    star = [(2, 500, i) for i in range(100)]
+    loose = [(3, rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)]
+    links = path + star + loose + [(1, 7, 7), (4, 1, 2), (4, 2, 1)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for key, a, b in links:
+        parent[root((key, a))] = root((key, b))
+    rows = components(spark.createDataFrame(links, "batch_id long, a long, b long"), ["batch_id"]).collect()
+    assert {(r["batch_id"], r["node"]) for r in rows} == set(parent) and len(rows) == len(parent)
+    named = {}
+    for r in rows:
+        named.setdefault((r["batch_id"], r["component"]), set()).add(root((r["batch_id"], r["node"])))
+    assert all(len(x) == 1 for x in named.values()) and len(named) == len({root(x) for x in parent})
+
+
+def test_long_chains_of_choices_end_in_order(spark, monkeypatch):
+    """Each confirmed code is close to two predictions, so a choice depends on all before it."""
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    flat = lambda i: "".join(letters[(i >> 5 * k) % 32] for k in range(2))
+    body = lambda i: f"AA{flat(i)}-BBBB-CCCC"
+    pairs = [(7, t, p, body(100 + t), body(500 + p), apart) for t in range(60) for p, apart in ((t, 1), (t + 1, 1), (t + 2, 2))]
+    pairs += [(8, 1, 1, body(1), body(2), 1)]
+    want, used, done = set(), set(), set()
+    for batch, t, p, _, _, apart in sorted(pairs, key=lambda x: (x[0], x[1], x[5], x[2])):
+        if (batch, t) not in done and (batch, p) not in used:
+            want.add((batch, t, p))
+            used.add((batch, p))
+            done.add((batch, t))
+    frame = spark.createDataFrame(pairs, "batch_id long, t long, p long, truth string, predicted string, apart int")
+    assert {(r["batch_id"], r["t"], r["p"]) for r in learning._chosen_in_order(frame).collect()} == want
+    assert learning._chosen_in_order(frame.limit(0)).count() == 0
