@@ -501,42 +501,82 @@ def resolve_grants(parsed: DataFrame) -> DataFrame:
     return ordered.mapInPandas(walk, "chat_id long, seq long, effective boolean")
 
 
+class VoidedRanks:
+    """Voided ranks with rank and select, in blocks of WIDTH ranks.
+
+    A block is one bit a rank, kept only once something in it is voided; a binary indexed tree sums the voided ranks of
+    the blocks. Adding and finding take logarithmic time and the whole takes at most about one bit an entry.
+    """
+
+    WIDTH = 1024
+
+    def __init__(self):
+        self.bits: dict[int, int] = {}
+        self.sums = [0]
+
+    def __contains__(self, rank: int) -> bool:
+        block, place = divmod(rank - 1, self.WIDTH)
+        return self.bits.get(block, 0) >> place & 1 == 1
+
+    def add(self, rank: int) -> None:
+        block, place = divmod(rank - 1, self.WIDTH)
+        while len(self.sums) <= block + 1:
+            at, step, total = len(self.sums), 1, 0
+            while step < at & -at:
+                total += self.sums[at - step]
+                step *= 2
+            self.sums.append(total)
+        self.bits[block] = self.bits.get(block, 0) | 1 << place
+        at = block + 1
+        while at < len(self.sums):
+            self.sums[at] += 1
+            at += at & -at
+
+    def nth_live(self, number: int) -> int:
+        """The rank of the live entry with this number."""
+        at, step = 0, 1 << len(self.sums).bit_length()
+        while step:
+            if at + step < len(self.sums):
+                live = step * self.WIDTH - self.sums[at + step]
+                if live < number:
+                    at, number = at + step, number - live
+            step //= 2
+        bits, low, width = self.bits.get(at, 0), 0, self.WIDTH
+        if at + 1 >= len(self.sums):
+            return at * self.WIDTH + number
+        while width > 1:
+            half = width // 2
+            live = half - (bits & (1 << half) - 1).bit_count()
+            if live < number:
+                number, low, bits, width = number - live, low + half, bits >> half, width - half
+            else:
+                width = half
+        return at * self.WIDTH + low + 1
+
+
 def resolve_undos(undos: DataFrame) -> DataFrame:
     """Rank of the entry each undo voids, per chat and clear epoch.
 
     A replied message wins while its entry is live; else ``entry_no`` counts the live entries of
     that moment. Numbers depend on earlier voids, so the undo commands alone (never the entries)
-    stream through their chat's task in order; the state is the sorted list of voided ranks.
+    stream through their chat's task in order; the state is ``VoidedRanks``.
     """
-    from bisect import bisect_left, insort
-
     import pandas as pd
 
-    def nth_live(gone, number):
-        rank = number
-        while True:
-            shifted = number + bisect_left(gone, rank + 1)
-            if shifted == rank:
-                return rank
-            rank = shifted
-
     def walk(batches):
-        key, gone = None, []
+        key, gone = None, VoidedRanks()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 if (row.chat_id, row.epoch) != key:
-                    key, gone = (row.chat_id, row.epoch), []
+                    key, gone = (row.chat_id, row.epoch), VoidedRanks()
                 rank = 0
                 if not pd.isna(row.message_rank):
-                    rank = int(row.message_rank)
-                    at = bisect_left(gone, rank)
-                    if at < len(gone) and gone[at] == rank:
-                        rank = 0
+                    rank = 0 if int(row.message_rank) in gone else int(row.message_rank)
                 if not rank and not pd.isna(row.entry_no) and row.entry_no > 0:
-                    rank = nth_live(gone, int(row.entry_no))
+                    rank = gone.nth_live(int(row.entry_no))
                 if 0 < rank <= row.entries_before:
-                    insort(gone, rank)
+                    gone.add(rank)
                     out.append((row.chat_id, row.epoch, row.seq, row.ts, rank))
             yield pd.DataFrame(out, columns=["chat_id", "epoch", "seq", "ts", "rank"])
 

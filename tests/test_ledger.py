@@ -120,3 +120,24 @@ def test_salted_stats_join_keeps_every_row(spark):
     got = attach_stats(df, stats, ["k"], "n", hot_rows=20)
     assert got.count() == 1000 and got.where("n IS NULL").count() == 0
     assert got.where("k = 0").select("n").distinct().count() == 1
+
+
+def test_voided_ranks_select_like_a_list():
+    import random
+
+    from ledgerlens.operators.ledger import VoidedRanks
+
+    for seed, most in ((1, 40), (2, 5000), (3, 2048)):
+        rng, gone, live = random.Random(seed), VoidedRanks(), list(range(1, most + 1))
+        for _ in range(min(most - 1, 1500)):
+            if rng.random() < 0.7:
+                number = rng.randint(1, len(live))
+                rank = gone.nth_live(number)
+                assert rank == live[number - 1]
+            else:
+                rank = rng.choice(live)
+            assert rank not in gone
+            gone.add(rank)
+            live.remove(rank)
+            assert rank in gone
+        assert gone.nth_live(len(live) + 7) == most + 7
