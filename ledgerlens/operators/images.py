@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import codes, evidence, extract
+from ledgerlens.functions import candidates, codes, evidence, extract
 from ledgerlens.functions.extract import bind
 
 STRINGS = "array<string>"
@@ -111,3 +111,36 @@ def route(remote: Column, cloud: Column, strip: Column) -> Column:
 def route_images(rows: DataFrame) -> DataFrame:
     """``rows(image_id, remote, cloud, strip)`` to the outcome of each image."""
     return rows.select("image_id", route(F.col("remote"), F.col("cloud"), F.col("strip")).alias("o")).select("image_id", "o.*")
+
+
+def _engine(text: Column) -> Column:
+    """``struct<cards, uncertain>`` of one engine's text: wrapped lines where codes leave a trace, else the loose readers."""
+
+    def read(folded: Column) -> Column:
+        return bind(extract.has_long_trace(folded), lambda trace: bind(
+            F.when(trace, extract.wrapped_lines(extract.line_facts(extract.lines_of(text)))),
+            lambda wrapped: settle(F.when(trace, wrapped["codes"]).otherwise(F.concat(candidates.selected(text), extract.noisy_long(folded))), wrapped),
+        ))
+
+    def settle(listed: Column, wrapped: Column) -> Column:
+        return bind(evidence.settle(listed), lambda settled: F.struct(
+            settled["cards"].alias("cards"), (settled["uncertain"] + F.coalesce(wrapped["unresolved"].cast("int"), F.lit(0))).alias("uncertain"),
+        ))
+
+    return bind(codes.fold_text(text), read)
+
+
+def assemble(engines: DataFrame) -> DataFrame:
+    """``engines(image_id, texts)`` to one outcome per image, without a shuffle.
+
+    Each engine's codes are settled, engines merge first-wins, and short codes come from the joined text if no engine
+    has a long one.
+    """
+    read = engines.select("image_id", "texts", F.transform("texts", _engine).alias("e"))
+    rows = read.select("image_id", "texts", F.flatten(F.transform("e", lambda r: r["cards"])).alias("all"), F.aggregate("e", F.lit(0).cast("long"), lambda n, r: n + r["uncertain"]).alias("uncertain"))
+    rows = rows.withColumns({
+        "merged": evidence.merge_near(F.array().cast(STRINGS), F.col("all")),
+        "short": F.when(F.size("all") == 0, extract.short_codes(codes.fold_text(F.array_join("texts", "\n")))),
+    })
+    none = F.array().cast(STRINGS)
+    return rows.select("image_id", F.col("merged.cards").alias("codes"), F.coalesce("short", none).alias("short"), (F.col("uncertain") + F.col("merged.suppressed")).alias("uncertain"))

