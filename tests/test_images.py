@@ -5,7 +5,7 @@ from test_evidence import REMOTE, reading
 
 from ledgerlens.operators import evaluation, fuzzy, images, inventory, learning, sessions
 
-A, B, C = "S07304-AAAA-BBBB-CCCCC", "S07323-J4ED-EQTA-QCFYC", "S07336-5XAW-QTQ5-S5X48"
+A, B, C = "S07304-AAAA-BBBB-CCCCC", "S07531-K4ED-EQTB-QCFYK", "S07532-6XAW-QTR5-S5X49"
 NEAR = "S07304-AAAA-BBBB-CCCC2"
 SHORT = "XABC-DEFG-HJKL"
 
