@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.blocks import Running, first_per_key, running, running_number
+from ledgerlens.operators.blocks import BLOCK, Running, first_per_key, running, running_number
 from ledgerlens.session import cut
 
 # Waits and limits, in seconds and photos.
@@ -54,41 +56,118 @@ def batch_spans(photos: DataFrame) -> DataFrame:
     )
 
 
-def _limit_fold(batches: Iterator[pd.DataFrame], window: int, chat_limit: int, user_limit: int) -> Iterator[pd.DataFrame]:
-    from collections import deque
+_GROUP = ["chat_id", "stretch", "part"]
+_PHOTO = [*_GROUP, "lead", "seq", "at", "user_id", "busy"]
+
+
+def _limit_fold(batches: Iterator[pd.DataFrame], window: int, chat_limit: int, user_limit: int, states: bool) -> Iterator[pd.DataFrame]:
+    """Verdicts of sorted photos, or the accepted photos that still count after the last photo of each part.
+
+    Rows with ``lead`` are accepted photos of the part before: they count and get no verdict.
+    """
+    from collections import Counter, deque
+
+    key, recent, of_user, last, span = None, deque(), Counter(), 0, window * 1_000_000
+
+    def drop(at):
+        while recent and recent[0][1] < at - span:
+            of_user[recent.popleft()[2]] -= 1
+
+    def state():
+        drop(last)
+        return [(*key, *x) for x in recent] if key else []
 
-    key, recent = None, deque()
     for batch in batches:
-        verdicts = []
-        for row in batch.itertuples(index=False):
-            if (row.chat_id, row.stretch) != key:
-                key, recent = (row.chat_id, row.stretch), deque()
-            while recent and recent[0][0] < row.at - window * 1_000_000:
-                recent.popleft()
+        out = []
+        for row in batch[_PHOTO].itertuples(index=False):
+            if row[:3] != key:
+                if states:
+                    out += state()
+                key, last = row[:3], 0
+                recent.clear()
+                of_user.clear()
+            seq, at, user = row.seq, row.at, row.user_id
+            drop(at)
             verdict = "accepted"
             if row.busy:
                 if len(recent) >= chat_limit:
                     verdict = "chat_limit"
-                elif sum(1 for _, user in recent if user == row.user_id) >= user_limit:
+                elif of_user[user] >= user_limit:
                     verdict = "user_limit"
             if verdict == "accepted":
-                recent.append((row.at, row.user_id))
-            verdicts.append(verdict)
-        yield pd.DataFrame({"chat_id": batch.chat_id, "seq": batch.seq, "verdict": verdicts})
+                recent.append((seq, at, user))
+                of_user[user] += 1
+            last = at
+            if not states and not row.lead:
+                out.append((row.chat_id, seq, verdict))
+        yield pd.DataFrame(out, columns=[*_GROUP, "seq", "at", "user_id"] if states else ["chat_id", "seq", "verdict"])
+    if states:
+        yield pd.DataFrame(state(), columns=[*_GROUP, "seq", "at", "user_id"])
+
+
+#: Rounds in which all parts of a long stretch run at once, each from what the part before it left in the round before.
+ROUNDS = 4
 
 
-def rate_limit(photos: DataFrame, window: int = WINDOW, chat_limit: int = CHAT_LIMIT, user_limit: int = USER_LIMIT) -> DataFrame:
+def _folded(rows: DataFrame, entries: DataFrame | None, limits: tuple[int, int, int], states: bool) -> DataFrame:
+    rows = rows.withColumn("lead", F.lit(False))
+    if entries is not None:
+        rows = rows.unionByName(entries.withColumns({"lead": F.lit(True), "busy": F.lit(False)}))
+    ordered = rows.select(*_PHOTO).repartition(*_GROUP).sortWithinPartitions(*_GROUP, F.desc("lead"), "seq")
+    schema = "chat_id long, stretch long, part long, seq long, at long, user_id long" if states else "chat_id long, seq long, verdict string"
+    return ordered.mapInPandas(lambda it: _limit_fold(it, *limits, states), schema)
+
+
+def _settled(rows: DataFrame, limits: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """Rows of long stretches with their parts, and the accepted photos each part is entered with.
+
+    All parts run from a guess, at first from nothing; a part is run again while what the part before it leaves is not
+    what it was run from. Parts that do not settle in ROUNDS become one, run in order from the first of them on, so
+    the verdicts are always those of the walk.
+    """
+    before = W.partitionBy("chat_id", "stretch").orderBy("part")
+    parts = cut(rows.select(*_GROUP).distinct().withColumn("previous", F.lag("part").over(before)))
+
+    def gathered(states: DataFrame, name: str) -> DataFrame:
+        return states.groupBy(*_GROUP).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "user_id"))).alias(name))
+
+    def handed(states: DataFrame) -> DataFrame:
+        left = states.withColumnRenamed("part", "previous")
+        return parts.where("previous IS NOT NULL").join(left, ["chat_id", "stretch", "previous"]).drop("previous")
+
+    def unlike(entries: DataFrame, used: DataFrame) -> DataFrame:
+        both = parts.select(*_GROUP).join(gathered(entries, "now"), _GROUP, "left").join(gathered(used, "then"), _GROUP, "left")
+        return cut(both.where(~F.col("now").eqNullSafe(F.col("then"))).select(*_GROUP))
+
+    states = cut(_folded(rows, None, limits, states=True))
+    entries = cut(handed(states))
+    changed = unlike(entries, entries.where(F.lit(False)))
+    for _ in range(ROUNDS):
+        if changed.isEmpty():
+            return rows, entries
+        again = _folded(rows.join(changed, _GROUP, "left_semi"), entries.join(changed, _GROUP, "left_semi"), limits, states=True)
+        states = cut(again.unionByName(states.join(changed, _GROUP, "left_anti")))
+        used, entries = entries, cut(handed(states))
+        changed = unlike(entries, used)
+    unsure = changed.groupBy("chat_id", "stretch").agg(F.min("part").alias("first"))
+    joined = lambda df: cut(df.join(unsure, ["chat_id", "stretch"], "left"))
+    rows, entries = joined(rows), joined(entries)
+    entries = entries.where("first IS NULL OR part <= first").drop("first")
+    return rows.withColumn("part", F.least("part", "first")).drop("first"), entries
+
+
+def rate_limit(photos: DataFrame, window: int = WINDOW, chat_limit: int = CHAT_LIMIT, user_limit: int = USER_LIMIT, block: int = BLOCK) -> DataFrame:
     """Verdict per photo: accepted, chat_limit or user_limit; refused photos do not count.
 
     A photo with fewer than the smaller limit of predecessors in its window is accepted whatever
     happened before. Only the other ones, with the quiet photos that lead into them, go through the
-    ordered fold, one stretch (uncounted pause of a whole window) at a time. Photos with a true ``owner`` column are
-    accepted and not counted.
+    ordered fold, one stretch (uncounted pause of a whole window) at a time, and long stretches in parts of ``block``
+    photos. Photos with a true ``owner`` column are accepted and not counted.
     """
     if "owner" in photos.columns:
         owned = F.coalesce("owner", F.lit(False))
         exempt = photos.where(owned).select("chat_id", "seq", F.lit("accepted").alias("verdict"))
-        return exempt.unionByName(rate_limit(photos.where(~owned).drop("owner"), window, chat_limit, user_limit))
+        return exempt.unionByName(rate_limit(photos.where(~owned).drop("owner"), window, chat_limit, user_limit, block))
     floor, span = min(chat_limit, user_limit), window * 1_000_000
     rows = photos.select("chat_id", "user_id", "seq", micros(F.col("ts")).alias("at"))
     numbered = cut(running_number(rows, ["chat_id"], "seq", "n"))
@@ -104,39 +183,120 @@ def rate_limit(photos: DataFrame, window: int = WINDOW, chat_limit: int = CHAT_L
     looked = running(ahead, ["chat_id"], "back", [Running("next_busy", "last", upcoming)])
     looked = cut(looked.withColumn("involved", F.col("busy") | F.coalesce(F.col("next_busy.at") - F.col("at") <= span, F.lit(False))))
     quiet = looked.where("NOT involved").select("chat_id", "seq", F.lit("accepted").alias("verdict"))
-    fold_in = looked.where("involved").select("chat_id", F.col("next_busy.stretch").alias("stretch"), "seq", "at", "user_id", "busy")
-    ordered = fold_in.repartition("chat_id", "stretch").sortWithinPartitions("chat_id", "stretch", "seq")
-    folded = ordered.mapInPandas(lambda it: _limit_fold(it, window, chat_limit, user_limit), "chat_id long, seq long, verdict string")
-    return quiet.unionByName(folded)
+    part = F.floor(F.col("n") / block)
+    fold_in = looked.where("involved").select("chat_id", F.col("next_busy.stretch").alias("stretch"), part.alias("part"), "seq", "at", "user_id", "busy")
+    limits, entries = (window, chat_limit, user_limit), None
+    spans = fold_in.groupBy("chat_id", "stretch").agg(F.min("part").alias("first"), F.max("part").alias("end"))
+    long = cut(spans.where("end > first").select("chat_id", "stretch"))
+    if not long.isEmpty():
+        several, entries = _settled(cut(fold_in.join(long, ["chat_id", "stretch"], "left_semi")), limits)
+        fold_in = fold_in.join(long, ["chat_id", "stretch"], "left_anti").unionByName(several.select(*fold_in.columns))
+    return quiet.unionByName(_folded(fold_in, entries, limits, states=False))
+
+
+def _kept_from(at: np.ndarray, start: int, gap: int, strict: bool) -> list[int]:
+    """Positions the walk keeps in sorted times, from ``start`` on."""
+    kept, side = [], "right" if strict else "left"
+    while start < len(at):
+        kept.append(start)
+        start = int(np.searchsorted(at, at[start] + gap, side=side))
+    return kept
+
+
+def _exits(at: np.ndarray, gap: int, strict: bool) -> np.ndarray:
+    """For each position the first time that the walk from there asks for beyond the block, by pointer doubling."""
+    following = np.append(np.searchsorted(at, at + gap, side="right" if strict else "left"), len(at))
+    asked = np.append(at + gap, 0)
+    last = np.arange(len(at) + 1)
+    while True:
+        inside = following[last] < len(at)
+        inside[-1] = False
+        if not inside.any():
+            return asked[last][:-1]
+        # From the last kept position known so far, go on as far as it has come itself.
+        last = np.where(inside, last[following[last]], last)
+
+
+def _by_block(batches: Iterator[pd.DataFrame], act) -> Iterator[pd.DataFrame]:
+    """``act`` on the rows of one (key, stretch, block) at a time; rows come sorted, a block may span batches."""
+    names, held = ["key", "stretch", "block"], None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        ends = (rows[names] != rows[names].shift(-1)).any(axis=1).to_numpy().nonzero()[0][:-1]
+        start = 0
+        for end in ends + 1:
+            yield act(rows.iloc[start:end])
+            start = end
+        held = rows.iloc[start:]
+    if held is not None and len(held):
+        yield act(held)
 
 
-def _spaced_fold(batches: Iterator[pd.DataFrame], gap: int, strict: bool) -> Iterator[pd.DataFrame]:
-    key, last = None, None
-    for batch in batches:
-        keep = []
-        for row in batch.itertuples(index=False):
-            if (row.key, row.stretch) != key:
-                key, last = (row.key, row.stretch), None
-            free = last is None or (row.at - last > gap if strict else row.at - last >= gap)
-            if free:
-                last = row.at
-            keep.append(free)
-        yield batch.loc[keep, ["key", "at"]]
-
-
-def _spaced(events: DataFrame, key: str, gap_micros: int, strict: bool) -> DataFrame:
+_STRETCH = ["key", "stretch"]
+
+
+def _spaced(events: DataFrame, key: str, gap_micros: int, strict: bool, block: int = BLOCK) -> DataFrame:
     """Distinct (key, time) pairs at least a gap after the previously kept pair of the key.
 
-    A time that far after any other of its key is kept whatever came before, so it starts a stretch of its own; only
-    stretches, not keys, are folded in order.
+    A time that far after any other of its key is kept whatever came before, so it starts a stretch of its own. A
+    stretch is dealt out in blocks: each names, for every place the walk may enter it, the time it asks for next. The
+    places really entered follow from the start of the stretch by doubling these pointers from block to block, in as
+    many rounds as the logarithm of the number of blocks; then all blocks are walked at once.
     """
     rows = events.select(F.col(key).cast("string").alias("key"), F.col("at")).distinct()
-    before = running(rows, ["key"], "at", [Running("__before", "last", F.col("at"), inclusive=False)])
+    hours = 3_600_000_000
+    one = F.lit(1).cast("long")
+    before = running(rows, ["key"], "at", [Running("__before", "last", F.col("at"), inclusive=False), Running("n", "sum", one)], hours)
     idle = F.col("at") - F.col("__before")
     starts = F.col("__before").isNull() | (idle > gap_micros if strict else idle >= gap_micros)
-    marked = running(cut(before.withColumn("__starts", starts.cast("long"))), ["key"], "at", [Running("stretch", "sum", F.col("__starts"))])
-    ordered = marked.select("key", "stretch", "at").repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at")
-    return ordered.mapInPandas(lambda it: _spaced_fold(it, gap_micros, strict), "key string, at long")
+    # A stretch is named by its first time; its rows count from the place of that time among those of the key.
+    marked = cut(before.withColumn("__start", F.when(starts, F.struct("at", "n"))).drop("__before"))
+    marked = running(marked, ["key"], "at", [Running("first", "last", F.col("__start"))], hours)
+    place = F.floor((F.col("n") - F.col("first.n")) / block)
+    dealt = cut(marked.select("key", F.col("first.at").alias("stretch"), place.alias("block"), "at"))
+    long = cut(dealt.where("block > 0").select(*_STRETCH).distinct())
+    entries = dealt.where("at = stretch").select("key", "stretch", "block", F.col("at").alias("entry"))
+    long = cut(dealt.where("block > 0").select(*_STRETCH).distinct())
+    if not long.isEmpty():
+        entries = entries.unionByName(_entries(dealt.join(long, _STRETCH, "left_semi"), gap_micros, strict))
+    entered = dealt.join(entries, [*_STRETCH, "block"])
+    entered = entered.where(F.col("at") >= F.col("entry")).select(*_STRETCH, "block", "at")
+    names = [*_STRETCH, "block"]
+    ordered = entered.repartition(*names).sortWithinPartitions(*names, "at")
+    keep = lambda rows: rows.iloc[_kept_from(rows["at"].to_numpy(), 0, gap_micros, strict)][["key", "at"]]
+    return ordered.mapInPandas(lambda it: _by_block(it, keep), "key string, at long")
+
+
+def _entries(dealt: DataFrame, gap: int, strict: bool) -> DataFrame:
+    """Where the walks of long stretches enter their later blocks: key, stretch, block, entry."""
+    names = [*_STRETCH, "block"]
+    asking = dealt.repartition(*names).sortWithinPartitions(*names, "at")
+    ask = lambda rows: rows.assign(asked=_exits(rows["at"].to_numpy(), gap, strict))
+    asked = cut(asking.mapInPandas(lambda it: _by_block(it, ask), "key string, stretch long, block long, at long, asked long"))
+    # The first time at or after each asked one: the next row behind it in descending order.
+    wanted = asked.select(*_STRETCH, F.col("asked").alias("at"), F.lit(None).cast("long").alias("block")).distinct()
+    behind = F.struct("at", "block")
+    both = asked.select(*_STRETCH, "at", "block").unionByName(wanted)
+    # Asked times rank before rows of the same time if the gap alone is enough, else after them.
+    tie = F.when(F.col("block").isNull(), 1 if strict else 0).otherwise(0 if strict else 1)
+    both = cut(both.withColumn("back", -(F.col("at") * 2 + tie)))
+    found = running(both, _STRETCH, "back", [Running("hit", "last", F.when(F.col("block").isNotNull(), behind))], 7_200_000_000)
+    found = found.where("block IS NULL AND hit IS NOT NULL").select(*_STRETCH, F.col("at").alias("asked"), F.col("hit.at").alias("to"), F.col("hit.block").alias("to_block"))
+    found = cut(found)
+    nodes = found.select(*_STRETCH, F.col("to").alias("at")).unionByName(dealt.where("at = stretch").select(*_STRETCH, "at")).distinct()
+    edges = asked.join(nodes, [*_STRETCH, "at"], "left_semi").join(found, [*_STRETCH, "asked"])
+    jumps = cut(edges.select(*_STRETCH, "at", "to"))
+    reached = cut(dealt.where("at = stretch").select(*_STRETCH, "at"))
+    while True:
+        fresh = reached.join(jumps, [*_STRETCH, "at"]).select(*_STRETCH, F.col("to").alias("at"))
+        fresh = cut(fresh.join(reached, [*_STRETCH, "at"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        reached = cut(reached.unionByName(fresh))
+        onward = jumps.select(*_STRETCH, F.col("at").alias("to"), F.col("to").alias("then"))
+        jumps = cut(jumps.join(onward, [*_STRETCH, "to"]).select(*_STRETCH, "at", F.col("then").alias("to")))
+    later = reached.where("at <> stretch").join(found.select(*_STRETCH, F.col("to").alias("at"), F.col("to_block").alias("block")).distinct(), [*_STRETCH, "at"])
+    return later.select(*_STRETCH, "block", F.col("at").alias("entry"))
 
 
 def cooldown(events: DataFrame, key: str, seconds: int = COOLDOWN) -> DataFrame:

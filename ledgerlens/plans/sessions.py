@@ -226,3 +226,133 @@ def r11(t: Tables) -> DataFrame:
     )
     additions = t.events.where("event_id % 9 = 2").select((-(F.col("user_id") % 35)).alias("chat_id"), F.col("event_id").alias("seq"), "user_id")
     return sessions.joined_chats(changes, additions)
+
+
+# -- streams over several files, one a micro-batch, whose rows overlap in time --------------------------
+
+
+SLICES, STRAY = 4, 120
+
+
+def _sliced(t: Tables, rows: DataFrame, out: str, name: str = "input") -> DataFrame:
+    """``rows`` with a ``seq`` as a stream of SLICES files; some of the last rows of each come a file late."""
+    end = rows.agg(F.max("seq").alias("seq")).first()["seq"] or 0
+    stray = max(1, min(STRAY, end // 200))
+    slices = F.least(F.floor((F.col("seq") + F.col("seq") * 37 % stray) * SLICES / (end + 1)), F.lit(SLICES - 1))
+    for i in range(SLICES):  # one after the other: a file source reads by age
+        rows.where(slices == i).coalesce(1).write.mode("append").parquet(f"{out}/{name}")
+    return jobs.read_rows(t.spark, f"{out}/{name}", 1)
+
+
+#: What the watermark has passed once all is read: times before the newest less the delay.
+PASSED_SQL = "micros // 1000 < (SELECT max(micros) // 1000 - {delay} FROM {rows})"
+STEADY_SQL = """
+ph AS (SELECT -(1000 + user_id % 5) AS chat_id, event_id AS seq, user_id % 50 = 0 AS owner, user_id % 100 = 0 AS bulk, 1704067200000000 + event_id * 400000 + event_id * 7919 % 380 * 1000 AS micros FROM @events)"""
+
+
+def steady_photos(t: Tables) -> DataFrame:
+    """Photos whose times rise with their numbers, 0.02 to 0.8 seconds apart."""
+    at = F.lit(1_704_067_200_000_000) + F.col("event_id") * 400_000 + F.col("event_id") * 7919 % 380 * 1000
+    return t.events.select(
+        (-(F.col("user_id") % 5 + 1000)).alias("chat_id"), F.col("event_id").alias("seq"), at.alias("at"), F.timestamp_micros(at).alias("ts"),
+        (F.col("user_id") % 50 == 0).alias("owner"), (F.col("user_id") % 100 == 0).alias("bulk"),
+    )
+
+
+@query(
+    "R1_batch_stream",
+    f"""WITH {STEADY_SQL}, l AS (SELECT *, micros - lag(micros) OVER w AS gap, lag(owner) OVER w AS po, lag(bulk) OVER w AS pb FROM ph WINDOW w AS (PARTITION BY chat_id ORDER BY seq)),
+    c AS (SELECT *, CASE WHEN gap IS NULL THEN false WHEN pb THEN gap <= 12000000 WHEN po THEN gap <= 50000 WHEN gap <= 600000 THEN true WHEN gap > 3000000 THEN false END AS clear FROM l),
+    s AS (SELECT *, last_value(clear IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM c),
+    b AS (SELECT *, last_value(CASE WHEN NOT coalesce(clear, held, false) THEN seq END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY seq) AS start FROM s),
+    d AS (SELECT chat_id, start, min(micros) AS first_at, max(micros) AS last_at, count(*) AS photos, CASE WHEN arg_max(bulk, seq) THEN 12000000 WHEN arg_max(owner, seq) THEN 50000 WHEN count(*) > 1 THEN 3000000 ELSE 600000 END AS wait FROM b GROUP BY ALL)
+    SELECT chat_id, first_at, last_at, photos FROM d WHERE last_at + wait < ((SELECT max(micros) FROM ph) // 1000 - 120000) * 1000""",
+)
+def r1s(t: Tables) -> DataFrame:
+    out = _out(t, "batches")
+    jobs.run(jobs.photo_batch_stream(_sliced(t, steady_photos(t), out), "2 minutes"), out)
+    return t.spark.read.parquet(f"{out}/rows")
+
+
+@query(
+    "R2_limit_stream",
+    f"""WITH RECURSIVE {BURST_SQL},
+    st AS (SELECT DISTINCT chat_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(m BIGINT, u BIGINT)[]) AS recent, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict FROM b UNION ALL
+      SELECT chat_id, k, CASE WHEN verdict = 'accepted' THEN list_append(live, {{'m': micros, 'u': user_id}}) ELSE live END, seq, verdict FROM (
+        SELECT *, CASE WHEN len(live) >= {sessions.CHAT_LIMIT} THEN 'chat_limit' WHEN len(list_filter(live, lambda r: r.u = user_id)) >= {sessions.USER_LIMIT} THEN 'user_limit' ELSE 'accepted' END AS verdict
+        FROM (SELECT b.*, list_filter(st.recent, lambda r: r.m >= b.micros - {sessions.WINDOW} * 1000000) AS live FROM st JOIN b ON b.chat_id = st.chat_id AND b.k = st.k + 1) AS x) AS y)
+    SELECT st.chat_id, st.seq, verdict FROM st JOIN b USING (seq) WHERE st.k > 0 AND {PASSED_SQL.format(delay=600_000, rows="b")}""",
+)
+def r2s(t: Tables) -> DataFrame:
+    out = _out(t, "limit")
+    stream = _sliced(t, bursts(t).withColumn("at", sessions.micros(F.col("ts"))), out)
+    jobs.run(jobs.ordered_limit_stream(stream), out)
+    return t.spark.read.parquet(f"{out}/rows")
+
+
+RETURNING_SQL = kept_sql("SELECT concat('hot', event_id % 40) AS key, epoch_us(date_trunc('second', ts)) AS t0, epoch_us(ts) AS micros FROM @events", 86_401_000_000)
+
+
+@query(
+    "R3_rolling_entries",
+    f"WITH RECURSIVE {RETURNING_SQL} SELECT DISTINCT key AS card, make_timestamp(t0) AS entered_at FROM k JOIN e USING (key, t0) WHERE t0 // 1000 < (SELECT max(micros) // 1000 - 43200000 FROM e)",
+)
+def r3s(t: Tables) -> DataFrame:
+    out = _out(t, "entries")
+    codes = t.events.select(F.concat(F.lit("hot"), (F.col("event_id") % 40).cast("string")).alias("card"), F.col("event_id").alias("seq"), "ts")
+    jobs.run(jobs.rolling_entry_stream(_sliced(t, codes, out), "12 hours"), out)
+    return t.spark.read.parquet(f"{out}/rows")
+
+
+ORDERED_SQL = kept_sql("SELECT user_id % 7 AS key, event_id AS seq, epoch_us(ts) AS t0 FROM @events", sessions.COOLDOWN * 1_000_000)
+
+
+@query(
+    "R6_ordered_cooldown_stream",
+    f"""WITH RECURSIVE {ORDERED_SQL} SELECT key AS chat_id, min(seq) AS seq FROM e JOIN k USING (key, t0)
+    WHERE t0 // 1000 < (SELECT max(t0) // 1000 - 43200000 FROM e) GROUP BY key, t0""",
+)
+def r6s(t: Tables) -> DataFrame:
+    out = _out(t, "cooldown")
+    events = t.events.select((F.col("user_id") % 7).alias("chat_id"), F.col("event_id").alias("seq"), "ts", sessions.micros(F.col("ts")).alias("at"))
+    jobs.run(jobs.ordered_cooldown_stream(_sliced(t, events, out), "12 hours"), out)
+    return t.spark.read.parquet(f"{out}/rows")
+
+
+@query(
+    "R7_relay_stream",
+    """SELECT r.event_id AS reply_id, s.event_id AS relay_id, s.user_id AS target_user FROM @events AS r JOIN @events AS s ON s.event_id = r.event_id - r.event_id % 4 * 900
+    WHERE r.ts >= s.ts AND r.ts <= s.ts + INTERVAL '5' DAY""",
+)
+def r7s(t: Tables) -> DataFrame:
+    out = _out(t, "relay")
+    sent, asked = relays(t.events)
+    left = _sliced(t, sent.withColumn("seq", F.col("relay_id")), out, "sent").drop("seq")
+    right = _sliced(t, asked.withColumn("seq", F.col("reply_id")), out, "asked").drop("seq")
+    jobs.run(jobs.relay_stream(left, right, 5, "12 hours"), out)
+    return t.spark.read.parquet(f"{out}/rows").select("reply_id", "relay_id", "target_user")
+
+
+STREAMED_NOTICE_SQL = kept_sql("SELECT concat(user_id % 3, '/img', user_id % 40) AS key, user_id % 3 AS chat_id, concat('img', user_id % 40) AS image_id, event_id AS seq, epoch_us(ts) AS t0 FROM @events", 24 * 3_600_000_000)
+
+
+@query(
+    "R7_notice_stream",
+    f"""WITH RECURSIVE {STREAMED_NOTICE_SQL} SELECT chat_id, image_id, min(seq) AS seq FROM e JOIN k USING (key, t0)
+    WHERE t0 // 1000 < (SELECT max(t0) // 1000 - 43200000 FROM e) GROUP BY chat_id, image_id, t0""",
+)
+def r7n(t: Tables) -> DataFrame:
+    out = _out(t, "notices")
+    image = F.concat(F.lit("img"), (F.col("user_id") % 40).cast("string"))
+    notices = t.events.select((F.col("user_id") % 3).alias("chat_id"), image.alias("image_id"), F.col("event_id").alias("seq"), "ts", sessions.micros(F.col("ts")).alias("at"))
+    jobs.run(jobs.sent_notice_stream(_sliced(t, notices, out), "12 hours"), out)
+    return t.spark.read.parquet(f"{out}/rows")
+
+
+@query("R8_high_water_stream", "SELECT -(1000 + user_id % 5) AS chat_id, max(event_id) AS message_id FROM @events GROUP BY 1")
+def r8s(t: Tables) -> DataFrame:
+    out = _out(t, "marks")
+    seen = t.events.select((-(F.col("user_id") % 5 + 1000)).alias("chat_id"), F.col("event_id").alias("message_id"), F.col("event_id").alias("seq"))
+    stream = jobs.high_water_stream(_sliced(t, seen, out))
+    jobs.run(stream, out, "update", jobs.high_water_job(f"{out}/table"))
+    return jobs.newest_version(t.spark, f"{out}/table")

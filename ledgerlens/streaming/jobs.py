@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -59,50 +60,186 @@ SLICE = 10_000
 # -- state stores -----------------------------------------------------------------------------
 
 
-class PhotoBatcher(StatefulProcessor):
-    """Open photo batch of a chat; a timer closes it when its wait has passed."""
+class InOrder(StatefulProcessor):
+    """Rows of a key by time and number across micro-batches: they wait until the watermark has passed them.
+
+    ``columns`` begin with ``at`` (microseconds) and ``seq``. A timer at the time of the first waiting row releases all
+    rows before the watermark, in order; another one at ``wakes`` lets idle state go.
+    """
+
+    columns = "at long, seq long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "first long, last long, photos long, wait double")
+        self.names = [c.split()[0] for c in self.columns.split(", ")]
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.setup(handle)
 
-    def _row(self, key, state) -> pd.DataFrame:
-        return pd.DataFrame({"chat_id": [key[0]], "first_at": [state[0]], "last_at": [state[1]], "photos": [state[2]]})
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
 
-    def _wait(self, row, photos: int) -> float:
-        if row.bulk:
-            return BULK_WAIT
-        if row.owner:
-            return OWNER_WAIT
-        return MULTI_WAIT if photos > 1 else SINGLE_WAIT
+    def release(self, key, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        """Act on rows in order; ``mark`` is the watermark in microseconds, which no later row lies before."""
+        raise NotImplementedError
 
-    def _arm(self, state) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((state[1] + int(state[3] * 1_000_000)) // 1000 + 1)
+    def wakes(self) -> int | None:
+        """When, in microseconds, what is remembered of the key can be dropped or closed."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("at")
-        state = self.open.get() if self.open.exists() else None
-        for row in events.itertuples(index=False):
-            if state is not None and row.at - state[1] > state[3] * 1_000_000:
-                yield self._row(key, state)
-                state = None
-            photos = 1 if state is None else state[2] + 1
-            state = (row.at if state is None else state[0], row.at, photos, self._wait(row, photos))
-        self.open.update(state)
-        self._arm(state)
+        first = None
+        for batch in rows:
+            fresh = list(zip(*(batch[c].tolist() for c in self.names)))
+            self.waiting.appendList(fresh)
+            at = min(x[0] for x in fresh)
+            first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            state = self.open.get()
-            self.open.clear()
-            yield self._row(key, state)
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] // 1000 < mark]
+        yield from self.release(key, due, mark * 1000)
+        rest = rows[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000)
+        elif rows:
+            self.waiting.clear()
+        wake = self.wakes()
+        if wake is not None and wake // 1000 + 1 > mark:
+            self.handle.registerTimer(wake // 1000 + 1)
 
     def close(self) -> None:
         pass
 
 
+class PhotoBatcher(InOrder):
+    """Open photo batch of a chat; a timer closes it when its wait has passed."""
+
+    columns = "at long, seq long, owner long, bulk long"
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "first long, last long, photos long, wait long")
+
+    def release(self, key, rows, mark):
+        state, closed = self.open.get() if self.open.exists() else None, []
+        for at, _, owner, bulk in rows:
+            if state is not None and at - state[1] > state[3]:
+                closed.append(state)
+                state = None
+            photos = 1 if state is None else state[2] + 1
+            wait = BULK_WAIT if bulk else OWNER_WAIT if owner else MULTI_WAIT if photos > 1 else SINGLE_WAIT
+            state = (at if state is None else state[0], at, photos, round(wait * 1_000_000))
+        if state is not None and state[1] + state[3] < mark:
+            closed.append(state)
+            state = None
+        if state is not None:
+            self.open.update(state)
+        elif self.open.exists():
+            self.open.clear()
+        for i in range(0, len(closed), SLICE):
+            part = [(key[0], *x[:3]) for x in closed[i : i + SLICE]]
+            yield pd.DataFrame(part, columns=["chat_id", "first_at", "last_at", "photos"])
+
+    def wakes(self):
+        state = self.open.get() if self.open.exists() else None
+        return None if state is None else state[1] + state[3]
+
+
+class OrderedLimiter(InOrder):
+    """The rate limit across micro-batches: accepted photos of the last window of a chat, dropped when it has passed."""
+
+    columns = "at long, seq long, user_id long"
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getListState("accepted", "at long, user_id long")
+
+    def release(self, key, rows, mark):
+        recent = deque(sorted(self.accepted.get())) if self.accepted.exists() else deque()
+        of_user = Counter(user for _, user in recent)
+        verdicts = []
+
+        def forget(at):
+            while recent and recent[0][0] < at - WINDOW * 1_000_000:
+                of_user[recent.popleft()[1]] -= 1
+
+        for at, seq, user in rows:
+            forget(at)
+            verdict = "chat_limit" if len(recent) >= CHAT_LIMIT else "user_limit" if of_user[user] >= USER_LIMIT else "accepted"
+            if verdict == "accepted":
+                recent.append((at, user))
+                of_user[user] += 1
+            verdicts.append((key[0], seq, verdict))
+        forget(mark)
+        if recent:
+            self.accepted.put(list(recent))
+        elif self.accepted.exists():
+            self.accepted.clear()
+        for i in range(0, len(verdicts), SLICE):
+            yield pd.DataFrame(verdicts[i : i + SLICE], columns=["chat_id", "seq", "verdict"])
+
+    def wakes(self):
+        return max(self.accepted.get())[0] + WINDOW * 1_000_000 if self.accepted.exists() else None
+
+
+class Gate(InOrder):
+    """Lets an event of a key through if the last one let through lies a gap back; remembers one time for one gap."""
+
+    def __init__(self, key: str, gap: int, strict: bool):
+        self.key, self.gap, self.strict = key, gap, strict
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long")
+
+    def release(self, key, rows, mark):
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for at, seq in rows:
+            if last is None or (at - last > self.gap if self.strict else at - last >= self.gap):
+                last = at
+                out.append((key[0], at, seq))
+        if last is not None and last + self.gap < mark:  # whatever comes passes
+            last = None
+        if last is not None:
+            self.last.update((last,))
+        elif self.last.exists():
+            self.last.clear()
+        for i in range(0, len(out), SLICE):
+            yield pd.DataFrame(out[i : i + SLICE], columns=[self.key, "at", "seq"])
+
+    def wakes(self):
+        return self.last.get()[0] + self.gap if self.last.exists() else None
+
+
+class SentNotices(InOrder):
+    """Images of a chat whose notice was sent, each for ``ttl``; the map shrinks as the watermark passes."""
+
+    columns = "at long, seq long, image_id string"
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getMapState("sent", "image_id string", "at long")
+
+    def release(self, key, rows, mark):
+        out = []
+        for at, seq, image in rows:
+            if not self.sent.containsKey((image,)) or at - self.sent.getValue((image,))[0] >= self.ttl:
+                self.sent.updateValue((image,), (at,))
+                out.append((key[0], image, seq))
+        for (image,), (at,) in list(self.sent.iterator()):
+            if at + self.ttl <= mark:
+                self.sent.removeKey((image,))
+        for i in range(0, len(out), SLICE):
+            yield pd.DataFrame(out[i : i + SLICE], columns=["chat_id", "image_id", "seq"])
+
+    def wakes(self):
+        return min((at + self.ttl for _, (at,) in self.sent.iterator()), default=None)
+
+
 class PhotoLimiter(StatefulProcessor):
     """Accepted photos of the last window of a chat: at most the chat limit of entries."""
 
@@ -159,15 +296,17 @@ class CooldownGate(StatefulProcessor):
         pass
 
 
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str) -> DataFrame:
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str, key: str = "chat_id") -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy("chat_id").transformWithStateInPandas(processor, schema, "Append", time_mode)
+    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 
 def photo_batch_stream(photos: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Exact photo batches of ``photos(chat_id, ts, at, owner, bulk)``."""
+    """Exact photo batches of ``photos(chat_id, ts, at, seq, owner, bulk)``, however the photos are spread over micro-batches."""
     schema = "chat_id long, first_at long, last_at long, photos long"
-    return _stateful(event_time(photos, "ts", delay), PhotoBatcher(), schema, "EventTime")
+    timed = event_time(photos, "ts", delay)
+    flags = {c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("owner", "bulk")}
+    return _stateful(timed.withColumns(flags), PhotoBatcher(), schema, "EventTime")
 
 
 def simple_batch_stream(photos: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -189,6 +328,30 @@ def cooldown_stream(events: DataFrame) -> DataFrame:
     return _stateful(events, CooldownGate(), "chat_id long, seq long", "None")
 
 
+def ordered_limit_stream(photos: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """``limit_stream`` of ``photos(chat_id, user_id, seq, ts, at)`` that may come in any order within ``delay``."""
+    return _stateful(event_time(photos, "ts", delay), OrderedLimiter(), "chat_id long, seq long, verdict string", "EventTime")
+
+
+def ordered_cooldown_stream(events: DataFrame, delay: str = "10 minutes", seconds: int = COOLDOWN) -> DataFrame:
+    """``cooldown_stream`` of ``events(chat_id, seq, ts, at)`` in any order within ``delay``; state leaves after the gap."""
+    gate = Gate("chat_id", seconds * 1_000_000, strict=False)
+    return _stateful(event_time(events, "ts", delay), gate, "chat_id long, at long, seq long", "EventTime").drop("at")
+
+
+def rolling_entry_stream(sightings: DataFrame, delay: str = "1 hour", hours: int = 24) -> DataFrame:
+    """Times a code of ``sightings(card, seq, ts)`` enters the rolling list, as in the batch twin, to the second."""
+    timed = event_time(sightings, "ts", delay).withColumn("at", F.floor(F.unix_micros("ts") / 1_000_000) * 1_000_000)
+    gate = Gate("card", hours * 3_600_000_000, strict=True)
+    found = _stateful(timed, gate, "card string, at long, seq long", "EventTime", "card")
+    return found.select("card", F.timestamp_micros("at").cast("timestamp_ntz").alias("entered_at"))
+
+
+def sent_notice_stream(notices: DataFrame, delay: str = "1 hour", hours: int = 24) -> DataFrame:
+    """Notices of ``notices(chat_id, image_id, seq, ts, at)`` to send: the first of an image of a chat, then once its entry has expired."""
+    return _stateful(event_time(notices, "ts", delay), SentNotices(hours * 3_600_000_000), "chat_id long, image_id string, seq long", "EventTime")
+
+
 # -- built-in state ---------------------------------------------------------------------------
 
 
@@ -210,10 +373,10 @@ def high_water_stream(messages: DataFrame) -> DataFrame:
     return messages.groupBy("chat_id").agg(F.max("message_id").alias("message_id"))
 
 
-def relay_stream(relays: DataFrame, replies: DataFrame, days: int = 30) -> DataFrame:
+def relay_stream(relays: DataFrame, replies: DataFrame, days: int = 30, delay: str = "1 hour") -> DataFrame:
     """Replies joined to their relayed message while it is remembered."""
-    left = event_time(relays, "created_at", "1 hour").withColumnRenamed("relay_id", "id")
-    right = event_time(replies, "reply_ts", "1 hour")
+    left = event_time(relays, "created_at", delay).withColumnRenamed("relay_id", "id")
+    right = event_time(replies, "reply_ts", delay)
     alive = F.expr(f"id = relay_id AND reply_ts >= created_at AND reply_ts <= created_at + INTERVAL {days} DAYS")
     return right.join(left, alive)
 
@@ -229,9 +392,37 @@ def daily_window_stream(records: DataFrame, delay: str = "1 hour") -> DataFrame:
 # -- micro-batch jobs with tables -------------------------------------------------------------
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table another run may have written; empty if none has."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _carried(spark: SparkSession, path: str, epoch: int, schema: str) -> DataFrame:
+    """What the micro-batch before this one left in its own folder; the first one finds nothing."""
+    return spark.read.schema(schema).parquet(f"{path}/batch={epoch - 1}") if epoch else spark.createDataFrame([], schema)
+
+
+def high_water_job(path: str) -> Callable[[DataFrame, int], None]:
+    """Upsert the chats a micro-batch raised into the table of all chats; each batch writes its own version of it."""
+
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        known = _carried(batch.sparkSession, path, epoch, "chat_id long, message_id long")
+        merged = known.unionByName(batch.select("chat_id", "message_id")).groupBy("chat_id").agg(F.max("message_id").alias("message_id"))
+        merged.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return upsert
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that ``high_water_job`` wrote."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(last, "batch").drop("batch")
 
 
 def daily_report_job(path: str) -> Callable[[DataFrame, int], None]:
@@ -244,14 +435,17 @@ def daily_report_job(path: str) -> Callable[[DataFrame, int], None]:
     def publish(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/records/batch={epoch}")
-        stored = spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/batch=*")
-        newest = stored.agg(F.max("dt").alias("d")).first()["d"]
+        last = _carried(spark, f"{path}/newest", epoch, "dt date")  # open until now
+        last.unionByName(batch.select("dt")).agg(F.max("dt").alias("dt")).write.mode("overwrite").parquet(f"{path}/newest/batch={epoch}")
+        newest = spark.read.parquet(f"{path}/newest/batch={epoch}").first()["dt"]
         if newest is None:
             return
-        last = stored.where(F.col("batch") < epoch).select("dt").agg(F.max("dt").alias("dt"))  # open until now
         touched = batch.select("dt").unionByName(last).where("dt IS NOT NULL").distinct()
-        closed = touched.where(F.col("dt") < F.lit(newest))
-        counts = stats.daily_counts(stored.join(closed, "dt", "left_semi"))
+        days = [r["dt"] for r in touched.where(F.col("dt") < F.lit(newest)).collect()]  # few: days of one micro-batch
+        if not days:
+            return
+        records = spark.read.option("basePath", f"{path}/records").parquet(f"{path}/records/batch=*")
+        counts = stats.daily_counts(records.where(F.col("dt").isin(days)))
         counts.withColumn("day", F.col("dt")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/reports")
 
     return publish
@@ -260,9 +454,7 @@ def daily_report_job(path: str) -> Callable[[DataFrame, int], None]:
 def alert_job(entries: DataFrame, closed: DataFrame, path: str, run_id: str) -> DataFrame:
     """One scheduled alert run: claims are stored before anything is sent, so a rerun sends nothing twice."""
     spark = entries.sparkSession
-    keys = "chat_id long, accounting_date string"
-    known = _exists(spark, path)
-    sent = spark.read.parquet(path).select("chat_id", "accounting_date") if known else spark.createDataFrame([], keys)
+    sent = stored(spark, path, "chat_id long, accounting_date string")
     due = ledger.overdue_alerts(entries, closed, sent)
     due.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
     return spark.read.parquet(path).where((F.col("run_id") == run_id) & (F.col("status") == "sending"))
@@ -277,9 +469,7 @@ def change_feed_job(path: str) -> Callable[[DataFrame, int], None]:
 
     def push(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        cursor = 0
-        if _exists(spark, f"{path}/cursor"):
-            cursor = spark.read.parquet(f"{path}/cursor").where(F.col("batch") < epoch).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        cursor = _carried(spark, f"{path}/cursor", epoch, "version long").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
         fresh, late = batch.where(F.col("change_version") > cursor), batch.where(F.col("change_version") <= cursor)
         span = late.agg(F.min("change_version").alias("a"), F.max("change_version").alias("z")).first()
         if span["a"] is not None:
@@ -287,7 +477,7 @@ def change_feed_job(path: str) -> Callable[[DataFrame, int], None]:
             pushed = feed.where((F.col("batch") < epoch) & F.col("change_version").between(span["a"], span["z"])).select("id", "change_version")
             fresh = fresh.unionByName(late.join(pushed, ["id", "change_version"], "left_anti"))
         fresh.write.mode("overwrite").parquet(f"{path}/feed/batch={epoch}")
-        top = fresh.agg(F.coalesce(F.max("change_version"), F.lit(cursor)).alias("version"))
+        top = fresh.agg(F.greatest(F.max("change_version"), F.lit(cursor)).alias("version"))
         top.write.mode("overwrite").parquet(f"{path}/cursor/batch={epoch}")
 
     return push

@@ -98,7 +98,7 @@ def test_limit_and_cooldown_streams_equal_batch(spark):
 
 def test_photo_batch_stream_equals_closed_batches(spark):
     rows, df = _photos(spark, 300, 23)
-    timed = df.withColumn("at", sessions.micros(F.col("ts"))).select("chat_id", "ts", "at", "owner", "bulk")
+    timed = df.withColumn("at", sessions.micros(F.col("ts"))).select("chat_id", "ts", "at", "seq", "owner", "bulk")
     folder, stream = _stream_of(spark, timed, "batches")
     jobs.run(jobs.photo_batch_stream(stream), folder)
     got = {(r["chat_id"], r["first_at"], r["photos"]) for r in spark.read.parquet(f"{folder}/rows").collect()}
@@ -129,3 +129,105 @@ def test_change_feed_pushes_each_version_once(spark):
     jobs.run(jobs.read_rows(spark, f"{folder}/input"), folder, each=jobs.change_feed_job(folder))
     rows = spark.read.option("basePath", f"{folder}/feed").parquet(f"{folder}/feed/batch=*")
     assert rows.count() == 150 and rows.select("id").distinct().count() == 150
+
+
+def _walk(times, gap, strict):
+    kept = []
+    for at in sorted(set(times)):
+        if not kept or (at - kept[-1] > gap if strict else at - kept[-1] >= gap):
+            kept.append(at)
+    return kept
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_gap_folds_in_blocks_equal_the_walk(spark, strict):
+    rng, rows = random.Random(9), []
+    shapes = {
+        "steady": [i * 7 for i in range(900)],  # never idle, many steps a block
+        "dense": [rng.randint(0, 3000) for _ in range(1500)],  # a step jumps over blocks
+        "mixed": [i * 40 + rng.choice([0, 1, 30, 100]) for i in range(500)] + [90_000, 90_001, 90_100, 190_000],
+        "ties": [100 * i for i in range(400)] + [100 * i + 1 for i in range(400)], "one": [5], "far": [0, 10**12, 2 * 10**12],
+    }
+    for key, times in shapes.items():
+        rows += [(key, at) for at in times * 2]
+    events = spark.createDataFrame(rows, "key string, at long")
+    for gap, block in ((100, 16), (100, 1 << 16), (1000, 8), (0, 4)):
+        got = defaultdict(list)
+        for r in sessions._spaced(events, "key", gap, strict, block).collect():
+            got[r["key"]].append(r["at"])
+        assert {k: sorted(v) for k, v in got.items()} == {k: _walk(v, gap, strict) for k, v in shapes.items()}
+    assert sessions._spaced(events.limit(0), "key", 100, strict).count() == 0
+
+
+def test_exits_follow_the_walk_out_of_a_block():
+    import numpy as np
+
+    at = np.array(sorted(random.Random(1).sample(range(2000), 300)))
+    for strict in (False, True):
+        for start, asked in enumerate(sessions._exits(at, 50, strict)):
+            assert asked == at[sessions._kept_from(at, start, 50, strict)[-1]] + 50
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_rate_limit_in_parts_equals_the_ordered_walk(spark, monkeypatch, rounds):
+    monkeypatch.setattr(sessions, "ROUNDS", rounds)
+    for limits, dense in (((60, 80, 50), True), ((10, 8, 5), False), ((20, 30, 12), True)):
+        rows, df = _photos(spark, 700, 5, dense)
+        got = {r["seq"]: r["verdict"] for r in sessions.rate_limit(df, *limits, block=64).collect()}
+        assert got == _brute_limit(rows, *limits)
+    assert set(got.values()) == {"accepted", "chat_limit", "user_limit"}
+
+
+def _run_with_progress(stream, path):
+    """Run to the end; rows of state before and after, by the last progress."""
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/_job").trigger(availableNow=True).format("parquet").start(f"{path}/rows")
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_state_leaves_with_the_watermark(spark):
+    """Two keys and then silence of theirs: what they left in the state is gone when the watermark has passed."""
+    at = [1, 2, 3, 400, 401]
+    busy = [(chat, s * 1_000_000 + chat, s * 10 + chat, "img") for s in at for chat in (1, 2)]
+    late = [(9, 100_000 * 1_000_000, 99, "img")]
+    kind = "chat_id long, at long, seq long, image_id string"
+    for make in (lambda x: jobs.ordered_cooldown_stream(x, "1 second"), lambda x: jobs.sent_notice_stream(x, "1 second", 1)):
+        folder = f"{shared_folder(spark)}/test-state-{random.randrange(1 << 60):x}"
+        for part in (busy[:6], busy[6:], late):
+            rows = spark.createDataFrame(part, kind).withColumns({"ts": F.timestamp_micros("at"), "user_id": F.lit(1).cast("long")})
+            rows.coalesce(1).write.mode("append").parquet(f"{folder}/input")
+        left = _run_with_progress(make(jobs.read_rows(spark, f"{folder}/input", 1)), folder)
+        rows = spark.read.parquet(f"{folder}/rows")
+        assert rows.where("chat_id < 9").count() >= 4
+        assert left[-1] < max(left)
+        # Only the waiting row of the last chat and its timer are left.
+        assert left[-1] <= 4
+
+
+def test_daily_job_closes_days_across_batches(spark):
+    from datetime import date
+
+    folder = f"{shared_folder(spark)}/test-days-{random.randrange(1 << 60):x}"
+    days = [[1, 1], [2], [2, 4], [1], [5]]  # one list a micro-batch; the fourth is late
+    n = 0
+    for batch in days:
+        rows = [(date(2024, 1, d), 1, 7, "t", "u", n := n + 1, f"f{n}", f"r{n}", ["L"], []) for d in batch]
+        schema = "dt date, chat_id long, user_id long, chat_title string, username string, message_id long, file_unique_id string, record_path string, final_long array<string>, final_short array<string>"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/input")
+        jobs.run(jobs.read_rows(spark, f"{folder}/input", 1), folder, each=jobs.daily_report_job(folder))
+        done = spark.read.option("basePath", f"{folder}/reports").parquet(f"{folder}/reports").groupBy("dt").agg(F.sum("images").alias("n")).collect() if batch != [1, 1] else []
+    assert {r["dt"].day: r["n"] for r in done} == {1: 3, 2: 2, 4: 1}
+
+
+def test_high_water_and_feed_go_on_after_a_restart(spark):
+    folder = f"{shared_folder(spark)}/test-marks-{random.randrange(1 << 60):x}"
+    for ids in ([1, 2, 3], [8], [5, 2]):
+        spark.createDataFrame([(i % 2, i) for i in ids], "chat_id long, message_id long").coalesce(1).write.mode("append").parquet(f"{folder}/input")
+        jobs.run(jobs.high_water_stream(jobs.read_rows(spark, f"{folder}/input", 1)), folder, "update", jobs.high_water_job(f"{folder}/table"))
+    assert {tuple(r) for r in jobs.newest_version(spark, f"{folder}/table").collect()} == {(0, 8), (1, 5)}
+    feed = f"{shared_folder(spark)}/test-late-{random.randrange(1 << 60):x}"
+    for versions in ([5, 6], [1, 2], [2, 7], [6, 8]):  # late ones once, whatever the batch before them held
+        spark.createDataFrame([(v, v) for v in versions], "id long, change_version long").coalesce(1).write.mode("append").parquet(f"{feed}/input")
+        jobs.run(jobs.read_rows(spark, f"{feed}/input", 1), feed, each=jobs.change_feed_job(feed))
+    rows = spark.read.option("basePath", f"{feed}/feed").parquet(f"{feed}/feed/batch=*")
+    assert sorted(r["change_version"] for r in rows.collect()) == [1, 2, 5, 6, 7, 8]
