@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import candidates, codes, evidence, extract
 from ledgerlens.functions.extract import bind
+from ledgerlens.session import cut
 
 STRINGS = "array<string>"
 
@@ -79,38 +82,43 @@ def _merged(remote: Column, cloud: Column) -> Column:
     return bind(evidence.apply_confirmed(remote["cards"], confirmed), merge)
 
 
-def route(remote: Column, cloud: Column, strip: Column) -> Column:
-    """``struct<rule, codes, short, uncertain, review>``: the first rule that applies decides.
-
-    ``review`` asks for a second look at an image whose two readings of a single line disagree. The cloud takes part only
-    where ``complement_reason`` is given, so plain images stop before the costly rules.
-    """
-    text = F.concat(F.lit("[REMOTE]\n"), F.trim(remote["raw_text"]), F.lit("\n[OCRSPACE]\n"), F.trim(cloud["raw_text"]))
-    short = lambda: evidence.one_type(remote["cards"], remote["short"], codes.fold_text(remote["raw_text"]))
-
-    def completed(reason: Column, parts: Column) -> Column:
-        return F.coalesce(
-            _some("exact", evidence.exact_agreement(remote, cloud)),
-            _several("cloud_slot", evidence.cloud_completes_slot(remote, cloud)),
-            _several("dual_variant_cloud", evidence.dual_variant(remote, cloud)),
-            # Only strips may take their evidence from lines that are not neighbours.
-            F.when(strip, _some("repeated", evidence.repeated_agreement(remote, parts, cloud["cards"])))
-            .otherwise(_some("repeated", evidence.repeated_agreement(remote, parts, cloud["cards"], wrap_only=True))),
-            F.when(reason == "recovered_prefix", _some("prefix_review", evidence.cloud_same_slot(remote, cloud))),
-            _merged(remote, cloud),
-        )
-
-    def decide(parts: Column) -> Column:
-        asked = bind(complement_reason(remote), lambda reason: F.when(reason.isNotNull(), completed(reason, parts)))
-        plain = _outcome("primary", remote["cards"], remote["uncertain"], short())
-        return F.coalesce(F.when(strip, _strip(remote, cloud, parts)), _several("dual_variant", evidence.complete_dual_variant(remote)), asked, plain)
-
-    return bind(evidence.sections(text), decide)
+def _completed(remote: Column, cloud: Column, strip: Column, reason: Column, parts: Column) -> Column:
+    """The first rule that applies to an image whose primary reading the cloud is asked to complete, or null."""
+    return F.coalesce(
+        _some("exact", evidence.exact_agreement(remote, cloud)),
+        _several("cloud_slot", evidence.cloud_completes_slot(remote, cloud)),
+        _several("dual_variant_cloud", evidence.dual_variant(remote, cloud)),
+        # Only strips may take their evidence from lines that are not neighbours.
+        F.when(strip, _some("repeated", evidence.repeated_agreement(remote, parts, cloud["cards"])))
+        .otherwise(_some("repeated", evidence.repeated_agreement(remote, parts, cloud["cards"], wrap_only=True))),
+        F.when(reason == "recovered_prefix", _some("prefix_review", evidence.cloud_same_slot(remote, cloud))),
+        _merged(remote, cloud),
+    )
 
 
 def route_images(rows: DataFrame) -> DataFrame:
-    """``rows(image_id, remote, cloud, strip)`` to the outcome of each image."""
-    return rows.select("image_id", route(F.col("remote"), F.col("cloud"), F.col("strip")).alias("o")).select("image_id", "o.*")
+    """``rows(image_id, remote, cloud, strip)`` to the outcome of each image: rule, codes, short, uncertain, review.
+
+    The first rule that applies decides. Images leave by gates, cheap ones first, so that only strips and images whose
+    ``complement_reason`` asks for the cloud meet the costly rules; what a gate computes is a column of the next step.
+    ``review`` asks for a second look at an image whose two readings of a single line disagree.
+    """
+    remote, cloud, strip, outcome = F.col("remote"), F.col("cloud"), F.col("strip"), F.col("o")
+    text = F.concat(F.lit("[REMOTE]\n"), F.trim(remote["raw_text"]), F.lit("\n[OCRSPACE]\n"), F.trim(cloud["raw_text"]))
+    base = rows.select("image_id", "remote", "cloud", F.coalesce(strip, F.lit(False)).alias("strip"), evidence.sections(text).alias("parts"))
+    base = cut(base.withColumn("dual", evidence.complete_dual_variant(remote)))
+    strips = cut(base.where(strip).withColumn("o", _strip(remote, cloud, F.col("parts"))))
+    rest = base.where(~strip).unionByName(strips.where(outcome.isNull()).drop("o"))
+    sure = F.coalesce(F.size("dual") > 0, F.lit(False))
+    dual = rest.where(sure).withColumn("o", _outcome("dual_variant", F.col("dual")))
+    rest = cut(rest.where(~sure).withColumn("reason", complement_reason(remote)))
+    asked = rest.where("reason IS NOT NULL").withColumn("o", _completed(remote, cloud, strip, F.col("reason"), F.col("parts")))
+    asked = cut(asked.drop("reason"))
+    short = evidence.one_type(remote["cards"], remote["short"], codes.fold_text(remote["raw_text"]))
+    plain = rest.where("reason IS NULL").drop("reason").unionByName(asked.where(outcome.isNull()).drop("o"))
+    plain = plain.withColumn("o", _outcome("primary", remote["cards"], remote["uncertain"], short))
+    parts = [strips.where(outcome.isNotNull()), dual, asked.where(outcome.isNotNull()), plain]
+    return reduce(DataFrame.unionByName, [x.select("image_id", "o.*") for x in parts])
 
 
 def _engine(text: Column) -> Column:

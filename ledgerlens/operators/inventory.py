@@ -40,17 +40,28 @@ def display_names(records: DataFrame, chats: DataFrame, users: DataFrame) -> Dat
     )
 
 
-def classify_by_prefix(records: DataFrame, rules: DataFrame, code: str = "final_card", lengths: tuple[int, ...] | None = None) -> DataFrame:
-    """Label of the longest rule prefix of a long code.
+#: Up to so many rules are joined one length at a time, so that Spark can broadcast them and rows stay where they are.
+SMALL_RULES = 10_000
 
-    One equi join per prefix length that a code can have, never a cross join; longer rules match no code. Rows
-    are not multiplied and Spark decides from the rule table's size whether to broadcast it.
+
+def classify_by_prefix(records: DataFrame, rules: DataFrame, code: str = "final_card", lengths: tuple[int, ...] | None = None, small: int = SMALL_RULES) -> DataFrame:
+    """Label of the longest rule prefix of a long code; longer rules than codes match none. Never a cross join.
+
+    Few rules are equi joined once for each of their lengths, without multiplying rows. Many rules meet all prefixes
+    of the distinct codes in one join, of which the longest hit goes back to the rows.
     """
+    total = 0
     if lengths is None:
-        found = rules.select(F.length("prefix").alias("n")).where(F.col("n").between(1, CODE_LENGTH)).distinct().collect()
-        lengths = tuple(row.n for row in found)
-    clean = F.upper(F.trim(F.col(code)))
-    out = records.withColumn("__code", clean)
+        found = rules.groupBy(F.length("prefix").alias("n")).count().where(F.col("n").between(1, CODE_LENGTH)).collect()
+        lengths, total = tuple(row["n"] for row in found), sum(row["count"] for row in found)
+    out = records.withColumn("__code", F.upper(F.trim(F.col(code))))
+    if total > small:
+        codes = out.select("__code").where(F.col("__code").startswith("S07")).distinct()
+        tried = codes.withColumn("__prefix", F.explode(F.array(*[F.left("__code", F.lit(n)) for n in lengths])))
+        named = rules.select(F.col("prefix").alias("__prefix"), F.col("denomination").alias("__label"))
+        hits = tried.join(named, "__prefix").groupBy("__code").agg(F.max_by("__label", F.length("__prefix")).alias("__label"))
+        labelled = out.join(hits, "__code", "left")
+        return labelled.select(*records.columns, F.coalesce("__label", F.lit(UNCLASSIFIED)).alias("rule_label"))
     labels = []
     for n in sorted(lengths, reverse=True):
         name = f"__label{n}"

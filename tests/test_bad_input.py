@@ -138,3 +138,17 @@ def test_running_without_keys_over_many_blocks(spark, monkeypatch):
     rows = blocks.running(spark.range(100), [], "id", specs, block=4).orderBy("id").collect()
     for i, r in enumerate(rows):
         assert (r["s"], r["m"], r["l"]) == (i * (i + 1) // 2, 0, None if i == 0 else (i - 1) // 7 * 7)
+
+
+def test_longest_prefix_by_either_route(spark):
+    from ledgerlens.operators import inventory
+
+    rules = spark.createDataFrame([("S07", "a"), ("S0730", "b"), ("S07304-A", "c"), ("S07304-AAAA-BBBB-CCCCC", "d"), ("S07304-AAAA-BBBB-CCCCCX", "e"), ("X", "f")], "prefix string, denomination string")
+    codes = ["S07304-AAAA-BBBB-CCCCC", " s07304-abbb-bbbb-ccccc", "S0731", "S0730", "XYZ", "", None, "S0731", "S07"]
+    records = spark.createDataFrame(list(enumerate(codes)), "id long, final_card string")
+    want = ["d", "c", "a", "b", inventory.UNCLASSIFIED, inventory.UNCLASSIFIED, inventory.UNCLASSIFIED, "a", "a"]
+    for small in (inventory.SMALL_RULES, 1):
+        out = inventory.classify_by_prefix(records, rules, small=small)
+        assert out.columns == ["id", "final_card", "rule_label"]
+        assert [r["rule_label"] for r in out.orderBy("id").collect()] == want
+    assert {r["rule_label"] for r in inventory.classify_by_prefix(records, rules.limit(0)).collect()} == {inventory.UNCLASSIFIED}
