@@ -24,8 +24,9 @@ from ledgerlens.session import cut
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: Bit blocks of the common keys, of which all but MAX_BITS agree: 10 keys of about 26 bits.
-BLOCKS = 5
+#: Bit blocks of the common keys, of which all but MAX_BITS agree: 10 keys of about 26 bits for 5 blocks, 20 of 32 for 6,
+#: 35 of 37 for 7, 56 of 40 for 8. The least number is taken that leaves about PER_KEY random fingerprints a key or fewer.
+BLOCKS, PER_KEY = (5, 6, 7, 8), 16
 #: A key with more distinct fingerprints than this is searched by the fine keys: 560 keys of 52 bits, so at most 4,096
 #: different fingerprints can ever meet under one. It is result-neutral; a pair is found either way.
 CROWD, FINE_BLOCKS = 4096, 16
@@ -144,10 +145,15 @@ def _near_pairs(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(scan, "a long, b long")
 
 
+def blocks_for(n: int) -> int:
+    """Bit blocks for ``n`` distinct fingerprints."""
+    return next((b for b in BLOCKS if n <= PER_KEY << (64 * (b - MAX_BITS) // b)), BLOCKS[-1])
+
+
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) whose components equal those of all pairs of ``fp`` with at most MAX_BITS differing bits."""
     fps = cut(fps.select("fp").distinct())
-    keyed = _keyed(fps, BLOCKS)
+    keyed = _keyed(fps, blocks_for(fps.count()))
     crowded = cut(keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n"))
     if crowded.isEmpty():
         return _near_pairs(keyed)

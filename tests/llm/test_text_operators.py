@@ -268,3 +268,30 @@ def test_patterns_take_little_memory_and_steps_are_safe():
     n_words = sum(len(t.split()) for _, t in large)
     patterns = decontaminate.Matchers(large)
     assert len(pickle.dumps(patterns)) < 40 * n_words
+
+
+def test_blocks_follow_the_number_of_fingerprints(spark, monkeypatch):
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**11, 10**13, 10**15)] == [5, 5, 6, 7, 8, 8]
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(150)]
+    for i in range(60):
+        fps.append(fps[rng.randrange(len(fps))] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    signed = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    near = {frozenset((a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in map(sorted, near):
+        root[find(a)] = find(b)
+    want = {f: find(f) for f in signed}
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for blocks in (6, 8):
+        monkeypatch.setattr(simhash, "BLOCKS", (blocks,))
+        got = {r["node"]: r["root"] for r in components(simhash.links(frame)).collect()}
+        groups = lambda roots: {frozenset(f for f in signed if roots.get(f, f) == r) for r in set(roots.values())}
+        assert groups({f: got.get(f, f) for f in signed}) == groups(want)
+    assert len(near) > 30
