@@ -87,6 +87,7 @@ def reject_reason(code: Column, kind: Column) -> Column:
 def fold_text(text: Column) -> Column:
     """Upper case, full-width folding, a damaged first letter restored, labels split from codes."""
     folded = F.translate(F.upper(text), FULLWIDTH, FULLWIDTH_ASCII)
+    # The misread first letter and the labels before codes.
     restored = F.regexp_replace(folded, r"(?<![A-Z0-9])9([0ODQU][7TIL/?][0-9ODQUILTZEA$SGB]{3})", "S$1")
     return F.regexp_replace(restored, r"((?:密码|卡号|CDK|CDKEY)\s*\d*[:：]?)\s*([SP5$][0ODQU][7TIL/?])", "$1 $2")
 
@@ -153,6 +154,7 @@ def split_list(text: Column) -> Column:
 
 def needs_manual_row(text: Column) -> Column:
     """Text that looks like a damaged code, so an empty result still deserves a row."""
+    # Shapes of damaged codes.
     shapes = (
         r"(?i)(?<![A-Z0-9])S0?7[A-Z0-9]{3}(?:[-\s_]+[A-Z0-9]{2,8}){1,4}",
         r"(?i)(?<![A-Z0-9])S0?7[A-Z0-9]{3}(?![A-Z0-9])",

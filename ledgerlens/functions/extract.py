@@ -134,6 +134,7 @@ def _has_long_trace(folded: Column) -> Column:
     squeezed = F.regexp_replace(folded, "[^A-Z0-9$]", "")
     no_cut = ~folded.rlike(r"(?<![A-Z0-9])7[0-9]{3}")
     masked = F.when(no_cut, F.regexp_replace(folded, r"(?<![A-Z0-9])7[A-Z0-9]{3}", "XXXX")).otherwise(folded)
+    # Separators and first groups that leave a trace.
     wide = rf"[{SPACE}\-_|:：；;,.，。/\\]+"
     four_groups = rf"(?<![A-Z0-9])7{AN}{{3}}{wide}{AN}{{4}}{wide}{AN}{{4}}{wide}{AN}{{4,5}}(?![A-Z0-9-])"
     tails = "|".join(p[1:] for p in KNOWN_PREFIXES)
@@ -161,6 +162,7 @@ def inside_long_token(short: Column, folded: Column) -> Column:
     return F.exists(tokens, lambda t: (t != short) & (F.contains(t, short) | F.contains(codes.compact(t), codes.compact(short))))
 
 
+# Groups of short codes, and the labels before them.
 SHORT_GROUPS = r"([A-Z0-9]{4})[\s_]*-[\s_]*([A-Z0-9]{4})[\s_]*-[\s_]*([A-Z0-9]{4})"
 NOT_LONGER = r"(?![\s_]*-[\s_]*[A-Z0-9])"
 LABEL = r"(?:卡\s*号|密\s*码)"
@@ -355,6 +357,7 @@ def _rebuilt_scores(clean: Column) -> Column:
 
 def _anchors(lines: Column) -> Column:
     """Marker anchors of all lines as arrays of groups, prefix first."""
+    # Parts of a code on a line, and a misread first group.
     part = r"\s*-\s*([A-Z0-9]{1,5})"
     suspicious = r"(?<![A-Z0-9])SJ7[0-9]{3}"
 
