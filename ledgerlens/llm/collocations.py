@@ -27,7 +27,7 @@ MIN_COUNT, MAX_WORDS, LIMIT = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has so many percent of its occurrences.
 ABSORBED = 50
 #: Words of a block, words held over all languages of a task, words grouped at once, bytes of a long text split at once.
-BLOCK_WORDS, HELD_WORDS, GROUP_WORDS, CHUNK = 1 << 17, 1 << 20, 1 << 20, 1 << 20
+BLOCK_WORDS, HELD_WORDS, GROUP_WORDS, CHUNK = 1 << 17, 1 << 19, 1 << 18, 1 << 18
 #: Words whose phrases share a bucket, and the most buckets.
 BUCKET_WORDS, MOST_BUCKETS = 1 << 20, 1 << 20
 #: Bits of the bitmap of frequent groups: 16 a group, at most 128 MB in all.
