@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ledgerlens.operators import ledger, stats
-from ledgerlens.operators.sessions import BULK_WAIT, CHAT_LIMIT, COOLDOWN, MULTI_WAIT, OWNER_WAIT, SINGLE_WAIT, USER_LIMIT, WINDOW
+from ledgerlens.operators.sessions import BULK_WAIT, CHAT_LIMIT, COOLDOWN, MULTI_WAIT, OWNER_WAIT, SINGLE_WAIT, USER_LIMIT, WINDOW, _kept_from
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,8 +54,12 @@ def _ordered(rows: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
     return [x[order] for x in whole]
 
 
-#: Rows of one output batch.
-SLICE = 10_000
+#: Rows of one output batch, of one waiting piece, and of the pieces put in order at a time.
+SLICE, PIECE, AT_ONCE = 10_000, 1 << 15, 1 << 20
+
+
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort(rows.T[::-1])]
 
 
 # -- state stores -----------------------------------------------------------------------------
@@ -63,53 +68,84 @@ SLICE = 10_000
 class InOrder(StatefulProcessor):
     """Rows of a key by time and number across micro-batches: they wait until the watermark has passed them.
 
-    ``columns`` begin with ``at`` (microseconds) and ``seq``. A timer at the time of the first waiting row releases all
-    rows before the watermark, in order; another one at ``wakes`` lets idle state go.
+    ``columns`` are integers and begin with ``at`` (microseconds) and ``seq``. Rows wait in sorted pieces of PIECE rows,
+    each one value of the state under its first time, so that a key's rows cost one call a piece and only pieces that are
+    due are read. A timer at the time of the first waiting row releases all rows before the watermark, in order; another
+    one at ``wakes`` lets idle state go.
     """
 
-    columns = "at long, seq long"
+    columns = ("at", "seq")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = [c.split()[0] for c in self.columns.split(", ")]
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getMapState("waiting", "first long, id string", "rows binary")
         self.setup(handle)
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
-    def release(self, key, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
-        """Act on rows in order; ``mark`` is the watermark in microseconds, which no later row lies before."""
+    def release(self, key, rows: np.ndarray, mark: int) -> Iterator[pd.DataFrame]:
+        """Act on rows in order; ``mark`` is a time in microseconds, which no later row lies before."""
         raise NotImplementedError
 
     def wakes(self) -> int | None:
         """When, in microseconds, what is remembered of the key can be dropped or closed."""
         raise NotImplementedError
 
+    def _hold(self, rows: np.ndarray) -> None:
+        for i in range(0, len(rows), PIECE):
+            part = rows[i : i + PIECE]
+            self.waiting.updateValue((int(part[0, 0]), uuid.uuid4().hex), (part.tobytes(),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, held, size = None, [], 0
         for batch in rows:
-            fresh = list(zip(*(batch[c].tolist() for c in self.names)))
-            self.waiting.appendList(fresh)
-            at = min(x[0] for x in fresh)
+            if not len(batch):
+                continue
+            held.append(np.column_stack([batch[c].to_numpy("int64") for c in self.columns]))
+            size += len(batch)
+            at = int(held[-1][:, 0].min())
             first = at if first is None else min(first, at)
+            if size >= AT_ONCE:
+                self._hold(_in_order(np.concatenate(held)))
+                held, size = [], 0
+        if held:
+            self._hold(_in_order(np.concatenate(held)))
         if first is not None:
             self.handle.registerTimer(first // 1000)
         return iter(())
 
+    def _due(self, due: list[tuple], mark: int) -> Iterator[tuple[np.ndarray, int]]:
+        """Rows of the due pieces before ``mark`` in order, some pieces at a time, each with the time the next ones begin at."""
+        held, size = [], 0
+        for i, piece in enumerate(due):
+            rows = np.frombuffer(self.waiting.getValue(piece)[0], "int64").reshape(-1, len(self.columns))
+            self.waiting.removeKey(piece)
+            passed = int(np.searchsorted(rows[:, 0], mark, side="left"))
+            self._hold(rows[passed:])
+            held.append(rows[:passed])
+            size += passed
+            upto = due[i + 1][0] if i + 1 < len(due) else mark
+            if size >= AT_ONCE or i + 1 == len(due):
+                rows = _in_order(np.concatenate(held))
+                ready = int(np.searchsorted(rows[:, 0], upto, side="left"))
+                yield rows[:ready], upto
+                held, size = [rows[ready:]], 0
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] // 1000 < mark]
-        yield from self.release(key, due, mark * 1000)
-        rest = rows[len(due) :]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000)
-        elif rows:
-            self.waiting.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        mark = watermark * 1000
+        pieces = sorted(self.waiting.keys()) if self.waiting.exists() else []
+        due = [x for x in pieces if x[0] < mark]
+        for rows, upto in self._due(due, mark):
+            yield from self.release(key, rows, upto)
+        if not due:
+            yield from self.release(key, np.empty((0, len(self.columns)), "int64"), mark)
+        left = [x[0] for x in self.waiting.keys()] if due and self.waiting.exists() else []
+        if left:
+            self.handle.registerTimer(min(left) // 1000)
         wake = self.wakes()
-        if wake is not None and wake // 1000 + 1 > mark:
+        if wake is not None and wake // 1000 + 1 > watermark:
             self.handle.registerTimer(wake // 1000 + 1)
 
     def close(self) -> None:
@@ -119,20 +155,21 @@ class InOrder(StatefulProcessor):
 class PhotoBatcher(InOrder):
     """Open photo batch of a chat; a timer closes it when its wait has passed."""
 
-    columns = "at long, seq long, owner long, bulk long"
+    columns = ("at", "seq", "owner", "bulk")
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "first long, last long, photos long, wait long")
 
     def release(self, key, rows, mark):
         state, closed = self.open.get() if self.open.exists() else None, []
-        for at, _, owner, bulk in rows:
+        single, multi, own, many = (round(x * 1_000_000) for x in (SINGLE_WAIT, MULTI_WAIT, OWNER_WAIT, BULK_WAIT))
+        for at, _, owner, bulk in rows.tolist():
             if state is not None and at - state[1] > state[3]:
                 closed.append(state)
                 state = None
             photos = 1 if state is None else state[2] + 1
-            wait = BULK_WAIT if bulk else OWNER_WAIT if owner else MULTI_WAIT if photos > 1 else SINGLE_WAIT
-            state = (at if state is None else state[0], at, photos, round(wait * 1_000_000))
+            wait = many if bulk else own if owner else multi if photos > 1 else single
+            state = (at if state is None else state[0], at, photos, wait)
         if state is not None and state[1] + state[3] < mark:
             closed.append(state)
             state = None
@@ -149,10 +186,14 @@ class PhotoBatcher(InOrder):
         return None if state is None else state[1] + state[3]
 
 
+#: Stands for a missing user: photos without one count together.
+NOBODY = -(1 << 63)
+
+
 class OrderedLimiter(InOrder):
     """The rate limit across micro-batches: accepted photos of the last window of a chat, dropped when it has passed."""
 
-    columns = "at long, seq long, user_id long"
+    columns = ("at", "seq", "user_id")
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
         self.accepted = handle.getListState("accepted", "at long, user_id long")
@@ -166,7 +207,7 @@ class OrderedLimiter(InOrder):
             while recent and recent[0][0] < at - WINDOW * 1_000_000:
                 of_user[recent.popleft()[1]] -= 1
 
-        for at, seq, user in rows:
+        for at, seq, user in rows.tolist():
             forget(at)
             verdict = "chat_limit" if len(recent) >= CHAT_LIMIT else "user_limit" if of_user[user] >= USER_LIMIT else "accepted"
             if verdict == "accepted":
@@ -188,18 +229,19 @@ class OrderedLimiter(InOrder):
 class Gate(InOrder):
     """Lets an event of a key through if the last one let through lies a gap back; remembers one time for one gap."""
 
-    def __init__(self, key: str, gap: int, strict: bool):
-        self.key, self.gap, self.strict = key, gap, strict
+    def __init__(self, keys: tuple[str, ...], gap: int, strict: bool):
+        self.keys, self.gap, self.strict = keys, gap, strict
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long")
 
     def release(self, key, rows, mark):
-        last, out = self.last.get()[0] if self.last.exists() else None, []
-        for at, seq in rows:
-            if last is None or (at - last > self.gap if self.strict else at - last >= self.gap):
-                last = at
-                out.append((key[0], at, seq))
+        last = self.last.get()[0] if self.last.exists() else None
+        at = np.ascontiguousarray(rows[:, 0])
+        start = 0 if last is None else int(np.searchsorted(at, last + self.gap, side="right" if self.strict else "left"))
+        out = rows[_kept_from(at, start, self.gap, self.strict)]
+        if len(out):
+            last = int(out[-1, 0])
         if last is not None and last + self.gap < mark:  # whatever comes passes
             last = None
         if last is not None:
@@ -207,39 +249,13 @@ class Gate(InOrder):
         elif self.last.exists():
             self.last.clear()
         for i in range(0, len(out), SLICE):
-            yield pd.DataFrame(out[i : i + SLICE], columns=[self.key, "at", "seq"])
+            part = out[i : i + SLICE]
+            yield pd.DataFrame({**dict(zip(self.keys, ([k] * len(part) for k in key))), "at": part[:, 0], "seq": part[:, 1]})
 
     def wakes(self):
         return self.last.get()[0] + self.gap if self.last.exists() else None
 
 
-class SentNotices(InOrder):
-    """Images of a chat whose notice was sent, each for ``ttl``; the map shrinks as the watermark passes."""
-
-    columns = "at long, seq long, image_id string"
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def setup(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getMapState("sent", "image_id string", "at long")
-
-    def release(self, key, rows, mark):
-        out = []
-        for at, seq, image in rows:
-            if not self.sent.containsKey((image,)) or at - self.sent.getValue((image,))[0] >= self.ttl:
-                self.sent.updateValue((image,), (at,))
-                out.append((key[0], image, seq))
-        for (image,), (at,) in list(self.sent.iterator()):
-            if at + self.ttl <= mark:
-                self.sent.removeKey((image,))
-        for i in range(0, len(out), SLICE):
-            yield pd.DataFrame(out[i : i + SLICE], columns=["chat_id", "image_id", "seq"])
-
-    def wakes(self):
-        return min((at + self.ttl for _, (at,) in self.sent.iterator()), default=None)
-
-
 class PhotoLimiter(StatefulProcessor):
     """Accepted photos of the last window of a chat: at most the chat limit of entries."""
 
@@ -296,9 +312,9 @@ class CooldownGate(StatefulProcessor):
         pass
 
 
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str, key: str = "chat_id") -> DataFrame:
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str, *keys: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
+    return stream.groupBy(*(keys or ("chat_id",))).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 
 def photo_batch_stream(photos: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -330,26 +346,29 @@ def cooldown_stream(events: DataFrame) -> DataFrame:
 
 def ordered_limit_stream(photos: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """``limit_stream`` of ``photos(chat_id, user_id, seq, ts, at)`` that may come in any order within ``delay``."""
-    return _stateful(event_time(photos, "ts", delay), OrderedLimiter(), "chat_id long, seq long, verdict string", "EventTime")
+    known = event_time(photos, "ts", delay).withColumn("user_id", F.coalesce("user_id", F.lit(NOBODY)))
+    return _stateful(known, OrderedLimiter(), "chat_id long, seq long, verdict string", "EventTime")
 
 
 def ordered_cooldown_stream(events: DataFrame, delay: str = "10 minutes", seconds: int = COOLDOWN) -> DataFrame:
     """``cooldown_stream`` of ``events(chat_id, seq, ts, at)`` in any order within ``delay``; state leaves after the gap."""
-    gate = Gate("chat_id", seconds * 1_000_000, strict=False)
+    gate = Gate(("chat_id",), seconds * 1_000_000, strict=False)
     return _stateful(event_time(events, "ts", delay), gate, "chat_id long, at long, seq long", "EventTime").drop("at")
 
 
 def rolling_entry_stream(sightings: DataFrame, delay: str = "1 hour", hours: int = 24) -> DataFrame:
     """Times a code of ``sightings(card, seq, ts)`` enters the rolling list, as in the batch twin, to the second."""
     timed = event_time(sightings, "ts", delay).withColumn("at", F.floor(F.unix_micros("ts") / 1_000_000) * 1_000_000)
-    gate = Gate("card", hours * 3_600_000_000, strict=True)
+    gate = Gate(("card",), hours * 3_600_000_000, strict=True)
     found = _stateful(timed, gate, "card string, at long, seq long", "EventTime", "card")
     return found.select("card", F.timestamp_micros("at").cast("timestamp_ntz").alias("entered_at"))
 
 
 def sent_notice_stream(notices: DataFrame, delay: str = "1 hour", hours: int = 24) -> DataFrame:
     """Notices of ``notices(chat_id, image_id, seq, ts, at)`` to send: the first of an image of a chat, then once its entry has expired."""
-    return _stateful(event_time(notices, "ts", delay), SentNotices(hours * 3_600_000_000), "chat_id long, image_id string, seq long", "EventTime")
+    gate = Gate(("chat_id", "image_id"), hours * 3_600_000_000, strict=False)
+    schema = "chat_id long, image_id string, at long, seq long"
+    return _stateful(event_time(notices, "ts", delay), gate, schema, "EventTime", "chat_id", "image_id").drop("at")
 
 
 # -- built-in state ---------------------------------------------------------------------------

@@ -227,3 +227,72 @@ def test_high_water_and_feed_go_on_after_a_restart(spark):
         jobs.run(jobs.read_rows(spark, f"{feed}/input", 1), feed, each=jobs.change_feed_job(feed))
     rows = spark.read.option("basePath", f"{feed}/feed").parquet(f"{feed}/feed/batch=*")
     assert sorted(r["change_version"] for r in rows.collect()) == [1, 2, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize("make", [
+    lambda x: jobs.ordered_cooldown_stream(x, "1 second"), lambda x: jobs.ordered_limit_stream(x, "1 second"),
+    lambda x: jobs.sent_notice_stream(x, "1 second"), lambda x: jobs.photo_batch_stream(x, "1 second"),
+])
+def test_waiting_rows_are_few_values_of_the_state(spark, make):
+    """Rows of one chat and image that the watermark has not passed yet: a piece and its timers, not a value a row."""
+    rows = spark.range(3000).select(
+        F.lit(1).cast("long").alias("chat_id"), F.lit("img").alias("image_id"), F.col("id").alias("seq"), (F.col("id") * 100).alias("at"), F.lit(5).cast("long").alias("user_id"),
+        F.lit(False).alias("owner"), F.lit(False).alias("bulk"), F.timestamp_micros(F.col("id") * 100).alias("ts"),
+    )
+    folder, stream = _stream_of(spark, rows, "pieces")
+    assert max(_run_with_progress(make(stream), folder)) <= 4
+
+
+class _Values(dict):
+    """State of one key, in memory."""
+
+    exists, keys = (lambda self: bool(self)), (lambda self: iter(list(dict.keys(self))))
+    get = lambda self: self["v"]
+    update = put = lambda self, v: self.__setitem__("v", v)
+    getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):
+        return _Values()
+
+    getValueState = getListState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("piece, at_once", [(4, 16), (32, 8), (1 << 15, 1 << 20)])
+@pytest.mark.parametrize("strict", [False, True])
+def test_pieces_are_released_in_order(monkeypatch, piece, at_once, strict):
+    """Rows in any order, in pieces that overlap and straddle the watermark, give the walk over them all."""
+    import pandas as pd
+
+    monkeypatch.setattr(jobs, "PIECE", piece)
+    monkeypatch.setattr(jobs, "AT_ONCE", at_once)
+    rng = random.Random(piece)
+    times = [rng.randrange(400) * 500 for _ in range(500)]  # ties, half milliseconds
+    gate, handle, got = jobs.Gate(("chat_id",), 3_000, strict), _Handle(), []
+    gate.init(handle)
+    rows = sorted(((at, i) for i, at in enumerate(times)), key=lambda x: x[0] + rng.randrange(20_000))
+
+    class Mark:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    seen = 0
+    for i in range(0, len(rows), 125):
+        part = pd.DataFrame(rows[i : i + 125], columns=["at", "seq"])
+        list(gate.handleInputRows((1,), iter([part[:50], part[50:]]), None))
+        seen = max(seen, part["at"].max())
+        mark = (seen - 20_000) // 1000 if i + 125 < len(rows) else 10**6
+        for at in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(at)
+            for frame in gate.handleExpiredTimer((1,), Mark(mark), None):
+                got += frame[["at", "seq"]].values.tolist()
+    first = {at: min(i for i, t in enumerate(times) if t == at) for at in times}
+    assert got == [[at, first[at]] for at in _walk(times, 3_000, strict)]
+    assert not gate.waiting and not gate.last
