@@ -21,9 +21,9 @@ CANDIDATE = "array<struct<code: string, changes: array<string>>>"
 
 def raw_candidates(text: Column, kind: str) -> Column:
     """Code-shaped windows of the squeezed text."""
-    squeezed = codes.squeeze_text(text)
-    shaped = [F.regexp_extract_all(squeezed, F.lit(p), F.lit(0)) for p in (WINDOWS[kind], SEPARATED)]
-    return F.array_distinct(F.concat(*shaped))
+    return bind(codes.squeeze_text(text), lambda squeezed: F.array_distinct(
+        F.concat(*[F.regexp_extract_all(squeezed, F.lit(p), F.lit(0)) for p in (WINDOWS[kind], SEPARATED)])
+    ))
 
 
 def first_of_each(candidates: Column) -> Column:
@@ -82,15 +82,25 @@ def score(candidate: Column, kind: str, learned: Column | None = None) -> Column
 
 def audit_list(text: Column, kind: str) -> Column:
     """All candidates of a text, raw readings first; a raw reading keeps its place when repeated."""
-    return bind(
-        raw_candidates(text, kind), lambda raw: first_of_each(F.concat(F.transform(raw, lambda c: _candidate(c)), expanded(raw, kind)))
-    )
+    return bind(_read(text, kind), _listed)
+
+
+def _read(text: Column, kind: str) -> Column:
+    """``struct<raw, spread>``: the raw codes of a text and their spellings."""
+    return bind(raw_candidates(text, kind), lambda raw: F.struct(raw.alias("raw"), expanded(raw, kind).alias("spread")))
+
+
+def _listed(pair: Column) -> Column:
+    return first_of_each(F.concat(F.transform(pair["raw"], lambda c: _candidate(c)), pair["spread"]))
 
 
 def best(text: Column, kind: str) -> Column:
     """Best valid candidate: score, then fewer changes, then the greater text. Later spellings replace raw ones."""
-    def rank(pair: Column) -> Column:
-        spread_codes = F.transform(pair["spread"], lambda x: x["code"])
+    return bind(_read(text, kind), lambda pair: _best(pair, kind))
+
+
+def _best(pair: Column, kind: str) -> Column:
+    def rank(spread_codes: Column) -> Column:
         kept_raw = F.filter(F.transform(pair["raw"], lambda c: _candidate(c)), lambda x: ~F.array_contains(spread_codes, x["code"]))
         return F.array_max(
             F.transform(
@@ -99,7 +109,7 @@ def best(text: Column, kind: str) -> Column:
             )
         )
 
-    return bind(raw_candidates(text, kind), lambda raw: bind(F.struct(raw.alias("raw"), expanded(raw, kind).alias("spread")), rank))
+    return bind(F.transform(pair["spread"], lambda x: x["code"]), rank)
 
 
 def selected(text: Column, kind: str = "long") -> Column:
@@ -110,9 +120,9 @@ def selected(text: Column, kind: str = "long") -> Column:
             at > 0, F.transform(kept, lambda k, i: F.when((i + 1 == at) & (item["score"] > k["score"]), item).otherwise(k))
         ).otherwise(F.concat(kept, F.array(item))))
 
-    def choose(top: Column) -> Column:
+    def choose(pair: Column, top: Column) -> Column:
         scored = F.transform(
-            F.filter(audit_list(text, kind), lambda x: is_valid(x["code"], kind)),
+            F.filter(_listed(pair), lambda x: is_valid(x["code"], kind)),
             lambda x: F.struct(x["code"].alias("code"), F.when(x["code"] == top["code"], top["score"]).otherwise(score(x, kind)).alias("score")),
         )
         kept = F.aggregate(scored, F.array().cast("array<struct<code: string, score: int>>"), add)
@@ -120,7 +130,7 @@ def selected(text: Column, kind: str = "long") -> Column:
             top.isNull() | F.array_contains(listed, top["code"]), listed
         ).otherwise(F.concat(listed, F.array(top["code"]))))
 
-    return bind(best(text, kind), choose)
+    return bind(_read(text, kind), lambda pair: bind(_best(pair, kind), lambda top: choose(pair, top)))
 
 
 def correction_counts(chosen: Column, legacy: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import codes
-from ledgerlens.functions.extract import found, has_long_trace
+from ledgerlens.functions.extract import bind, found, has_long_trace
 
 # Score floors of the agreement rules.
 CLEAR, STRONG, SUPPORT, CPU_FLOOR = 0.985, 0.97, 0.95, 0.90
@@ -301,7 +301,7 @@ def cpu_scores(cpu: Column) -> Column:
     """Codes of a strict second engine with the score of the first line that shows them."""
     active = cpu["enabled"] & ~cpu["shadow_only"] & cpu["can_affect_result"] & (cpu["confirmation_mode"] == "strict") & cpu["review_required"]
     pattern = F.lit(r"S07[0-9]{3}-[A-Z0-9]{4}-[A-Z0-9]{4}-[A-Z0-9]{5}")
-    listed = F.flatten(
+    seen = F.flatten(
         F.transform(
             cpu["lines"],
             lambda line: F.transform(
@@ -310,8 +310,9 @@ def cpu_scores(cpu: Column) -> Column:
             ),
         )
     )
-    names = F.transform(listed, lambda x: x["code"])
-    firsts = F.filter(listed, lambda x, i: F.array_position(names, x["code"]) == i + 1)
+    firsts = bind(seen, lambda listed: bind(
+        F.transform(listed, lambda x: x["code"]), lambda names: F.filter(listed, lambda x, i: F.array_position(names, x["code"]) == i + 1)
+    ))
     return F.when(_sure(active), firsts).otherwise(F.array().cast(SCORED))
 
 
@@ -327,10 +328,17 @@ def structural_review_resolved(reasons: Column, rebuilt: Column, markers: Column
 
 def apply_confirmed(cards: Column, confirmed: Column) -> Column:
     """Replace a code by the only confirmed reading of its slot; confirmed leftovers are appended."""
+    return bind(F.struct(cards.alias("cards"), confirmed.alias("confirmed")), lambda x: _apply_confirmed(x["cards"], x["confirmed"]))
+
+
+def _apply_confirmed(cards: Column, confirmed: Column) -> Column:
     start = F.struct(F.array().cast(STRINGS).alias("cards"), F.array().cast(STRINGS).alias("used"), F.lit(0).alias("resolved"))
 
     def step(state: Column, card: Column) -> Column:
         fits = F.filter(confirmed, lambda c: ~F.array_contains(state["used"], c) & codes.likely_same(card, c))
+        return bind(fits, lambda one: replace(state, card, one))
+
+    def replace(state: Column, card: Column, fits: Column) -> Column:
         unique = F.size(fits) == 1
         pick = F.when(unique, _one(fits)).otherwise(card)
         return F.struct(
@@ -339,10 +347,12 @@ def apply_confirmed(cards: Column, confirmed: Column) -> Column:
             (state["resolved"] + F.when(pick != card, 1).otherwise(0)).alias("resolved"),
         )
 
-    done = F.aggregate(cards, start, step)
-    # An original that a replacement overwrote later in the list no longer counts as present.
-    left = F.array_distinct(F.filter(confirmed, lambda c: ~F.array_contains(done["used"], c) & ~F.array_contains(done["cards"], c)))
-    replaced = F.struct(F.concat(done["cards"], left).alias("cards"), (done["resolved"] + F.size(left)).alias("resolved"))
+    def append(done: Column) -> Column:
+        # An original that a replacement overwrote later in the list no longer counts as present.
+        left = F.array_distinct(F.filter(confirmed, lambda c: ~F.array_contains(done["used"], c) & ~F.array_contains(done["cards"], c)))
+        return bind(left, lambda rest: F.struct(F.concat(done["cards"], rest).alias("cards"), (done["resolved"] + F.size(rest)).alias("resolved")))
+
+    replaced = bind(F.aggregate(cards, start, step), append)
     untouched = F.struct(cards.alias("cards"), F.lit(0).alias("resolved"))
     appended = F.struct(confirmed.alias("cards"), F.size(confirmed).alias("resolved"))
     return F.when(F.size(confirmed) == 0, untouched).when(F.size(cards) == 0, appended).otherwise(replaced)
@@ -357,20 +367,21 @@ def merge_near(primary: Column, secondary: Column) -> Column:
     def step(state: Column, card: Column) -> Column:
         present = F.array_contains(state["cards"], card)
         near = F.exists(state["cards"], lambda k: codes.likely_same(card, k))
-        return F.struct(
-            F.when(present | near, state["cards"]).otherwise(F.concat(state["cards"], F.array(card))).alias("cards"),
-            (state["suppressed"] + F.when(~present & near, 1).otherwise(0)).alias("suppressed"),
-        )
+        return bind(F.when(present, "present").when(near, "near").otherwise("new"), lambda how: F.struct(
+            F.when(how == "new", F.concat(state["cards"], F.array(card))).otherwise(state["cards"]).alias("cards"),
+            (state["suppressed"] + F.when(how == "near", 1).otherwise(0)).alias("suppressed"),
+        ))
 
     return F.aggregate(more, start, step)
 
 
 def settle(cards: Column) -> Column:
     """Near-identical codes reduce to the first; codes with impossible body characters are dropped and counted."""
-    merged = merge_near(F.array().cast(STRINGS), cards)
-    clean = F.filter(merged["cards"], lambda c: ~codes.has_forbidden_body(c))
-    dropped = F.size(merged["cards"]) - F.size(clean)
-    return F.struct(clean.alias("cards"), (merged["suppressed"] + dropped).alias("uncertain"))
+    def drop(merged: Column) -> Column:
+        clean = F.filter(merged["cards"], lambda c: ~codes.has_forbidden_body(c))
+        return bind(clean, lambda kept: F.struct(kept.alias("cards"), (merged["suppressed"] + F.size(merged["cards"]) - F.size(kept)).alias("uncertain")))
+
+    return bind(merge_near(F.array().cast(STRINGS), cards), drop)
 
 
 def blocked_slots(lines: Column) -> Column:
@@ -382,7 +393,10 @@ def blocked_slots(lines: Column) -> Column:
 
 def merge_with_worker(text_codes: Column, worker_codes: Column, lines: Column) -> Column:
     """Codes rebuilt from text first; a worker code joins unless it conflicts. Dropped codes carry a reason."""
-    blocked = blocked_slots(lines)
+    return bind(blocked_slots(lines), lambda blocked: _merge_with_worker(text_codes, worker_codes, blocked))
+
+
+def _merge_with_worker(text_codes: Column, worker_codes: Column, blocked: Column) -> Column:
     none = F.array().cast("array<struct<code: string, reason: string>>")
     start = F.struct(codes.unique_valid(text_codes, codes.is_long).alias("cards"), none.alias("dropped"))
     slot = lambda c: F.substring_index(c, "-", 3)
@@ -392,11 +406,10 @@ def merge_with_worker(text_codes: Column, worker_codes: Column, lines: Column) -
         cut = F.array_contains(blocked, slot(card)) & ~F.exists(state["cards"], lambda k: slot(k) == slot(card))
         clash = F.exists(state["cards"], lambda k: codes.same_slot(card, k))
         reason = F.when(cut, "incomplete_text_line").when(clash, "line_wrap_conflict")
-        drop = ~present & reason.isNotNull()
-        return F.struct(
-            F.when(present | drop, state["cards"]).otherwise(F.concat(state["cards"], F.array(card))).alias("cards"),
-            F.when(drop, F.concat(state["dropped"], F.array(F.struct(card.alias("code"), reason.alias("reason"))))).otherwise(state["dropped"]).alias("dropped"),
-        )
+        return bind(F.when(present, "present").when(reason.isNotNull(), reason), lambda why: F.struct(
+            F.when(why.isNotNull(), state["cards"]).otherwise(F.concat(state["cards"], F.array(card))).alias("cards"),
+            F.when(why != "present", F.concat(state["dropped"], F.array(F.struct(card.alias("code"), why.alias("reason"))))).otherwise(state["dropped"]).alias("dropped"),
+        ))
 
     return F.aggregate(codes.unique_valid(worker_codes, codes.is_long), start, step)
 

@@ -85,11 +85,13 @@ def _noisy_long(folded: Column) -> Column:
     solid = rf"({FIRST})({AN}{{4}})({AN}{{4}})({AN}{{5}})"
     spread = rf"({FIRST})((?:{SEP}*{AN}){{13}})"
     alone, four = "(?<![A-Z])", "$1-$2-$3-$4"
-    barred = F.filter(found(folded, alone + groups), lambda m: m.contains("|"))
-    loose = F.filter(
+    none = F.array().cast(TEXTS)
+    # Both readings hold the character they are filtered by; most texts lack it.
+    barred = F.when(folded.contains("|"), F.filter(found(folded, alone + groups), lambda m: m.contains("|"))).otherwise(none)
+    loose = F.when(folded.contains("|") | folded.contains("\n"), F.filter(
         found(folded, alone + spread),
         lambda m: F.regexp_replace(m, f"^{FIRST}", "").rlike(r"[\n|]"),
-    )
+    )).otherwise(none)
     squeezed = F.transform(loose, lambda m: F.concat(F.left(m, F.lit(6)), F.regexp_replace(F.substr(m, F.lit(7), F.length(m)), "[^A-Z0-9]", "")))
     likely = folded.rlike(rf"{FIRST}|7[0-9]{{3}}")
     passes = settled(
@@ -102,7 +104,7 @@ def _noisy_long(folded: Column) -> Column:
             rewrite(squeezed, rf"^(.{{6}})({AN}{{4}})({AN}{{4}})({AN}{{5}})$", four),
         )
     )
-    return F.when(likely, passes).otherwise(F.array().cast(TEXTS))
+    return F.when(likely, passes).otherwise(none)
 
 
 def strict_codes(text: Column) -> Column:
