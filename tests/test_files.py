@@ -39,6 +39,22 @@ def test_hashes_manifests_and_training_sink(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/annotate")).count() == 1
 
 
+def test_mounted_files_are_hashed_without_the_binary_reader(spark, tmp_path):
+    """A file longer than the reader takes is refused as soon as the reader meets its bytes."""
+    import hashlib
+
+    bodies = {"long.bin": b"ab" * 5000, "a b%.bin": b"xyz" * 1000}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)
+    try:
+        rows = files.hash_files(spark, str(tmp_path), "*.bin", piece=512).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    want = {(len(b), hashlib.sha256(b).hexdigest()) for b in bodies.values()}
+    assert len(rows) == 2 and {(r["length"], r["content_hash"]) for r in rows} == want
+
+
 def test_gold_cases_reject_a_wrong_hash(spark):
     cases = spark.createDataFrame([(1, "c", "confirmed_match", "aa", "bb")], "seq long, case_id string, status string, content_hash string, declared_hash string")
     with pytest.raises(Exception, match="content hash mismatch"):
