@@ -7,33 +7,53 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import codes
 from ledgerlens.functions.extract import inside_any
+from ledgerlens.session import cut
 
 
-def _masked(code: Column) -> Column:
-    """The code with one position wiped, for every position."""
+def _masked(code: Column, first: Column, last: Column) -> Column:
+    """The code with one position wiped, for every position from ``first`` to ``last``."""
     size = F.length(code)
     return F.transform(
-        F.sequence(F.lit(1), size), lambda i: F.concat(F.left(code, i - 1), F.lit("*"), F.substr(code, i + 1, size))
+        F.sequence(first, last), lambda i: F.concat(F.left(code, i - 1), F.lit("*"), F.substr(code, i + 1, size))
     )
 
 
-def near_duplicates(found: DataFrame, existing: DataFrame, threshold: float = 95.0) -> DataFrame:
+#: Codes with one half in common that are compared with each other; more meet under masks.
+HALF_CODES = 64
+
+
+def near_duplicates(found: DataFrame, existing: DataFrame, threshold: float = 95.0, half_codes: int = HALF_CODES) -> DataFrame:
     """Pairs of one source and type that differ in exactly one character and are similar enough.
 
-    Codes are made distinct first, so a masked key holds at most one row per character of the
-    alphabet whatever the repetition in the data.
+    Codes are made distinct first. Two codes with one difference have one half in common, so they meet under it. Where
+    more than ``half_codes`` codes share a half, their other half is masked at each position: a masked key holds at most
+    one row per character of the alphabet whatever the repetition in the data.
     """
     side = lambda rows, bit: rows.select("source", codes.clean(F.col("code")).alias("code"), F.lit(bit).alias("bit"))
-    known = side(found, 1).unionByName(side(existing, 2)).groupBy("source", "code").agg(F.bit_or("bit").alias("sides"))
+    both = side(found, 3) if found is existing else side(found, 1).unionByName(side(existing, 2))
+    known = both.groupBy("source", "code").agg(F.bit_or("bit").alias("sides"))
     size = F.length("code")
     typed = known.withColumn("code_type", codes.code_type(F.col("code"))).where("code_type IS NOT NULL")
     # Codes too short to reach the threshold with one difference need no keys.
-    typed = typed.where(F.round((size - 1) * 100 / size, 2) >= threshold)
-    masked = typed.withColumn("mask", F.explode(_masked(F.col("code"))))
-    groups = masked.groupBy("source", "code_type", "mask").agg(F.collect_list(F.struct("code", "sides")).alias("near")).where(F.size("near") > 1)
+    typed = cut(typed.where(F.round((size - 1) * 100 / size, 2) >= threshold))
+    middle = F.floor(size / 2).cast("int")
+    halves = F.array(
+        F.struct(F.left("code", middle).alias("same"), (middle + 1).alias("first"), size.alias("last")),
+        F.struct(F.concat(F.lit("*"), F.substr("code", middle + 1, size)).alias("same"), F.lit(1).alias("first"), middle.alias("last")),
+    )
+    halved = typed.select("source", "code_type", "code", "sides", F.inline(halves))
+    key = F.xxhash64("source", "code_type", "same")
+    crowded = halved.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > half_codes).select("key")
+    apart = halved.withColumn("key", key)
+    group = ["source", "code_type", "same"]
+    few = apart.join(crowded, "key", "left_anti")
+    masked = apart.join(crowded, "key", "left_semi").withColumn("same", F.explode(_masked(F.col("code"), F.col("first"), F.col("last"))))
+    groups = few.select(*group, "code", "sides").unionByName(masked.select(*group, "code", "sides"))
+    groups = groups.groupBy(*group).agg(F.collect_list(F.struct("code", "sides")).alias("near")).where(F.size("near") > 1)
+    one = lambda a, b: F.levenshtein(a["code"], b["code"], 1) == 1
     pairs = F.flatten(F.transform(
         F.filter("near", lambda a: a["sides"].bitwiseAND(1) > 0),
-        lambda a: F.transform(F.filter("near", lambda b: (b["sides"].bitwiseAND(2) > 0) & (b["code"] != a["code"])), lambda b: F.struct(a["code"].alias("code"), b["code"].alias("existing_code"))),
+        lambda a: F.transform(F.filter("near", lambda b: (b["sides"].bitwiseAND(2) > 0) & (F.length(a["code"]) == F.length(b["code"])) & one(a, b)), lambda b: F.struct(a["code"].alias("code"), b["code"].alias("existing_code"))),
     ))
     listed = groups.select("source", "code_type", F.explode(pairs).alias("p")).select("source", "code_type", "p.*")
     similar = codes.similarity(F.col("code"), F.col("existing_code"))

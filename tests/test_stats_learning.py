@@ -41,6 +41,27 @@ def test_near_duplicates_warn_for_one_character(spark):
     assert [(r["code"], r["existing_code"], r["similarity"]) for r in rows] == [("S07541-G3W8-THJ9-PM83Y", "S07541-G3W8-THJ9-PM83X", Decimal("95.45"))]
 
 
+def test_near_duplicates_of_few_and_of_crowded_halves(spark):
+    """Many codes share their first or their last half; either route finds the pairs of a comparison of all."""
+    import random
+
+    rng = random.Random(5)
+    head = ["S07541-G3W8", "S07541-G3W9", "S07999-AAAA"]
+    tails = ["-THJ9-PM83" + c for c in "ABCDEF"] + ["-THJ" + c + "-PM83A" for c in "AB"] + ["-" + "".join(rng.choices("AB", k=4)) + "-" + "".join(rng.choices("AB", k=5)) for _ in range(30)]
+    rows = [(rng.choice(["s", "t", None]), rng.choice(head) + rng.choice(tails)) for _ in range(400)]
+    found, old = rows[:250], rows[200:]
+    want = {(s, a, b) for s, a in found for z, b in old if s == z and sum(x != y for x, y in zip(a, b, strict=True)) == 1}
+    frame = lambda x: spark.createDataFrame(x, "source string, code string")
+    for half_codes in (1, 3, fuzzy.HALF_CODES):
+        got = [(r["source"], r["code"], r["existing_code"]) for r in fuzzy.near_duplicates(frame(found), frame(old), half_codes=half_codes).collect()]
+        assert len(got) == len(want) and set(got) == want
+    one = frame(rows)
+    assert fuzzy.near_duplicates(one, one).count() == len({(s, a, b) for s, a in rows for z, b in rows if s == z and sum(x != y for x, y in zip(a, b, strict=True)) == 1})
+    apart = frame([("s", f"S07541-G3W{c}-THJ9-PM8{c}X") for c in "ABCD"])
+    plan = fuzzy.near_duplicates(apart, apart)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "LeftAnti" in plan  # masks only where a half is crowded
+
+
 def _brute_diff(predicted, truth):
     flat = lambda c: c.replace("-", "")
     apart = lambda a, b: sum(x != y for x, y in zip(flat(a), flat(b))) if len(flat(a)) == len(flat(b)) else 99
