@@ -84,6 +84,18 @@ def test_indented_records_give_the_rows_of_lines(spark, tmp_path):
     assert files.read_audit(spark, str(tree)).count() == 5
 
 
+def test_a_file_a_key_without_a_directory_a_file(spark, tmp_path):
+    rows = spark.range(300).selectExpr("'2026-07-13' AS dt", "nullif(id, 299) AS k", "concat('{', char(10), ' \"message_id\": ', id, char(10), '}') AS value")
+    folder = tmp_path / "out"
+    files.write_each(rows.unionByName(rows.where("k = 7")), "k", ["dt"], str(folder), task_files=100)
+    written = list(folder.rglob("*.txt"))
+    assert len(written) == 300
+    assert len({p.parent for p in written}) <= spark.sparkContext.defaultParallelism
+    assert all(p.parent.parent.name == "dt=2026-07-13" for p in written)
+    found = files.read_audit(spark, str(folder), "2026-07-13")
+    assert sorted(r["message_id"] for r in found.collect()) == list(range(300))  # of two documents in a file the first
+
+
 def test_unreadable_documents_go_aside_with_a_reason(spark, tmp_path):
     bodies = {
         "good.json": json.dumps({"message_id": 1}, indent=2), "cut.json": '{\n  "message_id": 2,\n  "source"', "list.json": "[\n1,\n2\n]", "blank.json": " \n\n",
