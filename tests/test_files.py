@@ -185,3 +185,20 @@ def test_nested_codes_equal_a_recursive_walk(spark):
                 seen.add(code)
     assert [(r["record_id"], r["pos"], r["code"], r["font_hash"], r["font_template"]) for r in rows] == want
     assert len(want) > 100
+
+
+def test_levels_of_nesting_are_walked_in_one_pass(spark):
+    """Depths around the number of levels of a pass, in few passes however deep the body is."""
+    bodies = [(depth, '{"results": [' * depth + json.dumps(CODES[depth % len(CODES)]) + "]}" * depth) for depth in range(12)]
+    records = spark.createDataFrame(bodies, "record_id long, body string")
+    want = [(depth, CODES[depth % len(CODES)], 0) for depth, _ in bodies]
+    for levels in (1, 2, 3, files.LEVELS):
+        before = _finished_jobs(spark)
+        rows = files.nested_codes(records, levels)
+        passes = _finished_jobs(spark) - before
+        assert sorted((r["record_id"], r["code"], r["pos"]) for r in rows.collect()) == want
+    assert passes <= 12  # a write and a look for a rest, for each of 3 passes; one a level would need 46
+
+
+def _finished_jobs(spark):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
