@@ -1,5 +1,6 @@
 """File sources and sinks."""
 
+import gzip
 import json
 
 import pytest
@@ -96,6 +97,68 @@ def test_a_file_a_key_without_a_directory_a_file(spark, tmp_path):
     assert sorted(r["message_id"] for r in found.collect()) == list(range(300))  # of two documents in a file the first
 
 
+def test_the_driver_lists_no_folder_of_many_files(spark, tmp_path):
+    for day in (13, 14, 15):
+        folder = tmp_path / f"dt=2026-07-{day}" / "folder=0"
+        folder.mkdir(parents=True)
+        for i in range(6000):
+            (folder / f"{i}.json").write_text(f'{{\n  "message_id": {day * 10000 + i}\n}}')
+    found = files.read_audit(spark, str(tmp_path), "2026-07-13")
+    assert len(found.inputFiles()) < 1000
+    assert sorted(r["message_id"] for r in found.collect()) == list(range(130000, 136000))
+
+
+@pytest.mark.parametrize("layout", ["dt={}", "dt={}/folder=7", "{}/record", "region=x/dt={}"])
+def test_both_ways_to_list_give_the_same_documents(spark, tmp_path, layout):
+    root = tmp_path / "a b%20" / "2026-07 é"
+    for day in ("2026-07-13", "2026-07-14"):
+        folder = root / layout.format(day)
+        folder.mkdir(parents=True)
+        names = ["plain.json", "sp ace.json", "%25 #?&;+~é漢\u00a0.json", "_hidden.json", ".hidden.json", "late._COPYING_", "_a=b.json"]
+        for i, name in enumerate(names):
+            (folder / name).write_text(json.dumps({"message_id": i, "source": {"chat_id": -i}}, indent=2))
+        (folder / "bom.json").write_text("\ufeff" + json.dumps({"message_id": 20}, indent=4))
+        (folder / "bytes.json").write_bytes(b'{"message_id": 21, "raw_text": "\xff\xfe"}\r\n{"message_id": 22}')
+        (folder / "packed.json.gz").write_bytes(gzip.compress(b'{\n"message_id": 23\n}'))
+        (folder / "large [1].json").write_text("\n".join(json.dumps({"message_id": 30 + i, "raw_text": "x" * 100}) for i in range(9)) + "\nnoise\n\n")
+        (folder / "broken.json").write_text('{\n"message_id": 2,')
+        (folder / "blank.json").write_text(" \n")
+        (folder / "empty.json").write_text("")
+        (folder / "nothing.json").symlink_to(folder / "gone.json")
+        (folder / "linked.json").symlink_to(folder / "plain.json")
+    for day in (None, "2026-07-13"):
+        seen = []
+        for listed in (0, files.LISTED):
+            documents = files.audit_documents(spark, str(root), day, listed=listed, document_bytes=800)
+            if day is not None:
+                documents = documents.where(F.col("dt") == F.lit(day).cast("date"))
+            rows = documents.orderBy("record_path", "pos").select("record_path", F.col("dt").cast("string"), F.to_json("record"), "problem", "rejected").collect()
+            seen.append([tuple(r) for r in rows])
+        assert seen[0] == seen[1] and len(seen[0]) == (40 if day is None else 20)
+    assert files.mounted(spark, f"file://{tmp_path}//a/../b/") == f"{tmp_path}/b" and files.mounted(spark, "hdfs://h/b") is None
+    assert files.mounted(spark, str(tmp_path)) == str(tmp_path) and files.mounted(spark, "b") is None and files.mounted(spark, "file://h/b") is None
+
+
+def test_files_are_written_where_spark_would_write_them(spark, tmp_path):
+    days = ["2026-07-13", "a/b=c %{x}", "", None, "é '\"#*:?\\[]^"]
+    rows = spark.createDataFrame([(i, days[i % 5], f"t{i}é") for i in range(40)], "k long, dt string, value string")
+    files.write_each(rows, "k", ["dt"], str(tmp_path / "own"))
+    rows.select("value", "dt").write.partitionBy("dt").text(str(tmp_path / "spark"))
+
+    def folders(root):
+        return {p.name for p in root.iterdir() if p.is_dir()}
+
+    assert folders(tmp_path / "own") == folders(tmp_path / "spark")
+    back = [spark.read.text(str(tmp_path / root), wholetext=root == "own").select("dt", F.trim(F.regexp_replace("value", "\n", ""))) for root in ("own", "spark")]
+    assert sorted(map(tuple, back[0].collect()), key=str) == sorted(map(tuple, back[1].collect()), key=str)
+    assert not list((tmp_path / "own").rglob("*.crc"))  # a second file for each cost as much as the first
+    with pytest.raises(FileExistsError):
+        files.write_each(rows, "k", ["dt"], str(tmp_path / "own"))
+    with pytest.raises(Exception, match="no such day"):
+        files.write_each(rows.withColumn("value", F.when(F.col("k") == 39, F.raise_error(F.lit("no such day"))).otherwise(F.col("value"))), "k", ["dt"], str(tmp_path / "failed"))
+    assert not list((tmp_path / "failed").rglob("*"))
+
+
 def test_unreadable_documents_go_aside_with_a_reason(spark, tmp_path):
     bodies = {
         "good.json": json.dumps({"message_id": 1}, indent=2), "cut.json": '{\n  "message_id": 2,\n  "source"', "list.json": "[\n1,\n2\n]", "blank.json": " \n\n",
